@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.chat import op6_chat_formatting
 from tidemark.llm.linedup import op5_line_dedup
+from tidemark.llm.mixing import op7_mixing
 from tidemark.llm.ngramjoin import op3_ngram_jaccard_join
+from tidemark.llm.packing import op8_packing
 from tidemark.llm.quality import op4_quality_rules
+from tidemark.llm.urlfilter import op1_url_filters
 
-_QUERIES = [op3_ngram_jaccard_join, op4_quality_rules, op5_line_dedup]
+_QUERIES = [op1_url_filters, op3_ngram_jaccard_join, op4_quality_rules, op5_line_dedup, op6_chat_formatting, op7_mixing, op8_packing]
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
