@@ -19,7 +19,7 @@ TAIL = END + "\n"
 
 def escape(text: Column) -> Column:
     """One more backslash in every ``<\\...|``: no control string is left, and the step can be undone."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: Column) -> Column:
