@@ -37,9 +37,9 @@ class MixParams:
     weights: dict[str, float] = field(default_factory=lambda: {"good": 0.93, "poor": 0.05, "toxic": 0.02})
     sample_rows: int = 8000
     max_rate: float = 4.0
-    steps: int = 40
+    steps: int = 25
     tol: float = 1e-3
-    keep_from: float = 0.5
+    keep_from: float = 0.25
 
 
 @dataclass(frozen=True)
@@ -158,10 +158,12 @@ def soft_membership(docs: DataFrame, model: Classifier, text_col: str = "text")
 
 def rate_column(moves: list[list[float]], params: MixParams) -> Column:
     """The rate after the given steps: each takes p . move off and projects onto [0, max_rate]."""
-    rate = F.lit(1.0)
-    for move in moves:
-        rate = F.least(F.lit(params.max_rate), F.greatest(F.lit(0.0), rate - sum(F.col(f"p_{d}") * float(m) for d, m in zip(DOMAINS, move, strict=True))))
-    return rate
+    if not moves:
+        return F.lit(1.0)
+    steps = F.array(*[F.array(*[F.lit(m) for m in move]) for move in moves])
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    shift = lambda m: sum((c * m[k] for k, c in enumerate(p)), F.lit(0.0))
+    return F.aggregate(steps, F.lit(1.0), lambda r, m: F.least(F.lit(params.max_rate), F.greatest(F.lit(0.0), r - shift(m))))
 
 
 def fit_rates(members: DataFrame, params: MixParams = MixParams()) -> list[list[float]]:
