@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import coded, segment_sums, slices, stored, table, texts_of, words_of
 
 DEPTH = 4
+#: Bytes of text handled at a time: every byte takes some sixty bytes of work space.
+SLICE = 2 << 20
 #: An entry is frequent if it makes up at least one in so many of all; there are no more than this.
 HEAD_WORDS, HEAD_GRAMS = 1 << 20, 1 << 20
 
@@ -76,7 +78,7 @@ def word_counts(source: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             held: list[pa.Table] = []
-            for part in slices(whole, "__text"):
+            for part in slices(whole, "__text", SLICE):
                 words, _ = words_of(pc.ascii_lower(texts_of(part)))
                 codes, distinct = coded(words)
                 held.append(pa.table({"word": distinct.cast(pa.large_string()), "c": pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())}))
@@ -94,7 +96,7 @@ def gram_counts(source: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             held: list[pa.Table] = []
-            for part in slices(whole, "__text"):
+            for part in slices(whole, "__text", SLICE):
                 grams, counts = _grams(texts_of(part))
                 train = np.repeat(~np.asarray(part.column("held_out")).astype(bool), counts)
                 for own, one in ((grams[train], 1), (grams[~train], 0)):
@@ -182,7 +184,7 @@ def score_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         top, top_log, keys, lps = head.value
         rid = TaskContext.get().partitionId() << 36
         for whole in batches:
-            for part in slices(whole, "__text"):
+            for part in slices(whole, "__text", SLICE):
                 texts = texts_of(part)
                 n = len(texts)
                 tokens, counts = words_of(pc.ascii_lower(texts))
