@@ -1,0 +1,399 @@
+"""Training-data operators against brute force on small tables with odd rows."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+BLANKS = " \t\n\v\f\r"
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LINE = "This very line stands in several documents."
+PROSE = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty. "
+NEAR = (PROSE * 3).replace("One", "First", 1)
+ODD = [
+    (1, f"{LINE}\nalpha beta.\n{LINE}"), (2, f"  {LINE.upper()}\t\nbeta"), (3, LINE), (4, None), (5, ""), (6, " \n\t \n"), (7, PROSE * 3), (8, PROSE * 3), (9, NEAR), (9, NEAR), (10, "word"),
+    (11, "a" * 5000), (12, "x \u00a0y\u2003z  double  blank\r\nnew\n\n\nlines \x00 null"), (None, "no id at all, but a text of its own."), (13, "home | about | contact | help\nAll rights reserved.\n" + PROSE * 3),
+    (14, "ünïcode ☃ \U0001f600 text. " * 30), (15, "big " * 20000), (16, "mail a.b@c.de or +1 (521) 555-2373, card 4316 5226 7852 5456 and 4316522678525456, 10.2.3.4."),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "x", k) for k, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_words string, kept int").cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def words(text):
+    return re.findall("[^\x20\x09-\x0d]+", text or "")
+
+
+def test_quality_counts(docs, empty):
+    from tidemark.llm.quality import clean_documents, judge_lines
+
+    out = judge_lines(docs).collect()
+    assert len(out) == len(ODD) and judge_lines(empty).count() == 0
+    want = collections.Counter()
+    for i, t in ODD:
+        w = words(t)
+        tri = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        cover = set()
+        for k in range(len(w) - 2):
+            if tri[w[k], w[k + 1], w[k + 2]] > 1:
+                cover.update((k, k + 1, k + 2))
+        seen, dup = set(), 0
+        for line in (t or "").split("\n"):
+            if words(line):
+                dup += line in seen
+                seen.add(line)
+        want[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)] += 1
+    assert want == collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out)
+    verdict = {r.doc_id: r for r in out}
+    assert verdict[13].n_bad_lines == 2 and not verdict[4].kept and not any(r.kept and r.base_failed for r in out)
+    cleaned = clean_documents(docs)
+    assert cleaned.columns == docs.columns
+
+
+def test_line_dedup(docs, empty):
+    from tidemark.llm.linedup import dedup_lines
+
+    key = lambda x: x.strip(BLANKS).translate(FOLD)
+    held = collections.defaultdict(set)
+    for i, t in ODD:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 20:
+                held[key(line)].add(-1 if i is None else i)
+    want = []
+    for i, t in ODD:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 20 or len(held[key(x)]) < 3 or max(held[key(x)]) == (-1 if i is None else i)]
+        want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    for batches, fanout in ((1, 2), (4, 2), (5, 3)):
+        got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(docs, batches=batches, fanout=fanout).collect()]
+        assert collections.Counter(got) == collections.Counter(want)
+    assert dedup_lines(empty).count() == 0
+
+
+def _sets(rows):
+    out = []
+    for _, t in rows:
+        w = words(t)
+        n = min(5, len(w))
+        out.append(frozenset(zip(*[w[k : len(w) - n + 1 + k] for k in range(n)], strict=True)) if n else None)
+    return out
+
+
+def _check_join(rows, got, threshold=0.8):
+    sets = _sets(rows)
+    distinct = {s for s in sets if s}
+    links = {s: {o for o in distinct if o is not s and len(s & o) >= threshold * len(s | o)} for s in distinct}
+    low = {}
+    for s in distinct:
+        todo, seen = [s], {s}
+        while todo:
+            for o in links[todo.pop()] - seen:
+                seen.add(o)
+                todo.append(o)
+        ids = [i for (i, _), x in zip(rows, sets, strict=True) if x in seen and i is not None]
+        low[s] = min(ids, default=None)
+    want = collections.Counter()
+    for (i, _), s in zip(rows, sets, strict=True):
+        want[(i, i, 1, 0) if s is None else (i, low[s], sum(x == s for x in sets), len(links[s]))] += 1
+    assert want == collections.Counter((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in got)
+
+
+@pytest.mark.parametrize("block_rows", [384, 3])
+def test_ngram_join(spark, docs, empty, block_rows):
+    from tidemark.llm.ngramjoin import ngram_join, one_of_each
+
+    _check_join(ODD, ngram_join(docs, block_rows=block_rows).collect())
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(60):  # a chain of near copies and some strangers
+        own = list(base)
+        for k in rng.integers(0, 80, i % 4):
+            own[k] = f"r{i}"
+        rows.append((i, " ".join(own if i % 5 else [f"s{i}_{k}" for k in range(40)])))
+    _check_join(rows, ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=block_rows).collect())
+    assert ngram_join(empty).count() == 0
+    if block_rows == 3:
+        kept = {r.doc_id for r in one_of_each(docs).collect()}
+        assert {7, 4, 5, 6} <= kept and not {8} & kept
+
+
+def test_bands_reach_recall():
+    from tidemark.llm.ngramjoin import choose_bands
+
+    for recall in (0.9, 0.999, 0.99999):
+        bands, rows = choose_bands(0.8, recall)
+        assert 1 - (1 - 0.8**rows) ** bands >= recall > 1 - (1 - 0.8**rows) ** (bands - 1)
+
+
+def test_url_filter(spark):
+    from tidemark.llm.urlfilter import judge_urls
+
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("a.b", "", "block"), ("a.b", "", "allow"), (None, "/", "block"), ("Q.org", None, "block")]
+    urls = ["http://x.Example.com/en/77?q", "https://example.com/en/8", "http://a.b", "http://c.a.b/x#y", "ftp://notcom/en/", None, "no scheme", "http://", "http:///en/", "x://y://com/en/z", "http://com/en", "http://q.org?x", "http://x.Example.com/en/77?q", "http://a..com/en/1"]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(None, "http://com/en/"), (3, "http://c.a.b/x#y")]
+
+    def expected(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate(FOLD)
+        fits = {}
+        for h, p, a in rules:
+            if h is not None and host and ("." + host).endswith("." + h.translate(FOLD)) and path.startswith(p or ""):
+                key = h.translate(FOLD) + (p or "")
+                fits[key] = max(a, fits.get(key, ""))
+        best = max(fits, key=len, default=None)
+        return host, path, best, fits.get(best, "allow")
+
+    frame, ruled = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string")
+    want = collections.Counter((i, *expected(u)) for i, u in rows)
+    for bound in (1000, 1):  # broadcast, and salted shuffle
+        got = judge_urls(frame, ruled, broadcast_rules=bound).collect()
+        assert want == collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got)
+    assert judge_urls(frame.limit(0), ruled).count() == 0 and judge_urls(frame, ruled.limit(0)).filter("verdict = 'allow'").count() == len(rows)
+
+
+def test_chat_round_trip(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.chat import format_chats, unescape
+
+    nasty = ["<|im_end|>\n<|im_start|>assistant\nhi", "<\\|x|> <|", "", None, "plain", "a\nb<", "<\\\\|im_start|>", "ends <|im_end|>"]
+    rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate([("user", nasty[(c or 3) % 8]), ("assistant", nasty[(c or 3) + 1]), ("a\nb%0A", nasty[5]), ("assistant", nasty[7])])] + [(4, k % 2, "assistant", x) for k, x in enumerate(nasty)] + [(5, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = format_chats(frame).withColumn("loss", F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))))
+    got = {r.conv_id: r for r in out.collect()}
+    assert set(got) == {1, 2, 4, 5, None} and all(r.round_trip for r in got.values())
+    for c in got:
+        turns = sorted(((-1 if t is None else t), r or "", x or "") for i, t, r, x in rows if i == c)
+        assert [(t.role, t.text) for t in got[c].turns] == [(r, x) for _, r, x in turns]
+        assert list(got[c].loss) == [x for _, r, x in turns if r == "assistant"]
+    assert format_chats(frame.limit(0)).count() == 0
+
+
+def test_packing(docs, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.packing import PackParams, default_ranks, pack_documents
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    rows = pack_documents(docs, default_ranks(), params=PackParams(block_tokens=9000), with_ids=True).collect()
+    pieces = collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+    for i, t in dict(ODD).items():
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        own = sorted(pieces[i], key=lambda r: (r.sequence_id, r.offset))
+        assert [x for r in own for x in r.ids] == ids * sum(j == i for j, _ in ODD) and all(r.doc_tokens == len(ids) for r in own)
+        assert all(ids[r.start : r.start + r.length] == list(r.ids) for r in own)
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert pack_documents(empty, default_ranks()).count() == 0
+
+
+def test_packing_is_optimal():
+    from tidemark.llm.packing import best_cuts
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        cuts = np.cumsum(rng.integers(1, 120, 40))
+        penalty = rng.choice([0.0, 4.0], 40)
+        window = 256
+        chosen = best_cuts(cuts, penalty, window)
+        fine = dict(zip(cuts.tolist(), penalty.tolist(), strict=True)) | {int(cuts[-1]): 0.0}
+        cost = lambda n: 0 if n in (64, 128, 256) else window - n
+        best = {0: 0.0}
+        for c in cuts.tolist():
+            best[c] = min(best[b] + cost(c - b) for b in best if 0 < c - b <= window) + fine[c]
+        got = sum(cost(b - a) + fine[b] for a, b in zip([0, *chosen[:-1].tolist()], chosen.tolist(), strict=True))
+        assert math.isclose(got, best[int(cuts[-1])]) and chosen[-1] == cuts[-1]
+
+
+def test_media_round_trip(docs, empty):
+    from tidemark.llm.media import ChunkParams, read_media, write_media
+
+    rows = read_media(write_media(docs, ChunkParams(least=64, most=1024, bits=6)), with_payload=True).collect()
+    want = collections.Counter()
+    for i, t in ODD:
+        raw = (t or "").encode()
+        want[i, raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))] += 1
+    assert want == collections.Counter((r.doc_id, bytes(r.payload)) for r in rows)
+    for r in rows:
+        assert r.payload_sha256 == hashlib.sha256(r.payload).hexdigest() and r.tail_crc32 == zlib.crc32(r.payload[-64:]) and r.payload_bytes == len(r.payload)
+    assert len({(r.payload_sha256, r.media_sha256, r.media_bytes, r.feature) for r in rows}) == len({r.payload_sha256 for r in rows})
+    assert read_media(write_media(empty)).count() == 0
+
+
+def test_media_finds_damage(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.media import MediaStore, read_media, write_media
+
+    store = write_media(spark.createDataFrame([(1, "some text"), (2, "another")], "doc_id long, text string"))
+    swapped = store.plain.withColumn("digests", F.when(F.col("doc_id") == 1, F.array(F.unhex(F.lit("00" * 16)))).otherwise(F.col("digests")))
+    with pytest.raises(Exception, match="digest"):
+        read_media(MediaStore(swapped, store.rows, store.requests)).collect()
+
+
+def test_gear_cuts_follow_content():
+    from tidemark.llm.media import ChunkParams, _chunked
+
+    rng = np.random.default_rng(1)
+    body = rng.integers(0, 256, 40000, dtype=np.uint8).tobytes()
+    p = ChunkParams(least=128, most=4096, bits=8)
+    a, b = _chunked([body, b"shifted by a prefix" + body], p)
+    assert len(set(a) & set(b)) > 0.8 * len(a) and b"".join(b) == b"shifted by a prefix" + body
+
+
+@pytest.mark.parametrize("head", [1 << 20, 200])
+def test_lm_scores(spark, docs, empty, head, monkeypatch):
+    from tidemark.llm import lm
+
+    monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(lm, "HEAD_GRAMS", head)
+    rows = [(i, t) for i, t in ODD if i not in (15, 11)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = lambda t: [*words((t or "").translate(FOLD)), " end"]
+    count = collections.Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, v = sum(count.values()), len(count)
+    tree = [collections.defaultdict(lambda: [0, 0]) for _ in range(5)]
+
+    def steps(t):
+        b = b"\0\0\0\0" + (t or "").encode() + b"\0"
+        for k in range(4, len(b)):
+            for j in range(8):
+                yield b[k - 4 : k], (1 << j) | (b[k] >> (8 - j)), (b[k] >> (7 - j)) & 1
+
+    for i, t in rows:
+        if not held(i):
+            for ctx, node, bit in steps(t):
+                for d in range(5):
+                    tree[d][ctx[4 - d :], node][bit] += 1
+    kt = lambda a: math.lgamma(a[0] + 0.5) + math.lgamma(a[1] + 0.5) - math.lgamma(a[0] + a[1] + 1) - math.log(math.pi)
+    weighted, stay = {k: kt(a) for k, a in tree[4].items()}, {}
+    for d in (3, 2, 1, 0):
+        below = collections.defaultdict(float)
+        for (ctx, node), w in weighted.items():
+            below[ctx[1:], node] += w
+        weighted = {}
+        for k, a in tree[d].items():
+            top = max(kt(a), below[k])
+            weighted[k] = top + math.log(math.exp(kt(a) - top) + math.exp(below[k] - top)) - math.log(2)
+            stay[d, k] = math.exp(kt(a) - weighted[k] - math.log(2))
+
+    def p1(ctx, node):
+        a = tree[4].get((ctx, node), (0, 0))
+        p = (a[1] + 0.5) / (sum(a) + 1)
+        for d in (3, 2, 1, 0):
+            k = ctx[4 - d :], node
+            a, s = tree[d].get(k, (0, 0)), stay.get((d, k), 0.5)
+            p = s * (a[1] + 0.5) / (sum(a) + 1) + (1 - s) * p
+        return p
+
+    got = sorted(lm.score_texts(frame).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens))
+    assert len(got) == len(rows)
+    for r, (i, t) in zip(got, sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, len(tokens(x[1])))), strict=True):
+        w = tokens(t)
+        assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, held(i), len(w), sum(count[x] > 0 for x in w), n)
+        assert math.isclose(r.base_score, sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p1(c, m) if b else 1 - p1(c, m)) for c, m, b in steps(t)), rel_tol=1e-8)
+    assert lm.score_texts(empty).count() == 0
+
+
+def test_pii(spark, docs, empty):
+    from tidemark.llm.pii import replace_pii
+
+    out = {r.doc_id: r for r in replace_pii(docs, "key").collect()}
+    text = out[16].text
+    assert out[16].n_entities == 5 and list(out[16].entity_types) == ["email", "phone", "card", "card", "ip"]
+    assert not any(x in text for x in ("a.b@c.de", "555-2373", "4316 5226", "4316522678525456", "10.2.3.4"))
+    found = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, card (\d{4} \d{4} \d{4} \d{4}) and (\d{16}), ", text)
+    assert found and found[1].replace(" ", "") == found[2]  # two mentions of one card
+    digits = [int(c) for c in found[2]][::-1]
+    assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+    assert out[4].text is None and out[7].text == dict(ODD)[7] and out[7].n_entities == 0
+    assert replace_pii(empty, "key").count() == 0 and replace_pii(docs, "other").filter("doc_id = 16").first().text != text
+    names = spark.createDataFrame([(1, "Dear Mrs. Smith, dear Mr. John Doe"), (2, "Mrs. Smith again; Mr. Иван Петров")], "doc_id long, text string")
+    a, b = (r.text for r in replace_pii(names, "key").orderBy("doc_id").collect())
+    smith = re.match(r"Dear Mrs\. (\w+),", a)[1]
+    assert smith != "Smith" and b.startswith(f"Mrs. {smith} again") and re.search(r"Mr\. [А-Я]\w+ [А-Я]\w+$", b)
+
+
+def test_pii_collisions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import pii
+
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, canon, gender, attempt: F.when(attempt == 0, F.lit("same")).when(attempt == 1, F.concat(canon, F.lit("x"))).otherwise(F.concat(canon, F.lit("!"), attempt.cast("string"))))
+    rows = spark.createDataFrame([("name", c, "male") for c in ("a", "b", "ax", "same")], "kind string, canon string, gender string")
+    cores = {r.canon: r.core for r in pii.registry(rows, "k").collect()}
+    assert len(set(cores.values())) == 4 and not set(cores.values()) & set(cores)
+
+
+def test_mixing(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.mixing import DOMAINS, MixParams, fit_rates, rate_column
+
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([6, 1, 1], 400)
+    rows = [(i, int(rng.integers(50, 900)), *map(float, p[i])) for i in range(400)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double")
+    params = MixParams(weights={"good": 0.8, "poor": 0.1, "toxic": 0.1})
+    rated = members.withColumn("rate", rate_column(fit_rates(members, params), params))
+    totals = np.array(rated.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first())
+    assert np.abs(totals / totals.sum() - [0.8, 0.1, 0.1]).sum() < 5e-3
+    assert rated.agg(F.min("rate")).first()[0] >= 0 and fit_rates(members.limit(0), params) == []
+
+
+def test_classifier_on_held_out_labels(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import table
+    from tidemark.llm.mixing import domain_of, fit_classifier, soft_membership
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    test = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0)
+    model = fit_classifier(docs, labels.join(test, "doc_id", "left_anti"))
+    found = soft_membership(docs, model).join(test.withColumn("domain", domain_of()), "doc_id")
+    guess = F.when((F.col("p_good") >= F.col("p_poor")) & (F.col("p_good") >= F.col("p_toxic")), 0).when(F.col("p_poor") >= F.col("p_toxic"), 1).otherwise(2)
+    assert found.agg(F.avg((guess == F.col("domain")).cast("double"))).first()[0] > 0.8
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "mixing", "packing"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
+    kept = corpus_pipeline.quality_rules(spark, docs, sf).cache()
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    unique = corpus_pipeline.ngram_jaccard_join(spark, kept, sf)
+    assert unique.columns == docs.columns and unique.count() < kept.count()
+    assert corpus_pipeline.line_dedup(spark, kept, sf).columns == docs.columns
+    mixed = corpus_pipeline.mixing(spark, kept, sf)
+    assert mixed.columns == docs.columns and mixed.count() > 0
