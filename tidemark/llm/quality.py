@@ -103,7 +103,7 @@ def _judge(batch: pa.RecordBatch, rules: LineRules) -> tuple[list[pa.Array], pa.
         dup = ~first & full
     n_dup = segment_sums(dup.astype(np.int64), per_doc)
 
-    trimmed = pc.ascii_trim(lines, " \t\v\f\r\"'”’»)]}*_")
+    trimmed = pc.utf8_trim(lines, " \t\v\f\r\"'”’»)]}*_")
     tail = "[" + "".join("\\" + c if c in ".!?" else c for c in rules.terminal) + "]$"
     ends = np.asarray(pc.match_substring_regex(trimmed, tail)).astype(bool)
     line_symbols = np.asarray(pc.count_substring_regex(lines, r"[#*$%&|<>]")).astype(np.int64)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import oracle
 from tidemark.llm.chat import op6_chat_formatting
 from tidemark.llm.linedup import op5_line_dedup
 from tidemark.llm.lm import op9_lm_scoring
@@ -35,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
