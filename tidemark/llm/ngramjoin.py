@@ -108,7 +108,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours larger than the vertex go to its smallest neighbour (itself counted)
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # the smallest neighbours are written first, so that the join can split a hot vertex
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).checkpoint()
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: the smaller neighbours and the vertex itself go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -197,7 +198,8 @@ def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, thresh
     reps = sig.filter("node is not null").select("node", "bands").dropDuplicates(["node"])
 
     keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band", "key", "low")
+    # written first, so that the join's two sides are both dealt by it and a hot bucket can be split
+    buckets = stored(keyed.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band", "key", "low"), "buckets")
     edges = keyed.join(buckets, ["band", "key"]).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct().checkpoint()
     candidates = components(edges).checkpoint()
 
