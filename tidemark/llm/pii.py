@@ -169,7 +169,8 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mentions = stored(mentions.select("__key", "pos", "raw", "kind", "canon", "gender"), "mentions")
     cores = registry(mentions.select("kind", "canon", "gender"), key)
     placed = mentions.join(cores, ["kind", "canon"]).select("__key", "pos", "kind", in_format(F.col("kind"), F.col("raw"), F.col("core")).alias("new"))
-    lists = placed.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "new"))).alias("__all"))
+    # written first, so that the join can split the rows of a text with very many copies
+    lists = stored(placed.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "new"))).alias("__all")), "replacements")
     joined = keyed.join(lists, "__key", "left")
     between = F.split(text, ANY, -1)
     new = F.transform("__all", lambda x: x["new"])
