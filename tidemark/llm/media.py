@@ -166,8 +166,9 @@ def write_media(docs: DataFrame, params: ChunkParams = ChunkParams()) -> MediaSt
     """
     spark = docs.sparkSession
     lists = stored(_rows(docs, params, False).select("rid", F.posexplode("digests").alias("pos", "digest")).distinct(), "chunk-lists")
-    owners = lists.groupBy("digest").agg(F.min(F.struct("rid", "pos")).alias("own"), F.count("*").alias("n"))
-    placed = lists.join(owners.filter("n > 1"), "digest").filter("rid <> own.rid or pos <> own.pos")
+    # written first, so that the join can split a chunk that very many payloads share
+    owners = stored(lists.groupBy("digest").agg(F.min(F.struct("rid", "pos")).alias("own"), F.count("*").alias("n")).filter("n > 1"), "chunk-owners")
+    placed = lists.join(owners, "digest").filter("rid <> own.rid or pos <> own.pos")
     requests = stored(placed.select(F.col("own.rid").alias("owner"), F.col("own.pos").alias("owner_pos"), "rid", "pos"), "chunk-requests")
     flags = _flags(requests.select("rid").unionAll(requests.select(F.col("owner").alias("rid"))), params)
     plain = scratch(spark, "media-plain")
