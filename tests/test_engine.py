@@ -171,7 +171,10 @@ def test_live_sources(spark, tmp_path):
         live.candles(spark, Fake(), "s", 7, 1)
     log = tmp_path / "log.txt"
     live.http_notifier("http://127.0.0.1:9/none", live.file_notifier(str(log)), 0.2)("hello")
-    assert log.read_text() == "hello\n" and "win rate 0.0%" in live.daily_report(0, 0, 0, 0.0)
+    assert log.read_text() == "hello\n" and "Win Rate: 0.0%" in live.daily_report(0, 0, 0, 0.0)
+    signal = spark.createDataFrame([("s", DAY, "BUY", 72.4, 2, 2000.0, 1990.0, 2015.0, 1.5, ["a", "b"], "Trap")], "symbol string, ts timestamp_ntz, direction string, conf double, tier int, entry_price double, stop_loss double, take_profit double, risk_reward double, top_reasons array<string>, candle_dna string")
+    sent = []
+    assert live.notify(signal, sent.append) == 1 and "SL: 1990.00 (-100 pips)" in sent[0] and "1. a\n2. b\n2024-01-02 09:00 GMT" in sent[0]
 
 
 QUERIES = ["spike_flags", "ingest_clean", "gap_report", "ohlc_4h", "bucket_collect", "m1_m15_join", "l1_nested", "l3_order_blocks", "label_distribution", "fold_bounds", "corr_prune", "class_report", "tier_analysis", "cooldown", "daily_loss_limit", "dedupe_keep_last", "fill_gap", "perf_summary", "feature_summary", "features_all"]

@@ -10,6 +10,8 @@ from dataclasses import dataclass, field, fields, replace
 class EngineConfig:
     """All thresholds, by operator. Distances in pips are price differences divided by ``pip``."""
 
+    # The defaults below.
+
     # bars
     child_width: str = "1 minute"
     parent_width: str = "15 minutes"

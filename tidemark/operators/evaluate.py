@@ -88,12 +88,12 @@ def tiers(acted: DataFrame, config: EngineConfig) -> DataFrame:
 
 
 def performance(signals: DataFrame) -> DataFrame:
-    """Totals of a signal log ``(symbol, ts, result, pips)``: wins, losses, open ones, win rate in percent, pips, profit factor (null without losses)."""
+    """Totals of a signal log ``(symbol, ts, result, pips)``: wins, losses, open ones, wins in percent of all, pips, profit factor (infinite without losses)."""
     won, lost = F.coalesce(F.sum(F.when(F.col("pips") > 0, F.col("pips"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("pips") < 0, -F.col("pips"))), F.lit(0.0))
     wins, losses = F.count_if(F.col("result") == "win"), F.count_if(F.col("result") == "loss")
     return signals.groupBy("symbol").agg(
-        F.count("*").alias("total"), wins.alias("wins"), losses.alias("losses"), (F.count("*") - wins - losses).alias("open"), (100 * _ratio(wins, wins + losses)).alias("win_rate"),
-        F.coalesce(F.sum("pips"), F.lit(0.0)).alias("pips"), F.when(lost > 0, won / lost).alias("profit_factor"),
+        F.count("*").alias("total"), wins.alias("wins"), losses.alias("losses"), (F.count("*") - wins - losses).alias("open"), (100 * _ratio(wins, F.count("*"))).alias("win_rate"),
+        F.coalesce(F.sum("pips"), F.lit(0.0)).alias("pips"), F.when(lost > 0, won / lost).otherwise(float("inf")).alias("profit_factor"),
     )
 
 

@@ -26,7 +26,7 @@ def tier(conf: str = "conf") -> Column:
 
 def dna_name(dna: str = "l4_candle_dna") -> Column:
     names = F.create_map(*[x for k, v in DNA_NAMES.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(names, F.col(dna).cast("int")), F.lit("Unclassified"))
+    return F.coalesce(F.try_element_at(names, F.col(dna).cast("int")), F.lit("Unknown"))
 
 
 def top_reasons(most: int = 3) -> Column:
@@ -40,8 +40,8 @@ def with_levels(rows: DataFrame, config: EngineConfig) -> DataFrame:
     way = F.when(F.col("pred") == 1, 1).otherwise(-1)
     tp, sl = config.tp_pips * config.pip, config.sl_pips * config.pip
     return rows.withColumns({
-        "direction": F.when(F.col("pred") == 1, "BUY").otherwise("SELL"), "tier": tier(), "entry_price": F.col("close"), "stop_loss": F.round(F.col("close") - way * sl, 5),
-        "take_profit": F.round(F.col("close") + way * tp, 5), "risk_reward": F.lit(round(tp / sl, 2)), "top_reasons": top_reasons(), "candle_dna": dna_name(),
+        "direction": F.when(F.col("pred") == 1, "BUY").otherwise("SELL"), "tier": tier(), "entry_price": F.round("close", 5), "stop_loss": F.round(F.col("close") - way * sl, 5),
+        "take_profit": F.round(F.col("close") + way * tp, 5), "risk_reward": F.lit(round(tp / sl, 2) if sl > 0 else 0.0), "top_reasons": top_reasons(), "candle_dna": dna_name(),
     })
 
 
@@ -76,7 +76,7 @@ def scan(scored: DataFrame, config: EngineConfig, sessions: Iterable[int] | None
     base = scored if "i" in scored.columns else ordinal(scored)
     chosen = cool_down(candidates(base, config, sessions), config)
     record = ["ts", "direction", "conf", "tier", "entry_price", "stop_loss", "take_profit", "risk_reward", "top_reasons", "candle_dna"]
-    return with_levels(chosen, config).select("symbol", *record)
+    return with_levels(chosen, config).withColumn("conf", F.round("conf", 2)).select("symbol", *record)
 
 
 def history(signals: DataFrame, most: int = 50) -> DataFrame:
@@ -89,7 +89,7 @@ def volatility_bucket(rank: str = "l2_session_volatility_rank") -> Column:
 
 
 def trend_text(trend: str) -> Column:
-    return F.when(F.col(trend) > 0, "BULLISH").when(F.col(trend) < 0, "BEARISH").otherwise("NEUTRAL")
+    return F.when(F.col(trend) > 0, "BULL ▲").when(F.col(trend) < 0, "BEAR ▼").otherwise("NEUTRAL ─")
 
 
 def session_name(session: str = "l2_session") -> Column:
@@ -106,8 +106,27 @@ def candle_geometry() -> dict[str, Column]:
     return {"body_low": F.least("open", "close"), "body_height": F.when(height > 0, height).otherwise((F.col("high") - F.col("low")) * 0.001)}
 
 
-def message(pip: float = 0.1) -> Column:
-    """One plain line per signal."""
-    pips = lambda c: F.format_string("%.0f", F.abs(F.col(c) - F.col("entry_price")) / pip)
-    return F.concat_ws(" ", F.concat(F.lit("#"), F.col("symbol")), "direction", F.format_string("%.2f", "entry_price"), F.concat(F.lit("SL "), F.format_string("%.2f", "stop_loss"), F.lit(" ("), pips("stop_loss"), F.lit(")")),
-                       F.concat(F.lit("TP "), F.format_string("%.2f", "take_profit"), F.lit(" ("), pips("take_profit"), F.lit(")")), F.format_string("%.1f%%", "conf"), F.concat(F.lit("T"), F.col("tier").cast("string")), F.concat_ws(" | ", "top_reasons"))
+def _pips(level: str, pip: float) -> Column:
+    return F.abs(F.col(level) - F.col("entry_price")) / pip
+
+
+def _time() -> Column:
+    return F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm 'GMT'")
+
+
+def plain_message() -> Column:
+    """A signal as four lines of plain text."""
+    return F.concat_ws(
+        "\n", F.format_string("SIGNAL | %s %s", "direction", "symbol"), F.format_string("Confidence: %.0f%% Tier %d", "conf", "tier"),
+        F.format_string("Entry: %.2f | SL: %.2f | TP: %.2f", "entry_price", "stop_loss", "take_profit"), F.concat(F.lit("Time: "), _time()),
+    )
+
+
+def full_message(pip: float = 0.1) -> Column:
+    """A signal with distances in pips, risk-reward, candle type and numbered reasons."""
+    reasons = F.array_join(F.transform("top_reasons", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r)), "\n")
+    return F.concat_ws(
+        "\n", F.format_string("SIGNAL %s | %s", "symbol", "direction"), F.format_string("Confidence: %.0f%% (TIER %d)", "conf", "tier"), F.concat(F.lit("Candle: "), F.col("candle_dna")), F.format_string("Entry: %.2f", "entry_price"),
+        F.format_string("SL: %.2f (-%.0f pips)", F.col("stop_loss"), _pips("stop_loss", pip)), F.format_string("TP: %.2f (+%.0f pips)", F.col("take_profit"), _pips("take_profit", pip)), F.format_string("R:R = 1:%.1f", "risk_reward"),
+        F.lit("Reasons:"), reasons, _time(),
+    )

@@ -239,19 +239,19 @@ def sql() -> dict[str, str]:
         "trading_sim": with_(_metrics("symbol", "ts, symbol") + " GROUP BY 1"),
         "tier_analysis": with_("SELECT g.t::BIGINT AS tier, " + ", ".join(f"coalesce({m}, 0) AS {m}" for m in ("total_trades", "win_rate", "total_pips_won", "total_pips_lost", "profit_factor", "max_drawdown", "sharpe_ratio")) + " FROM (SELECT unnest([1, 2, 3]) AS t) g LEFT JOIN (" + _metrics("tier", "ts, symbol").replace("FROM tr", "FROM (SELECT *, CASE WHEN conf >= 80 AND conf < 101 THEN 3 WHEN conf >= 70 AND conf < 80 THEN 2 WHEN conf >= 60 AND conf < 70 THEN 1 END AS tier FROM tr)") + " GROUP BY 1) m ON g.t = m.tier"),
         "signal_rules": with_(f"""SELECT f.symbol, f.ts, CASE WHEN pred = 1 THEN 'BUY' ELSE 'SELL' END AS direction, (CASE WHEN conf >= 80 THEN 3 WHEN conf >= 70 THEN 2 ELSE 1 END)::BIGINT AS tier, round(f.close, 6) AS entry_price, round(round(f.close - CASE WHEN pred = 1 THEN 100 ELSE -100 END, 5), 6) AS stop_loss, round(round(f.close + CASE WHEN pred = 1 THEN 150 ELSE -150 END, 5), 6) AS take_profit, 1.5::DOUBLE AS risk_reward,
-            CASE WHEN len({listed}) > 0 THEN array_to_string({listed}, ' | ') ELSE 'Model prediction' END AS top_reasons, CASE l4_candle_dna WHEN 0 THEN 'Clean Push' WHEN 1 THEN 'Absorption' WHEN 2 THEN 'Exhaustion' WHEN 3 THEN 'Trap' WHEN 4 THEN 'Dead Zone' WHEN 5 THEN 'Breakout' WHEN 6 THEN 'Fakeout' WHEN 7 THEN 'Accumulation' ELSE 'Unclassified' END AS candle_dna
+            CASE WHEN len({listed}) > 0 THEN array_to_string({listed}, ' | ') ELSE 'Model prediction' END AS top_reasons, CASE l4_candle_dna WHEN 0 THEN 'Clean Push' WHEN 1 THEN 'Absorption' WHEN 2 THEN 'Exhaustion' WHEN 3 THEN 'Trap' WHEN 4 THEN 'Dead Zone' WHEN 5 THEN 'Breakout' WHEN 6 THEN 'Fakeout' WHEN 7 THEN 'Accumulation' WHEN -1 THEN 'Unclassified' ELSE 'Unknown' END AS candle_dna
             FROM (SELECT l4c.*, light.l4_volume_climax, light.l4_momentum_divergence FROM l4c JOIN light ON l4c.symbol = light.symbol AND l4c.ts = light.ts) f JOIN sc ON f.symbol = sc.symbol AND f.ts = sc.ts WHERE pred <> 0 AND conf >= 60"""),
         "cooldown": with_("SELECT symbol, i::BIGINT AS i FROM pickd WHERE i IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1),
         "daily_loss_limit": with_("SELECT symbol, ts, round(pnl, 6) AS pnl FROM (SELECT *, coalesce(sum((pnl = -100)::INT) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM tr) WHERE n < 3"),
         "session_filter": with_("SELECT symbol, ts, (CASE WHEN hour(ts) >= 16 THEN 2 ELSE 1 END)::BIGINT AS l2_session, pred::BIGINT AS pred FROM sc WHERE pred <> 0 AND conf >= 60 AND hour(ts) >= 8"),
         "dedupe_keep_last": "SELECT user_id::VARCHAR AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, max(event_id)::BIGINT AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY 1, 2",
         "fill_gap": with_(f"SELECT symbol, ts, round(open, 6) AS open, round(close, 6) AS close FROM (SELECT symbol, ts, open, close FROM b WHERE day(ts) <= 15 UNION ALL SELECT l.symbol, l.ts, l.open, l.close FROM ({_bars('ticks', '30 minutes')}) l LEFT JOIN (SELECT symbol, max(ts) AS z FROM b WHERE day(ts) <= 15 GROUP BY 1) m ON l.symbol = m.symbol WHERE z IS NULL OR l.ts > z)"),
-        "perf_summary": with_(f"SELECT symbol, count(*)::BIGINT AS total, (count(*) FILTER (WHERE result = 'win'))::BIGINT AS wins, (count(*) FILTER (WHERE result = 'loss'))::BIGINT AS losses, (count(*) FILTER (WHERE result = 'open'))::BIGINT AS open, round(coalesce(100.0 * count(*) FILTER (WHERE result = 'win') / nullif(count(*) FILTER (WHERE result <> 'open'), 0), 0), 6) AS win_rate, round(coalesce(sum(pips), 0), 6) AS pips, "
-                              f"round(coalesce(sum(pips) FILTER (WHERE pips > 0), 0) / nullif(sum(-pips) FILTER (WHERE pips < 0), 0), 6) AS profit_factor FROM ({log}) GROUP BY 1"),
+        "perf_summary": with_(f"SELECT symbol, count(*)::BIGINT AS total, (count(*) FILTER (WHERE result = 'win'))::BIGINT AS wins, (count(*) FILTER (WHERE result = 'loss'))::BIGINT AS losses, (count(*) FILTER (WHERE result = 'open'))::BIGINT AS open, round(100.0 * count(*) FILTER (WHERE result = 'win') / count(*), 6) AS win_rate, round(coalesce(sum(pips), 0), 6) AS pips, "
+                              f"coalesce(round(coalesce(sum(pips) FILTER (WHERE pips > 0), 0) / nullif(sum(-pips) FILTER (WHERE pips < 0), 0), 6), 'Infinity'::DOUBLE) AS profit_factor FROM ({log}) GROUP BY 1"),
         "equity_curve": with_(f"SELECT symbol, ts, round(sum(coalesce(pips, 0)) OVER ({P} {U}), 6) AS equity FROM ({log})"),
         "feature_summary": with_(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min, round(max({c})::DOUBLE, 6) AS max FROM l1" for c in l1 if c != "l1_m1_count")),
         "signal_history": with_("SELECT symbol, ts, pred::BIGINT AS pred FROM sc WHERE pred <> 0 AND conf >= 60 ORDER BY ts DESC, symbol LIMIT 50"),
-        "display_names": with_("SELECT symbol, ts, CASE WHEN l2_session_volatility_rank >= 0.66 THEN 'HIGH' WHEN l2_session_volatility_rank >= 0.33 THEN 'MED' ELSE 'LOW' END AS volatility, ['Asian', 'London', 'New York'][l2_session + 1] AS session, ['None', 'London Open', 'NY Open', 'London Close'][l2_kill_zone + 1] AS zone, CASE WHEN l2_session_trend > 0 THEN 'BULLISH' WHEN l2_session_trend < 0 THEN 'BEARISH' ELSE 'NEUTRAL' END AS trend, round(least(open, close), 6) AS body_low, round(CASE WHEN close <> open THEN abs(close - open) ELSE (high - low) * 0.001 END, 6) AS body_height FROM l2"),
+        "display_names": with_("SELECT symbol, ts, CASE WHEN l2_session_volatility_rank >= 0.66 THEN 'HIGH' WHEN l2_session_volatility_rank >= 0.33 THEN 'MED' ELSE 'LOW' END AS volatility, ['Asian', 'London', 'New York'][l2_session + 1] AS session, ['None', 'London Open', 'NY Open', 'London Close'][l2_kill_zone + 1] AS zone, CASE WHEN l2_session_trend > 0 THEN 'BULL ▲' WHEN l2_session_trend < 0 THEN 'BEAR ▼' ELSE 'NEUTRAL ─' END AS trend, round(least(open, close), 6) AS body_low, round(CASE WHEN close <> open THEN abs(close - open) ELSE (high - low) * 0.001 END, 6) AS body_height FROM l2"),
         "lineitem_rolling": "SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(avg(l_extendedprice) OVER w, 6) AS mean20, round(max(l_extendedprice) OVER w, 6) AS max20, round(lag(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber), 6) AS previous FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
         "l1_custom_volume": pick("l1", "l1_custom_volume", "l1_m1_count"), "l1_energy": pick("l1", "l1_volatility_energy"), "l1_velocity": pick("l1", "l1_price_velocity"), "l1_reversals": pick("l1", "l1_reversal_count"), "l1_early_late": pick("l1", "l1_early_late_ratio"),
         "l1_acceleration": pick("l1", "l1_price_acceleration"), "l1_absorption": pick("l1", "l1_absorption_count", "l1_absorption_intensity"), "l2_session": pick("l2", "l2_session", "l2_day_of_week", "l2_hour"), "l2_overlap_killzone": pick("l2", "l2_session_overlap", "l2_kill_zone"),

@@ -79,10 +79,10 @@ def http_notifier(url: str, fallback: Callable[[str], None], timeout: float = 10
 
 def notify(signals: DataFrame, send: Callable[[str], None], pip: float = 0.1) -> int:
     """Send one message per new signal of a micro-batch, in time order; returns how many."""
-    from tidemark.operators.signals import message
+    from tidemark.operators.signals import full_message
 
     n = 0
-    for row in signals.orderBy("ts").select(message(pip).alias("text")).toLocalIterator():
+    for row in signals.orderBy("ts").select(full_message(pip).alias("text")).toLocalIterator():
         send(row["text"])
         n += 1
     return n
@@ -90,4 +90,4 @@ def notify(signals: DataFrame, send: Callable[[str], None], pip: float = 0.1) ->
 
 def daily_report(total: int, wins: int, losses: int, pips: float) -> str:
     rate = 100 * wins / total if total else 0.0
-    return f"Daily report: {total} signals, {wins} wins, {losses} losses, win rate {rate:.1f}%, {pips:+.1f} pips"
+    return f"Daily Report\nSignals: {total} | Wins: {wins} | Losses: {losses}\nWin Rate: {rate:.1f}%\nNet P&L: {pips:+.0f} pips"
