@@ -33,6 +33,7 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "secret": r"(?<![A-Za-z0-9])(?=[a-f]{0,128}\d)[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,64}(?![A-Za-z0-9])",
+    "credential": r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_+/\-]{6,128}(?![A-Za-z0-9])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\d\-])",
     "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
@@ -40,13 +41,13 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap test that a text may hold an entity.
-_HINT = r"[0-9@]|(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? \p{Lu}"
+_HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|key) {0,2}[=:]|(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? \p{Lu}"
 
 
 def entity_type(raw: Column) -> Column:
-    """The first detector whose shape the whole mention has (names are what no other claims)."""
-    out = F.lit("name")
-    shapes = {k: p for k, p in PATTERNS.items() if k != "name"}
+    """The first detector whose shape the whole mention has; credentials and names are told by their context and count by shape."""
+    out = F.when(raw.rlike(r"^\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?$"), "name").otherwise("credential")
+    shapes = {k: p for k, p in PATTERNS.items() if k not in ("credential", "name")}
     for kind, pattern in reversed(shapes.items()):
         out = F.when(raw.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
@@ -111,7 +112,7 @@ def surrogate(key: str, kind: Column, canon: Column, gender: Column, attempt: Co
     country = F.regexp_extract(canon, r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 0)
     phone = F.concat(country, _letters(stream, F.expr("substring(__canon, length(__country) + 1)")))
     hexed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon)), lambda i: F.lower(F.hex(_draw(stream, i, 16)))), "")
-    secret = F.when(canon.rlike(r"^[0-9a-f]+$"), hexed).otherwise(_letters(stream, canon, 4))
+    secret = F.when(canon.rlike(r"^[0-9a-f]+$"), hexed).when(canon.rlike("^(AKIA|ghp_|sk-)"), _letters(stream, canon, 4)).otherwise(_letters(stream, canon))
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
     given = F.when(cyrillic & (gender == "female"), _pick(stream, 1, "female", "cyrillic")).when(cyrillic, _pick(stream, 1, "male", "cyrillic"))
     given = given.when(gender == "female", _pick(stream, 1, "female", "latin")).otherwise(_pick(stream, 1, "male", "latin"))
@@ -120,7 +121,7 @@ def surrogate(key: str, kind: Column, canon: Column, gender: Column, attempt: Co
     family = F.when(attempt > 0, F.concat(family, longer)).otherwise(family)
     name = F.when(F.instr(canon, " ") > 0, F.concat_ws(" ", given, family)).otherwise(family)
     made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-    return made.when(kind == "secret", secret).when(kind == "iban", _letters(stream, canon, 2)).when(kind == "name", name).otherwise(_letters(stream, canon))
+    return made.when(kind.isin("secret", "credential"), secret).when(kind == "iban", _letters(stream, canon, 2)).when(kind == "name", name).otherwise(_letters(stream, canon))
 
 
 def in_format(kind: Column, raw: Column, core: Column) -> Column:
