@@ -127,7 +127,9 @@ def test_ngram_join(spark, docs, empty, block_rows):
     assert ngram_join(empty).count() == 0
     if block_rows == 3:
         kept = {r.doc_id for r in one_of_each(docs).collect()}
-        assert {7, 4, 5, 6} <= kept and not {8} & kept
+        assert {7, 4, 5, 6, None} <= kept and not {8, 9} & kept
+        lost = spark.createDataFrame([(None, PROSE), (None, "another text without id, of some words"), (None, None), (3, "another text without id, of some words"), (None, PROSE)], "doc_id long, text string")
+        assert collections.Counter((r.doc_id, r.text) for r in one_of_each(lost).collect()) == collections.Counter([(None, PROSE), (None, None), (3, "another text without id, of some words")])
 
 
 def test_bands_reach_recall():

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,8 +67,8 @@ def _signature(grams: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarra
 
 
 def signatures(docs: DataFrame, n_words: int, bands: int, rows: int, seed: int = 7) -> DataFrame:
-    """``(doc_id, node, bands, n_grams)``: node digests the n-gram set, null where there are no words."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n_grams", T.LongType())])
+    """``(doc_id, key, node, bands, n_grams)`` of ``(doc_id, key, __text)``: node digests the n-gram set, null where there are no words."""
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["key"], T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n_grams", T.LongType())])
     rng = np.random.default_rng(seed)
     mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, n_words: int, bands: int, rows: int, seed: int =
                         made.append(key.view(np.int64))
                     nodes = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None for g in sets]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(made, pa.list_(pa.int64())), pa.array([len(g) for g in sets], pa.int64())],
+                        [part.column("doc_id"), part.column("key"), pa.array(nodes, pa.binary()), pa.array(made, pa.list_(pa.int64())), pa.array([len(g) for g in sets], pa.int64())],
                         names=schema.names,
                     )
 
@@ -190,9 +190,27 @@ def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, thresh
     own id, n_copies is 1, n_links 0. Null ids are carried and never chosen as the smallest id
     unless the whole class has none. Repeated rows count as copies.
     """
-    spark = docs.sparkSession
+    out = _classes(docs, text_col, n_words, threshold, recall, rows, block_rows, block_grams)
+    own = F.col("node").isNull()
+    return out.select(
+        "doc_id",
+        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"),
+        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "n_grams",
+    )
+
+
+def _text_key(text: str) -> Column:
+    """A digest of a row's text, null as empty."""
+    return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+
+
+def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, recall: float, rows: int, block_rows: int, block_grams: int) -> DataFrame:
+    """All rows by id and text digest (``key``) with their node, component ``c``, and the join's figures; nulls where there are no n-grams."""
     n_bands, n_rows = choose_bands(threshold, recall, rows)
-    source = docs.select("doc_id", F.col(f"`{text_col}`").alias("__text"))
+    source = docs.select("doc_id", _text_key(text_col).alias("key"), F.col(f"`{text_col}`").alias("__text"))
     sig = stored(signatures(source, n_words, n_bands, n_rows), "signatures")
     nodes = sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"))
     reps = sig.filter("node is not null").select("node", "bands").dropDuplicates(["node"])
@@ -211,7 +229,7 @@ def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, thresh
     placed = placed.checkpoint()
 
     # the full sets of the candidates only: texts of one document per node
-    picked = source.join(placed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
+    picked = source.drop("key").join(placed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
     set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("c", T.BinaryType()), T.StructField("nb", T.IntegerType()), T.StructField("blk", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType())])
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,17 +272,8 @@ def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, thresh
     classes = components(links.select("a", "b")).withColumnRenamed("v", "node")
     joined = nodes.join(classes, "node", "left").join(degrees, "node", "left").withColumn("c", F.coalesce("c", "node"))
     lowest = joined.groupBy("c").agg(F.min("set_id").alias("class_id"))
-    judged = joined.join(lowest, "c").select("node", "class_id", "set_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    found = sig.select("doc_id", "node", "n_grams").join(judged, "node", "left")
-    own = F.col("node").isNull()
-    return found.select(
-        "doc_id",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(own, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        "n_grams",
-    )
+    judged = joined.join(lowest, "c").select("node", "c", "class_id", "set_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sig.select("doc_id", "key", "node", "n_grams").join(judged, "node", "left")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,5 +283,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate class stays: the one of the smallest id."""
-    keep = ngram_join(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    found = _classes(docs.select("doc_id", "text"), "text", 5, 0.8, 0.9999, 4, 384, 4_000_000)
+    # of each class the smallest id stays (null only where there is no other), of equal ids one text; rows without n-grams are their own class
+    group = F.when(F.col("c").isNotNull(), F.hex("c")).otherwise(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "key"))
+    keep = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("__id"), F.col("key").alias("__k"))).alias("m")).select("m.__id", "m.__k")
+    rows = docs.withColumn("__key", _text_key("text"))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
