@@ -29,14 +29,16 @@ BUCKETS = 1 << 16
 
 @dataclass(frozen=True)
 class MixParams:
-    """weights: target share of tokens per domain. sample_rows: labelled documents that the
+    """weights: target share of tokens per domain; the largest is the leading domain. upsample: no
+    other domain's target is more than so many times its tokens. sample_rows: labelled documents that the
     classifier is fitted on, at most (those whose ids hash lowest; the only bound here).
     max_rate: no document is repeated more often. steps, tol: of the gradient fit.
-    keep_from: a document is left out only if its rate is below this."""
+    keep_from: a document of the leading domain is left out only if its rate is below this."""
 
     weights: dict[str, float] = field(default_factory=lambda: {"good": 0.93, "poor": 0.05, "toxic": 0.02})
     sample_rows: int = 8000
     max_rate: float = 4.0
+    upsample: float = 1.0
     steps: int = 25
     tol: float = 1e-3
     keep_from: float = 0.25
@@ -166,24 +168,33 @@ def rate_column(moves: list[list[float]], params: MixParams) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, m: F.least(F.lit(params.max_rate), F.greatest(F.lit(0.0), r - shift(m))))
 
 
+def leads(params: MixParams) -> Column:
+    """Whether a document most likely belongs to the leading domain."""
+    lead = max(DOMAINS, key=lambda d: params.weights[d])
+    return F.col(f"p_{lead}") >= F.greatest(*[F.col(f"p_{d}") for d in DOMAINS])
+
+
 def fit_rates(members: DataFrame, params: MixParams = MixParams()) -> list[list[float]]:
     """Projected-gradient steps from rate 1 for everyone, each as a vector over the domains.
 
     Loss: the residual of the domain totals in the metric of the documents' second moments, so a
-    step reaches the targets at once where no rate is cut off at 0 or max_rate. The targets share
-    the budget at which the first domain's documents keep their tokens.
+    step reaches the targets at once where no rate is cut off at 0 or max_rate. Targets: documents
+    that most likely belong to the leading domain keep their tokens; every other domain gets its
+    weight's share next to them, but no less than what those documents hold of it anyway (soft
+    membership spreads a little of each domain over all), and no more than ``upsample`` times its own.
     """
     n, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
-    first = members.agg(*[F.sum(n * c).alias(f"t{i}") for i, c in enumerate(p)], *[F.sum(n * p[i] * p[j]).alias(f"m{i}{j}") for i in range(k) for j in range(i, k)]).first()
-    totals = np.array([first[f"t{i}"] or 0.0 for i in range(k)])
-    if totals.sum() <= 0:
-        return []
-    moment = np.array([[first[f"m{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
     weights = np.array([params.weights[d] for d in DOMAINS], float)
-    weights /= weights.sum()
     lead = int(np.argmax(weights))
-    target = totals[lead] / weights[lead] * weights
+    inside = F.when(leads(params), n).otherwise(0.0)
+    first = members.agg(*[F.sum(n * c).alias(f"t{i}") for i, c in enumerate(p)], *[F.sum(inside * c).alias(f"l{i}") for i, c in enumerate(p)], *[F.sum(n * p[i] * p[j]).alias(f"m{i}{j}") for i in range(k) for j in range(i, k)]).first()
+    totals, held = (np.array([first[f"{x}{i}"] or 0.0 for i in range(k)]) for x in "tl")
+    if held.sum() <= 0:
+        return []
+    target = np.minimum(np.maximum(held, held[lead] * weights / weights[lead]), np.maximum(held, params.upsample * totals))
+    target[lead] = held[lead]
+    moment = np.array([[first[f"m{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
     metric = np.linalg.inv(moment + 1e-9 * np.trace(moment) * np.eye(k))
     moves: list[list[float]] = []
     for _ in range(params.steps):
@@ -197,9 +208,10 @@ def fit_rates(members: DataFrame, params: MixParams = MixParams()) -> list[list[
 
 
 def copies_column(rate: Column, params: MixParams, *key: str) -> Column:
-    """Whole copies: none below keep_from, one up to 1; above, the fraction is decided by the key's hash."""
-    above = F.floor(rate) + F.when(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < (rate - F.floor(rate)) * F.lit(1 << 20), 1).otherwise(0)
-    return F.when(rate < params.keep_from, 0).when(rate < 1, 1).otherwise(above).cast("int")
+    """Whole copies: the fraction of the rate is decided by the key's hash. Documents of the leading
+    domain are not left to chance: they stay from keep_from on, and go below it."""
+    drawn = F.floor(rate) + F.when(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < (rate - F.floor(rate)) * F.lit(1 << 20), 1).otherwise(0)
+    return F.when(leads(params), F.when(rate < params.keep_from, 0).otherwise(F.greatest(drawn, F.lit(1)))).otherwise(drawn).cast("int")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
