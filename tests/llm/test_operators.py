@@ -406,3 +406,18 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.line_dedup(spark, kept, sf).columns == docs.columns
     mixed = corpus_pipeline.mixing(spark, kept, sf)
     assert mixed.columns == docs.columns and mixed.count() > 0
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0), (2, "a b c. " * 100, "en", "s", 700), (2, "other text here. " * 30, "en", "s", 10), (3, "w" * 200000, "en", "s", 5)]
+    want = {"quality_rules": 0, "line_dedup": 6, "ngram_jaccard_join": 5, "mixing": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), sf).count() == 0
+        out = stage(spark, spark.createDataFrame(rows, schema), sf)
+        if name in want:
+            assert out.count() == want[name] and out.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+        else:
+            assert {r.doc_id for r in out.collect()} == {None, 1, 2, 3}
