@@ -151,6 +151,31 @@ def test_streaming_bars(spark, sf):
     assert 0 < len(live) < len(batch) and all(batch[r.symbol, r.ts] == tuple(r)[2:] for r in live)
 
 
+def test_live_loop_and_backtest(spark, sf, tmp_path):
+    from dataclasses import replace
+
+    from tidemark.operators.labels import barrier_labels, class_of
+    from tidemark.plans import catalog
+    from tidemark.plans import features as P
+    from tidemark.plans import training as T
+    from tidemark.streaming.live import live_query
+
+    kids = catalog.children(spark, sf).filter("day(ts) <= 12").cache()
+    bars = catalog.hourly(spark, sf).filter("day(ts) <= 12")
+    made = P.build(bars, kids, EVENTS).cache()
+    model = T.fit(barrier_labels(made, EVENTS).withColumn("cls", class_of()), P.L1 + P.L2, trees=3, depth=3)
+    small = T.backtest(model, made, EVENTS, "2024-01-05", "2024-01-10")
+    assert small["confusion"].count() == 3 and small["tiers"].count() == 3 and "Tiers" in T.report_text(small["simulation"], small["tiers"])
+    for part, days in enumerate(("day(ts) <= 6", "day(ts) > 6")):
+        kids.filter(days).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kids.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sent = []
+    live_query(stream, str(tmp_path / "store"), str(tmp_path / "log"), str(tmp_path / "check"), model, replace(EVENTS, confidence=0.0), sent.append).awaitTermination()
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == len(sent) > 0 and log.groupBy("symbol", "ts").count().filter("count > 1").count() == 0
+    assert spark.read.parquet(str(tmp_path / "store")).count() == kids.count()
+
+
 def test_live_sources(spark, tmp_path):
     from tidemark.sources import live
 

@@ -283,11 +283,16 @@ def lineitem_rolling(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(out, "l_orderkey", "l_linenumber", "mean20", "max20", "previous")
 
 
+def latest_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Each symbol's last bar, recomputed from its recent bars."""
+    return tidy(P.latest_features(hourly(spark, sf), children(spark, sf), C, 2000), "symbol", "ts", *P.FEATURES)
+
+
 def queries() -> dict[str, Query]:
     named = [
         spike_flags, ingest_clean, ingest_statistics, gap_report, ohlc_bars, ohlc_4h, bucket_collect, m1_m15_join, completeness, last_complete_bar, l1_nested, l3_order_blocks, label_barrier,
         label_distribution, time_split, fold_bounds, class_weights, corr_prune, confusion, class_report, trading_sim, tier_analysis, signal_rules, cooldown, daily_loss_limit, session_filter,
-        dedupe_keep_last, fill_gap, perf_summary, equity_curve, feature_summary, signal_history, display_names, labels_report, lineitem_rolling,
+        dedupe_keep_last, fill_gap, perf_summary, equity_curve, feature_summary, signal_history, latest_features, display_names, labels_report, lineitem_rolling,
     ]
     made: dict[str, Query] = {f.__name__: f for f in named}
     made |= {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import EVENTS, EngineConfig
@@ -39,3 +39,11 @@ def event_bars(spark: SparkSession, sf_dir: str, width: str = EVENTS.parent_widt
 
 def event_features(spark: SparkSession, sf_dir: str, config: EngineConfig = EVENTS) -> DataFrame:
     return build(event_bars(spark, sf_dir, config.parent_width), event_bars(spark, sf_dir, config.child_width), config)
+
+
+def latest_features(parents: DataFrame, children: DataFrame, config: EngineConfig, context: int = 500) -> DataFrame:
+    """The features of each symbol's last bar, from its last ``context`` bars alone."""
+    back = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
+    recent = parents.withColumn("__back", F.row_number().over(back)).filter(F.col("__back") <= context).drop("__back")
+    full = build(recent, children, config)
+    return full.withColumn("__back", F.row_number().over(back)).filter("__back = 1").drop("__back")

@@ -263,4 +263,6 @@ def sql() -> dict[str, str]:
         "l4_trap": pick("l4c", "l4_trap_score"), "l4_dna": pick("l4c", "l4_candle_dna"), "l4_confluence": pick("l4c", "l4_multi_layer_confluence"),
         "features_all": pick("(SELECT l4c.*, light.l4_consecutive_bias, light.l4_momentum_divergence, light.l4_volume_climax, light.l4_range_compression, light.l4_time_volatility_regime, cont.l4_session_continuation FROM l4c JOIN light ON l4c.symbol = light.symbol AND l4c.ts = light.ts JOIN cont ON l4c.symbol = cont.symbol AND l4c.island = cont.island)", *FEATURES),
     }
+    recent = "SELECT symbol, ts FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM b) WHERE back = 1"
+    out["latest_features"] = f"SELECT f.* FROM ({out['features_all']}) f JOIN ({with_(recent)}) r ON f.symbol = r.symbol AND f.ts = r.ts"
     return out

@@ -143,6 +143,18 @@ def champion(old: Model, new: Model, labelled: DataFrame, config: EngineConfig)
     return (new if b >= a else old), a, b
 
 
+def backtest(model: Model, features: DataFrame, config: EngineConfig, start: str | None = None, end: str | None = None) -> dict[str, DataFrame]:
+    """Labels, scores and reports of the bars from day ``start`` to day ``end`` (the test split by default): small frames by name."""
+    from tidemark.operators.ingest import between_days
+
+    labelled = barrier_labels(features, config).withColumn("cls", class_of())
+    scored = model.predict(between_days(labelled, start or config.test[0], end or config.test[1]))
+    acted = E.trades(scored, config)
+    return {
+        "confusion": E.confusion(scored, "cls", "pred", [0, 1, 2]), "report": E.class_report(scored, "cls", "pred", [0, 1, 2]), "simulation": E.rounded(E.simulate(acted, config, "symbol")), "tiers": E.rounded(E.tiers(acted, config)),
+    }
+
+
 def report_text(metrics: DataFrame, tiers: DataFrame, title: str = "Backtest") -> str:
     """A plain-text report of small frames."""
     lines = [title, "=" * len(title)]
