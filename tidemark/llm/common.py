@@ -78,7 +78,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def attach(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], drop: list[str] = ()) -> DataFrame:
     """Append columns computed per slice of rows by an Arrow function; clashing input columns are replaced."""
     kept = without(df, [f.name for f in fields]).columns
-    source = df.select(*[F.col(f"`{c}`") for c in kept], *([F.col(f"`{text_col}`").alias("__text")] if True else []))
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
     out_cols = [c for c in kept if c not in drop]
     schema = T.StructType([source.schema[c] for c in out_cols] + list(fields))
 

@@ -28,12 +28,13 @@ NAMES = {
 
 # Detectors, in order of precedence. All repeats are bounded, so no text makes matching slow.
 _BOUND = r"(?<![\p{L}\p{N}._%+\-])"
+_KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key) {0,2}[=:] {0,2}[\"']?"
 PATTERNS = {
+    "credential": _KEYWORD + r"[A-Za-z0-9_+/\-]{6,128}(?![A-Za-z0-9])",
     "email": _BOUND + r"[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[\p{L}\p{N}\-]{1,63}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "secret": r"(?<![A-Za-z0-9])(?=[a-f]{0,128}\d)[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,64}(?![A-Za-z0-9])",
-    "credential": r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_+/\-]{6,128}(?![A-Za-z0-9])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\d\-])",
     "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
@@ -45,18 +46,18 @@ _HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|key) {0,2}[=:]|(?:" + "|".
 
 
 def entity_type(raw: Column) -> Column:
-    """The first detector whose shape the whole mention has; credentials and names are told by their context and count by shape."""
-    out = F.when(raw.rlike(r"^\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?$"), "name").otherwise("credential")
-    shapes = {k: p for k, p in PATTERNS.items() if k not in ("credential", "name")}
+    """The first detector whose shape the whole mention has (names are what no other claims)."""
+    out = F.lit("name")
+    shapes = {k: p for k, p in PATTERNS.items() if k != "name"}
     for kind, pattern in reversed(shapes.items()):
         out = F.when(raw.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
-    return out
+    return F.when(raw.rlike(f"^{_KEYWORD}(?:{PATTERNS['secret']})$"), "secret").otherwise(out)  # with or without a keyword
 
 
 def canonical(kind: Column, raw: Column) -> Column:
-    """What all mentions of an entity have in common: numbers without separators, addresses in lower case."""
+    """What all mentions of an entity have in common: numbers without separators, addresses in lower case, credentials without their keyword."""
     bare = F.regexp_replace(raw, r"[^\p{L}\p{N}+]", "")
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), bare).when(kind == "email", F.lower(raw)).otherwise(raw)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), bare).when(kind == "email", F.lower(raw)).when(kind.isin("credential", "secret"), F.regexp_replace(raw, "^" + _KEYWORD, "")).otherwise(raw)
 
 
 def _draw(stream: Column, i: Column, n: int) -> Column:
@@ -130,7 +131,8 @@ def in_format(kind: Column, raw: Column, core: Column) -> Column:
     shape = F.filter(F.split(raw, ""), lambda c: c != "")
     counts = F.transform(shape, lambda c, i: F.size(F.filter(F.slice(shape, F.lit(1), i + 1), lambda x: x.rlike(r"[\p{L}\p{N}+]"))))
     dressed = F.array_join(F.zip_with(shape, counts, lambda c, n: F.when(c.rlike(r"[\p{L}\p{N}+]"), F.coalesce(F.get(bare, n - 1), F.lit(""))).otherwise(c)), "")
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), dressed).otherwise(core)
+    named = F.concat(F.regexp_extract(raw, "^" + _KEYWORD, 0), core)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), dressed).when(kind.isin("credential", "secret"), named).otherwise(core)
 
 
 def registry(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame:
