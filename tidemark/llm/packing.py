@@ -35,8 +35,8 @@ class PackParams:
     window: int = 1024
     sentence_cut: float = 6.0
     forced_cut: float = 64.0
-    block_tokens: int = 2_000_000
-    cache_words: int = 600_000
+    block_tokens: int = 1_000_000
+    cache_words: int = 200_000
     end_id: int = 0
 
 
@@ -219,7 +219,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, text_col: str = "text", par
                 if held >= params.block_tokens:
                     out, first = close(doc_ids, counts, parts, first, tok.ends)
                     yield out
-                    doc_ids, counts, parts, held = [], [], [], 0
+                    doc_ids, counts, parts, held, out = [], [], [], 0, None
         if held:
             yield close(doc_ids, counts, parts, first, tok.ends)[0]
 
