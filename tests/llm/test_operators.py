@@ -326,6 +326,71 @@ def test_lm_scores(spark, docs, empty, head, monkeypatch):
     assert lm.score_texts(empty).count() == 0
 
 
+def test_lm_scores_of_the_query_see_long_contexts(spark, docs):
+    from tidemark.llm import lm
+
+    depth = lm.QUERY_DEPTH
+    assert depth >= 6
+    passage = "a passage of several words that comes back, \xe9\xff中文 and all. "
+    rows = [(i, t) for i, t in ODD if i not in (15, 11)] + [(k, passage * (1 + k % 3)) for k in range(20, 50)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    assert any(held(i) for i, _ in rows[-30:])
+    tree = [collections.defaultdict(lambda: [0, 0]) for _ in range(depth + 1)]
+
+    def steps(t):
+        b = b"\0" * depth + (t or "").encode() + b"\0"
+        for k in range(depth, len(b)):
+            for j in range(8):
+                yield b[k - depth : k], (1 << j) | (b[k] >> (8 - j)), (b[k] >> (7 - j)) & 1
+
+    for i, t in rows:
+        if not held(i):
+            for ctx, node, bit in steps(t):
+                for d in range(depth + 1):
+                    tree[d][ctx[depth - d :], node][bit] += 1
+    kt = lambda a: math.lgamma(a[0] + 0.5) + math.lgamma(a[1] + 0.5) - math.lgamma(a[0] + a[1] + 1) - math.log(math.pi)
+    weighted, stay = {k: kt(a) for k, a in tree[depth].items()}, {}
+    for d in range(depth - 1, -1, -1):
+        below = collections.defaultdict(float)
+        for (ctx, node), w in weighted.items():
+            below[ctx[1:], node] += w
+        weighted = {}
+        for k, a in tree[d].items():
+            weighted[k] = float(np.logaddexp(kt(a), below[k])) - math.log(2)
+            stay[d, k] = math.exp(kt(a) - weighted[k] - math.log(2))
+
+    def p1(ctx, node):
+        p = 0.5
+        for d in range(depth, -1, -1):
+            k = ctx[depth - d :], node
+            a = tree[d].get(k, (0, 0))
+            s = 1.0 if d == depth else stay.get((d, k), 0.5)
+            p = s * (a[1] + 0.5) / (sum(a) + 1) + (1 - s) * p
+        return p
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in lm.score_texts(frame, depth=depth).collect():
+        got[r.doc_id].append(r.score)
+    for i, t in rows:
+        want = sum(math.log10(p1(c, m) if b else 1 - p1(c, m)) for c, m, b in steps(t))
+        assert any(math.isclose(x, want, rel_tol=1e-8) for x in got[i])
+    shallow = {r.doc_id: r.score for r in lm.score_texts(frame).filter("held_out").collect()}
+    assert all(got[i][0] > shallow[i] for i in shallow if i is not None and i >= 20)
+
+
+def test_lm_contexts_stay_whole(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import lm
+
+    monkeypatch.setattr(lm, "CHUNK", 4)
+    ctx = [1] * 11 + [2, 3, 3, 3, 4, 5] + [6] * 9
+    batches = [pa.record_batch({"ctx": pa.array(ctx[k : k + 3])}) for k in range(0, len(ctx), 3)]
+    parts = [t["ctx"].to_pylist() for t in lm._whole_contexts(iter(batches))]
+    assert sum(parts, []) == ctx and len(parts) > 2 and all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
 def test_pii(spark, docs, empty):
     from tidemark.llm.pii import replace_pii
 

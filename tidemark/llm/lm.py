@@ -1,11 +1,12 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-Every byte is eight binary decisions; each decision node has a context tree of depth ``DEPTH``
-bytes. Krichevsky-Trofimov estimates of all depths are mixed bottom-up into weighted
-probabilities, and top-down into one predictive probability per context and byte. Counts come
-from all training texts; the tree's levels are tables, so the model grows with the corpus and
-no worker holds it: frequent entries are broadcast (their number is bounded by their share of
-all tokens), the rest is looked up by joins.
+Every byte is eight binary decisions; each decision node has a context tree of ``depth`` bytes.
+Krichevsky-Trofimov estimates of all depths are mixed bottom-up into weighted probabilities, and
+top-down into one predictive probability per context and byte. Counts come from all training
+texts. N-grams are dealt by their last ``BASE`` context bytes; what lies deeper is a subtree of
+its own and is mixed in Arrow where it lies, the levels above are tables. So the model grows with
+the corpus and no worker holds it: frequent entries are broadcast (their number is bounded by
+their share of all tokens), the rest is looked up by joins.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from pyspark.sql import types as T
 from tidemark.llm.common import coded, segment_sums, slices, stored, table, texts_of, words_of
 
 DEPTH = 4
+#: Depth of the registered query: with its byte an n-gram fills 64 bits.
+QUERY_DEPTH = 7
+#: Context bytes by which n-grams are dealt, and n-grams mixed at a time (those of one such context stay together).
+BASE, CHUNK = 4, 1 << 18
 #: Bytes of text handled at a time: every byte takes some sixty bytes of work space.
 SLICE = 2 << 20
 #: An entry is frequent if it makes up at least one in so many of all; there are no more than this.
@@ -45,24 +50,110 @@ def log_kt(a0: Column, a1: Column) -> Column:
     return lgamma(a0 + 0.5) + lgamma(a1 + 0.5) - lgamma(a0 + a1 + 1.0) - math.log(math.pi)
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Byte n-grams (DEPTH context bytes and the byte, as one number) of all texts, and how many each text has.
+def _lgammas(last: int, shift: float) -> np.ndarray:
+    return np.array([math.lgamma(k + shift) for k in range(last)])
+
+
+_HALF, _ONE = _lgammas(1 << 12, 0.5), _lgammas(1 << 12, 1.0)
+
+
+def _table_lgamma(k: np.ndarray, known: np.ndarray, shift: float) -> np.ndarray:
+    """ln gamma(k + shift) of whole numbers k: from a table, by Stirling's series beyond it."""
+    out = known[np.minimum(k, len(known) - 1).astype(np.int64)]
+    big = np.nonzero(k >= len(known))[0]
+    if len(big):
+        y = k[big] + shift
+        out[big] = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    return out
+
+
+def _mixed(grams: np.ndarray, n: np.ndarray, depth: int, base: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the eight decisions the mix of depths ``base`` to ``depth``, over all n-grams of whole contexts of ``base`` bytes.
+
+    Yields the nodes' first n-grams (cut to ``base`` context bytes), their zeros, ones and ln of the weighted
+    probability, and the predictive probability of a one for every n-gram.
+    """
+    above = []
+    order = np.argsort(grams)
+    keys, counts = [grams[order]], [n[order].astype(float)]
+    for d in range(depth - 1, base - 1, -1):
+        key, inverse = np.unique(keys[-1] & np.uint64((1 << (8 * d + 8)) - 1), return_inverse=True)
+        keys.append(key)
+        counts.append(np.bincount(inverse, weights=counts[-1], minlength=len(key)))
+        above.append(inverse)
+    for k in range(8):
+        nodes = []  # by level, from the deepest: node of each row, first row, estimate, weight of staying
+        for level, (key, c) in enumerate(zip(keys, counts, strict=True)):
+            prefix = key >> np.uint64(8 - k)
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            first, node = np.nonzero(new)[0], np.cumsum(new) - 1
+            total = np.add.reduceat(c, first)
+            ones = np.add.reduceat(c * ((key >> np.uint64(7 - k)) & np.uint64(1)), first)
+            kt = _table_lgamma(total - ones, _HALF, 0.5) + _table_lgamma(ones, _HALF, 0.5) - _table_lgamma(total, _ONE, 1.0) - math.log(math.pi)
+            stay, weighted = None, kt
+            if level:
+                below = np.bincount(node[above[level - 1][nodes[-1][1]]], weights=lower, minlength=len(first))
+                weighted = np.logaddexp(kt, below) - math.log(2)
+                stay = np.exp(kt - weighted - math.log(2))
+            lower = weighted
+            nodes.append((node, first, (ones + 0.5) / (total + 1.0), stay))
+        row = np.arange(len(grams))
+        p = nodes[0][2][nodes[0][0]]
+        for level in range(1, len(keys)):
+            row = above[level - 1][row]
+            at = nodes[level][0][row]
+            p = nodes[level][3][at] * nodes[level][2][at] + (1 - nodes[level][3][at]) * p
+        back = np.empty(len(grams))
+        back[order] = p
+        yield keys[-1][first], total - ones, ones, weighted, back
+
+
+def _node(gram: np.ndarray, k: int) -> np.ndarray:
+    return (1 << k) | ((gram & np.uint64(255)).astype(np.int64) >> (8 - k))
+
+
+def _whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``ctx`` in tables of about CHUNK rows that cut no context apart."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNK:
+            ctx = np.asarray(batch.column("ctx"))
+            cut = int(np.searchsorted(ctx, ctx[-1]))  # the last context may go on
+            if cut:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+                held, size = [batch.slice(cut)], batch.num_rows - cut
+            elif np.asarray(held[0].column("ctx"))[0] != ctx[-1]:
+                whole = pa.Table.from_batches(held)
+                cut = int(np.searchsorted(np.asarray(whole["ctx"]), ctx[-1]))
+                yield whole.slice(0, cut)
+                held, size = whole.slice(cut).to_batches(), whole.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _grams(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Byte n-grams (``depth`` context bytes and the byte, as one number) of all texts, and how many each text has.
 
     A text starts in a context of bytes 0 and ends with a byte 0.
     """
     raw = texts.cast(pa.large_binary())
     lengths = np.asarray(pc.binary_length(raw)).astype(np.int64)
     flat = np.frombuffer(raw.buffers()[2], np.uint8)[np.frombuffer(raw.buffers()[1], np.int64)[raw.offset] :][: lengths.sum()] if len(raw) and lengths.sum() else np.zeros(0, np.uint8)
-    sizes = lengths + DEPTH + 1
+    sizes = lengths + depth + 1
     starts = np.cumsum(sizes) - sizes
     buf = np.zeros(sizes.sum(), np.uint8)
     if len(flat):
-        buf[np.arange(len(flat)) + np.repeat(starts + DEPTH - (np.cumsum(lengths) - lengths), lengths)] = flat
+        buf[np.arange(len(flat)) + np.repeat(starts + depth - (np.cumsum(lengths) - lengths), lengths)] = flat
     g = buf.astype(np.uint64)
-    for k in range(1, DEPTH + 1):
+    for k in range(1, depth + 1):
         g[k:] |= buf[:-k].astype(np.uint64) << np.uint64(8 * k)
     first = np.zeros(len(buf), bool)
-    for k in range(DEPTH):
+    for k in range(depth):
         first[starts + k] = True
     return g[~first], lengths + 1
 
@@ -89,54 +180,77 @@ def word_counts(source: DataFrame) -> DataFrame:
     return source.filter("not held_out").mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def gram_counts(source: DataFrame) -> DataFrame:
+def gram_counts(source: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(gram, n)``: all byte n-grams of all rows, n counted in training rows."""
     schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            held: list[pa.Table] = []
             for part in slices(whole, "__text", SLICE):
-                grams, counts = _grams(texts_of(part))
+                grams, counts = _grams(texts_of(part), depth)
                 train = np.repeat(~np.asarray(part.column("held_out")).astype(bool), counts)
-                for own, one in ((grams[train], 1), (grams[~train], 0)):
-                    found, n = np.unique(own, return_counts=True)
-                    held.append(pa.table({"gram": found.astype(np.int64), "n": n.astype(np.int64) * one}))
-            if held:
-                merged = pa.concat_tables(held).group_by("gram").aggregate([("n", "sum")])
-                yield from pa.table({"gram": merged["gram"], "n": merged["n_sum"]}).to_batches(max_chunksize=200_000)
+                found, codes = np.unique(grams, return_inverse=True)
+                n = np.bincount(codes[train], minlength=len(found))
+                yield from pa.table({"gram": found.astype(np.int64), "n": n.astype(np.int64)}).to_batches(max_chunksize=200_000)
 
     return source.mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def context_tree(grams: DataFrame) -> DataFrame:
+def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(gram, lp, n)``: log10 of the weighted probability of every listed n-gram's last byte in its context."""
-    ctx, sym = F.shiftright("gram", 8), F.col("gram").bitwiseAND(F.lit(255))
-    bits = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    one = grams.select("gram", "n", ctx.alias("ctx"), sym.cast("int").alias("sym"), bits.alias("k"))
-    node = F.expr("shiftleft(1, k) | shiftright(sym, 8 - k)")
-    bit = F.expr("shiftright(sym, 7 - k) & 1")
-    leaves = one.select("ctx", node.alias("node"), F.when(bit == 0, F.col("n")).otherwise(0).alias("z"), F.when(bit == 1, F.col("n")).otherwise(0).alias("o"))
-    level = leaves.groupBy("ctx", "node").agg(F.sum("z").cast("double").alias("a0"), F.sum("o").cast("double").alias("a1"))
-    level = stored(level.withColumn("lpw", log_kt(F.col("a0"), F.col("a1"))), "tree")
+    base = min(depth, BASE)
+    ctx = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * base)) - 1))
+    dealt = grams.select(ctx.alias("ctx"), "gram", "n")
+    level_schema = T.StructType([T.StructField("ctx", T.LongType()), T.StructField("node", T.IntegerType()), T.StructField("a0", T.DoubleType()), T.StructField("a1", T.DoubleType()), T.StructField("lpw", T.DoubleType())])
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_contexts(batches):
+            found = _mixed(np.asarray(part["gram"]).astype(np.uint64), np.asarray(part["n"]), depth, base)
+            for k, (first, zeros, ones, weighted, _) in enumerate(found):
+                yield pa.RecordBatch.from_arrays([pa.array((first >> np.uint64(8)).astype(np.int64)), pa.array(_node(first, k), pa.int32()), pa.array(zeros), pa.array(ones), pa.array(weighted)], names=level_schema.names)
+
+    # a context's n-grams lie together: at most those with one of 2^32 endings
+    level = stored(dealt.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(subtrees, level_schema), "tree")
     deepest, above = level, []
-    for depth in range(DEPTH - 1, -1, -1):
-        up = level.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << (8 * depth)) - 1)).alias("ctx"), "node").agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"), F.sum("lpw").alias("below"))
+    for d in range(base - 1, -1, -1):
+        up = level.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("ctx"), "node").agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"), F.sum("lpw").alias("below"))
         up = up.withColumn("lkt", log_kt(F.col("a0"), F.col("a1")))
         top = F.greatest("lkt", "below")
         up = up.withColumn("lpw", top + F.log(F.exp(F.col("lkt") - top) + F.exp(F.col("below") - top)) - math.log(2))
         level = stored(up.select("ctx", "node", "a0", "a1", "lpw", F.exp(F.col("lkt") - F.col("lpw") - math.log(2)).alias("stay")), "tree")
         above.append(level)
-    # mix top-down: at each depth the estimate stays with weight `stay`, and goes deeper otherwise
-    mixed = deepest.select("ctx", "node", ((F.col("a1") + 0.5) / (F.col("a0") + F.col("a1") + 1.0)).alias("p"))
-    for depth, level in zip(range(DEPTH - 1, -1, -1), above, strict=True):
+    # mix top-down: at each depth the estimate stays with weight `stay`, and goes deeper otherwise;
+    # the mix is `own` plus `share` of what the subtree says
+    mixed = deepest.select("ctx", "node", F.lit(0.0).alias("own"), F.lit(1.0).alias("share"))
+    for d, level in zip(range(base - 1, -1, -1), above, strict=True):
         here = level.select(F.col("ctx").alias("c"), F.col("node").alias("m"), ((F.col("a1") + 0.5) / (F.col("a0") + F.col("a1") + 1.0)).alias("kt"), "stay")
-        if depth <= 1:  # 255 nodes of at most 256 contexts
+        if d <= 1:  # 255 nodes of at most 256 contexts
             here = F.broadcast(here)
-        key = F.col("ctx").bitwiseAND(F.lit((1 << (8 * depth)) - 1))
-        mixed = mixed.join(here, (key == F.col("c")) & (F.col("node") == F.col("m"))).select("ctx", "node", (F.col("stay") * F.col("kt") + (1 - F.col("stay")) * F.col("p")).alias("p"))
-    steps = one.select("gram", "n", "ctx", node.alias("node"), bit.alias("bit")).join(mixed, ["ctx", "node"])
-    return steps.groupBy("gram").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("lp"), F.first("n").alias("n"))
+        key = F.col("ctx").bitwiseAND(F.lit((1 << (8 * d)) - 1))
+        go = 1 - F.col("stay")
+        mixed = mixed.join(here, (key == F.col("c")) & (F.col("node") == F.col("m"))).select("ctx", "node", (F.col("stay") * F.col("kt") + go * F.col("own")).alias("own"), (go * F.col("share")).alias("share"))
+    upper = mixed.select("ctx", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("long").alias("n"), "node", "own", "share")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("node", "int"), ("own", "double"), ("share", "double"))]
+    model_schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("lp", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_contexts(batches):
+            is_gram = part["gram"].is_valid()
+            mine, up = part.filter(is_gram), part.filter(pc.invert(is_gram))
+            own_grams = np.asarray(mine["gram"]).astype(np.uint64)
+            keys = np.asarray(up["ctx"]).astype(np.int64) << 8 | np.asarray(up["node"]).astype(np.int64)
+            order = np.argsort(keys)
+            keys, own, share = keys[order], np.asarray(up["own"])[order], np.asarray(up["share"])[order]
+            short = np.asarray(mine["ctx"]).astype(np.int64) << 8
+            lp = np.zeros(len(own_grams))
+            for k, (*_, p) in enumerate(_mixed(own_grams, np.asarray(mine["n"]), depth, base)):
+                at = np.searchsorted(keys, short | _node(own_grams, k))
+                p = own[at] + share[at] * p
+                lp += np.log10(np.where((own_grams >> np.uint64(7 - k)) & np.uint64(1) == 1, p, 1 - p))
+            yield pa.RecordBatch.from_arrays([mine["gram"].combine_chunks(), pa.array(lp), mine["n"].combine_chunks()], names=model_schema.names)
+
+    both = dealt.select("ctx", "gram", "n", *none).unionByName(upper)
+    return both.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(predict, model_schema)
 
 
 def _lists(owner: np.ndarray, n_docs: int, values: pa.Array, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -151,28 +265,33 @@ def _per_doc(codes: np.ndarray, counts: np.ndarray, wanted: np.ndarray, width: i
     return pair // width, pair % width, n
 
 
-def score_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
 
     Rows whose crc32 of the id (as text) is divisible by 10 are held out; the others train, and
     a row with a null id trains too. base_score: log10 probability by smoothed word counts.
-    score: log10 probability of the text's bytes and its end by context-tree weighting.
+    score: log10 probability of the text's bytes and its end by context-tree weighting over
+    contexts of 0 to ``depth`` bytes (7 at most).
     bits_per_byte: code length of the text and its end, by byte. Null text counts as empty.
     """
+    if not 0 <= depth <= 7:
+        raise ValueError("depth must be 0 to 7")
     spark = docs.sparkSession
     source = docs.select("doc_id", _held_out().alias("held_out"), F.col(f"`{text_col}`").alias("__text"))
     words = stored(word_counts(source), "words")
-    model = stored(context_tree(stored(gram_counts(source), "grams")), "model")
+    model = stored(context_tree(stored(gram_counts(source, depth), "grams"), depth), "model")
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train = source.filter("not held_out").count()
     total, vocab = seen["n"] + n_train, seen["v"] + (1 if n_train else 0)  # every training text adds an end
     n_grams = model.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
     top_words = words.filter(F.col("c") * HEAD_WORDS >= total).toArrow()  # at most HEAD_WORDS rows
-    top_grams = model.filter((F.col("n") > 0) & (F.col("n") * HEAD_GRAMS >= n_grams)).select("gram", "lp").toArrow().sort_by("gram")
+    top_grams = model.filter((F.col("n") > 0) & (F.col("n") * HEAD_GRAMS >= n_grams)).select("gram", "lp").toArrow()
+    top_keys = np.asarray(top_grams["gram"]).astype(np.uint64)
+    by_key = np.argsort(top_keys)
     head = spark.sparkContext.broadcast((
         pa.concat_arrays([c.cast(pa.large_string()) for c in top_words["word"].chunks] or [pa.array([], pa.large_string())]), np.log10(np.asarray(top_words["c"]).astype(float) + 0.1),
-        np.asarray(top_grams["gram"]).astype(np.uint64), np.asarray(top_grams["lp"]).astype(float),
+        top_keys[by_key], np.asarray(top_grams["lp"]).astype(float)[by_key],
     ))
     schema = T.StructType([
         T.StructField("rid", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_words", T.LongType()), T.StructField("n_bytes", T.LongType()),
@@ -194,7 +313,7 @@ def score_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 rare = (at < 0)[codes] if len(codes) else np.zeros(0, bool)
                 doc, code, times = _per_doc(codes, counts, rare, max(1, len(distinct)))
                 word_lists = _lists(doc, n, distinct.take(pa.array(code)).cast(pa.string()), times)
-                grams, n_bytes = _grams(texts)
+                grams, n_bytes = _grams(texts, depth)
                 where = np.minimum(np.searchsorted(keys, grams), max(0, len(keys) - 1))
                 hit = keys[where] == grams if len(keys) else np.zeros(len(grams), bool)
                 got = np.where(hit, lps[where], 0.0) if len(keys) else np.zeros(len(grams))
@@ -230,4 +349,4 @@ def score_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's scores."""
-    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), depth=QUERY_DEPTH)
