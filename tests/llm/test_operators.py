@@ -186,6 +186,25 @@ def test_chat_round_trip(spark):
     assert format_chats(frame.limit(0)).count() == 0
 
 
+def test_chat_turns_end_at_the_first_end(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.chat import format_chats, parse, unescape
+
+    texts = ["cut <|im_end|> here", "<|im_end|>", "<|im_end|>\n", "a<|im_end|><|im_end|>", "plain"]
+    rows = [(c, 0, "assistant", x) for c, x in enumerate(texts)] + [(9, t, "assistant", x) for t, x in enumerate(texts)]
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = out.withColumn("loss", F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))))
+    for r in out.collect():
+        want = texts if r.conv_id == 9 else [texts[r.conv_id]]
+        # a reader that knows nothing but the control strings finds the same turns
+        plain = re.findall(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", r.formatted, re.S)
+        assert [re.sub(r"<(\\*)\\\|", r"<\1|", t) for _, t in plain] == want and r.formatted.count("<|im_end|>") == len(want)
+        assert r.round_trip and [t.text for t in r.turns] == want and list(r.loss) == want
+    lenient = spark.sql("select '<|im_start|>user\\na<|im_end|>b<|im_end|>\\n' as f").select(parse(F.col("f")).alias("t")).first().t
+    assert lenient[0].text is None
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

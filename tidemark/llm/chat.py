@@ -2,8 +2,9 @@
 
 A conversation is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Every turn is
 rendered, reparsed by the same deterministic parser and compared with its source; text that
-doesn't come back is escaped at the next level until it does. The whole conversation is parsed
-once more from the output.
+doesn't come back is escaped at the next level until it does. A turn ends at the first
+``<|im_end|>``, so text with a control string never comes back unescaped. The whole conversation
+is parsed once more from the output.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def parse(formatted: Column) -> Column:
 
     def turn(b: Column) -> Column:
         at = F.instr(b, "\n")
-        good = (at > 0) & F.endswith(b, F.lit(TAIL)) & (F.length(b) >= at + len(TAIL))
+        good = (at > 0) & F.endswith(b, F.lit(TAIL)) & (F.instr(b, END) == F.length(b) - len(TAIL) + 1) & (F.length(b) >= at + len(TAIL))
         role = F.substring(b, F.lit(1), at - 1)
         text = F.substring(b, at + 1, F.length(b) - at - len(TAIL))
         return F.struct(F.when(good, unescape_role(role)).alias("role"), F.when(good, unescape(text)).alias("text"))
