@@ -435,6 +435,31 @@ def test_pii(spark, docs, empty):
     assert smith != "Smith" and b.startswith(f"Mrs. {smith} again") and re.search(r"Mr\. [А-Я]\w+ [А-Я]\w+$", b)
 
 
+def test_pii_whole_credentials(spark):
+    from tidemark.llm.pii import replace_pii
+
+    rng = np.random.default_rng(5)
+    made = lambda chars, n: "".join(rng.choice(list(chars), n))
+    word = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    hexed, long, base64 = made("0123456789abcdef", 200), made(word, 200), made(word + "/+", 400) + "a=="
+    jwt = ".".join(made(word + "_-", n) for n in (36, 150, 43))
+    cases = [
+        ('token = "{}" and', hexed), ('token = "{}" and', long), ("secret={} and", base64), ('api_key: "{}", x', base64), ("token={}\nnext", jwt), ("password={} and", "P@ssw0rd!"), ("pwd: '{}' and", "it is, my pass phrase"),
+        ("bare {} and", hexed), ("bare {} and", "sk-" + long), ("password={}, and", "x#9!kQ$77é"), ('token = "{} and', jwt), ('{{"u": "?token={}", "y": 1}}', "abcdef123"), ('pwd="{}";', 'quo\\"ted words'),
+    ]
+    rows = [(i, form.format(x)) for i, (form, x) in enumerate(cases)]
+    for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect():
+        form, x = cases[r.doc_id]
+        before, after = form.format("\0").split("\0")
+        got = r.text[len(before) : len(r.text) - len(after)]
+        assert r.n_entities == 1 and r.text.startswith(before) and r.text.endswith(after) and len(got) == len(x)
+        runs = re.findall(r"[^\W_]{4,}", x)
+        assert not any(run in r.text for run in [x, *runs] if not run.startswith("sk"))
+    big = "password=" + "ab/" * 300_000 + "z " + "token=\"" * 20_000
+    out = replace_pii(spark.createDataFrame([(1, big)], "doc_id long, text string"), "key").first()
+    assert len(out.text) == len(big) and out.n_entities >= 1 and "ab/ab/ab/" not in out.text
+
+
 def test_pii_collisions(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -26,15 +26,24 @@ NAMES = {
     ("any", "cyrillic"): ["Белов", "Волков", "Громов", "Орлов", "Петров", "Соколов", "Титов", "Уваров", "Чехов", "Яшин"],
 }
 
-# Detectors, in order of precedence. All repeats are bounded, so no text makes matching slow.
+# Detectors, in order of precedence. Repeats are bounded or possessive, so no text makes matching slow.
 _BOUND = r"(?<![\p{L}\p{N}._%+\-])"
 _KEYWORD = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key) {0,2}[=:] {0,2}[\"']?"
+
+
+def _quoted(q: str) -> str:
+    """A value of 6 characters or more after quote q, up to its last letter or digit before the closing quote on its line."""
+    return rf"(?<={q})(?=(?:\\[^\n]|[^{q}\\\n]){{6,}}+{q})(?:(?:\\[^\n]|[^{q}\\\n\p{{L}}\p{{N}}])*+[\p{{L}}\p{{N}}]++)++"
+
+
+#: Without closing quote a value goes up to white space, or a quote that ends a word; what is no letter or digit at its end stays.
+_OPEN = r"(?=[^\s\"']{6})(?:(?:[^\s\"'\p{L}\p{N}]|[\"'](?=[\p{L}\p{N}]))*+[\p{L}\p{N}]++)++"
 PATTERNS = {
-    "credential": _KEYWORD + r"[A-Za-z0-9_+/\-]{6,128}(?![A-Za-z0-9])",
+    "credential": _KEYWORD + "(?:" + _quoted('"') + "|" + _quoted("'") + "|" + _OPEN + ")",
     "email": _BOUND + r"[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[\p{L}\p{N}\-]{1,63}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "secret": r"(?<![A-Za-z0-9])(?=[a-f]{0,128}\d)[0-9a-f]{32,128}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,64}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[a-f]*+\d)[0-9a-f]{32,}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,}+(?![A-Za-z0-9])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\d\-])",
     "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
@@ -48,9 +57,9 @@ _HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|key) {0,2}[=:]|(?:" + "|".
 def entity_type(raw: Column) -> Column:
     """The first detector whose shape the whole mention has (names are what no other claims)."""
     out = F.lit("name")
-    shapes = {k: p for k, p in PATTERNS.items() if k != "name"}
+    shapes = {k: f"^(?:{p})$" for k, p in PATTERNS.items() if k != "name"} | {"credential": f"^{_KEYWORD}"}  # its quotes are not in the mention
     for kind, pattern in reversed(shapes.items()):
-        out = F.when(raw.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
+        out = F.when(raw.rlike(pattern), kind).otherwise(out)
     return F.when(raw.rlike(f"^{_KEYWORD}(?:{PATTERNS['secret']})$"), "secret").otherwise(out)  # with or without a keyword
 
 
