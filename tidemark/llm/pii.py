@@ -2,7 +2,8 @@
 
 Detected entities get keyed replacements of the same type and format. A replacement depends on
 the key, the entity's type and its canonical form alone, so all mentions of an entity agree,
-however they are written. A registry of all distinct entities checks collisions: two entities
+however they are written. Given and family names are entities of their own: a name after a title
+is replaced part by part, and so are all its other mentions in the same text. A registry of all distinct entities checks collisions: two entities
 never share a replacement, and no replacement is an entity of the corpus; those that collide
 draw again.
 """
@@ -50,6 +51,9 @@ PATTERNS = {
     "name": r"(?<=(?<!\p{L})(?:" + "|".join(t + r"\.? " for t in FEMALE_TITLES + MALE_TITLES) + r"))\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Kinds of given names in the registry; family names have the kind "name".
+GIVEN = ["female given", "male given"]
+_TITLED = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? "
 #: Cheap test that a text may hold an entity.
 _HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|key) {0,2}[=:]|(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? \p{Lu}"
 
@@ -129,15 +133,16 @@ def surrogate(key: str, kind: Column, canon: Column, gender: Column, attempt: Co
     family = F.when(cyrillic, _pick(stream, 2, "any", "cyrillic")).otherwise(_pick(stream, 2, "any", "latin"))
     longer = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt * 2, F.lit(1))), lambda i: F.substring(F.lit("abcdefghiklmnoprstuvwxyz"), (_draw(stream, i + 2, 24) + 1).cast("int"), F.lit(1))), "")
     family = F.when(attempt > 0, F.concat(family, longer)).otherwise(family)
-    name = F.when(F.instr(canon, " ") > 0, F.concat_ws(" ", given, family)).otherwise(family)
+    given = F.when(attempt > 0, F.concat(given, longer)).otherwise(given)
+    name = F.when(kind != "name", given).when(F.instr(canon, " ") > 0, F.concat_ws(" ", given, family)).otherwise(family)
     made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-    return made.when(kind.isin("secret", "credential"), secret).when(kind == "iban", _letters(stream, canon, 2)).when(kind == "name", name).otherwise(_letters(stream, canon))
+    return made.when(kind.isin("secret", "credential"), secret).when(kind == "iban", _letters(stream, canon, 2)).when(kind.isin("name", *GIVEN), name).otherwise(_letters(stream, canon))
 
 
 def in_format(kind: Column, raw: Column, core: Column) -> Column:
     """The canonical replacement written as the mention was: its separators stay."""
     bare = F.filter(F.split(core, ""), lambda c: c != "")
-    shape = F.filter(F.split(raw, ""), lambda c: c != "")
+    shape = F.filter(F.split(F.when(kind.isin("card", "phone", "ssn", "iban"), raw).otherwise(""), ""), lambda c: c != "")  # others may be long
     counts = F.transform(shape, lambda c, i: F.size(F.filter(F.slice(shape, F.lit(1), i + 1), lambda x: x.rlike(r"[\p{L}\p{N}+]"))))
     dressed = F.array_join(F.zip_with(shape, counts, lambda c, n: F.when(c.rlike(r"[\p{L}\p{N}+]"), F.coalesce(F.get(bare, n - 1), F.lit(""))).otherwise(c)), "")
     named = F.concat(F.regexp_extract(raw, "^" + _KEYWORD, 0), core)
@@ -164,6 +169,13 @@ def registry(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame:
     raise RuntimeError(f"replacements still collide after {rounds} rounds")
 
 
+def _any(words: Column) -> Column:
+    """The pattern of a text's entities: what the detectors find, and other mentions of the words of its names."""
+    one = F.concat(F.lit("(?:"), F.array_join(words, "|"), F.lit(")"))
+    again = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])"), one, F.lit("(?: "), one, F.lit(r")?(?![\p{L}\p{N}])"))
+    return F.when(F.size(words) > 0, again).otherwise(F.lit(ANY))
+
+
 def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the text's entities replaced, plus ``n_entities`` and ``entity_types`` (in order).
 
@@ -173,18 +185,30 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     kept = without(docs, ["n_entities", "entity_types"])
     text = F.col(f"`{text_col}`")
     keyed = kept.withColumn("__key", F.md5(F.coalesce(text, F.lit("")).cast("binary")))  # never null: rows are spread
-    found = keyed.filter(text.rlike(_HINT)).select("__key", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("raws"), F.regexp_extract_all(text, F.lit("(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?"), F.lit(0)).alias("titled"))
-    mentions = found.filter(F.size("raws") > 0).select("__key", "titled", F.posexplode("raws").alias("pos", "raw")).distinct()
+    found = keyed.filter(text.rlike(_HINT)).select("__key", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("raws"), F.regexp_extract_all(text, F.lit(_TITLED + r"\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?"), F.lit(0)).alias("titled"), text.alias("__text"))
+    found = found.filter(F.size("raws") > 0).withColumn("named", F.array_intersect("raws", F.transform("titled", lambda t: F.regexp_replace(t, "^" + _TITLED, ""))))
+    # full names say which words are given and which family names
+    full = F.transform(F.filter("named", lambda x: F.instr(x, " ") > 0), lambda x: F.split(x, " "))
+    found = found.withColumn("words", F.array_distinct(F.flatten(F.transform("named", lambda x: F.split(x, " "))))).withColumn("given", F.array_except(F.transform(full, lambda x: x[0]), F.transform(full, lambda x: x[1])))
+    raws = F.when(F.size("words") > 0, F.regexp_extract_all("__text", _any(F.col("words")), F.lit(0))).otherwise(F.col("raws"))
+    mentions = found.select("__key", "titled", "words", "given", F.posexplode(raws).alias("pos", "raw")).distinct()
     kind = entity_type(F.col("raw"))
-    female = F.exists("titled", lambda t: F.endswith(t, F.col("raw")) & t.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? "))
-    mentions = mentions.withColumn("kind", kind).withColumn("canon", canonical(F.col("kind"), F.col("raw"))).withColumn("gender", F.when((F.col("kind") == "name") & female, "female").otherwise("male"))
-    mentions = stored(mentions.select("__key", "pos", "raw", "kind", "canon", "gender"), "mentions")
+    female = F.exists("titled", lambda t: F.array_contains(F.split(t, " "), F.col("raw")) & t.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? "))
+    mentions = mentions.withColumn("type", kind)
+    parts = F.when(F.col("type") == "name", F.split("raw", " ")).otherwise(F.array("raw"))
+    mentions = mentions.select("__key", "pos", "type", "titled", "words", "given", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part", "raw"))
+    mentions = mentions.withColumn("gender", F.when((F.col("type") == "name") & female, "female").otherwise("male"))
+    first = F.when(F.col("n_parts") > 1, F.col("part") == 0).otherwise(F.array_contains("given", F.col("raw")))
+    mentions = mentions.withColumn("kind", F.when((F.col("type") == "name") & first, F.concat("gender", F.lit(" given"))).otherwise(F.col("type"))).withColumn("canon", canonical(F.col("kind"), F.col("raw")))
+    mentions = stored(mentions.select("__key", "pos", "part", "type", "words", "raw", "kind", "canon", "gender"), "mentions")
     cores = registry(mentions.select("kind", "canon", "gender"), key)
-    placed = mentions.join(cores, ["kind", "canon"]).select("__key", "pos", "kind", in_format(F.col("kind"), F.col("raw"), F.col("core")).alias("new"))
+    placed = mentions.join(cores, ["kind", "canon"]).select("__key", "pos", "part", "type", "words", in_format(F.col("kind"), F.col("raw"), F.col("core")).alias("new"))
     # written first, so that the join can split the rows of a text with very many copies
-    lists = stored(placed.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "new"))).alias("__all")), "replacements")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ")
+    placed = placed.groupBy("__key", "pos").agg(F.first("type").alias("kind"), whole.alias("new"), F.first("words").alias("words"))
+    lists = stored(placed.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "new"))).alias("__all"), F.first("words").alias("__words")), "replacements")
     joined = keyed.join(lists, "__key", "left")
-    between = F.split(text, ANY, -1)
+    between = F.when(F.size("__words") > 0, F.split(text, _any(F.col("__words")), -1)).otherwise(F.split(text, ANY, -1))
     new = F.transform("__all", lambda x: x["new"])
     woven = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     columns = [F.when(F.col("__all").isNull(), text).otherwise(woven).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept.columns]
