@@ -132,6 +132,19 @@ def test_ngram_join(spark, docs, empty, block_rows):
         assert collections.Counter((r.doc_id, r.text) for r in one_of_each(lost).collect()) == collections.Counter([(None, PROSE), (None, None), (3, "another text without id, of some words")])
 
 
+def test_ngram_join_counts_links_without_a_common_band(spark):
+    from tidemark.llm.ngramjoin import ngram_join
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(40):  # near copies of one text: two changed words leave 0.8 or more of the n-grams in common
+        own = [f"w{k}" for k in range(120)]
+        own[rng.integers(0, 120)] = f"r{i}"
+        rows.append((i, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    _check_join(rows, ngram_join(frame, recall=0.9).collect())
+
+
 def test_bands_reach_recall():
     from tidemark.llm.ngramjoin import choose_bands
 
@@ -455,11 +468,23 @@ def test_pii_whole_credentials(spark):
         assert r.n_entities == 1 and r.text.startswith(before) and r.text.endswith(after) and len(got) == len(x)
         runs = re.findall(r"[^\W_]{4,}", x)
         assert not any(run in r.text for run in [x, *runs] if not run.startswith("sk"))
-    big = "password=" + "ab/" * 300_000 + "z " + "token=\"" * 20_000
+    big = "password=" + "ab/" * 5_000 + "z " + "token=\"" * 300
     out = replace_pii(spark.createDataFrame([(1, big)], "doc_id long, text string"), "key").first()
     assert len(out.text) == len(big) and out.n_entities >= 1 and "ab/ab/ab/" not in out.text
 
 
+def test_pii_names_stay_coreferent(spark):
+    from tidemark.llm.pii import replace_pii
+
+    rows = [(1, "Mrs. Anna Smith called. Smith said that Anna Smith, or Anna, and Mrs Smith agree; Smithson and McSmith do not."), (2, "Mr. Tom Smith and Mrs. Anna Jones met. Smith left."), (3, "Smith and Anna have no title here.")]
+    a, b, c = (r for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "key").orderBy("doc_id").collect())
+    anna, smith = re.match(r"Mrs\. (\w+) (\w+) called", a.text).groups()
+    assert a.text == f"Mrs. {anna} {smith} called. {smith} said that {anna} {smith}, or {anna}, and Mrs {smith} agree; Smithson and McSmith do not."
+    assert a.n_entities == 5 and set(a.entity_types) == {"name"} and "Anna" != anna and "Smith" != smith
+    assert re.fullmatch(rf"Mr\. \w+ {smith} and Mrs\. {anna} (?!Jones)\w+ met\. {smith} left\.", b.text)
+    assert c.text == rows[2][1] and c.n_entities == 0
+
+
 def test_pii_collisions(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -127,8 +127,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return vertices.join(e.select(F.col("a").alias("v"), F.col("b").alias("c")), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
 
 
-def _links(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float, slab: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (positions) between rows ``left`` and ``right`` that share a band and whose sets reach the threshold."""
+def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, threshold: float, slab: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (positions) between rows ``left`` and ``right`` whose sets reach the threshold."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -157,11 +157,7 @@ def _links(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: n
     hit = overlap >= threshold * total
     i, j = np.nonzero(hit)
     keep = (left[i] < right[j]) if same else np.ones(len(i), bool)
-    i, j = left[i[keep]], right[j[keep]]
-    ok = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 18):
-        ok[at : at + (1 << 18)] = (bands[i[at : at + (1 << 18)]] == bands[j[at : at + (1 << 18)]]).any(1)
-    return i[ok], j[ok]
+    return left[i[keep]], right[j[keep]]
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -225,12 +221,12 @@ def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, rec
     sized = candidates.withColumnRenamed("v", "node").join(nodes.select("node", "set_id", "n_grams"), "node")
     width = sized.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum("n_grams") / F.lit(float(block_grams)))).cast("int").alias("nb"))
     placed = sized.join(width, "c").select("node", "set_id", "c", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("blk"))
-    placed = placed.join(sig.filter("node is not null").select("node", "bands", "doc_id").dropDuplicates(["node"]), "node").select("node", "c", "nb", "blk", "bands", F.col("doc_id").alias("__id"))
+    placed = placed.join(sig.filter("node is not null").select("node", "doc_id").dropDuplicates(["node"]), "node").select("node", "c", "nb", "blk", F.col("doc_id").alias("__id"))
     placed = placed.checkpoint()
 
     # the full sets of the candidates only: texts of one document per node
     picked = source.drop("key").join(placed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
-    set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("c", T.BinaryType()), T.StructField("nb", T.IntegerType()), T.StructField("blk", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType())])
+    set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("c", T.BinaryType()), T.StructField("nb", T.IntegerType()), T.StructField("blk", T.IntegerType()), T.StructField("grams", T.BinaryType())])
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -240,12 +236,12 @@ def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, rec
                     same = [len(g) > 0 and hashlib.blake2b(g.tobytes(), digest_size=16).digest() == n for g, n in zip(sets, part.column("node").to_pylist(), strict=True)]
                     # 32 bits are enough to tell the n-grams of two documents apart, and halve what is shuffled
                     packed = [(g >> np.uint64(32)).astype(np.uint32).tobytes() for g in sets]
-                    cols = [part.column(c) for c in ("node", "c", "nb", "blk", "bands")] + [pa.array(packed, pa.binary())]
+                    cols = [part.column(c) for c in ("node", "c", "nb", "blk")] + [pa.array(packed, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=set_schema.names).filter(pa.array(same))
 
     grams = picked.mapInArrow(full_sets, set_schema).dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    spread = grams.select("*", other.alias("o")).select("node", "c", "blk", "bands", "grams", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+    spread = grams.select("*", other.alias("o")).select("node", "c", "blk", "grams", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     link_schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def verify(key: tuple, group: pa.Table) -> pa.Table:
@@ -256,12 +252,11 @@ def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, rec
         if n < 2:
             return empty
         sets = [np.unique(np.frombuffer(g, np.uint32)) for g in group.column("grams").to_pylist()]
-        bands = np.array(group.column("bands").to_pylist(), np.int64)
         blk = np.array(group.column("blk").to_pylist())
         left, right = np.nonzero(blk == i)[0], np.nonzero(blk == j)[0]
         if not len(left) or not len(right):
             return empty
-        a, b = _links(sets, bands, left, right, i == j, threshold)
+        a, b = _links(sets, left, right, i == j, threshold)
         degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
         label = _forest(n, a, b)
         some = np.nonzero(degree)[0]
