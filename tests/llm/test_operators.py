@@ -485,6 +485,77 @@ def test_pii_names_stay_coreferent(spark):
     assert c.text == rows[2][1] and c.n_entities == 0
 
 
+def _luhn_holds(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+
+
+def _mod_97(iban):
+    bare = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
+def test_pii_formats_and_check_digits(spark):
+    from tidemark.llm.pii import replace_pii
+
+    rows = [
+        (1, "epoch 1704182936937 and order 7567553925670233 stay"), (2, "only sk-ABCDEFGHIJKLMNOPQRSTUV here"), (3, "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 now"),
+        (4, "call 020 7946 0958 or +44 20 7946 0958"), (5, "at 2001:db8::8a2e:370:7334 and FE80:0:0:0:1:2:3:4, not 12:30:45 or std::vector"), (6, "John.Smith@Example.COM, john.smith@example.com, ANNA.MILLER@EXAMPLE.COM, x@example.com"),
+    ]
+    got = {r.doc_id: r for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert got[1].text == rows[0][1] and got[1].n_entities == 0
+    assert re.fullmatch(r"only sk-[A-Z]{22} here", got[2].text) and "ABCDEFGH" not in got[2].text
+    a, b = re.fullmatch(r"pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (GB\d\d[A-Z]{4}\d{14}) now", got[3].text).groups()
+    assert _mod_97(a) == _mod_97(b) == 1 and "0532" not in a
+    assert re.fullmatch(r"call 0\d\d \d{4} \d{4} or \+44 \d\d \d{4} \d{4}", got[4].text) and "7946" not in got[4].text
+    six, full = re.fullmatch(r"at (\S+) and (\S+), not 12:30:45 or std::vector", got[5].text).groups()
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}", six) and re.fullmatch(r"[0-9A-F]{4}(:[0-9A-F]){7}", full) and "2001" not in six
+    mixed, lower, upper, short = got[6].text.split(", ")
+    assert mixed.lower() == lower and [c.isupper() for c in mixed[:10]] == [c.isupper() for c in "John.Smith"] and upper.isupper()
+    assert len({x.lower().split("@")[1] for x in (mixed, lower, upper, short)}) == 1  # one domain stays one domain
+
+
+def test_pii_over_a_whole_table(spark):
+    """Against a plain reading of every document: what is found, its format, distinctness and coreference."""
+    from tidemark.llm.common import table
+    from tidemark.llm.pii import replace_pii
+
+    shapes = {
+        "email": r"[\w.]+@[\w.]+\w", "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "secret": r"(?<=token = \")[0-9a-f]{40}(?=\")", "card": r"(?<![\d-])\d{16}(?![\d-])",
+    }
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    was = {r.doc_id: r.text for r in docs.collect()}
+    seen = collections.defaultdict(dict)
+    n = 0
+    for r in replace_pii(docs, "key").collect():
+        before = was[r.doc_id]
+        found = sorted((m.start(), kind, m[0]) for kind, p in shapes.items() for m in re.finditer(p, before or "") if kind != "card" or _luhn_holds(m[0]))
+        assert [k for _, k, _ in found] == list(r.entity_types) and r.n_entities == len(found)
+        if not found:
+            assert r.text == before
+            continue
+        at, pattern = 0, ""
+        for start, kind, raw in found:  # all text between the entities is untouched
+            pattern += re.escape(before[at:start]) + "(" + shapes[kind] + ")"
+            at = start + len(raw)
+        new = re.fullmatch(pattern + re.escape(before[at:]), r.text, re.S).groups()
+        for (_, kind, raw), x in zip(found, new, strict=True):
+            assert seen[kind].setdefault(raw, x) == x != raw and (kind != "card" or _luhn_holds(x))
+            n += 1
+    assert n > 50 and set(seen) == set(shapes)
+    for made in seen.values():
+        assert len(set(made.values())) == len(made) and not set(made) & set(made.values())
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    from tidemark.llm.pii import replace_pii
+
+    frame = spark.createDataFrame([(1, "mail a@b.cd", "k", 5, "r"), (1, "mail a@b.cd", "k", 5, "r"), (2, None, None, None, None), (3, "", "k", 1, "r"), (None, "nothing", "z", 2, "q")], "doc_id long, text string, key string, n_entities int, row string")
+    out = replace_pii(frame, "key")
+    assert out.columns == ["doc_id", "text", "key", "row", "n_entities", "entity_types"]
+    assert collections.Counter((r.doc_id, r.key, r.row, r.n_entities) for r in out.collect()) == collections.Counter([(1, "k", "r", 1), (1, "k", "r", 1), (2, None, None, 0), (3, "k", "r", 0), (None, "z", "q", 0)])
+
+
 def test_pii_collisions(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -3,29 +3,37 @@
 Detected entities get keyed replacements of the same type and format. A replacement depends on
 the key, the entity's type and its canonical form alone, so all mentions of an entity agree,
 however they are written. Given and family names are entities of their own: a name after a title
-is replaced part by part, and so are all its other mentions in the same text. A registry of all distinct entities checks collisions: two entities
-never share a replacement, and no replacement is an entity of the corpus; those that collide
-draw again.
+is replaced part by part, and so are all its other mentions in the same text. A registry of all
+distinct entities checks collisions: two entities never share a replacement, and no replacement
+is an entity of the corpus; those that collide draw again.
+
+Texts without any sign of an entity pass straight through. Of the others, one scan marks the
+mentions; only rows that have mentions meet the registry's replacements in a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table, without
 
-# Titles that announce a name and its gender, and name lists by gender and script.
+# Titles that announce a name and its gender, and name stems by gender and script.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Madame", "Mme", "Mademoiselle", "Frau", "Señora", "Señorita", "Sra", "Госпожа"]
 MALE_TITLES = ["Mr", "Sir", "Monsieur", "Herr", "Señor", "Sr", "Господин"]
 NAMES = {
-    ("female", "latin"): ["Adela", "Berta", "Clara", "Diana", "Elena", "Fanny", "Greta", "Hanna", "Irene", "Julia", "Klara", "Laura", "Maria", "Nadia", "Olga", "Paula", "Rosa", "Sara", "Tina", "Vera"],
-    ("male", "latin"): ["Albert", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Nils", "Oscar", "Paul", "Robert", "Simon", "Tom", "Victor"],
-    ("any", "latin"): ["Arendt", "Barlow", "Castell", "Dorn", "Ebert", "Fabre", "Garner", "Holm", "Ibarra", "Janson", "Keller", "Lindt", "Moreau", "Norden", "Ortega", "Petit", "Quill", "Renner", "Soler", "Thorne"],
-    ("female", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Софья"],
-    ("male", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Иван", "Кирилл", "Максим", "Олег", "Павел"],
-    ("any", "cyrillic"): ["Белов", "Волков", "Громов", "Орлов", "Петров", "Соколов", "Титов", "Уваров", "Чехов", "Яшин"],
+    ("female", "latin"): ["Adel", "Bert", "Clar", "Dian", "Elen", "Fann", "Gret", "Hann", "Iren", "Jul", "Klar", "Laur", "Mar", "Nad", "Olg", "Paul", "Ros", "Sar", "Tin", "Ver"],
+    ("male", "latin"): ["Alb", "Brun", "Carl", "Dav", "Erik", "Fel", "Georg", "Hug", "Iv", "Jon", "Karl", "Leon", "Mart", "Nils", "Osc", "Paul", "Rob", "Sim", "Tom", "Vict"],
+    ("any", "latin"): ["Arend", "Barl", "Cast", "Dorn", "Eber", "Fabr", "Garn", "Holm", "Ibarr", "Jans", "Kell", "Lind", "Mor", "Nord", "Ort", "Pet", "Quill", "Renn", "Sol", "Thorn"],
+    ("female", "cyrillic"): ["Анн", "Вер", "Гал", "Дар", "Елен", "Ир", "Мар", "Нин", "Ольг", "Соф"],
+    ("male", "cyrillic"): ["Ант", "Бор", "Викт", "Глеб", "Ден", "Ив", "Кир", "Макс", "Олег", "Пав"],
+    ("any", "cyrillic"): ["Бел", "Волк", "Гром", "Орл", "Петр", "Сокол", "Тит", "Увар", "Чех", "Яш"],
 }
+#: Consonants, vowels and endings that lengthen a stem to a name.
+SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
+ENDINGS = {("female", "latin"): "na", ("male", "latin"): "n", ("any", "latin"): "r", ("female", "cyrillic"): "на", ("male", "cyrillic"): "н", ("any", "cyrillic"): "в"}
 
 # Detectors, in order of precedence. Repeats are bounded or possessive, so no text makes matching slow.
 _BOUND = r"(?<![\p{L}\p{N}._%+\-])"
@@ -39,23 +47,41 @@ def _quoted(q: str) -> str:
 
 #: Without closing quote a value goes up to white space, or a quote that ends a word; what is no letter or digit at its end stays.
 _OPEN = r"(?=[^\s\"']{6})(?:(?:[^\s\"'\p{L}\p{N}]|[\"'](?=[\p{L}\p{N}]))*+[\p{L}\p{N}]++)++"
+_HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "credential": _KEYWORD + "(?:" + _quoted('"') + "|" + _quoted("'") + "|" + _OPEN + ")",
+    "credential": "(?=[psatPSAT])" + _KEYWORD + "(?:" + _quoted('"') + "|" + _quoted("'") + "|" + _OPEN + ")",
     "email": _BOUND + r"[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[\p{L}\p{N}\-]{1,63}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]{{0,45}}\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?<=[0-9A-Fa-f])(?![\p{{L}}\p{{N}}:])",
     "secret": r"(?<![A-Za-z0-9])(?=[a-f]*+\d)[0-9a-f]{32,}+(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,}+(?![A-Za-z0-9])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\d\-])",
-    "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
-    "name": r"(?<=(?<!\p{L})(?:" + "|".join(t + r"\.? " for t in FEMALE_TITLES + MALE_TITLES) + r"))\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
+    "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|(?<![.\-/])0\d{2,4} \d{3,4} \d{3,4})(?!\d)",
+    "name": r"(?=\p{Lu})(?<=(?<!\p{L})(?:" + "|".join(t + r"\.? " for t in FEMALE_TITLES + MALE_TITLES) + r"))\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Kinds of given names in the registry; family names have the kind "name".
 GIVEN = ["female given", "male given"]
 _TITLED = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? "
-#: Cheap test that a text may hold an entity.
-_HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|key) {0,2}[=:]|(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? \p{Lu}"
+#: Written around each mention; the escape keeps it out of texts that hold such characters.
+_MARK, _ESCAPED = "\x01\x02", "\x01\x03"
+
+
+def _either(*parts: Column) -> Column:
+    return reduce(lambda a, b: a | b, parts)
+
+
+def may_hold(text: Column) -> Column:
+    """A cheap test that every text with an entity passes: what a detector can't do without."""
+    stems = [t for t in FEMALE_TITLES + MALE_TITLES if not any(t != s and t.startswith(s) for s in FEMALE_TITLES + MALE_TITLES)]
+    keyword = text.rlike(r"[=:](?<=(?i:password|passwd|pwd|secret|token|key) {0,2}[=:])")
+    return F.coalesce(_either(text.rlike("[0-9@]"), keyword, *[F.contains(text, F.lit(x)) for x in ("AKIA", "ghp_", "sk-", *stems)]), F.lit(False))
+
+
+def has_luhn(digits: Column) -> Column:
+    """Whether the last digit of a string of digits is its check digit."""
+    return _luhn(F.expr("substring(__digits, 1, length(__digits) - 1)")) == digits
 
 
 def entity_type(raw: Column) -> Column:
@@ -70,7 +96,7 @@ def entity_type(raw: Column) -> Column:
 def canonical(kind: Column, raw: Column) -> Column:
     """What all mentions of an entity have in common: numbers without separators, addresses in lower case, credentials without their keyword."""
     bare = F.regexp_replace(raw, r"[^\p{L}\p{N}+]", "")
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), bare).when(kind == "email", F.lower(raw)).when(kind.isin("credential", "secret"), F.regexp_replace(raw, "^" + _KEYWORD, "")).otherwise(raw)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), bare).when(kind.isin("email", "ipv6"), F.lower(raw)).when(kind.isin("credential", "secret"), F.regexp_replace(raw, "^" + _KEYWORD, "")).otherwise(raw)
 
 
 def _draw(stream: Column, i: Column, n: int) -> Column:
@@ -102,67 +128,100 @@ def _luhn(body: Column) -> Column:
     return F.concat(body, F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string"))
 
 
-def _pick(stream: Column, at: int, gender: str, script: str) -> Column:
-    names = NAMES[gender, script]
-    return F.element_at(F.array(*[F.lit(n) for n in names]), (_draw(stream, F.lit(at), len(names)) + 1).cast("int"))
+def _of(text: Column, stream: Column, at: Column | int, size: int) -> Column:
+    """One character of ``text``, which has ``size``."""
+    return F.substring(text, (_draw(stream, F.lit(at) if isinstance(at, int) else at, size) + 1).cast("int"), F.lit(1))
+
+
+def _name(stream: Column, at: int, gender: str, script: str, attempt: Column) -> Column:
+    """A stem, a syllable for the first and every later attempt, and the ending of the gender."""
+    stems, (hard, soft) = NAMES[gender, script], SYLLABLES[script]
+    stem = F.element_at(F.array(*[F.lit(n) for n in stems]), (_draw(stream, F.lit(at), len(stems)) + 1).cast("int"))
+    syllables = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.concat(_of(F.lit(soft), stream, 2 * i + at + 1, len(soft)), _of(F.lit(hard), stream, 2 * i + at + 2, len(hard))))
+    return F.concat(stem, F.array_join(syllables, ""), _of(F.lit(soft), stream, at + 30, len(soft)), F.lit(ENDINGS[gender, script]))
+
+
+def _iban_check(country: Column, body: Column) -> Column:
+    """The two check digits of an IBAN."""
+    chars = F.filter(F.split(F.concat(body, country, F.lit("00")), ""), lambda c: c != "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(chars, F.lit(0), lambda a, c: (F.when(c.rlike("[0-9]"), a * 10).otherwise(a * 100) + value(c)) % 97)
+    return F.lpad((F.lit(98) - rest).cast("string"), 2, "0")
+
+
+#: The start of a phone number that stays: its country code, or the 0 of a number without one.
+_COUNTRY = r"^(?:0|\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))"
+
+
+def streams(entities: DataFrame, key: str) -> DataFrame:
+    """``entities`` with what :func:`surrogate` draws from: keyed digests of the entity and of an address's domain."""
+    seed = F.concat_ws("\x1f", F.lit(key), "kind", "canon", F.col("attempt").cast("string"))
+    out = entities.withColumn("__stream", F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("+")), 512)))
+    out = out.withColumn("__host", F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index("canon", "@", -1)), 512))
+    return out.withColumn("__canon", F.col("canon")).withColumn("__country", F.regexp_extract("canon", _COUNTRY, 0))
 
 
 def surrogate(key: str, kind: Column, canon: Column, gender: Column, attempt: Column) -> Column:
-    """The replacement's canonical form.
+    """The replacement's canonical form, drawn from the columns of :func:`streams`.
 
-    email: another local part of the same shape (short ones get eight letters) at example.org. ip: a valid
-    address. card: the issuer digit stays and the check digit holds. phone: the country code stays.
-    ssn, iban, secret: same shape; iban and secret keep country and prefix. name: gender of
-    the title, script of the name; later attempts add an initial, then a number of them.
+    email: another local part of the same shape (short ones get eight letters); addresses of one domain
+    stay together below example.org. ip, ipv6: a valid address. card: the issuer digit stays and the check
+    digit holds. phone: the country code stays. iban: the country stays and the check digits hold. ssn, secret:
+    same shape, secrets keep their prefix. name: gender of the title, script of the name; each later attempt adds a syllable.
     """
-    seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
-    stream = F.concat(F.sha2(seed, 512), F.sha2(F.concat(seed, F.lit("+")), 512))
+    stream, host = F.col("__stream"), F.col("__host")
     local = F.substring_index(canon, "@", 1)
     shaped = _letters(stream, F.when(F.length(local) >= 8, local).otherwise(F.rpad(local, 8, "x")))
-    email = F.concat(shaped, F.lit("@mail"), (_draw(stream, F.lit(60), 9) + 1).cast("string"), F.lit(".example.org"))
+    email = F.concat(shaped, F.lit("@"), _letters(host, F.lit("xxxxxxxx")), F.lit(".example.org"))
     octet = lambda i, lo, n: (_draw(stream, F.lit(i), n) + lo).cast("string")
     ip = F.concat_ws(".", octet(1, 1, 223), octet(2, 0, 256), octet(3, 0, 256), octet(4, 1, 254))
     card = _luhn(_letters(stream, F.expr("substring(__canon, 1, length(__canon) - 1)"), 1))
-    country = F.regexp_extract(canon, r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 0)
+    country = F.regexp_extract(canon, _COUNTRY, 0)
     phone = F.concat(country, _letters(stream, F.expr("substring(__canon, length(__country) + 1)")))
-    hexed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon)), lambda i: F.lower(F.hex(_draw(stream, i, 16)))), "")
+    land, body = F.substring(canon, 1, 2), _letters(stream, F.expr("substring(__canon, 5)"))
+    iban = F.concat(land, _iban_check(land, body), body)
+    hexes = lambda start: F.transform(F.filter(F.split(canon, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.lower(F.hex(_draw(stream, i + 1, 16 - start) + start))).otherwise(c))
+    hexed, ipv6 = F.array_join(hexes(0), ""), F.array_join(hexes(1), "")
     secret = F.when(canon.rlike(r"^[0-9a-f]+$"), hexed).when(canon.rlike("^(AKIA|ghp_|sk-)"), _letters(stream, canon, 4)).otherwise(_letters(stream, canon))
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
-    given = F.when(cyrillic & (gender == "female"), _pick(stream, 1, "female", "cyrillic")).when(cyrillic, _pick(stream, 1, "male", "cyrillic"))
-    given = given.when(gender == "female", _pick(stream, 1, "female", "latin")).otherwise(_pick(stream, 1, "male", "latin"))
-    family = F.when(cyrillic, _pick(stream, 2, "any", "cyrillic")).otherwise(_pick(stream, 2, "any", "latin"))
-    longer = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt * 2, F.lit(1))), lambda i: F.substring(F.lit("abcdefghiklmnoprstuvwxyz"), (_draw(stream, i + 2, 24) + 1).cast("int"), F.lit(1))), "")
-    family = F.when(attempt > 0, F.concat(family, longer)).otherwise(family)
-    given = F.when(attempt > 0, F.concat(given, longer)).otherwise(given)
-    name = F.when(kind != "name", given).when(F.instr(canon, " ") > 0, F.concat_ws(" ", given, family)).otherwise(family)
-    made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-    return made.when(kind.isin("secret", "credential"), secret).when(kind == "iban", _letters(stream, canon, 2)).when(kind.isin("name", *GIVEN), name).otherwise(_letters(stream, canon))
+    made_name = lambda g: F.when(cyrillic, _name(stream, 1, g, "cyrillic", attempt)).otherwise(_name(stream, 1, g, "latin", attempt))
+    name = F.when(kind == GIVEN[0], made_name("female")).when(kind == GIVEN[1], made_name("male")).otherwise(made_name("any"))
+    made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "card", card).when(kind == "phone", phone)
+    return made.when(kind.isin("secret", "credential"), secret).when(kind == "iban", iban).when(kind.isin("name", *GIVEN), name).otherwise(_letters(stream, canon))
 
 
 def in_format(kind: Column, raw: Column, core: Column) -> Column:
-    """The canonical replacement written as the mention was: its separators stay."""
-    bare = F.filter(F.split(core, ""), lambda c: c != "")
-    shape = F.filter(F.split(F.when(kind.isin("card", "phone", "ssn", "iban"), raw).otherwise(""), ""), lambda c: c != "")  # others may be long
+    """The canonical replacement written as the mention was: its separators and its case stay."""
+    chars = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    bare = chars(core)
+    shape = chars(F.when(kind.isin("card", "phone", "ssn", "iban"), raw).otherwise(""))  # others may be long
     counts = F.transform(shape, lambda c, i: F.size(F.filter(F.slice(shape, F.lit(1), i + 1), lambda x: x.rlike(r"[\p{L}\p{N}+]"))))
     dressed = F.array_join(F.zip_with(shape, counts, lambda c, n: F.when(c.rlike(r"[\p{L}\p{N}+]"), F.coalesce(F.get(bare, n - 1), F.lit(""))).otherwise(c)), "")
     named = F.concat(F.regexp_extract(raw, "^" + _KEYWORD, 0), core)
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), dressed).when(kind.isin("credential", "secret"), named).otherwise(core)
+    upper = chars(F.when(kind == "email", F.substring_index(raw, "@", 1)).otherwise(""))
+    cased = F.array_join(F.transform(bare, lambda c, i: F.when(F.coalesce(F.get(upper, i).rlike(r"\p{Lu}"), F.lit(False)), F.upper(c)).otherwise(c)), "")
+    email = F.when(raw == F.lower(raw), core).when(raw == F.upper(raw), F.upper(core)).otherwise(cased)
+    return (
+        F.when(kind.isin("card", "phone", "ssn", "iban"), dressed).when(kind.isin("credential", "secret"), named).when(kind == "email", email)
+        .when((kind == "ipv6") & raw.rlike("[A-F]"), F.upper(core)).otherwise(core)
+    )
 
 
 def registry(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame:
     """``(kind, canon, core)`` for distinct entities: no two of a kind share a core, and no core is an entity.
 
     ``entities`` has (kind, canon, gender). Every round draws again for those that collide; the
-    smallest canonical form of a collision keeps its draw.
+    smallest attempt, then canonical form, of a collision keeps its draw.
     """
     base = stored(entities.groupBy("kind", "canon").agg(F.max("gender").alias("gender")), "entities").withColumn("attempt", F.lit(0))
-    taken = base.select(F.col("kind").alias("k"), F.col("canon").alias("taken")).distinct()
+    taken = base.select(F.col("kind").alias("k"), F.col("canon").alias("taken"))
     for _ in range(rounds):
-        named = base.withColumn("__canon", F.col("canon")).withColumn("__country", F.regexp_extract("canon", r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 0))
-        drawn = named.withColumn("core", surrogate(key, F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"))).drop("__canon", "__country")
-        rank = F.row_number().over(Window.partitionBy("kind", "core").orderBy("attempt", "canon"))
-        checked = drawn.withColumn("rank", rank).join(taken, F.expr("kind = k and core = taken"), "left")
-        checked = stored(checked.withColumn("again", (F.col("rank") > 1) | F.col("taken").isNotNull()).select("kind", "canon", "gender", "attempt", "core", "again"), "drawn")
+        core = surrogate(key, F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"))
+        drawn = stored(streams(base, key).withColumn("core", core).drop("__canon", "__country", "__stream", "__host"), "drawn")
+        # written first, so that the joins can split a core that very many entities drew
+        keeps = stored(drawn.groupBy("kind", "core").agg(F.min(F.struct("attempt", "canon")).alias("first")), "keeps")
+        checked = drawn.join(keeps.select("kind", "core", F.col("first.canon").alias("keeper")).hint("merge"), ["kind", "core"]).join(taken.hint("merge"), F.expr("kind = k and core = taken"), "left")
+        checked = stored(checked.select("kind", "canon", "gender", "attempt", "core", ((F.col("keeper") != F.col("canon")) | F.col("taken").isNotNull()).alias("again")), "checked")
         if not checked.filter("again").limit(1).count():
             return checked.select("kind", "canon", "core")
         base = checked.select("kind", "canon", "gender", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
@@ -172,48 +231,80 @@ def registry(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame:
 def _any(words: Column) -> Column:
     """The pattern of a text's entities: what the detectors find, and other mentions of the words of its names."""
     one = F.concat(F.lit("(?:"), F.array_join(words, "|"), F.lit(")"))
-    again = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])"), one, F.lit("(?: "), one, F.lit(r")?(?![\p{L}\p{N}])"))
-    return F.when(F.size(words) > 0, again).otherwise(F.lit(ANY))
+    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])"), one, F.lit("(?: "), one, F.lit(r")?(?![\p{L}\p{N}])"))
 
 
-def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text's entities replaced, plus ``n_entities`` and ``entity_types`` (in order).
+def _pieces(text: Column, pattern: Column) -> Column:
+    """The text in pieces: between mentions (even places) and the mentions (odd places), by one scan."""
+    marked = F.regexp_replace(F.replace(text, F.lit("\x01"), F.lit(_ESCAPED)), pattern, F.lit(_MARK + "$0" + _MARK))
+    return F.transform(F.split(marked, _MARK, -1), lambda p: F.replace(p, F.lit(_ESCAPED), F.lit("\x01")))
 
-    Null text stays null and has none; other columns pass through, input columns named like a
-    computed one are replaced; repeated rows are replaced alike.
-    """
-    kept = without(docs, ["n_entities", "entity_types"])
+
+def _mentions(pieces: Column) -> Column:
+    return F.filter(pieces, lambda _, i: i % 2 == 1)
+
+
+def marked_rows(rows: DataFrame, text_col: str) -> DataFrame:
+    """``(row, key, pieces, titled, words, given)`` of rows that may hold an entity; ``row`` has the columns but the text."""
     text = F.col(f"`{text_col}`")
-    keyed = kept.withColumn("__key", F.md5(F.coalesce(text, F.lit("")).cast("binary")))  # never null: rows are spread
-    found = keyed.filter(text.rlike(_HINT)).select("__key", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("raws"), F.regexp_extract_all(text, F.lit(_TITLED + r"\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?"), F.lit(0)).alias("titled"), text.alias("__text"))
-    found = found.filter(F.size("raws") > 0).withColumn("named", F.array_intersect("raws", F.transform("titled", lambda t: F.regexp_replace(t, "^" + _TITLED, ""))))
+    others = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
+    row = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    titled = F.regexp_extract_all(text, F.lit(_TITLED + r"\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?"), F.lit(0))
+    out = rows.select(row.alias("row"), text.alias("text"), F.md5(text.cast("binary")).alias("key"), _pieces(text, F.lit(ANY)).alias("pieces"), titled.alias("titled"))
+    named = F.array_intersect(_mentions(F.col("pieces")), F.transform("titled", lambda t: F.regexp_replace(t, "^" + _TITLED, "")))
+    out = out.withColumn("named", named)
     # full names say which words are given and which family names
     full = F.transform(F.filter("named", lambda x: F.instr(x, " ") > 0), lambda x: F.split(x, " "))
-    found = found.withColumn("words", F.array_distinct(F.flatten(F.transform("named", lambda x: F.split(x, " "))))).withColumn("given", F.array_except(F.transform(full, lambda x: x[0]), F.transform(full, lambda x: x[1])))
-    raws = F.when(F.size("words") > 0, F.regexp_extract_all("__text", _any(F.col("words")), F.lit(0))).otherwise(F.col("raws"))
-    mentions = found.select("__key", "titled", "words", "given", F.posexplode(raws).alias("pos", "raw")).distinct()
+    out = out.withColumn("words", F.array_distinct(F.flatten(F.transform("named", lambda x: F.split(x, " "))))).withColumn("given", F.array_except(F.transform(full, lambda x: x[0]), F.transform(full, lambda x: x[1])))
+    pieces = F.when(F.size("words") > 0, _pieces(F.col("text"), _any(F.col("words")))).otherwise(F.col("pieces"))
+    return out.select("row", "key", pieces.alias("pieces"), "titled", "words", "given")
+
+
+def mentions_of(marked: DataFrame) -> DataFrame:
+    """``(key, pos, part, type, raw, kind, canon, gender)``: all mentions of each distinct text, names by their parts.
+
+    A number of a card's shape without its check digit has the type ``other`` and stays.
+    """
+    texts = marked.filter(F.size("pieces") > 1).select("key", _mentions(F.col("pieces")).alias("raws"), "titled", "words", "given").dropDuplicates(["key"])
+    rows = texts.select("key", "titled", "words", "given", F.posexplode("raws").alias("pos", "raw")).withColumn("__digits", F.regexp_replace("raw", "[^0-9]", ""))
     kind = entity_type(F.col("raw"))
+    rows = rows.withColumn("type", kind)
+    rows = rows.withColumn("type", F.when((F.col("type") == "card") & ~has_luhn(F.col("__digits")), "other").otherwise(F.col("type")))
     female = F.exists("titled", lambda t: F.array_contains(F.split(t, " "), F.col("raw")) & t.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? "))
-    mentions = mentions.withColumn("type", kind)
     parts = F.when(F.col("type") == "name", F.split("raw", " ")).otherwise(F.array("raw"))
-    mentions = mentions.select("__key", "pos", "type", "titled", "words", "given", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part", "raw"))
-    mentions = mentions.withColumn("gender", F.when((F.col("type") == "name") & female, "female").otherwise("male"))
+    rows = rows.select("key", "pos", "type", "titled", "words", "given", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part", "raw"))
+    rows = rows.withColumn("gender", F.when((F.col("type") == "name") & female, "female").otherwise("male"))
     first = F.when(F.col("n_parts") > 1, F.col("part") == 0).otherwise(F.array_contains("given", F.col("raw")))
-    mentions = mentions.withColumn("kind", F.when((F.col("type") == "name") & first, F.concat("gender", F.lit(" given"))).otherwise(F.col("type"))).withColumn("canon", canonical(F.col("kind"), F.col("raw")))
-    mentions = stored(mentions.select("__key", "pos", "part", "type", "words", "raw", "kind", "canon", "gender"), "mentions")
-    cores = registry(mentions.select("kind", "canon", "gender"), key)
-    placed = mentions.join(cores, ["kind", "canon"]).select("__key", "pos", "part", "type", "words", in_format(F.col("kind"), F.col("raw"), F.col("core")).alias("new"))
-    # written first, so that the join can split the rows of a text with very many copies
+    rows = rows.withColumn("kind", F.when((F.col("type") == "name") & first, F.concat("gender", F.lit(" given"))).otherwise(F.col("type"))).withColumn("canon", canonical(F.col("kind"), F.col("raw")))
+    return rows.select("key", "pos", "part", "type", "raw", "kind", "canon", "gender")
+
+
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the text's entities replaced, plus ``n_entities`` and ``entity_types`` (in order).
+
+    Null text stays null and has none, empty text stays empty; other columns pass through, input
+    columns named like a computed one are replaced; repeated rows are replaced alike, and so are
+    equal texts of different ids. Texts of any length are scanned whole.
+    """
+    kept = without(docs, ["n_entities", "entity_types"])
+    text = F.col(f"`{text_col}`")
+    none = [F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("entity_types")]
+    untouched = kept.filter(~may_hold(text)).select("*", *none)
+    marked = stored(marked_rows(kept.filter(may_hold(text)), text_col), "marked")
+    mentions = stored(mentions_of(marked), "mentions")
+    cores = registry(mentions.filter("type <> 'other'").select("kind", "canon", "gender"), key)
+    placed = mentions.join(cores, ["kind", "canon"], "left").select("key", "pos", "part", "type", F.when(F.col("type") == "other", F.col("raw")).otherwise(in_format(F.col("kind"), F.col("raw"), F.col("core"))).alias("new"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ")
-    placed = placed.groupBy("__key", "pos").agg(F.first("type").alias("kind"), whole.alias("new"), F.first("words").alias("words"))
-    lists = stored(placed.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "new"))).alias("__all"), F.first("words").alias("__words")), "replacements")
-    joined = keyed.join(lists, "__key", "left")
-    between = F.when(F.size("__words") > 0, F.split(text, _any(F.col("__words")), -1)).otherwise(F.split(text, ANY, -1))
-    new = F.transform("__all", lambda x: x["new"])
-    woven = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    columns = [F.when(F.col("__all").isNull(), text).otherwise(woven).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept.columns]
-    types = F.coalesce(F.transform("__all", lambda x: x["kind"]), F.array().cast("array<string>"))
-    return joined.select(*columns, F.size(types).cast("long").alias("n_entities"), types.alias("entity_types"))
+    placed = placed.groupBy("key", "pos").agg(F.first("type").alias("kind"), whole.alias("new"))
+    # written first, so that the join can split the rows of a text with very many copies
+    lists = stored(placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "new"))).alias("all")), "replacements")
+    woven = F.array_join(F.transform("pieces", lambda p, i: F.when(i % 2 == 0, p).otherwise(F.get(F.col("all"), (i / 2).cast("int"))["new"])), "")
+    types = F.filter(F.transform("all", lambda x: x["kind"]), lambda k: k != "other")
+    own = lambda value: [value.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept.columns]
+    clear = marked.filter(F.size("pieces") == 1).select(*own(F.col("pieces")[0]), *none)
+    joined = marked.filter(F.size("pieces") > 1).join(lists.hint("merge"), "key")
+    replaced = joined.select(*own(woven), F.size(types).cast("long").alias("n_entities"), types.alias("entity_types"))
+    return untouched.unionByName(clear).unionByName(replaced)
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
