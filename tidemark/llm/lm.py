@@ -25,14 +25,16 @@ from pyspark.sql import types as T
 from tidemark.llm.common import coded, segment_sums, slices, stored, table, texts_of, words_of
 
 DEPTH = 4
-#: Depth of the registered query: with its byte an n-gram fills 64 bits.
-QUERY_DEPTH = 7
+#: Depth of the registered query.
+QUERY_DEPTH = 6
 #: Context bytes by which n-grams are dealt, and n-grams mixed at a time (those of one such context stay together).
 BASE, CHUNK = 4, 1 << 18
 #: Bytes of text handled at a time: every byte takes some sixty bytes of work space.
 SLICE = 2 << 20
 #: An entry is frequent if it makes up at least one in so many of all; there are no more than this.
-HEAD_WORDS, HEAD_GRAMS = 1 << 20, 1 << 20
+HEAD_WORDS, HEAD_GRAMS = 1 << 20, 1 << 23
+#: Distinct n-grams that a worker counts before it hands them on.
+HELD_GRAMS = 1 << 21
 
 
 def lgamma(x: Column) -> Column:
@@ -180,18 +182,54 @@ def word_counts(source: DataFrame) -> DataFrame:
     return source.filter("not held_out").mapInArrow(run, schema).groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.nonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))[0] if len(ordered) else np.zeros(0, np.int64)
+
+
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each occurs; sorts in place."""
+    grams.sort()
+    first = _runs(grams)
+    return grams[first], np.diff(np.concatenate([first, [len(grams)]]))
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of several counts."""
+    grams, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = _runs(grams)
+    return grams[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def gram_counts(source: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(gram, n)``: all byte n-grams of all rows, n counted in training rows."""
     schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        grams, n = _merged(held)
+        yield from pa.table({"gram": grams.astype(np.int64), "n": n.astype(np.int64)}).to_batches(max_chunksize=200_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for whole in batches:
             for part in slices(whole, "__text", SLICE):
                 grams, counts = _grams(texts_of(part), depth)
                 train = np.repeat(~np.asarray(part.column("held_out")).astype(bool), counts)
-                found, codes = np.unique(grams, return_inverse=True)
-                n = np.bincount(codes[train], minlength=len(found))
-                yield from pa.table({"gram": found.astype(np.int64), "n": n.astype(np.int64)}).to_batches(max_chunksize=200_000)
+                held.append(_counted(grams[train]))
+                listed = _counted(grams[~train])[0]
+                held.append((listed, np.zeros(len(listed), np.int64)))
+                size += len(held[-2][0]) + len(listed)
+                if size > HELD_GRAMS:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > HELD_GRAMS // 2:
+                        yield from rows(held)
+                        held, size = [], 0
+        if held:
+            yield from rows(held)
 
     return source.mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -314,28 +352,34 @@ def score_texts(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) ->
                 doc, code, times = _per_doc(codes, counts, rare, max(1, len(distinct)))
                 word_lists = _lists(doc, n, distinct.take(pa.array(code)).cast(pa.string()), times)
                 grams, n_bytes = _grams(texts, depth)
-                where = np.minimum(np.searchsorted(keys, grams), max(0, len(keys) - 1))
-                hit = keys[where] == grams if len(keys) else np.zeros(len(grams), bool)
-                got = np.where(hit, lps[where], 0.0) if len(keys) else np.zeros(len(grams))
-                owner = np.repeat(np.arange(n, dtype=np.uint64), n_bytes)[~hit]
-                order = np.lexsort((grams[~hit], owner))
-                g, o = grams[~hit][order], owner[order]
-                new = np.concatenate([[True], (g[1:] != g[:-1]) | (o[1:] != o[:-1])]) if len(g) else np.zeros(0, bool)
-                first = np.nonzero(new)[0]
+                owner = np.repeat(np.arange(n, dtype=np.int32), n_bytes)
+                order = np.argsort(grams)
+                grams, owner = grams[order], owner[order]
+                first = _runs(grams)
+                seen_once = grams[first]
+                where = np.minimum(np.searchsorted(keys, seen_once), max(0, len(keys) - 1))
+                hit = keys[where] == seen_once if len(keys) else np.zeros(len(first), bool)
+                times_each = np.diff(np.concatenate([first, [len(grams)]]))
+                got = np.bincount(owner, np.repeat(np.where(hit, lps[where], 0.0) if len(keys) else np.zeros(len(first)), times_each), minlength=n)
+                missed = ~np.repeat(hit, times_each)
+                g, o = grams[missed], owner[missed]
+                order = np.argsort(o, kind="stable")
+                g, o = g[order], o[order]
+                first = np.nonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (o[1:] != o[:-1])]))[0] if len(g) else np.zeros(0, np.int64)
                 gram_lists = _lists(o[first].astype(np.int64), n, pa.array(g[first].astype(np.int64), pa.int64()), np.diff(np.concatenate([first, [len(g)]])))
                 long = lambda x: pa.array(x, pa.int64())
                 cols = [long(np.arange(rid, rid + n)), part.column("doc_id"), part.column("held_out"), long(counts), long(n_bytes), long(segment_sums((~rare).astype(np.int64), counts)),
-                        pa.array(segment_sums(value[codes], counts)), pa.array(segment_sums(got, n_bytes)), *word_lists, *gram_lists]
+                        pa.array(segment_sums(value[codes], counts)), pa.array(got), *word_lists, *gram_lists]
                 rid += n
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     scored = stored(source.mapInArrow(run, schema), "scored")
     rare_words = scored.select("rid", F.explode(F.arrays_zip("words", "word_n")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.word_n").alias("times"))
-    rare_words = rare_words.join(words, "word", "left").groupBy("rid").agg(
+    rare_words = rare_words.join(words.hint("shuffle_hash"), "word", "left").groupBy("rid").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more_words"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more_known")
     )
     rare_grams = scored.select("rid", F.explode(F.arrays_zip("grams", "gram_n")).alias("x")).select("rid", F.col("x.grams").alias("gram"), F.col("x.gram_n").alias("times"))
-    rare_grams = rare_grams.join(model.select("gram", "lp"), "gram").groupBy("rid").agg(F.sum(F.col("times") * F.col("lp")).alias("more_grams"))
+    rare_grams = rare_grams.join(model.select("gram", "lp").hint("shuffle_hash"), "gram").groupBy("rid").agg(F.sum(F.col("times") * F.col("lp")).alias("more_grams"))
     rows = scored.drop("words", "word_n", "grams", "gram_n").join(rare_words, "rid", "left").join(rare_grams, "rid", "left")
     zero = F.lit(0.0)
     n_tokens = F.col("n_words") + 1
