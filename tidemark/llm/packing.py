@@ -30,7 +30,8 @@ from tidemark.llm.common import coded, segment_sums, slices, table, texts_of
 class PackParams:
     """window: most tokens of a sequence. sentence_cut, forced_cut: penalties, in padding tokens,
     of a cut at a sentence's end and of one inside a sentence longer than a window. block_tokens:
-    tokens packed together; each block ends a sequence. cache_words: words whose ids a worker keeps."""
+    tokens packed together; each block ends a sequence. cache_words: words whose ids a worker keeps.
+    special: ids of strings that are one token wherever a text holds them."""
 
     window: int = 1024
     sentence_cut: float = 6.0
@@ -38,6 +39,7 @@ class PackParams:
     block_tokens: int = 1_000_000
     cache_words: int = 200_000
     end_id: int = 0
+    special: tuple[tuple[str, int], ...] = (("<|endoftext|>", 50256),)
 
 
 #: White space that a worker's word cache can't split at: any but single blanks and line breaks.
@@ -49,16 +51,16 @@ class Tokens:
 
     Words (with the blank before them) are tokenised one by one and kept: the vocabulary's
     pattern never joins text across a blank or line break that stands alone. Texts with other
-    white space are tokenised whole.
+    white space are tokenised whole. Special strings are cut out of a text before its words are.
     """
 
-    def __init__(self, ranks_path: str, limit: int):
+    def __init__(self, ranks_path: str, limit: int, special: tuple[tuple[str, int], ...]):
         import public_tokenizers
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
         self.ends = np.zeros(max(ranks.values()) + 1, bool)
         for token, i in ranks.items():
             self.ends[i] = token.endswith((b".", b"!", b"?", b"\n", "…".encode(), "。".encode()))
@@ -66,7 +68,7 @@ class Tokens:
         self.limit = limit
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.uint32).tobytes()
+        return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -99,14 +101,14 @@ class Tokens:
         return ids, counts
 
 
-_TOKENS: dict[tuple[str, int], Tokens] = {}
+_TOKENS: dict[tuple, Tokens] = {}
 
 
-def tokens(ranks_path: str, limit: int) -> Tokens:
+def tokens(*key) -> Tokens:
     """One tokeniser for each worker process."""
-    if (ranks_path, limit) not in _TOKENS:
-        _TOKENS[ranks_path, limit] = Tokens(ranks_path, limit)
-    return _TOKENS[ranks_path, limit]
+    if key not in _TOKENS:
+        _TOKENS[key] = Tokens(*key)
+    return _TOKENS[key]
 
 
 def best_cuts(cuts: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
@@ -175,7 +177,8 @@ def pack_documents(docs: DataFrame, ranks_path: str, text_col: str = "text", par
     """One row per piece of a document, in the columns of SCHEMA (and ``ids``, if asked for).
 
     Null or empty text is the end id alone; a null id is carried. Documents are ordered by id
-    (null first), then text; every row is packed, repeated ones too. A document longer than a
+    (null first), rows of one id by a digest of their text; every row is packed, repeated ones too.
+    Other columns are not carried. A document longer than a
     window runs over several sequences. Sequence ids are unique: the partition's number times
     2^40 plus a count.
     """
@@ -183,7 +186,8 @@ def pack_documents(docs: DataFrame, ranks_path: str, text_col: str = "text", par
     schema = T.StructType([*SCHEMA.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]) if with_ids else SCHEMA
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    ordered = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "__text")
+    # rows of one id (all null ids, say) are dealt by their text too
+    ordered = source.withColumn("__digest", F.xxhash64("__text")).repartitionByRange(n, "doc_id", "__digest").sortWithinPartitions("doc_id", "__digest", "__text").drop("__digest")
 
     def close(doc_ids: list, counts: list[np.ndarray], parts: list[np.ndarray], first: int, ends: np.ndarray) -> tuple[pa.RecordBatch, int]:
         ids, lens = np.concatenate(parts), np.concatenate(counts)
@@ -204,7 +208,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, text_col: str = "text", par
         return pa.RecordBatch.from_arrays(cols, names=schema.names), first + len(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokens(ranks_path, params.cache_words)
+        tok = tokens(ranks_path, params.cache_words, params.special)
         first = TaskContext.get().partitionId() << 40
         doc_ids, counts, parts, held = [], [], [], 0
         for whole in batches:
