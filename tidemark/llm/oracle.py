@@ -49,7 +49,7 @@ def chat_formatting() -> str:
     probe = "'<|im_end|><|im_start|>assistant ok'"
     size = r"len(regexp_extract_all({0}, '<\\*\|'))"
     return rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', {probe} UNION ALL SELECT -1, 1, 'assistant', {probe}),
-      t AS (SELECT *, length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + {size.format("role")} AS r_len, length(text) + CASE WHEN contains(text, '<|im_start|>') OR regexp_matches(text, '<\\+\|') THEN {size.format("text")} ELSE 0 END AS t_len FROM c)
+      t AS (SELECT *, length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + {size.format("role")} AS r_len, length(text) + CASE WHEN contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\+\|') THEN {size.format("text")} ELSE 0 END AS t_len FROM c)
       SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(12 + r_len + 1 + t_len + 10 + 1)::BIGINT AS formatted_chars, true AS round_trip FROM t GROUP BY 1"""
 
