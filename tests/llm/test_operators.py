@@ -18,6 +18,7 @@ ODD = [
     (1, f"{LINE}\nalpha beta.\n{LINE}"), (2, f"  {LINE.upper()}\t\nbeta"), (3, LINE), (4, None), (5, ""), (6, " \n\t \n"), (7, PROSE * 3), (8, PROSE * 3), (9, NEAR), (9, NEAR), (10, "word"),
     (11, "a" * 5000), (12, "x \u00a0y\u2003z  double  blank\r\nnew\n\n\nlines \x00 null"), (None, "no id at all, but a text of its own."), (13, "home | about | contact | help\nAll rights reserved.\n" + PROSE * 3),
     (14, "ünïcode ☃ \U0001f600 text. " * 30), (15, "big " * 20000), (16, "mail a.b@c.de or +1 (521) 555-2373, card 4316 5226 7852 5456 and 4316522678525456, 10.2.3.4."),
+    (17, "a<|endoftext|>b <|endoftext|>\n <|endoftext|> c <|im_end|>"),
 ]
 
 
@@ -145,6 +146,23 @@ def test_ngram_join_counts_links_without_a_common_band(spark):
     _check_join(rows, ngram_join(frame, recall=0.9).collect())
 
 
+def test_ngram_join_of_wide_components(spark, monkeypatch):
+    """A long chain, whose buckets are judged one by one, and a dense group, which is judged as a whole."""
+    from tidemark.llm import ngramjoin
+
+    chain = [(i, " ".join(f"w{k}" for k in range(i * 4, i * 4 + 60))) for i in range(300)]
+    rng = np.random.default_rng(4)
+    dense = [(1000 + i, " ".join(f"r{i}" if k == at else f"v{k}" for k in range(130))) for i, at in enumerate(rng.integers(0, 130, 60))]
+    rows = chain + dense
+    seen = []
+    groups = ngramjoin._groups
+    monkeypatch.setattr(ngramjoin, "_groups", lambda *a: seen.append(groups(*a)) or seen[-1])
+    # 52 bands: at 52 of 60 n-grams in common no pair is left to chance
+    _check_join(rows, ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), recall=1 - 1e-12, block_rows=6).collect())
+    kinds = {r.sparse: (r.n, r.copies) for r in seen[0].groupBy((seen[0].band.isNotNull()).alias("sparse")).agg({"*": "count", "nb": "sum"}).toDF("sparse", "n", "copies").collect()}
+    assert set(kinds) == {True, False} and kinds[True][1] < 300 * 50
+
+
 def test_bands_reach_recall():
     from tidemark.llm.ngramjoin import choose_bands
 
@@ -225,7 +243,6 @@ def test_packing(docs, empty):
     from tidemark.llm.packing import PackParams, default_ranks, pack_documents
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = pack_documents(docs, default_ranks(), params=PackParams(block_tokens=9000), with_ids=True).collect()
     pieces = collections.defaultdict(list)
     for r in rows:

@@ -3,9 +3,10 @@
 1. Every document's word n-grams are hashed; documents with the same n-gram set form one node.
 2. Nodes are shuffled on the hashes of signature bands. Sharing a bucket makes two nodes
    candidates; buckets are linked as stars of ids, so the candidate graph stays linear in size.
-3. Each candidate component is cut into blocks of bounded size. Pairs of blocks are verified on
-   the full n-gram sets by counting intersections, and give counts of links per node and a
-   spanning forest of the verified links, never the pairs themselves.
+3. Pairs are verified on the full n-gram sets by counting intersections, in blocks of bounded size:
+   all pairs of a candidate component where it is dense, the pairs of each bucket (judged in the
+   first one they share) where a component is a wide, sparse chain. Blocks give counts of links per
+   node and a spanning forest of the verified links, never the pairs themselves.
 4. Connected components of the verified links are the classes.
 """
 
@@ -175,7 +176,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 4, block_rows: int = 384, block_grams: int = 4_000_000) -> DataFrame:
+def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 4, block_rows: int = 384, block_grams: int = 2_000_000) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, set_id, n_copies, n_links, n_grams``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared as they are. set_id: the smallest id among
@@ -184,7 +185,7 @@ def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, thresh
     connected by equal sets and links. A document of fewer than ``n_words`` words has one n-gram
     of all its words. Null, empty and blank texts have no n-grams: class_id and set_id are their
     own id, n_copies is 1, n_links 0. Null ids are carried and never chosen as the smallest id
-    unless the whole class has none. Repeated rows count as copies.
+    unless the whole class has none. Repeated rows count as copies; other columns are not carried.
     """
     out = _classes(docs, text_col, n_words, threshold, recall, rows, block_rows, block_grams)
     own = F.col("node").isNull()
@@ -203,30 +204,54 @@ def _text_key(text: str) -> Column:
     return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
 
 
+def _width(n: Column, grams: Column, block_rows: int, block_grams: int) -> Column:
+    """Blocks of a group: as few as the bounds allow, but one that needs several gets up to twenty, so that many tasks share its pairs."""
+    spread = F.when(n > block_rows, F.least(F.ceil(n / F.lit(max(1, block_rows // 3))), F.lit(20))).otherwise(1)
+    return F.greatest(F.ceil(n / F.lit(block_rows)), F.ceil(grams / F.lit(float(block_grams))), spread).cast("int")
+
+
+def _groups(keyed: DataFrame, buckets: DataFrame, candidates: DataFrame, sizes: DataFrame, block_rows: int, block_grams: int) -> DataFrame:
+    """``(node, g, band, nb)``: the groups inside which each candidate's pairs are verified, cut into ``nb`` blocks.
+
+    A component is one group (band null) unless its buckets, each taken for itself, need fewer
+    copies of its n-gram sets. Buckets of the same nodes count once, in their first band.
+    """
+    members = stored(candidates.join(sizes, "node"), "members")
+    whole = members.groupBy("c").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
+    whole = whole.select("c", "n", _width(F.col("n"), F.col("grams"), block_rows, block_grams).alias("nb"))
+    apart = buckets.groupBy("low", "high", "n", "x", "y").agg(F.min(F.struct("band", "key")).alias("at"), F.max("grams").alias("grams"))
+    apart = apart.select("at.band", "at.key", "low", "n", _width(F.col("n"), F.col("grams"), block_rows, block_grams).alias("nb"))
+    apart = stored(apart.join(candidates.select(F.col("node").alias("low"), "c"), "low").select("band", "key", "c", "n", "nb"), "distinct-buckets")
+    cost = apart.groupBy("c").agg(F.sum(F.col("n") * F.col("nb")).alias("cost"))
+    # written first, so that the joins can split a hot component
+    width = stored(whole.join(cost, "c").select("c", "nb", (F.col("cost") < F.col("n") * F.col("nb")).alias("sparse")), "widths")
+    dense = members.join(width.filter("not sparse"), "c").select("node", F.col("c").alias("g"), F.lit(None).cast("int").alias("band"), "nb")
+    chosen = stored(apart.join(width.filter("sparse").select("c"), "c").select("band", "key", "nb"), "chosen-buckets")
+    name = F.unhex(F.md5(F.concat_ws(":", "band", "key")))
+    sparse = keyed.join(chosen, ["band", "key"]).select("node", name.alias("g"), "band", "nb")
+    return dense.unionByName(sparse)
+
+
 def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, recall: float, rows: int, block_rows: int, block_grams: int) -> DataFrame:
     """All rows by id and text digest (``key``) with their node, component ``c``, and the join's figures; nulls where there are no n-grams."""
     n_bands, n_rows = choose_bands(threshold, recall, rows)
     source = docs.select("doc_id", _text_key(text_col).alias("key"), F.col(f"`{text_col}`").alias("__text"))
     sig = stored(signatures(source, n_words, n_bands, n_rows), "signatures")
     nodes = sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"))
-    reps = sig.filter("node is not null").select("node", "bands").dropDuplicates(["node"])
+    reps = stored(sig.filter("node is not null").select("node", "bands", "n_grams", F.col("doc_id").alias("__id")).dropDuplicates(["node"]), "nodes")
 
-    keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    keyed = reps.select("node", "n_grams", F.posexplode("bands").alias("band", "key"))
     # written first, so that the join's two sides are both dealt by it and a hot bucket can be split
-    buckets = stored(keyed.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band", "key", "low"), "buckets")
-    edges = keyed.join(buckets, ["band", "key"]).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct().checkpoint()
-    candidates = components(edges).checkpoint()
-
-    # blocks: bounded in rows and n-grams, dealt by the node's digest
-    sized = candidates.withColumnRenamed("v", "node").join(nodes.select("node", "set_id", "n_grams"), "node")
-    width = sized.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum("n_grams") / F.lit(float(block_grams)))).cast("int").alias("nb"))
-    placed = sized.join(width, "c").select("node", "set_id", "c", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("blk"))
-    placed = placed.join(sig.filter("node is not null").select("node", "doc_id").dropDuplicates(["node"]), "node").select("node", "c", "nb", "blk", F.col("doc_id").alias("__id"))
-    placed = placed.checkpoint()
+    mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(x) for i, x in enumerate("xy")]
+    buckets = keyed.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.sum("n_grams").alias("grams"), *mark)
+    buckets = stored(buckets.filter("low <> high"), "buckets")
+    edges = keyed.join(buckets.select("band", "key", "low"), ["band", "key"]).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct().checkpoint()
+    candidates = components(edges).withColumnRenamed("v", "node").checkpoint()
 
     # the full sets of the candidates only: texts of one document per node
-    picked = source.drop("key").join(placed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
-    set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("c", T.BinaryType()), T.StructField("nb", T.IntegerType()), T.StructField("blk", T.IntegerType()), T.StructField("grams", T.BinaryType())])
+    wanted = candidates.select("node").join(reps.select("node", "__id", "bands"), "node").checkpoint()
+    picked = source.drop("key").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
+    set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType())])
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -234,14 +259,16 @@ def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, rec
                 for part in slices(whole, "__text"):
                     sets = _gram_sets(part, n_words)
                     same = [len(g) > 0 and hashlib.blake2b(g.tobytes(), digest_size=16).digest() == n for g, n in zip(sets, part.column("node").to_pylist(), strict=True)]
-                    # 32 bits are enough to tell the n-grams of two documents apart, and halve what is shuffled
-                    packed = [(g >> np.uint64(32)).astype(np.uint32).tobytes() for g in sets]
-                    cols = [part.column(c) for c in ("node", "c", "nb", "blk")] + [pa.array(packed, pa.binary())]
+                    cols = [part.column("node"), part.column("bands"), pa.array([g.tobytes() for g in sets], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=set_schema.names).filter(pa.array(same))
 
-    grams = picked.mapInArrow(full_sets, set_schema).dropDuplicates(["node"])
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    spread = grams.select("*", other.alias("o")).select("node", "c", "blk", "grams", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+    # several rows of one id may have the node's text
+    sets = stored(picked.mapInArrow(full_sets, set_schema), "sets").dropDuplicates(["node"])
+    groups = _groups(keyed, buckets, candidates, reps.select("node", "n_grams"), block_rows, block_grams)
+    blk = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+    placed = stored(groups.withColumn("blk", blk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))), "placed")
+    bands = F.when(F.col("band").isNotNull(), F.col("bands")).alias("bands")  # sparse groups need them
+    spread = placed.join(sets, "node").select("node", "g", "band", "blk", bands, "grams", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     link_schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def verify(key: tuple, group: pa.Table) -> pa.Table:
@@ -251,22 +278,28 @@ def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, rec
         empty = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
         if n < 2:
             return empty
-        sets = [np.unique(np.frombuffer(g, np.uint32)) for g in group.column("grams").to_pylist()]
+        sets = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
         blk = np.array(group.column("blk").to_pylist())
         left, right = np.nonzero(blk == i)[0], np.nonzero(blk == j)[0]
         if not len(left) or not len(right):
             return empty
         a, b = _links(sets, left, right, i == j, threshold)
+        band = group.column("band")[0].as_py()
+        if band is not None and len(a):  # a pair counts in the first bucket that it shares
+            keys = np.array(group.column("bands").to_pylist(), np.int64)
+            mine = (keys[a] == keys[b]).argmax(1) == band
+            a, b = a[mine], b[mine]
         degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
         label = _forest(n, a, b)
         some = np.nonzero(degree)[0]
         return pa.table({"a": pa.array([nodes_[x] for x in some], pa.binary()), "b": pa.array([nodes_[label[x]] for x in some], pa.binary()), "n": pa.array(degree[some], pa.int64())})
 
-    links = stored(spread.groupBy("c", "i", "j").applyInArrow(verify, link_schema), "links")
+    links = stored(spread.groupBy("g", "i", "j").applyInArrow(verify, link_schema), "links")
     degrees = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     classes = components(links.select("a", "b")).withColumnRenamed("v", "node")
-    joined = nodes.join(classes, "node", "left").join(degrees, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    lowest = joined.groupBy("c").agg(F.min("set_id").alias("class_id"))
+    joined = stored(nodes.join(classes, "node", "left").join(degrees, "node", "left").withColumn("c", F.coalesce("c", "node")), "node-classes")
+    # both written first, so that the join can split a hot class
+    lowest = stored(joined.groupBy("c").agg(F.min("set_id").alias("class_id")), "lowest")
     judged = joined.join(lowest, "c").select("node", "c", "class_id", "set_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return sig.select("doc_id", "key", "node", "n_grams").join(judged, "node", "left")
 
@@ -277,11 +310,21 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate class stays: the one of the smallest id."""
-    found = _classes(docs.select("doc_id", "text"), "text", 5, 0.8, 0.9999, 4, 384, 4_000_000)
+    """One document of each near-duplicate class stays: the one of the smallest id.
+
+    Null ids are larger than all others; of several rows of that id the one whose text, then whose
+    other columns, have the smallest digest stays, so repeated rows become one. Null, empty and
+    blank texts are no duplicates of other ids' texts. Columns of any name pass through.
+    """
+    found = _classes(docs.select("doc_id", "text"), "text", 5, 0.8, 0.9999, 4, 384, 2_000_000)
     # of each class the smallest id stays (null only where there is no other), of equal ids one text; rows without n-grams are their own class
     group = F.when(F.col("c").isNotNull(), F.hex("c")).otherwise(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "key"))
-    keep = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("__id"), F.col("key").alias("__k"))).alias("m")).select("m.__id", "m.__k")
-    rows = docs.withColumn("__key", _text_key("text"))
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    keep = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("m")).select("m.id", "m.key")
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]))
+    place = lambda i, k: [F.coalesce(F.col(i).cast("string"), F.lit("")).alias("of"), F.col(i).isNull().alias("no"), F.col(k).alias("digest")]
+    rows = docs.select(F.col("doc_id").alias("id"), _text_key("text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5(others).alias("rest"))
+    rows = rows.select(*place("id", "key"), "row", "rest")
+    # rows of one id and text are few: partial aggregation leaves one for each task before the shuffle, which the join then uses too
+    one = rows.groupBy("of", "no", "digest").agg(F.min_by("row", "rest").alias("row"))
+    kept = one.join(keep.select(*place("id", "key")).hint("merge"), ["of", "no", "digest"], "left_semi")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
