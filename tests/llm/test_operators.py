@@ -61,10 +61,11 @@ def test_quality_counts(docs, empty):
     assert verdict[13].n_bad_lines == 2 and not verdict[4].kept and not any(r.kept and r.base_failed for r in out)
     cleaned = clean_documents(docs)
     assert cleaned.columns == docs.columns
+    assert {(r.n_words, r.kept) for r in cleaned.collect()} <= {("x", k) for k in range(len(ODD))}  # the input's own columns of these names
 
 
 def test_line_dedup(docs, empty):
-    from tidemark.llm.linedup import dedup_lines
+    from tidemark.llm.linedup import dedup_lines, drop_shared_lines
 
     key = lambda x: x.strip(BLANKS).translate(FOLD)
     held = collections.defaultdict(set)
@@ -81,6 +82,18 @@ def test_line_dedup(docs, empty):
         got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(docs, batches=batches, fanout=fanout).collect()]
         assert collections.Counter(got) == collections.Counter(want)
     assert dedup_lines(empty).count() == 0
+    clash = docs.withColumnRenamed("kept", "__drops").withColumnRenamed("n_words", "n_lines")
+    kept = drop_shared_lines(clash)
+    assert kept.columns == clash.columns and {(r.n_lines, r["__drops"]) for r in kept.collect()} == {("x", k) for k in range(len(ODD))}
+
+
+def test_line_runs_leave_nothing_behind(spark, docs):
+    from tidemark.llm.linedup import dedup_lines
+
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("tidemark_run")}
+    before = tables()
+    dedup_lines(docs).count()
+    assert tables() == before
 
 
 def _sets(rows):
@@ -584,24 +597,58 @@ def test_pii_collisions(spark, monkeypatch):
     assert len(set(cores.values())) == 4 and not set(cores.values()) & set(cores)
 
 
-def test_mixing(spark, sf):
+def test_mixing_meets_its_weights(spark):
+    """Token shares of the mix, by rates and by whole copies, against the weights as stated."""
+    from tidemark.llm.mixing import MixParams, op7_mixing
+
+    rows = op7_mixing(spark, "/root/testdata/sf0.1").select("n_tokens", "p_good", "p_poor", "p_toxic", "rate", "copies").toPandas()
+    assert len(rows) == 10000 and rows.rate.between(0, 1).all() and rows.copies.isin([0, 1]).all()
+    p = rows[["p_good", "p_poor", "p_toxic"]].to_numpy()
+    assert np.allclose(p.sum(1), 1)
+    for times in ("rate", "copies"):
+        tokens = ((rows[times] * rows.n_tokens).to_numpy()[:, None] * p).sum(0)
+        share = tokens / tokens.sum()
+        assert np.abs(share - [0.93, 0.05, 0.02]).max() < 0.01
+        assert times == "copies" or np.abs(share - [0.93, 0.05, 0.02]).max() < 0.002
+    assert dict(MixParams().weights) == {"good": 0.93, "poor": 0.05, "toxic": 0.02}
+    good = rows[rows.p_good > 0.9]
+    assert good.rate.mean() > 0.9  # the budget is as large as the weights allow
+    assert abs(rows.copies.mean() - rows.rate.mean()) < 0.01
+
+
+def test_mixing_budgets(spark):
     from pyspark.sql import functions as F
 
-    from tidemark.llm.mixing import DOMAINS, MixParams, fit_rates, rate_column
+    from tidemark.llm.mixing import DOMAINS, MixParams, fit_rates, mix_documents, rate_column
 
     rng = np.random.default_rng(2)
     p = rng.dirichlet([6, 1, 1], 400)
     rows = [(i, int(rng.integers(50, 900)), *map(float, p[i])) for i in range(400)]
     members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double")
-    params = MixParams(weights={"good": 0.8, "poor": 0.1, "toxic": 0.1})
-    rated = members.withColumn("rate", rate_column(fit_rates(members, params), params))
-    totals = np.array(rated.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first())
-    n, lead = np.array([r[1] for r in rows]), p[:, 0] >= p.max(1)
-    held, every = (n[lead, None] * p[lead]).sum(0), (n[:, None] * p).sum(0)
-    target = np.minimum(np.maximum(held, held[0] * np.array([0.8, 0.1, 0.1]) / 0.8), np.maximum(held, every))
-    target[0] = held[0]
-    assert np.abs(totals - target).sum() < 2e-3 * target.sum()
-    assert rated.agg(F.min("rate")).first()[0] >= 0 and fit_rates(members.limit(0), params) == []
+
+    def mix(params):
+        rated = members.withColumn("rate", rate_column(fit_rates(members, params), params))
+        low, high = rated.agg(F.min("rate"), F.max("rate")).first()
+        assert 0 <= low and high <= params.max_rate
+        return np.array(rated.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first())
+
+    weights = {"good": 0.8, "poor": 0.1, "toxic": 0.1}
+    totals = mix(MixParams(weights=weights, budget=100_000, max_rate=4.0))
+    assert np.abs(totals - [80_000, 10_000, 10_000]).sum() < 200
+    totals = mix(MixParams(weights=weights, budget=300_000, max_rate=4.0))  # more than there is
+    assert np.abs(totals - [240_000, 30_000, 30_000]).sum() < 600
+    totals = mix(MixParams(weights=weights))
+    assert np.abs(totals / totals.sum() - [0.8, 0.1, 0.1]).sum() < 2e-3
+    far = mix(MixParams(weights={"good": 1.0, "poor": 0.0, "toxic": 0.0}))  # out of reach: as near as rates come
+    every = np.array([r[1] for r in rows]) @ p
+    assert far[0] / far.sum() > every[0] / every.sum() + 0.05
+    assert fit_rates(members.limit(0)) == []
+
+    docs = spark.createDataFrame([(1, "some words here", "a", 5, "x"), (None, None, "b", 1, "y"), (2, "", "c", 2, "z"), (2, "", "c", 2, "z")], "doc_id long, text string, n_tokens string, copies int, p_good string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
+    out = mix_documents(docs, labels)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+    assert mix_documents(docs.limit(0), labels).count() == 0
 
 
 def test_classifier_on_held_out_labels(spark):

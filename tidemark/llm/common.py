@@ -28,16 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine), a temporary one is set.
+    Where the session has none, a temporary one is set if all runs in one process (tests); on a
+    cluster that is an error, for executors would not see it.
     """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+        given = spark.sparkContext.getCheckpointDir()
+    return given.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,6 +59,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote and nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            remove_path(df.sparkSession, path)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop columns whose name (in any case) clashes with a computed one."""
     lowered = {n.lower() for n in names}
@@ -85,18 +92,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     release()
 
 
-def attach(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], drop: list[str] = ()) -> DataFrame:
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as ``c0, c1, ...``: no input column can clash with a computed one."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def attach(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """Append columns computed per slice of rows by an Arrow function; clashing input columns are replaced."""
-    kept = without(df, [f.name for f in fields]).columns
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
-    out_cols = [c for c in kept if c not in drop]
-    schema = T.StructType([source.schema[c] for c in out_cols] + list(fields))
+    kept = without(df, [f.name for f in fields])
+    inner = [f"c{i}" for i in range(len(kept.columns))]
+    source = df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(kept.columns, inner, strict=True)], F.col(f"`{text_col}`").alias("__text"))
+    schema = T.StructType([*kept.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "__text"):
-                computed = fn(part)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in out_cols] + computed, names=[*out_cols, *[f.name for f in fields]])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in inner] + fn(part), names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -141,9 +152,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * _C2
         x = (x ^ (x >> np.uint64(27))) * _C3
         return x ^ (x >> np.uint64(31))
-
-
-def checked_name(name: str) -> str:
-    if not re.fullmatch(r"\w+", name):
-        raise ValueError(f"not a plain column name: {name!r}")
-    return name

@@ -2,9 +2,11 @@
 
 A classifier fitted on the labelled table gives every document a posterior over the domains
 ``good``, ``poor`` and ``toxic``. Document rates r >= 0 are then fitted by projected-gradient
-least squares so that the expected tokens of every domain, sum_i r_i n_i p_i, match the targets.
-Rates depend on a document's posterior and on the residuals of the steps alone, so no step
-writes anything: each one is one aggregate over the posteriors.
+least squares so that the expected tokens of every domain, sum_i r_i n_i p_i, match the targets:
+the weights times a budget of tokens. Rates depend on a document's posterior and on the residuals
+of the steps alone, so no step writes anything: each one is one aggregate over the posteriors.
+The first step comes from a summary of the posteriors of fixed size, on which the largest
+budget is found that needs no rate above its bound.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import attach, coded, segment_sums, slices, stored, table, texts_of, words_of
+from tidemark.llm.common import attach, coded, numbered, segment_sums, slices, stored, table, texts_of, words_of
 
 DOMAINS = ("good", "poor", "toxic")
 #: Word hash buckets of the classifier.
@@ -29,26 +31,26 @@ BUCKETS = 1 << 16
 
 @dataclass(frozen=True)
 class MixParams:
-    """weights: target share of tokens per domain; the largest is the leading domain. upsample: no
-    other domain's target is more than so many times its tokens. sample_rows: labelled documents that the
-    classifier is fitted on, at most (those whose ids hash lowest; the only bound here).
-    max_rate: no document is repeated more often. steps, tol: of the gradient fit.
-    keep_from: a document of the leading domain is left out only if its rate is below this."""
+    """weights: target share of tokens per domain. budget: tokens of the mix; None takes ``margin`` times the
+    largest at which the weights can be met. max_rate: no document is repeated more often; with 1 rows never
+    multiply. sample_rows: labelled documents that the classifier is fitted on, at most (those whose ids hash
+    lowest; the only bound here). steps, tol: of the gradient fit. cells: of the summary, along each posterior."""
 
     weights: dict[str, float] = field(default_factory=lambda: {"good": 0.93, "poor": 0.05, "toxic": 0.02})
+    budget: float | None = None
+    margin: float = 0.99
+    max_rate: float = 1.0
     sample_rows: int = 8000
-    max_rate: float = 4.0
-    upsample: float = 1.0
     steps: int = 25
     tol: float = 1e-3
-    keep_from: float = 0.25
+    cells: int = 256
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Word log-likelihoods by domain and bucket, and a softmax layer over their means and the shape features."""
+    """For each half of the labelled documents the log-odds of words by domain and bucket, and a softmax layer over features made of them."""
 
-    words: np.ndarray  # domains x BUCKETS
+    odds: np.ndarray  # halves x domains x BUCKETS
     layer: np.ndarray  # (features + 1) x domains
     mean: np.ndarray
     scale: np.ndarray
@@ -75,55 +77,69 @@ def _shape(texts: pa.Array, counts: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(counts), np.minimum(count(r"[#*$%&|<>]") / n, 2), np.minimum(count(r"!") / n, 2), np.minimum(count(r"[A-Z]") / n, 4), np.minimum(count(r"\n") / n, 1)], 1)
 
 
-def _features(texts: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features and the number of words of each text."""
+def _features(texts: pa.Array, odds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features of each text by each half's log-odds, and the number of words of each text."""
     at, counts = _buckets(texts)
     n = np.sqrt(np.maximum(counts, 1))
-    odds = words - words.mean(0)
-    cols = [segment_sums(row[at], counts) / n for row in odds] + [np.maximum(segment_sums(np.where(row[at] > 2, row[at], 0), counts), 0) for row in odds]
-    return np.concatenate([np.stack(cols, 1), _shape(texts, counts)], 1), counts
+    shape = _shape(texts, counts)
+    out = []
+    for half in odds:
+        sums = [segment_sums(row[at], counts) / n for row in half]
+        telling = [np.log1p(np.maximum(segment_sums(np.where(row[at] > 1, row[at], 0), counts), 0)) for row in half]
+        out.append(np.concatenate([np.stack(sums + telling, 1), shape], 1))
+    return out, counts
 
 
-def _posteriors(x: np.ndarray, model: Classifier) -> np.ndarray:
-    z = np.concatenate([(x - model.mean) / model.scale, np.ones((len(x), 1))], 1) @ model.layer
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+def _posteriors(features: list[np.ndarray], model: Classifier) -> np.ndarray:
+    """The mean of the posteriors that each half's log-odds give."""
+    total = 0.0
+    for x in features:
+        z = np.concatenate([(x - model.mean) / model.scale, np.ones((len(x), 1))], 1) @ model.layer
+        z = np.exp(z - z.max(1, keepdims=True))
+        total = total + z / z.sum(1, keepdims=True)
+    return total / len(features)
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, params: MixParams = MixParams()) -> Classifier:
-    """Fit on at most ``sample_rows`` labelled documents: half give the word tables, half the softmax layer.
+    """Fit on at most ``sample_rows`` labelled documents; the layer sees each half of them with the other half's log-odds.
 
-    Without any labelled document the posterior is even. Labels of ids without a document are
-    ignored; an id labelled twice counts by its first row in order of the flags.
+    A word's odds compare its count in a domain with what its count in all of them lets expect,
+    so unknown words say nothing. Without any labelled document the posterior is even. Labels of
+    ids without a document are ignored; an id labelled twice counts by its first row in order of the flags.
     """
     picked = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(domain_of()).alias("domain"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample_rows)  # the documented bound
-    train = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(picked), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
+    train = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(picked), "doc_id").withColumn("half", half)
     train = stored(train, "labelled")
-    count_schema = T.StructType([T.StructField("domain", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())])
+    count_schema = T.StructType([T.StructField("half", T.IntegerType()), T.StructField("domain", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())])
+    k = len(DOMAINS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "__text"):
                 at, counts = _buckets(texts_of(part))
-                key = np.repeat(np.asarray(part.column("domain")).astype(np.int64), counts) * BUCKETS + at
-                found, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found // BUCKETS, pa.int32()), pa.array(found % BUCKETS, pa.int64()), pa.array(n, pa.int64())], names=count_schema.names)
-
-    totals = np.zeros((len(DOMAINS), BUCKETS))
-    # at most domains x BUCKETS rows
-    for row in train.filter("fold = 0").mapInArrow(count, count_schema).groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        totals[row["domain"], row["bucket"]] = row["n"]
-    words = np.log((totals + 0.5) / (totals.sum(1, keepdims=True) + 0.5 * BUCKETS))
+                own = np.asarray(part.column("half")).astype(np.int64) * k + np.asarray(part.column("domain")).astype(np.int64)
+                found, n = np.unique(np.repeat(own, counts) * BUCKETS + at, return_counts=True)
+                own = found // BUCKETS
+                yield pa.RecordBatch.from_arrays([pa.array(own // k, pa.int32()), pa.array(own % k, pa.int32()), pa.array(found % BUCKETS, pa.int64()), pa.array(n, pa.int64())], names=count_schema.names)
+
+    totals = np.zeros((2, k, BUCKETS))
+    # at most halves x domains x BUCKETS rows
+    counted = train.mapInArrow(count, count_schema).groupBy("half", "domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    totals[tuple(np.asarray(counted[c]).astype(np.int64) for c in ("half", "domain", "bucket"))] = np.asarray(counted["n"]).astype(float)
+    share = totals.sum(2, keepdims=True) / np.maximum(totals.sum((1, 2), keepdims=True), 1)
+    odds = np.log((totals + 1) / (share * totals.sum(1, keepdims=True) + 1))
     feature_schema = T.StructType([T.StructField("domain", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "__text"):
-                x, _ = _features(texts_of(part), words)
+                (first, second), _ = _features(texts_of(part), odds)
+                x = np.where(np.asarray(part.column("half"))[:, None] == 0, second, first)
                 yield pa.RecordBatch.from_arrays([part.column("domain").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=feature_schema.names)
 
-    rows = train.filter("fold = 1").mapInArrow(features, feature_schema).orderBy("domain", "x").collect()  # sample_rows at most
+    rows = train.mapInArrow(features, feature_schema).orderBy("domain", "x").collect()  # sample_rows at most
     n_x = 2 * len(DOMAINS) + 5
     x = np.array([r["x"] for r in rows], float).reshape(-1, n_x)
     y = np.eye(len(DOMAINS))[[r["domain"] for r in rows]].reshape(-1, len(DOMAINS))
@@ -140,7 +156,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, params: MixParams = MixPa
             new = ahead - step * (z.T @ (s - y) / len(z) + ridge * ahead)
             t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
             ahead, layer = new + (before - 1) / t * (new - layer), new
-    return Classifier(words, layer, mean, scale)
+    return Classifier(odds, layer, mean, scale)
 
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS]]
@@ -148,10 +164,10 @@ FIELDS = [T.StructField("n_tokens", T.LongType()), *[T.StructField(f"p_{d}", T.D
 
 def soft_membership(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` (words) and the posterior of every domain; null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: domains x BUCKETS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: halves x domains x BUCKETS
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-        x, counts = _features(texts_of(batch), shared.value.words)
+        x, counts = _features(texts_of(batch), shared.value.odds)
         p = _posteriors(x, shared.value)
         return [pa.array(counts, pa.int64()), *[pa.array(p[:, d], pa.float64()) for d in range(p.shape[1])]]
 
@@ -168,50 +184,95 @@ def rate_column(moves: list[list[float]], params: MixParams) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, m: F.least(F.lit(params.max_rate), F.greatest(F.lit(0.0), r - shift(m))))
 
 
-def leads(params: MixParams) -> Column:
-    """Whether a document most likely belongs to the leading domain."""
-    lead = max(DOMAINS, key=lambda d: params.weights[d])
-    return F.col(f"p_{lead}") >= F.greatest(*[F.col(f"p_{d}") for d in DOMAINS])
+def _summary(members: DataFrame, params: MixParams) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and mean posteriors by cell of the posteriors: at most cells + 1 choose 2 rows, whatever the input."""
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    n = F.col("n_tokens").cast("double")
+    cell = [F.floor(c * (params.cells - 1) + 0.5).alias(f"cell{i}") for i, c in enumerate(p[1:])]
+    rows = members.groupBy(*cell).agg(F.sum(n).alias("n"), *[F.sum(n * c).alias(f"t{i}") for i, c in enumerate(p)]).filter("n > 0").orderBy("cell0", "cell1").toArrow()
+    tokens = np.asarray(rows["n"]).astype(float)
+    return tokens, np.stack([np.asarray(rows[f"t{i}"]).astype(float) for i in range(len(p))], 1) / tokens[:, None]
+
+
+def _on_summary(tokens: np.ndarray, posterior: np.ndarray, target: np.ndarray, params: MixParams, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """One move from rate 1 that meets the target on the summary, and the relative error left.
+
+    The rates nearest to 1 that meet the target have this form; the move minimises the dual of
+    that problem, a convex function of as many numbers as there are domains, by damped Newton steps.
+    """
+    top = params.max_rate
+    moment = (posterior * tokens[:, None]).T @ posterior
+    ridge = 1e-3 * moment + 1e-12 * np.trace(moment) * np.eye(len(moment))
+
+    def dual(move: np.ndarray) -> float:
+        x = 1 - posterior @ move
+        return float(tokens @ np.where(x <= 0, 0.0, np.where(x <= top, x * x / 2, top * x - top * top / 2)) + move @ target)
+
+    move = np.zeros(len(target))
+    best, value = (move, np.inf), dual(move)
+    for _ in range(rounds):
+        x = 1 - posterior @ move
+        residual = (np.clip(x, 0, top) * tokens) @ posterior - target
+        error = float(np.abs(residual).sum() / target.sum())
+        if error < best[1]:
+            best = move, error
+        if error < params.tol / 10:
+            break
+        inside = (x > 0) & (x < top)
+        step = np.linalg.solve((posterior[inside] * tokens[inside, None]).T @ posterior[inside] + ridge, residual)
+        size, reached = 1.0, dual(move + step)
+        while reached > value - 1e-4 * size * (residual @ step) and size > 1e-6:
+            size /= 2
+            reached = dual(move + size * step)
+        while 1 <= size < 1e6 and (further := dual(move + 2 * size * step)) < reached:
+            size, reached = 2 * size, further
+        move, value = move + size * step, reached
+    return best
 
 
 def fit_rates(members: DataFrame, params: MixParams = MixParams()) -> list[list[float]]:
     """Projected-gradient steps from rate 1 for everyone, each as a vector over the domains.
 
-    Loss: the residual of the domain totals in the metric of the documents' second moments, so a
-    step reaches the targets at once where no rate is cut off at 0 or max_rate. Targets: documents
-    that most likely belong to the leading domain keep their tokens; every other domain gets its
-    weight's share next to them, but no less than what those documents hold of it anyway (soft
-    membership spreads a little of each domain over all), and no more than ``upsample`` times its own.
+    Loss: the squared residual of the domain totals, in the metric of the second moments of the
+    documents whose rates can move. Targets: the weights times the budget. Where no budget lets
+    soft membership meet the weights, the steps end as close as least squares brings them.
+    Without tokens there are no steps.
     """
     n, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
     weights = np.array([params.weights[d] for d in DOMAINS], float)
-    lead = int(np.argmax(weights))
-    inside = F.when(leads(params), n).otherwise(0.0)
-    first = members.agg(*[F.sum(n * c).alias(f"t{i}") for i, c in enumerate(p)], *[F.sum(inside * c).alias(f"l{i}") for i, c in enumerate(p)], *[F.sum(n * p[i] * p[j]).alias(f"m{i}{j}") for i in range(k) for j in range(i, k)]).first()
-    totals, held = (np.array([first[f"{x}{i}"] or 0.0 for i in range(k)]) for x in "tl")
-    if held.sum() <= 0:
+    weights /= weights.sum()
+    tokens, posterior = _summary(members, params)
+    if not len(tokens):
         return []
-    target = np.minimum(np.maximum(held, held[lead] * weights / weights[lead]), np.maximum(held, params.upsample * totals))
-    target[lead] = held[lead]
-    moment = np.array([[first[f"m{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
-    metric = np.linalg.inv(moment + 1e-9 * np.trace(moment) * np.eye(k))
-    moves: list[list[float]] = []
+    totals = tokens @ posterior
+    budget = params.budget
+    if budget is None:
+        most = params.max_rate * float(np.min(totals[weights > 0] / weights[weights > 0]))
+        low, high = 0.0, most
+        for _ in range(12):
+            mid = (low + high) / 2
+            low, high = (mid, high) if _on_summary(tokens, posterior, mid * weights, params)[1] < params.tol else (low, mid)
+        budget = params.margin * low or most
+    target = budget * weights
+    moves = [[float(m) for m in _on_summary(tokens, posterior, target, params)[0]]]
     for _ in range(params.steps):
         rate = rate_column(moves, params)
-        got = members.agg(*[F.sum(rate * n * c).alias(f"t{i}") for i, c in enumerate(p)]).first() if moves else first
+        inside = F.when((rate > 0) & (rate < params.max_rate), n).otherwise(0.0)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        got = members.agg(*[F.sum(rate * n * c).alias(f"t{i}") for i, c in enumerate(p)], *[F.sum((inside + 0.02 * n) * p[i] * p[j]).alias(f"m{i}{j}") for i, j in pairs]).first()
         residual = np.array([got[f"t{i}"] for i in range(k)]) - target
         if np.abs(residual).sum() <= params.tol * target.sum():
             break
-        moves.append([float(m) for m in metric @ residual])
+        moment = np.array([[got[f"m{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
+        moves.append([float(m) for m in np.linalg.solve(moment + 1e-9 * np.trace(moment) * np.eye(k), residual)])
     return moves
 
 
-def copies_column(rate: Column, params: MixParams, *key: str) -> Column:
-    """Whole copies: the fraction of the rate is decided by the key's hash. Documents of the leading
-    domain are not left to chance: they stay from keep_from on, and go below it."""
-    drawn = F.floor(rate) + F.when(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < (rate - F.floor(rate)) * F.lit(1 << 20), 1).otherwise(0)
-    return F.when(leads(params), F.when(rate < params.keep_from, 0).otherwise(F.greatest(drawn, F.lit(1)))).otherwise(drawn).cast("int")
+def copies_column(rate: Column, *key: str) -> Column:
+    """Whole copies, right on average: the fraction of the rate is decided by the key's hash."""
+    drawn = F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < (rate - F.floor(rate)) * F.lit(1 << 20)
+    return (F.floor(rate) + drawn.cast("int")).cast("int")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,13 +282,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_classifier(docs, table(spark, sf_dir, "labels"), params)
     members = stored(soft_membership(docs, model).drop("text"), "members")
     rate = rate_column(fit_rates(members, params), params)
-    return members.withColumn("rate", rate).withColumn("copies", copies_column(F.col("rate"), params, "doc_id"))
+    return members.withColumn("rate", rate).withColumn("copies", copies_column(F.col("rate"), "doc_id"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """Documents repeated as their rates say (repeated rows of one id), in the input's columns."""
+    """Documents repeated or left out as their rates say (repeated rows of one id), in the input's columns.
+
+    Null and empty texts have no tokens, and the posterior of an empty text; null ids are one key of
+    the draw, and so are rows of one id: they stay or go alike. Columns of any name pass through.
+    """
     model = fit_classifier(docs, labels, params)
-    members = stored(soft_membership(docs.select("doc_id", "text"), model).drop("text"), "members")
-    rate = rate_column(fit_rates(members, params), params)
-    mixed = soft_membership(docs, model).withColumn("__copies", copies_column(rate, params, "doc_id"))
-    return mixed.filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = numbered(docs)
+    text, key = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    # one pass of the classifier, its posteriors beside the rows
+    members = stored(soft_membership(plain, model, text), "members")
+    copies = copies_column(rate_column(fit_rates(members, params), params), key)
+    mixed = members.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return mixed.select(*[F.col(c).alias(name) for c, name in zip(plain.columns, docs.columns, strict=True)])
