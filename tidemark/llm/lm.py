@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import coded, segment_sums, slices, stored, table, texts_of, words_of
+from tidemark.llm.common import coded, discard, segment_sums, slices, stored, table, texts_of, words_of
 
 DEPTH = 4
 #: Depth of the registered query.
@@ -34,7 +34,7 @@ SLICE = 2 << 20
 #: An entry is frequent if it makes up at least one in so many of all; there are no more than this.
 HEAD_WORDS, HEAD_GRAMS = 1 << 20, 1 << 23
 #: Distinct n-grams that a worker counts before it hands them on.
-HELD_GRAMS = 1 << 21
+HELD_GRAMS = 3 << 20
 
 
 def lgamma(x: Column) -> Column:
@@ -225,7 +225,7 @@ def gram_counts(source: DataFrame, depth: int = DEPTH) -> DataFrame:
                 if size > HELD_GRAMS:
                     held = [_merged(held)]
                     size = len(held[0][0])
-                    if size > HELD_GRAMS // 2:
+                    if size > HELD_GRAMS * 2 // 3:
                         yield from rows(held)
                         held, size = [], 0
         if held:
@@ -235,7 +235,7 @@ def gram_counts(source: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``(gram, lp, n)``: log10 of the weighted probability of every listed n-gram's last byte in its context."""
+    """``(gram, lp, n)``, stored: log10 of the weighted probability of every listed n-gram's last byte in its context."""
     base = min(depth, BASE)
     ctx = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * base)) - 1))
     dealt = grams.select(ctx.alias("ctx"), "gram", "n")
@@ -288,7 +288,9 @@ def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([mine["gram"].combine_chunks(), pa.array(lp), mine["n"].combine_chunks()], names=model_schema.names)
 
     both = dealt.select("ctx", "gram", "n", *none).unionByName(upper)
-    return both.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(predict, model_schema)
+    model = stored(both.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(predict, model_schema), "model")
+    discard(deepest, *above)
+    return model
 
 
 def _lists(owner: np.ndarray, n_docs: int, values: pa.Array, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -317,7 +319,9 @@ def score_texts(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) ->
     spark = docs.sparkSession
     source = docs.select("doc_id", _held_out().alias("held_out"), F.col(f"`{text_col}`").alias("__text"))
     words = stored(word_counts(source), "words")
-    model = stored(context_tree(stored(gram_counts(source, depth), "grams"), depth), "model")
+    grams = stored(gram_counts(source, depth), "grams")
+    model = context_tree(grams, depth)
+    discard(grams)
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train = source.filter("not held_out").count()
     total, vocab = seen["n"] + n_train, seen["v"] + (1 if n_train else 0)  # every training text adds an end
