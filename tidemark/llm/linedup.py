@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import scratch, stored, table, without
+from tidemark.llm.common import numbered, remove_path, scratch, stored, table, without
 
 #: White space stripped from both ends of a line to make its key.
 BLANKS = " \t\n\v\f\r"
@@ -34,10 +34,12 @@ class LineRuns:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"tidemark_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", scratch(self.spark, "run")).option("compression", "zstd").saveAsTable(name)
+        self.paths[name] = scratch(self.spark, "run")
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.paths[name]).option("compression", "zstd").saveAsTable(name)
         return name
 
     def _merge(self, names: list[str]) -> str:
@@ -50,9 +52,14 @@ class LineRuns:
                 F.expr("greatest(a.max_doc, b.max_doc)").alias("max_doc"),
             )
         out = self._write(merged)
+        self._remove(names)
+        return out
+
+    def _remove(self, names: list[str]) -> None:
+        """Drop runs that are not needed any more, with their files."""
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        return out
+            remove_path(self.spark, self.paths.pop(name))
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
@@ -79,6 +86,11 @@ class LineRuns:
             self.levels = [[], [self._merge(names)]]
         return self.spark.table(self.runs()[0])
 
+    def close(self) -> None:
+        """Remove all runs."""
+        self._remove(self.runs())
+        self.levels = [[]]
+
 
 def line_keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     """``(doc_id, h)``: one row per document and distinct key of enough code points."""
@@ -110,11 +122,11 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_chars: int = 20, mi
     store = LineRuns(spark, min_docs, fanout)
     for i in range(len(cuts) + 1):
         store.add(lines.filter(F.col("batch") == i).select("doc_id", "h"))
-    shared = store.compacted().filter(F.col("n_docs") >= min_docs).select("h", "max_doc")
-    drops = (
-        lines.select("doc_id", "h").distinct().join(shared, "h").filter(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-        .groupBy("doc_id").agg(F.collect_set("h").alias("__drops")).withColumnRenamed("doc_id", "__id")
-    )
+    # written first, so that the join's two sides are both dealt by it and a very common line can be split
+    shared = stored(store.compacted().filter(F.col("n_docs") >= min_docs).select("h", "max_doc"), "shared-lines")
+    store.close()
+    drops = lines.join(shared.hint("merge"), "h").filter(~F.col("doc_id").eqNullSafe(F.col("max_doc"))).select("doc_id", "h").distinct()
+    drops = drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("h").alias("__drops"))
     kept = without(docs, ["n_lines", "n_dropped"]).columns
     joined = docs.select(*kept).join(drops, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     schema = T.StructType([*[docs.schema[c] if c != text_col else T.StructField(c, T.StringType()) for c in kept], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -147,7 +159,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_shared_lines(docs: DataFrame) -> DataFrame:
-    """The documents without their shared lines, in the input's columns."""
-    out = dedup_lines(docs)
-    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns)
+    """The documents without their shared lines, in the input's columns; ``n_chars``, if there, follows the text.
+
+    Null text becomes empty, all documents stay (a text may become empty); null ids and repeated
+    rows as in :func:`dedup_lines`. Columns of any name pass through.
+    """
+    plain = numbered(docs).withColumnsRenamed({f"c{docs.columns.index(c)}": c for c in ("doc_id", "text")})
+    out = dedup_lines(plain)
+    made = {"n_chars": F.length("text")}
+    return out.select(*[made.get(c, F.col(x)).cast(docs.schema[c].dataType).alias(c) for c, x in zip(docs.columns, plain.columns, strict=True)])
