@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,11 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import scratch, slices, stored, table
+from tidemark.llm.common import remove_path, scratch, slices, stored, table
 
 UNIT = 64
 MAGIC = b"TMC1"
@@ -31,14 +30,15 @@ MAGIC = b"TMC1"
 @dataclass(frozen=True)
 class ChunkParams:
     """least, most: bytes of a chunk. bits: a cut is taken where so many hash bits are 0. level: of zstd.
-    flag_bits: size of the bit map of rows with shared chunks, as a power of two; it only decides
-    which rows are joined, and false hits are harmless."""
+    flag_bits, most_flag_bits: bounds of the size of the bit map of rows with shared chunks, as powers of two
+    (sixteen bits for each such row between them); it only decides which rows are joined, and false hits are harmless."""
 
     least: int = 2048
     most: int = 16384
     bits: int = 12
     level: int = 9
     flag_bits: int = 22
+    most_flag_bits: int = 27
 
 
 #: Gear table: 256 numbers from a seeded generator.
@@ -102,45 +102,38 @@ STORE = T.StructType([
 ])
 
 
-def _flag(rid: Column, p: ChunkParams) -> Column:
-    """The bit of a row key."""
-    return F.conv(F.hex(F.substring(rid, 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << p.flag_bits) - 1))
-
-
 def _flags(rids: DataFrame, p: ChunkParams) -> np.ndarray:
-    """The bit map of the row keys in ``rids``: 2^flag_bits bits at most, whatever the input."""
-    bit = rids.select(_flag(F.col("rid"), p).alias("b")).select(F.shiftright("b", 5).alias("w"), F.expr("shiftleft(1L, cast(b & 31 as int))").alias("v"))
-    out = np.zeros(1 << (p.flag_bits - 5), np.uint32)
-    for row in bit.groupBy("w").agg(F.bit_or("v").alias("v")).toLocalIterator():
-        out[row["w"]] = row["v"]
+    """The bit map of the row keys in ``rids``, in words of 32 bits: 2^most_flag_bits bits at most, whatever the input."""
+    n = rids.count()
+    bits = min(p.most_flag_bits, max(p.flag_bits, int(16 * n).bit_length()))
+    bit = rids.select(F.conv(F.hex(F.substring("rid", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1)).alias("b"))
+    words = bit.select(F.shiftright("b", 5).alias("w"), F.expr("shiftleft(1L, cast(b & 31 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[np.asarray(words["w"]).astype(np.int64)] = np.asarray(words["v"]).astype(np.uint32)
     return out
 
 
-def _rows(docs: DataFrame, p: ChunkParams, with_data: bool, flags: np.ndarray | None = None, flagged: bool = True) -> DataFrame:
-    """Chunk lists of all documents, or of those (not) flagged, with or without compressed bytes."""
-    sent = docs.sparkSession.sparkContext.broadcast(flags)  # fixed size
-    schema = T.StructType(STORE.fields if with_data else STORE.fields[:-1])
+def _rows(docs: DataFrame, p: ChunkParams, flags: np.ndarray | None = None) -> DataFrame:
+    """Chunk lists of all documents; with a bit map of row keys also the compressed bytes, and ``flagged``: whether the map has the row."""
+    sent = docs.sparkSession.sparkContext.broadcast(flags)  # of bounded size
+    with_data = flags is not None
+    schema = T.StructType([*STORE.fields, T.StructField("flagged", T.BooleanType())] if with_data else STORE.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=p.level, write_checksum=False, write_content_size=True)
         for whole in batches:
             for part in slices(whole, "__text"):
-                ids = part.column("doc_id").to_pylist()
                 made = [payload_of(t) for t in part.column("__text").to_pylist()]
-                keys = [_row_key(i, m[0]) for i, m in zip(ids, made, strict=True)]
-                if (bits := sent.value) is not None:
-                    at = [int.from_bytes(k[:4], "big") & ((1 << p.flag_bits) - 1) for k in keys]
-                    mine = [bool(bits[x >> 5] >> np.uint32(x & 31) & 1) == flagged for x in at]
-                    ids, made, keys = ([v for v, m in zip(vs, mine, strict=True) if m] for vs in (ids, made, keys))
-                if not keys:
-                    continue
+                keys = [_row_key(i, m[0]) for i, m in zip(part.column("doc_id").to_pylist(), made, strict=True)]
                 chunks = _chunked([m[0] for m in made], p)
                 cols = [
-                    pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array([m[1] for m in made], pa.int64()),
+                    pa.array(keys, pa.binary()), part.column("doc_id"), pa.array([m[1] for m in made], pa.int64()),
                     pa.array([len(m[0]) for m in made], pa.int64()), pa.array([[_digest(c) for c in cs] for cs in chunks], pa.list_(pa.binary())), pa.array([[len(c) for c in cs] for cs in chunks], pa.list_(pa.int32())),
                 ]
                 if with_data:
-                    cols.append(pa.array([[packer.compress(c) for c in cs] for cs in chunks], pa.list_(pa.binary())))
+                    at = np.array([int.from_bytes(k[:4], "big") for k in keys], np.int64) & (32 * len(sent.value) - 1)
+                    hit = (sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+                    cols += [pa.array([[packer.compress(c) for c in cs] for cs in chunks], pa.list_(pa.binary())), pa.array(hit)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text"))
@@ -149,8 +142,8 @@ def _rows(docs: DataFrame, p: ChunkParams, with_data: bool, flags: np.ndarray |
 
 @dataclass
 class MediaStore:
-    """A written chunk store: ``plain`` rows share nothing; ``rows`` (bucketed by row key) have bytes where they own the
-    chunk; ``requests`` say where shared chunks lie."""
+    """A written chunk store: ``plain`` rows share nothing; ``rows`` have bytes where they own the chunk;
+    ``requests`` say where shared chunks lie."""
 
     plain: DataFrame
     rows: DataFrame
@@ -165,21 +158,21 @@ def write_media(docs: DataFrame, params: ChunkParams = ChunkParams()) -> MediaSt
     other than doc_id and text are not stored.
     """
     spark = docs.sparkSession
-    lists = stored(_rows(docs, params, False).select("rid", F.posexplode("digests").alias("pos", "digest")).distinct(), "chunk-lists")
+    lists = stored(_rows(docs, params).select("rid", F.posexplode("digests").alias("pos", "digest")).distinct(), "chunk-lists")
     # written first, so that the join can split a chunk that very many payloads share
     owners = stored(lists.groupBy("digest").agg(F.min(F.struct("rid", "pos")).alias("own"), F.count("*").alias("n")).filter("n > 1"), "chunk-owners")
-    placed = lists.join(owners, "digest").filter("rid <> own.rid or pos <> own.pos")
+    placed = lists.join(owners.hint("merge"), "digest").filter("rid <> own.rid or pos <> own.pos")
     requests = stored(placed.select(F.col("own.rid").alias("owner"), F.col("own.pos").alias("owner_pos"), "rid", "pos"), "chunk-requests")
     flags = _flags(requests.select("rid").unionAll(requests.select(F.col("owner").alias("rid"))), params)
-    plain = scratch(spark, "media-plain")
-    _rows(docs, params, True, flags, False).write.option("compression", "none").parquet(plain)
-    shared = requests.groupBy("rid").agg(F.collect_set("pos").alias("__shared"))
-    rows = _rows(docs, params, True, flags, True).join(shared, "rid", "left")
-    own_only = F.transform("data", lambda d, i: F.when(F.coalesce(F.array_contains("__shared", i), F.lit(False)), F.lit(None)).otherwise(d))
-    name = f"tidemark_media_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.select(*STORE.names[:-1], own_only.alias("data")).repartition(buckets, "rid").write.bucketBy(buckets, "rid").sortBy("rid").option("path", scratch(spark, "media")).option("compression", "none").saveAsTable(name)
-    return MediaStore(spark.read.schema(STORE).parquet(plain), spark.table(name), requests)
+    path = scratch(spark, "media")
+    _rows(docs, params, flags).write.partitionBy("flagged").option("compression", "none").parquet(path)
+    written = spark.read.schema(T.StructType([*STORE.fields, T.StructField("flagged", T.BooleanType())])).parquet(path)
+    # rows that share chunks are written again without the bytes that lie with others
+    shared = requests.groupBy("rid").agg(F.collect_set("pos").alias("shared"))
+    own_only = F.transform("data", lambda d, i: F.when(F.coalesce(F.array_contains("shared", i), F.lit(False)), F.lit(None)).otherwise(d))
+    rows = stored(written.filter("flagged").join(shared.hint("merge"), "rid", "left").select(*STORE.names[:-1], own_only.alias("data")), "media-shared")
+    remove_path(spark, f"{path}/flagged=true")
+    return MediaStore(written.filter("not flagged").drop("flagged"), rows, requests)
 
 
 RESULT = T.StructType([
@@ -195,11 +188,14 @@ def read_media(store: MediaStore, with_payload: bool = False) -> DataFrame:
     digest of each chunk) followed by the stored chunks. feature: number of chunks, distinct byte
     values, mean, and entropy of the samples.
     """
-    asked = store.requests.select("owner", "owner_pos").distinct().groupBy("owner").agg(F.collect_set("owner_pos").alias("asked"))
-    lent = store.rows.join(asked.withColumnRenamed("owner", "rid"), "rid").select(F.col("rid").alias("owner"), F.posexplode("data").alias("owner_pos", "bytes"), "asked").filter(F.array_contains("asked", F.col("owner_pos")))
-    fetched = store.requests.join(lent.select("owner", "owner_pos", "bytes").dropDuplicates(["owner", "owner_pos"]), ["owner", "owner_pos"])
+    asked = store.requests.select("owner", "owner_pos").distinct()
+    held = store.rows.join(asked.groupBy(F.col("owner").alias("rid")).agg(F.collect_list("owner_pos").alias("asked")).hint("merge"), "rid")
+    lent = held.select(F.col("rid").alias("owner"), F.posexplode("data").alias("owner_pos", "bytes"), "asked").filter(F.array_contains("asked", F.col("owner_pos")))
+    # written first, so that the join can split a chunk that very many payloads ask for
+    lent = stored(lent.select("owner", "owner_pos", "bytes").dropDuplicates(["owner", "owner_pos"]), "media-lent")
+    fetched = store.requests.join(lent.hint("merge"), ["owner", "owner_pos"])
     fetched = fetched.groupBy("rid").agg(F.collect_list(F.struct("pos", "bytes")).alias("fetched"))
-    joined = store.rows.join(fetched, "rid", "left")
+    joined = store.rows.join(fetched.hint("merge"), "rid", "left")
     alone = store.plain.withColumn("fetched", F.lit(None).cast("array<struct<pos:int,bytes:binary>>"))
     schema = T.StructType([*RESULT.fields, T.StructField("payload", T.BinaryType())]) if with_payload else RESULT
 
