@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import attach, coded, mix64, segment_sums, table, texts_of, words_of
+from tidemark.llm.common import attach, coded, mix64, numbered, segment_sums, table, texts_of, words_of
 
 
 @dataclass(frozen=True)
@@ -147,19 +148,15 @@ def judge_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = Line
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """Kept documents with their cleaned text, in the input's columns; ``n_chars``, if there, follows the text."""
-    from pyspark.sql import functions as F
-
-    judged = judge_lines(docs, text_col, rules, "__clean").filter("kept")
-    columns = []
-    for c in docs.columns:
-        if c == text_col:
-            columns.append(F.col("__clean").alias(c))
-        elif c == "n_chars":
-            columns.append(F.length("__clean").cast(docs.schema[c].dataType).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return judged.select(*columns)
+    """Kept documents with their cleaned text, in the input's columns; ``n_chars``, if there, follows the text.
+
+    Null and empty texts are not kept, nor are texts of any length that fail the rules; rows with
+    a null id and repeated rows are judged like others. Columns of any name pass through.
+    """
+    plain = numbered(docs)
+    judged = judge_lines(plain, f"c{docs.columns.index(text_col)}", rules, "cleaned").filter("kept")
+    made = {text_col: F.col("cleaned"), "n_chars": F.length("cleaned")}
+    return judged.select(*[made.get(c, F.col(x)).cast(docs.schema[c].dataType).alias(c) for c, x in zip(docs.columns, plain.columns, strict=True)])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
