@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -109,11 +110,14 @@ def by_symbol(rows):
     return {s: [r for r in rows if r[0] == s] for s in sorted({r[0] for r in rows})}
 
 
-def test_layer3_matches_machine(bars):
+@pytest.mark.parametrize("chunk", [8192, 37])
+def test_layer3_matches_machine(bars, chunk):
     from tidemark.operators.layer3 import layer3
 
     rows, frame = bars
-    got = {s: sorted((r for r in layer3(frame, C).collect() if r.symbol == s), key=lambda r: r.ts) for s in "abc"}
+    found = layer3(frame, replace(C, chunk_bars=chunk)).collect()
+    assert len(found) == len(rows)
+    got = {s: sorted((r for r in found if r.symbol == s), key=lambda r: r.ts) for s in "abc"}
     for s, own in by_symbol(rows).items():
         h, lo, c = ([b[k] for b in own] for k in (3, 4, 5))
         sh, sl = swings(h, lo)
@@ -128,6 +132,35 @@ def test_layer3_matches_machine(bars):
             assert math.isclose(r.l3_sell_liq_distance, 0.0 if sell is None else c[i] - sell, abs_tol=1e-9)
 
 
+def test_gaps_that_stay_open_over_many_chunks(spark):
+    """A rise with gaps, then a fall that closes them one after the other."""
+    from tidemark.operators.layer3 import layer3
+
+    rng = np.random.default_rng(8)
+    steps = np.concatenate([np.full(120, 1.5), np.full(170, -1.1)]) + rng.normal(0, 0.3, 290).round(2)
+    close = 100 + np.cumsum(steps).round(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("s", start + dt.timedelta(minutes=15 * i), *(float(round(x, 2)) for x in (c - d / 2, max(c, c - d / 2) + 0.1, min(c, c - d / 2) - 0.1, c)), 1.0) for i, (c, d) in enumerate(zip(close, steps, strict=True))]
+    want = [(w[4], w[5]) for w in machine(rows)]
+    assert sum(side == 1 for side, _ in want) > 150
+    for chunk in (16, 8192):
+        got = sorted(layer3(spark.createDataFrame(rows, COLUMNS), replace(C, chunk_bars=chunk)).collect(), key=lambda r: r.ts)
+        assert all(r.l3_fvg_active == side and math.isclose(r.l3_fvg_distance, gap, abs_tol=1e-9) for r, (side, gap) in zip(got, want, strict=True))
+
+
+def test_trailing_quantiles():
+    from tidemark.operators.chunks import trailing_quantiles
+
+    values = np.random.default_rng(1).normal(0, 1, 60).round(1)
+    values[[3, 40]] = np.nan
+    for own in (0, 25):
+        low, high = trailing_quantiles(values, own, 20, 5, [0.25, 0.95])
+        for k, i in enumerate(range(own, 60)):
+            window = values[max(0, i - 19) : i + 1]
+            for got, q in ((low[k], 0.25), (high[k], 0.95)):
+                assert np.isnan(got) if len(window) < 5 else math.isclose(got, np.nanquantile(window, q), abs_tol=1e-12)
+
+
 def test_block_join_equals_scan(bars):
     from tidemark.operators import layer3 as L3
 

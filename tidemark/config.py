@@ -37,6 +37,7 @@ class EngineConfig:
     gap_pips: float = 0.5
     block_age: int = 500
     equilibrium: float = 0.05
+    chunk_bars: int = 8192
     # derived scores
     whale_volume: int = 13
     whale_reversals: int = 4

@@ -1,14 +1,15 @@
 """Layer 3: market structure.
 
 Swings, structure trend, breaks and higher-timeframe trends are windows and equi-joins. Order
-blocks, gaps and liquidity pools have lifetimes and clusters; they run as one Arrow pass over
-each symbol's bars in time order, whose state is bounded by the living blocks and gaps and the
-pool window, never by the series. Order blocks also have a set-based form, an interval join.
+blocks, gaps and liquidity pools have lifetimes and clusters; they run as vectorised passes over
+time chunks, each with as many bars before it as blocks live and pools span. Gaps have no such
+bound: every chunk names the gaps that it leaves open and its lowest low, a pass over these
+summaries says which older gaps a chunk has to know. Order blocks also have a set-based form,
+an interval join.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.config import EngineConfig
 from tidemark.operators.bars import bucket, resample
+from tidemark.operators.chunks import in_chunks, numbers, summarised, trailing_quantiles, trailing_windows
 from tidemark.operators.windows import before, binned_interval_join, fill_forward, ordinal, series
 
 
@@ -93,13 +95,20 @@ def premium_discount(bars: DataFrame, config: EngineConfig) -> DataFrame:
     return bars.withColumn("l3_premium_discount", zone)
 
 
-def order_blocks(bars: DataFrame, demand: bool, config: EngineConfig) -> DataFrame:
-    """Order blocks ``(symbol, start_i, lo, hi, mid)`` that breaks make of the last opposite candle since the broken swing."""
+def _block_made(demand: bool) -> tuple[Column, Column]:
+    """Bottom and top of the order block that a break makes of the last opposite candle since the broken swing, else null."""
     opposite = F.col("close") < F.col("open") if demand else F.col("close") > F.col("open")
     candle = F.when(opposite, F.struct(F.col("i").alias("j"), F.least("open", "close").alias("lo"), F.greatest("open", "close").alias("hi")))
-    last = bars.withColumn("__c", F.last(candle, ignorenulls=True).over(before()))
-    made = last.filter((F.col("l3_bos_direction") == (1 if demand else -1)) & (F.col("__c.j") >= F.greatest(F.col("__sh_i" if demand else "__sl_i"), F.lit(0))))
-    return made.select("symbol", F.col("i").alias("start_i"), "__c.lo", "__c.hi", ((F.col("__c.lo") + F.col("__c.hi")) / 2).alias("mid"))
+    last = F.last(candle, ignorenulls=True).over(before())
+    made = (F.col("l3_bos_direction") == (1 if demand else -1)) & (last["j"] >= F.greatest(F.col("__sh_i" if demand else "__sl_i"), F.lit(0)))
+    return F.when(made, last["lo"]), F.when(made, last["hi"])
+
+
+def order_blocks(bars: DataFrame, demand: bool, config: EngineConfig) -> DataFrame:
+    """Order blocks ``(symbol, start_i, lo, hi, mid)``."""
+    lo, hi = _block_made(demand)
+    made = bars.withColumns({"__lo": lo, "__hi": hi}).filter("__lo is not null")
+    return made.select("symbol", F.col("i").alias("start_i"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), ((F.col("__lo") + F.col("__hi")) / 2).alias("mid"))
 
 
 def block_distance(bars: DataFrame, demand: bool, name: str, config: EngineConfig) -> DataFrame:
@@ -118,84 +127,160 @@ def block_distance(bars: DataFrame, demand: bool, name: str, config: EngineConfi
     return bars.join(nearest, ["symbol", "i"], "left").withColumn(name, F.coalesce("__dist", F.lit(0.0))).drop("__dist")
 
 
-def _pool(prices: np.ndarray, tolerance: float, touches: int) -> float | None:
-    """Mean of the largest cluster around one of the prices (the first on ties) with enough touches."""
-    if len(prices) < touches:
-        return None
-    near = np.abs(prices[:, None] - prices[None, :]) <= tolerance
-    counts = near.sum(1)
-    best = int(np.argmax(counts))
-    return float(prices[near[best]].mean()) if counts[best] >= touches else None
-
-
-class _Gaps:
-    """Open price gaps of one side, in coordinates where price falls into them from above.
-
-    A new gap's top is the bar's low and all open tops are below it, so tops ascend and a falling
-    low closes gaps from the end. Gaps two or more bars apart don't overlap: the nearest middle
-    is among the last two.
+def _pools(prices: np.ndarray, own: int, width: int, tolerance: float, touches: int) -> np.ndarray:
+    """For each row from ``own`` on the mean of the largest cluster around one of its last ``width`` prices (the oldest on ties), NaN below ``touches``."""
+    windows = trailing_windows(prices, own, width)
+    n, lags = len(prices), np.arange(1, width)
+    # near[t, d]: whether t and t - d are close; counts of close partners before and after are sums along d
+    padded = np.concatenate([np.full(width, np.nan), prices, np.full(width, np.nan)])
+    at = np.arange(n) + width
+    older = np.zeros((n, width), np.int16)
+    newer = np.zeros((n, width), np.int16)
+    for d in lags:
+        older[:, d] = older[:, d - 1] + (np.abs(prices - padded[at - d]) <= tolerance)
+        newer[:, d] = newer[:, d - 1] + (np.abs(prices - padded[at + d]) <= tolerance)
+    age = np.arange(width - 1, -1, -1)  # oldest first
+    rows = np.arange(own, n)[:, None] - age
+    there = rows >= 0
+    rows = np.maximum(rows, 0)
+    counts = np.where(there, 1 + older[rows, width - 1 - age] + newer[rows, age], 0)
+    best = counts.argmax(1)
+    most = np.take_along_axis(counts, best[:, None], 1)[:, 0]
+    middle = np.take_along_axis(windows, best[:, None], 1)
+    inside = np.abs(windows - middle) <= tolerance
+    mean = np.where(inside, windows, 0.0).sum(1) / np.maximum(inside.sum(1), 1)
+    return np.where(most >= touches, mean, np.nan)
+
+
+def _first_at_most(values: np.ndarray, start: int, bound: float) -> int:
+    """The first position from ``start`` on of a value up to ``bound``, or the end."""
+    for at in range(start, len(values), 256):
+        hit = np.nonzero(values[at : at + 256] <= bound)[0]
+        if len(hit):
+            return at + int(hit[0])
+    return len(values)
+
+
+def _born(high: np.ndarray, low: np.ndarray, own: int, least: float) -> np.ndarray:
+    """Where price gaps open, in coordinates where price falls into them from above."""
+    at = np.nonzero(low[2:] - high[:-2] >= least)[0] + 2
+    return at[at >= own]
+
+
+def _left_open(high: np.ndarray, low: np.ndarray, own: int, least: float) -> tuple[list[float], list[float], float]:
+    """Tops and middles of the chunk's gaps that it leaves open, and its lowest low."""
+    stays = [g for g in _born(high, low, own, least) if _first_at_most(low, g + 1, low[g]) == len(low)]
+    return [float(low[g]) for g in stays], [float(high[g - 2] + low[g]) / 2 for g in stays], float(low[own:].min())
+
+
+def _gap_distance(high: np.ndarray, low: np.ndarray, close: np.ndarray, own: int, least: float, tops: np.ndarray, middles: np.ndarray) -> np.ndarray:
+    """Distance of each close from ``own`` on over the nearest open gap's middle, NaN where none is open.
+
+    tops, middles: older open gaps, in ascending order. A new gap's top is the bar's low and all
+    open tops are below it, so gaps close from the end and their spans are nested. Gaps two or
+    more bars apart don't overlap: the nearest middle is among the last three.
     """
-
-    def __init__(self, least: float):
-        self.least, self.open, self.past = least, [], deque(maxlen=2)
-
-    def step(self, high: float, low: float, close: float) -> float | None:
-        """Distance of the close over the nearest open gap's middle, None if no gap is open."""
-        while self.open and low <= self.open[-1][1]:
-            self.open.pop()
-        if len(self.past) == 2 and low - self.past[0] >= self.least:
-            self.open.append((self.past[0], low))
-        self.past.append(high)
-        found = [close - (lo + hi) / 2 for lo, hi in self.open[-3:]]
-        return min(found, key=abs) if found else None
-
-
-class _Blocks:
-    """Living order blocks of one side, in coordinates where price breaks upwards."""
-
-    def __init__(self, age: int):
-        self.age, self.alive, self.last = age, [], None
-
-    def step(self, i: int, open_: float, close: float, target: int | None) -> float | None:
-        """Distance of the close over the nearest living block's middle; ``target`` is the broken swing's position on a break."""
-        if target is not None and self.last is not None and self.last[0] >= max(target, 0):
-            _, lo, hi = self.last
-            self.alive.append((i, lo, (lo + hi) / 2))
-        self.alive = [b for b in self.alive if close >= b[1] and i - b[0] <= self.age]
-        if close < open_:
-            self.last = (i, close, open_)
-        return min((close - mid for _, _, mid in self.alive), key=abs, default=None)
-
-
-def scan_lifetimes(bars: DataFrame, config: EngineConfig) -> DataFrame:
-    """Add block, gap and pool columns by one pass over each symbol's bars in time order."""
-    made = [T.StructField("l3_demand_ob_distance", T.DoubleType()), T.StructField("l3_supply_ob_distance", T.DoubleType()), T.StructField("l3_fvg_active", T.IntegerType()), T.StructField("l3_fvg_distance", T.DoubleType()), T.StructField("__buy_pool", T.DoubleType()), T.StructField("__sell_pool", T.DoubleType())]
-    schema = T.StructType(bars.schema.fields + made)
-    least, tol, touches, width, pip, age = config.gap_pips * config.pip, config.liq_tolerance_pips * config.pip, config.liq_touches, config.liq_window, config.pip, config.block_age
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, bull, bear, highs, lows, demand, supply = object(), None, None, None, None, None, None
-        for b in batches:
-            active, dist, buy, sell, dem, sup = [], [], [], [], [], []
-            columns = ("symbol", "i", "open", "high", "low", "close", "l3_bos_direction", "__sh_i", "__sl_i")
-            for s, i, open_, high, low, close, bos, sh_i, sl_i in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
-                if s != symbol:
-                    symbol, bull, bear = s, _Gaps(least), _Gaps(least)
-                    highs, lows = deque(maxlen=width), deque(maxlen=width)
-                    demand, supply = _Blocks(age), _Blocks(age)
-                highs.append(high)
-                lows.append(low)
-                up = bull.step(high, low, close)
-                down = bear.step(-low, -high, -close)
-                active.append(1 if up is not None else -1 if down is not None else 0)
-                dist.append((up if up is not None else down if down is not None else 0.0) / pip)
-                dem.append((demand.step(i, open_, close, sh_i if bos == 1 else None) or 0.0) / pip)
-                sup.append((supply.step(i, -open_, -close, sl_i if bos == -1 else None) or 0.0) / pip)
-                buy.append(_pool(np.array(highs), tol, touches))
-                sell.append(_pool(np.array(lows), tol, touches))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dem, pa.float64()), pa.array(sup, pa.float64()), pa.array(active, pa.int32()), pa.array(dist, pa.float64()), pa.array(buy, pa.float64()), pa.array(sell, pa.float64())], names=schema.names)
-
-    return bars.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(run, schema)
+    born = _born(high, low, own, least)
+    tops, middles = np.concatenate([tops, low[born]]), np.concatenate([middles, (high[born - 2] + low[born]) / 2])
+    starts = np.concatenate([np.full(len(tops) - len(born), own), born]).astype(int)
+    latest = np.full(len(low), -1)
+    below = np.full(len(tops) + 1, -1)  # the open gap under each; the last place stands for none
+    for k, (start, top) in enumerate(zip(starts.tolist(), tops.tolist(), strict=True)):
+        old = k < len(tops) - len(born)
+        below[k] = k - 1 if old else latest[start]
+        latest[start : _first_at_most(low, start if old else start + 1, top)] = k
+    found = [latest[own:]]
+    for _ in range(2):
+        found.append(below[found[-1]])
+    best = np.full(len(low) - own, np.nan)
+    for at in reversed(found):  # the oldest first
+        dist = np.where(at >= 0, close[own:] - np.concatenate([middles, [np.nan]])[at], np.nan)
+        best = np.where(np.isnan(best) | (np.abs(dist) < np.abs(best)), np.where(np.isnan(dist), best, dist), best)
+    return best
+
+
+def _block_distances(close: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: int, age: int) -> np.ndarray:
+    """Distance of each close from ``own`` on over the nearest living block's middle, NaN without one, in coordinates where price breaks upwards."""
+    best = np.full(len(close), np.nan)
+    for start in np.nonzero(~np.isnan(lo))[0]:
+        end = min(start + age + 1, len(close))
+        dead = np.nonzero(close[start:end] < lo[start])[0]
+        part = slice(start, start + int(dead[0]) if len(dead) else end)
+        dist = close[part] - (lo[start] + hi[start]) / 2
+        best[part] = np.where(np.isnan(best[part]) | (np.abs(dist) < np.abs(best[part])), dist, best[part])
+    return best[own:]
+
+
+_OPEN_GAPS = ("__bull_tops", "__bull_middles", "__bear_tops", "__bear_middles")
+
+
+def open_gaps(bars: DataFrame, config: EngineConfig) -> DataFrame:
+    """``(symbol, i)`` and the older open gaps of both sides that matter in the chunk that begins at ``i``."""
+    least, size = config.gap_pips * config.pip, config.chunk_bars
+    numbers_ = T.ArrayType(T.DoubleType())
+    fields = [T.StructField(c, numbers_) for c in _OPEN_GAPS] + [T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]
+
+    def said(rows: pa.Table, own: int) -> dict:
+        high, low = numbers(rows, "high", "low")
+        up_tops, up_middles, lowest = _left_open(high, low, own, least)
+        down_tops, down_middles, highest = _left_open(-low, -high, own, least)
+        return dict(zip((*_OPEN_GAPS, "low", "high"), (up_tops, up_middles, down_tops, down_middles, lowest, highest), strict=True))
+
+    summary = summarised(bars.select("symbol", "i", "high", "low"), said, fields, size, 2)
+    schema = T.StructType([bars.schema["symbol"], T.StructField("i", T.IntegerType()), *[T.StructField(c, numbers_) for c in _OPEN_GAPS]])
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, held = object(), {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():  # one for each chunk
+                if row["symbol"] != symbol:
+                    symbol, held = row["symbol"], {"bull": ([], []), "bear": ([], [])}
+                made = {"symbol": symbol, "i": row["chunk"] * size}
+                for side, bound in (("bull", row["low"]), ("bear", row["high"])):
+                    tops, middles = held[side]
+                    closed = len(tops) - int(np.searchsorted(tops, bound))
+                    used = slice(max(len(tops) - closed - 3, 0), None)  # those it closes, and the three below them
+                    made |= {f"__{side}_tops": tops[used], f"__{side}_middles": middles[used]}
+                    stays = len(tops) - closed
+                    held[side] = (tops[:stays] + row[f"__{side}_tops"], middles[:stays] + row[f"__{side}_middles"])
+                out.append(made)
+            if out:
+                kinds = [pa.string(), pa.int32(), *[pa.list_(pa.float64())] * 4]
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(zip(schema.names, kinds, strict=True))))
+
+    return summary.repartition("symbol").sortWithinPartitions("symbol", "chunk").mapInArrow(carry, schema)
+
+
+def scan_lifetimes(bars: DataFrame, config: EngineConfig, quantiles: tuple[tuple[str, str, float], ...] = ()) -> DataFrame:
+    """Add block, gap and pool columns by one pass over time chunks.
+
+    quantiles: ``(new column, column, share)``, trailing quantiles that the same pass computes.
+    """
+    names = ["l3_demand_ob_distance", "l3_supply_ob_distance", "l3_fvg_active", "l3_fvg_distance", "__buy_pool", "__sell_pool", *[q[0] for q in quantiles]]
+    fields = [T.StructField(c, T.IntegerType() if c == "l3_fvg_active" else T.DoubleType()) for c in names]
+    least, tol, pip = config.gap_pips * config.pip, config.liq_tolerance_pips * config.pip, config.pip
+    blocks = {f"__{side}_{edge}": c for side, demand in (("demand", True), ("supply", False)) for edge, c in zip(("lo", "hi"), _block_made(demand), strict=True)}
+    source = bars.withColumns(blocks).join(open_gaps(bars, config), ["symbol", "i"], "left")
+
+    def passed(rows: pa.Table, own: int) -> dict[str, np.ndarray]:
+        high, low, close, d_lo, d_hi, s_lo, s_hi = numbers(rows, "high", "low", "close", "__demand_lo", "__demand_hi", "__supply_lo", "__supply_hi")
+        carried = [np.array(rows[c][own].as_py() or [], float) for c in _OPEN_GAPS]
+        up = _gap_distance(high, low, close, own, least, *carried[:2])
+        down = _gap_distance(-low, -high, -close, own, least, *carried[2:])
+        values = [
+            _block_distances(close, d_lo, d_hi, own, config.block_age), _block_distances(-close, -s_hi, -s_lo, own, config.block_age),
+            np.where(~np.isnan(up), 1, np.where(~np.isnan(down), -1, 0)), np.where(~np.isnan(up), up, down),
+        ]
+        for k in (0, 1, 3):
+            values[k] = np.nan_to_num(values[k]) / pip
+        values += [_pools(x, own, config.liq_window, tol, config.liq_touches) for x in (high, low)]
+        for _, column, share in quantiles:
+            values += trailing_quantiles(*numbers(rows, column), own, config.dna_window, config.dna_least, [share])
+        return dict(zip(names, values, strict=True))
+
+    halo = max(config.block_age, config.liq_window - 1, config.dna_window - 1 if quantiles else 0, 2)
+    return in_chunks(source, passed, fields, config.chunk_bars, halo).drop(*blocks, *_OPEN_GAPS)
 
 
 def liquidity(bars: DataFrame, config: EngineConfig) -> DataFrame:
@@ -207,10 +292,10 @@ def liquidity(bars: DataFrame, config: EngineConfig) -> DataFrame:
     }).drop("__buy_pool", "__sell_pool")
 
 
-def layer3(bars: DataFrame, config: EngineConfig) -> DataFrame:
-    """Bars with the fifteen columns of the layer and the ordinal ``i``."""
+def layer3(bars: DataFrame, config: EngineConfig, quantiles: tuple[tuple[str, str, float], ...] = ()) -> DataFrame:
+    """Bars with the fifteen columns of the layer and the ordinal ``i``; for ``quantiles`` see :func:`scan_lifetimes`."""
     out = higher_trend(higher_trend(bars, "1 hour", "l3_h1_trend", config), "4 hours", "l3_h4_trend", config)
     out = structure_trend(out.withColumns(swing_columns(config.swing)))
     out = premium_discount(breaks(out, config), config)
-    out = liquidity(scan_lifetimes(out, config), config)
+    out = liquidity(scan_lifetimes(out, config, quantiles), config)
     return out.drop("__sh", "__sl", "__sh_i", "__sl_i")

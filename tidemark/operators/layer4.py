@@ -35,13 +35,18 @@ def trap(config: EngineConfig) -> Column:
     return F.least(F.greatest(score, F.lit(0)), F.lit(100))
 
 
+#: Trailing quantiles that candle types compare with: new column, column, share.
+DNA_QUANTILES = (("__v75", "l1_price_velocity", 0.75), ("__v95", "l1_price_velocity", 0.95), ("__r25", "__rng", 0.25))
+
+
+def candle_range() -> Column:
+    return F.col("high") - F.col("low")
+
+
 def dna(bars: DataFrame, config: EngineConfig) -> DataFrame:
-    """Add the first candle type that fits, or -1. Missing quantiles never fit."""
-    spec = trailing(config.dna_window)
-    quantile = lambda x, p: full(F.percentile(x, F.lit(p)).over(spec), config.dna_least, spec)
-    rng, vel, bos = F.col("high") - F.col("low"), F.col("l1_price_velocity"), F.col("l3_bos_direction")
-    base = bars.withColumns({"__rng": rng, "__v75": quantile("l1_price_velocity", 0.75), "__v95": quantile("l1_price_velocity", 0.95), "__before": F.coalesce(F.lag("l3_bos_direction").over(series()), F.lit(0))})
-    base = base.withColumn("__r25", quantile("__rng", 0.25))
+    """Add the first candle type that fits, or -1; needs DNA_QUANTILES and ``__rng``. Missing quantiles never fit."""
+    vel, bos = F.col("l1_price_velocity"), F.col("l3_bos_direction")
+    base = bars.withColumn("__before", F.coalesce(F.lag("l3_bos_direction").over(series()), F.lit(0)))
     body = F.abs(F.col("close") - F.col("open")) / (F.col("__rng") + config.eps)
     kind = (
         F.when(F.col("l4_trap_score") >= config.dna_trap, 3)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +62,33 @@ def under_daily_limit(rows: DataFrame, config: EngineConfig) -> DataFrame:
 def cool_down(rows: DataFrame, config: EngineConfig) -> DataFrame:
     """Greedy choice in time order: a row stays if the last one that stayed is at least ``cooldown`` bars (``i``) before.
 
-    Rows are cut where the step to the next is wide enough, which starts afresh whatever
-    came before; only the short runs between such cuts are folded in order.
+    Rows are cut where the step to the next is wide enough, which starts afresh whatever came
+    before. The runs between such cuts are passed in order, with the last position that stayed
+    as the only state; runs are dealt over all tasks, and none is collected.
     """
     order = Window.partitionBy("symbol").orderBy("i")
     wide = F.coalesce(F.col("i") - F.lag("i").over(order) >= config.cooldown, F.lit(True))
-    runs = rows.withColumn("__run", F.sum(wide.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    taken = lambda kept, i: F.when(F.size(kept) == 0, F.array(i)).when(i - F.element_at(kept, -1) >= config.cooldown, F.concat(kept, F.array(i))).otherwise(kept)
-    picked = runs.groupBy("symbol", "__run").agg(F.array_sort(F.collect_list("i")).alias("all")).select("symbol", F.explode(F.aggregate("all", F.array().cast("array<int>"), taken)).alias("i"))
+    runs = rows.select("symbol", F.col("i").cast("long").alias("i"), F.sum(wide.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__run"))
+    step = config.cooldown
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # symbol, run and position that stayed last
+        for b in batches:
+            symbols, run, i = b.column("symbol").to_pylist(), np.asarray(b.column("__run")), np.asarray(b.column("i"))
+            cuts = np.nonzero((run[1:] != run[:-1]) | np.array([x != y for x, y in zip(symbols[1:], symbols, strict=False)], bool))[0] + 1
+            stays = []
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
+                at = start
+                if held and held[:2] == (symbols[start] if end > start else None, run[start] if end > start else None):
+                    at = start + int(np.searchsorted(i[start:end], held[2] + step))
+                while at < end:
+                    stays.append(at)
+                    held = (symbols[at], run[at], i[at])
+                    at += max(1, int(np.searchsorted(i[at:end], i[at] + step)))
+            yield b.select(["symbol", "i"]).take(pa.array(stays, pa.int64()))
+
+    dealt = runs.repartition("symbol", "__run").sortWithinPartitions("symbol", "__run", "i")
+    picked = dealt.mapInArrow(pick, "symbol string, i long")
     return rows.join(picked, ["symbol", "i"], "left_semi")
 
 

@@ -10,7 +10,7 @@ from tidemark.operators.bars import ticks_to_bars
 from tidemark.operators.layer1 import layer1
 from tidemark.operators.layer2 import layer2
 from tidemark.operators.layer3 import layer3
-from tidemark.operators.layer4 import layer4
+from tidemark.operators.layer4 import DNA_QUANTILES, candle_range, layer4
 
 L1 = ["l1_custom_volume", "l1_volatility_energy", "l1_price_velocity", "l1_reversal_count", "l1_early_late_ratio", "l1_price_acceleration", "l1_absorption_count", "l1_absorption_intensity"]
 L2 = ["l2_session", "l2_session_overlap", "l2_kill_zone", "l2_day_of_week", "l2_hour", "l2_distance_from_session_open", "l2_session_position", "l2_time_since_vol_spike", "l2_session_volatility_rank", "l2_session_trend"]
@@ -23,7 +23,8 @@ FEATURES = L1 + L2 + L3 + L4
 def build(parents: DataFrame, children: DataFrame, config: EngineConfig) -> DataFrame:
     """All features of the parents that have children."""
     base = layer1(parents, children, config)
-    full = layer4(layer3(layer2(base, config), config), config)
+    ranged = layer2(base, config).withColumn("__rng", candle_range())
+    full = layer4(layer3(ranged, config, DNA_QUANTILES), config)
     return full.select("symbol", "ts", "open", "high", "low", "close", "volume", "l1_m1_count", *FEATURES)
 
 
