@@ -155,25 +155,55 @@ def test_live_loop_and_backtest(spark, sf, tmp_path):
     from dataclasses import replace
 
     from tidemark.operators.labels import barrier_labels, class_of
+    from tidemark.operators.signals import scan
     from tidemark.plans import catalog
     from tidemark.plans import features as P
     from tidemark.plans import training as T
     from tidemark.streaming.live import live_query
 
-    kids = catalog.children(spark, sf).filter("day(ts) <= 12").cache()
-    bars = catalog.hourly(spark, sf).filter("day(ts) <= 12")
+    kids = catalog.children(spark, sf).filter("day(ts) <= 7").cache()
+    bars = catalog.hourly(spark, sf).filter("day(ts) <= 7")
     made = P.build(bars, kids, EVENTS).cache()
     model = T.fit(barrier_labels(made, EVENTS).withColumn("cls", class_of()), P.L1 + P.L2, trees=3, depth=3)
-    small = T.backtest(model, made, EVENTS, "2024-01-05", "2024-01-10")
+    small = T.backtest(model, made, EVENTS, "2024-01-03", "2024-01-06")
     assert small["confusion"].count() == 3 and small["tiers"].count() == 3 and "Tiers" in T.report_text(small["simulation"], small["tiers"])
-    for part, days in enumerate(("day(ts) <= 6", "day(ts) > 6")):
-        kids.filter(days).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(kids.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    config = replace(EVENTS, confidence=34.0, cooldown=5, daily_losses=1)
+    whole = made.filter("ts < timestamp_ntz '2024-01-07 23:00:00'")  # the last parent is still open
+    scored = model.predict(whole)
+    want = {(r.symbol, r.ts): r.direction for r in scan(scored, config).collect()}
+
+    def run(name, parts, send):
+        at = tmp_path / name
+        for part in parts:
+            kids.filter(part).coalesce(1).write.mode("append").parquet(str(at / "in"))
+        stream = spark.readStream.schema(kids.schema).option("maxFilesPerTrigger", 1).parquet(str(at / "in"))
+        live_query(stream, str(at / "store"), str(at / "log"), str(at / "check"), model, config, send, 2000).awaitTermination()
+        log = spark.read.parquet(str(at / "log")).collect()
+        assert len({(r.symbol, r.ts) for r in log}) == len(log)
+        return {(r.symbol, r.ts): r.direction for r in log}
+
+    # cut in the middle of an hour and of cool-downs: the same signals as over the whole history at once
     sent = []
-    live_query(stream, str(tmp_path / "store"), str(tmp_path / "log"), str(tmp_path / "check"), model, replace(EVENTS, confidence=0.0), sent.append).awaitTermination()
-    log = spark.read.parquet(str(tmp_path / "log"))
-    assert log.count() == len(sent) > 0 and log.groupBy("symbol", "ts").count().filter("count > 1").count() == 0
-    assert spark.read.parquet(str(tmp_path / "store")).count() == kids.count()
+    parts = ["ts < timestamp_ntz '2024-01-04 10:20:00'", "ts >= timestamp_ntz '2024-01-04 10:20:00'"]
+    assert run("a", parts, sent.append) == want and len(sent) == len(want) > 9
+    assert spark.read.parquet(str(tmp_path / "a" / "store")).count() == kids.count()
+    # a replay of the last batch changes neither log nor store, and sends nothing
+    (last,) = [p for p in (tmp_path / "a" / "check" / "commits").iterdir() if p.name == "1"]
+    last.unlink()
+    (last.parent / ".1.crc").unlink(missing_ok=True)
+    assert run("a", [], sent.append) == want and len(sent) == len(want)
+    assert spark.read.parquet(str(tmp_path / "a" / "store")).count() == kids.count()
+
+
+def test_daily_limit_of_the_live_loop(spark):
+    from dataclasses import replace
+
+    from tidemark.streaming.live import below_limit
+
+    rows = spark.createDataFrame([(s, DAY + dt.timedelta(hours=h)) for s in "ab" for h in range(0, 40, 2)], "symbol string, ts timestamp_ntz")
+    lost = spark.createDataFrame([("a", DAY + dt.timedelta(hours=3)), ("a", DAY + dt.timedelta(hours=5)), ("b", DAY + dt.timedelta(hours=5))], "symbol string, ts timestamp_ntz")
+    left = {(r.symbol, (r.ts - DAY).total_seconds() / 3600) for r in below_limit(rows, lost, replace(C, daily_losses=2)).collect()}
+    assert left == {(s, h) for s in "ab" for h in range(0, 40, 2) if not (s == "a" and 5 < h < 15)}  # DAY begins at nine
 
 
 def test_live_sources(spark, tmp_path):
@@ -186,6 +216,11 @@ def test_live_sources(spark, tmp_path):
             self.left -= 1
             return self.left < 0
 
+        def tick(self, symbol):
+            if symbol == "broken":
+                raise RuntimeError
+            return (1999.5, 2000.0) if symbol == "s" else None
+
         def rates(self, symbol, minutes, count):
             return [(1704186000.0 + 900 * k, 1.0, 2.0, 0.5, 1.5, 7.0, 0.0, 0.0) for k in range(count)]
 
@@ -194,11 +229,19 @@ def test_live_sources(spark, tmp_path):
     assert bars.columns == ["symbol", "ts", "open", "high", "low", "close", "volume"] and bars.first().ts == DAY
     with pytest.raises(ValueError, match="time frame"):
         live.candles(spark, Fake(), "s", 7, 1)
+    assert [live.quote(Fake(), x) for x in ("s", "none", "broken")] == [{"bid": 1999.5, "ask": 2000.0}, None, None]
     log = tmp_path / "log.txt"
     live.http_notifier("http://127.0.0.1:9/none", live.file_notifier(str(log)), 0.2)("hello")
     assert log.read_text() == "hello\n" and "Win Rate: 0.0%" in live.daily_report(0, 0, 0, 0.0)
     signal = spark.createDataFrame([("s", DAY, "BUY", 72.4, 2, 2000.0, 1990.0, 2015.0, 1.5, ["a", "b"], "Trap")], "symbol string, ts timestamp_ntz, direction string, conf double, tier int, entry_price double, stop_loss double, take_profit double, risk_reward double, top_reasons array<string>, candle_dna string")
+    live.log_signals(signal, str(tmp_path / "signals"))
+    live.log_signals(signal, str(tmp_path / "signals"))
+    live.log_as_csv(spark.read.parquet(str(tmp_path / "signals")), str(tmp_path / "csv"))
+    (csv,) = (tmp_path / "csv").glob("*.csv")
+    assert csv.read_text().splitlines() == ["timestamp,direction,confidence,tier,entry_price,stop_loss,take_profit,risk_reward,candle_dna,top_reasons", "2024-01-02T09:00:00.000,BUY,72.4,2,2000.0,1990.0,2015.0,1.5,Trap,a | b"]
     sent = []
+    live.alert(sent.append, "no rates")
+    assert sent.pop() == "ALERT: no rates"
     assert live.notify(signal, sent.append) == 1 and "SL: 1990.00 (-100 pips)" in sent[0] and "1. a\n2. b\n2024-01-02 09:00 GMT" in sent[0]
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 PRICE_TYPES = "open float, high float, low float, close float"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at the path, in whatever store it lies."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -21,7 +22,7 @@ def read_bars(spark: SparkSession, path: str, symbol: str = "default") -> DataFr
     read as single precision; an absent volume is 0. Raises FileNotFoundError for a missing
     path and ValueError for another header.
     """
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     header = [c.strip().lower() for c in spark.read.option("header", True).csv(path).columns]
     if "date" in header and "time" in header:
@@ -44,7 +45,7 @@ def as_doubles(bars: DataFrame) -> DataFrame:
 def read_stage(spark: SparkSession, *paths: str) -> DataFrame:
     """The first stage that exists, e.g. layer 4 before layers 2 and 3 before layer 1."""
     for path in paths:
-        if _exists(spark, path):
+        if exists(spark, path):
             return spark.read.parquet(path)
     raise FileNotFoundError(", ".join(paths))
 

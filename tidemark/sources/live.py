@@ -12,6 +12,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.csv_bars import write_csv
+
 # Minutes of the time frames that a terminal knows.
 TIME_FRAMES = (1, 5, 15, 30, 60, 240, 1440)
 RATES = "time double, open double, high double, low double, close double, tick_volume double, spread double, real_volume double"
@@ -49,9 +51,27 @@ def rates_to_bars(rates: DataFrame, symbol: str) -> DataFrame:
     return rates.select(F.lit(symbol).alias("symbol"), F.timestamp_seconds("time").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", F.col("tick_volume").alias("volume"))
 
 
-def append_signals(signals: DataFrame, path: str) -> None:
-    """Append to the signal log; reasons become one text."""
-    signals.withColumn("top_reasons", F.concat_ws(" | ", "top_reasons")).write.mode("append").parquet(path)
+def quote(terminal: Terminal, symbol: str) -> dict[str, float] | None:
+    """The current bid and ask, or None where the terminal has none or fails."""
+    try:
+        found = terminal.tick(symbol)
+    except (OSError, RuntimeError):
+        return None
+    return None if found is None else {"bid": float(found[0]), "ask": float(found[1])}
+
+
+def log_signals(signals: DataFrame, path: str) -> None:
+    """Write a batch of the signal log, again if it is repeated; reasons become one text."""
+    signals.withColumn("top_reasons", F.concat_ws(" | ", "top_reasons")).write.mode("overwrite").parquet(path)
+
+
+# Columns of the CSV form of the signal log.
+LOG_COLUMNS = {"timestamp": "ts", "direction": "direction", "confidence": "conf", "tier": "tier", "entry_price": "entry_price", "stop_loss": "stop_loss", "take_profit": "take_profit", "risk_reward": "risk_reward", "candle_dna": "candle_dna", "top_reasons": "top_reasons"}
+
+
+def log_as_csv(log: DataFrame, path: str) -> None:
+    """The signal log as one CSV file with a header, in time order."""
+    write_csv(log.orderBy("ts", "symbol").select(*[F.col(c).alias(name) for name, c in LOG_COLUMNS.items()]), path)
 
 
 def file_notifier(path: str) -> Callable[[str], None]:
@@ -88,6 +108,11 @@ def notify(signals: DataFrame, send: Callable[[str], None], pip: float = 0.1) ->
     return n
 
 
+def alert(send: Callable[[str], None], text: str) -> None:
+    """An error or a notice, marked as such."""
+    send(f"ALERT: {text}")
+
+
 def daily_report(total: int, wins: int, losses: int, pips: float) -> str:
     rate = 100 * wins / total if total else 0.0
     return f"Daily Report\nSignals: {total} | Wins: {wins} | Losses: {losses}\nWin Rate: {rate:.1f}%\nNet P&L: {pips:+.0f} pips"

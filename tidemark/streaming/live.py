@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,41 +15,81 @@ from tidemark.operators.signals import candidates, cool_down, with_levels
 from tidemark.operators.windows import ordinal
 from tidemark.plans import features
 from tidemark.plans.training import Model
-from tidemark.sources.live import append_signals, notify
+from tidemark.sources.csv_bars import exists
+from tidemark.sources.live import log_signals, notify
+
+RECORD = ["symbol", "ts", "direction", "conf", "tier", "entry_price", "stop_loss", "take_profit", "risk_reward", "top_reasons", "candle_dna"]
+STATE = "symbol string, done timestamp_ntz, signal timestamp_ntz"
+
+
+def _state(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """``(symbol, done, signal)`` after the batch before: the last bar judged and the last one that gave a signal."""
+    path = f"{folder}/batch={number - 1}"
+    return spark.read.schema(STATE).parquet(path) if number and exists(spark, path) else spark.createDataFrame([], STATE)
+
+
+def below_limit(rows: DataFrame, losses: DataFrame, config: EngineConfig) -> DataFrame:
+    """Rows before which their day has fewer losses ``(symbol, ts)`` than allowed."""
+    lost = losses.select(F.col("symbol").alias("__s"), F.col("ts").alias("__at"))
+    same_day = (F.col("symbol") == F.col("__s")) & (F.to_date("ts") == F.to_date("__at")) & (F.col("__at") < F.col("ts"))
+    full = rows.join(lost, same_day).groupBy("symbol", "ts").agg(F.count("*").alias("n")).filter(F.col("n") >= config.daily_losses)
+    return rows.join(full, ["symbol", "ts"], "left_anti")
 
 
 def live_query(
-    children: DataFrame, store: str, log: str, checkpoint: str, model: Model, config: EngineConfig, send: Callable[[str], None] | None = None, context: int = 500, every: str | None = None
+    children: DataFrame, store: str, log: str, checkpoint: str, model: Model, config: EngineConfig, send: Callable[[str], None] | None = None, context: int = 500,
+    every: str | None = None, losses: Callable[[], DataFrame] | None = None, sessions: Iterable[int] | None = None,
 ) -> StreamingQuery:
     """Start the loop over a stream of child bars ``(symbol, ts, open, high, low, close, volume)``.
 
-    Each micro-batch is written to ``store`` under its own number, so a repeated batch replaces
-    itself. Parents are made of the stored children; a parent counts once a later one of its
-    symbol has begun. The last ``context`` parents are recomputed, the new ones are scored, and what
-    passes confidence and cool-down is appended to ``log`` and sent. ``every``: trigger
-    interval; without it the query ends when the input is used up.
+    Each micro-batch is written to ``store`` by day under its own number, its signals to ``log``
+    and what carries over (last bar judged, last signal) beside it, so a repeated batch replaces
+    itself and messages are sent once. A parent counts once a later one of its symbol has begun.
+    Parents since the last batch are scored from themselves and the ``context`` parents before;
+    only the days that can hold those are read (three times their span and two days), whatever
+    the store has grown to. What passes confidence, ``sessions``, the daily limit on ``losses()``
+    (rows ``(symbol, ts)`` of stops that were hit) and the cool-down since the last signal is
+    logged and sent. ``every``: trigger interval; without it the query ends when the input is
+    used up.
     """
+    folder, sent = f"{log.rstrip('/')}-state", f"{log.rstrip('/')}-sent"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        seen = spark.read.schema(rows.schema).parquet(f"{store}/*")
-        kids = seen.dropDuplicates(["symbol", "ts"])
+        dated = rows.withColumns({"day": F.to_date("ts"), "batch": F.lit(number)})
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(store)
+        before = _state(spark, folder, number)
+        since = rows.agg(F.min("ts")).unionAll(before.agg(F.min("done"))).toDF("t").agg(F.min("t")).first()[0]
+        if since is None:
+            before.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            return
+        width = spark.range(1).select(F.expr(f"cast(interval {config.parent_width} as interval day to second)")).first()[0]
+        days = 2 + math.ceil(3 * (context + 1) * width.total_seconds() / 86400)
+        seen = spark.read.schema(dated.schema).parquet(store).filter((F.col("day") >= F.lit(since.date()) - days) & (F.col("batch") <= number))
+        kids = seen.select(*rows.columns).dropDuplicates(["symbol", "ts"])
         parents = resample(kids, config.parent_width)
         last = parents.groupBy("symbol").agg(F.max("ts").alias("__open"))
-        complete = ordinal(parents.join(last, "symbol").filter("ts < __open").drop("__open"))
-        recent = complete.join(complete.groupBy("symbol").agg(F.max("i").alias("__n")), "symbol").filter(F.col("i") > F.col("__n") - context).drop("__n", "i")
-        fresh = rows.groupBy("symbol").agg(F.min("ts").alias("__from"))
-        made = model.predict(features.build(recent, kids, config)).join(complete.select("symbol", "ts", "i"), ["symbol", "ts"])
-        chosen = cool_down(candidates(made, config), config)
-        new = with_levels(chosen, config).join(fresh, "symbol").filter(F.col("ts") >= F.col("__from") - F.expr(f"interval {config.parent_width}"))
-        record = ["symbol", "ts", "direction", "conf", "tier", "entry_price", "stop_loss", "take_profit", "risk_reward", "top_reasons", "candle_dna"]
-        signals = new.select(*record).persist()
-        append_signals(signals, f"{log}/batch={number}")
-        if send:
+        complete = ordinal(parents.join(last, "symbol").filter("ts < __open").drop("__open")).join(before, "symbol", "left").persist()
+        fresh = F.col("done").isNull() | (F.col("ts") > F.col("done"))
+        first = complete.filter(fresh).groupBy("symbol").agg(F.min("i").alias("__first"))
+        recent = complete.join(first, "symbol").filter(F.col("i") >= F.col("__first") - context + 1).drop("__first", "i", "done", "signal")
+        made = model.predict(features.build(recent, kids, config)).join(complete.filter(fresh).select("symbol", "ts", "i"), ["symbol", "ts"])
+        able = candidates(made, config, sessions)
+        able = below_limit(able, losses(), config) if losses else able
+        # the last signal stands before the new candidates and keeps its cool-down
+        stands = complete.filter(F.col("ts") == F.col("signal")).select("symbol", "i")
+        taken = cool_down(able.select("symbol", "i").unionByName(stands), config)
+        signals = with_levels(able.join(taken, ["symbol", "i"], "left_semi"), config).select(*RECORD).persist()
+        log_signals(signals, f"{log}/batch={number}")
+        done = complete.groupBy("symbol").agg(F.max("ts").alias("d")).join(signals.groupBy("symbol").agg(F.max("ts").alias("s")), "symbol", "left")
+        after = before.join(done, "symbol", "full").select("symbol", F.greatest("done", "d").alias("done"), F.greatest("signal", "s").alias("signal"))
+        after.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if send and not exists(spark, f"{sent}/batch={number}"):
             notify(signals, send, config.pip)
+            spark.range(0).write.mode("overwrite").parquet(f"{sent}/batch={number}")
         signals.unpersist()
+        complete.unpersist()
 
     writer = children.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
