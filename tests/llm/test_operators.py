@@ -639,6 +639,8 @@ def test_mixing_budgets(spark):
     assert np.abs(totals - [240_000, 30_000, 30_000]).sum() < 600
     totals = mix(MixParams(weights=weights))
     assert np.abs(totals / totals.sum() - [0.8, 0.1, 0.1]).sum() < 2e-3
+    two = mix(MixParams(weights={"good": 0.9, "toxic": 0.1}))  # the other domain comes along
+    assert abs(two[2] / (two[0] + two[2]) - 0.1) < 1e-3 and two[1] > 0
     far = mix(MixParams(weights={"good": 1.0, "poor": 0.0, "toxic": 0.0}))  # out of reach: as near as rates come
     every = np.array([r[1] for r in rows]) @ p
     assert far[0] / far.sum() > every[0] / every.sum() + 0.05
@@ -677,7 +679,7 @@ def test_pipeline_stages(spark, sf):
     assert unique.columns == docs.columns and unique.count() < kept.count()
     assert corpus_pipeline.line_dedup(spark, kept, sf).columns == docs.columns
     mixed = corpus_pipeline.mixing(spark, kept, sf)
-    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert mixed.columns == docs.columns and 0.5 * kept.count() < mixed.count() <= kept.count()
 
 
 def test_pipeline_stages_on_odd_and_empty_tables(spark, sf):

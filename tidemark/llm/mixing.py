@@ -31,7 +31,7 @@ BUCKETS = 1 << 16
 
 @dataclass(frozen=True)
 class MixParams:
-    """weights: target share of tokens per domain. budget: tokens of the mix; None takes ``margin`` times the
+    """weights: target share of tokens per domain; a domain without weight has no target. budget: tokens of the mix; None takes ``margin`` times the
     largest at which the weights can be met. max_rate: no document is repeated more often; with 1 rows never
     multiply. sample_rows: labelled documents that the classifier is fitted on, at most (those whose ids hash
     lowest; the only bound here). steps, tol: of the gradient fit. cells: of the summary, along each posterior."""
@@ -139,7 +139,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, params: MixParams = MixPa
                 x = np.where(np.asarray(part.column("half"))[:, None] == 0, second, first)
                 yield pa.RecordBatch.from_arrays([part.column("domain").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], names=feature_schema.names)
 
-    rows = train.mapInArrow(features, feature_schema).orderBy("domain", "x").collect()  # sample_rows at most
+    rows = train.mapInArrow(features, feature_schema).collect()  # sample_rows at most
+    rows = sorted(rows, key=lambda r: (r["domain"], r["x"]))
     n_x = 2 * len(DOMAINS) + 5
     x = np.array([r["x"] for r in rows], float).reshape(-1, n_x)
     y = np.eye(len(DOMAINS))[[r["domain"] for r in rows]].reshape(-1, len(DOMAINS))
@@ -238,13 +239,19 @@ def fit_rates(members: DataFrame, params: MixParams = MixParams()) -> list[list[
     soft membership meet the weights, the steps end as close as least squares brings them.
     Without tokens there are no steps.
     """
-    n, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in DOMAINS]
-    k = len(DOMAINS)
-    weights = np.array([params.weights[d] for d in DOMAINS], float)
+    named = [i for i, d in enumerate(DOMAINS) if d in params.weights]
+    n, p = F.col("n_tokens").cast("double"), [F.col(f"p_{DOMAINS[i]}") for i in named]
+    k = len(named)
+    weights = np.array([params.weights[DOMAINS[i]] for i in named], float)
     weights /= weights.sum()
     tokens, posterior = _summary(members, params)
+    posterior = posterior[:, named]
     if not len(tokens):
         return []
+
+    def over_all(move: np.ndarray) -> list[float]:
+        return [float(move[named.index(i)]) if i in named else 0.0 for i in range(len(DOMAINS))]
+
     totals = tokens @ posterior
     budget = params.budget
     if budget is None:
@@ -255,7 +262,7 @@ def fit_rates(members: DataFrame, params: MixParams = MixParams()) -> list[list[
             low, high = (mid, high) if _on_summary(tokens, posterior, mid * weights, params)[1] < params.tol else (low, mid)
         budget = params.margin * low or most
     target = budget * weights
-    moves = [[float(m) for m in _on_summary(tokens, posterior, target, params)[0]]]
+    moves = [over_all(_on_summary(tokens, posterior, target, params)[0])]
     for _ in range(params.steps):
         rate = rate_column(moves, params)
         inside = F.when((rate > 0) & (rate < params.max_rate), n).otherwise(0.0)
@@ -265,7 +272,7 @@ def fit_rates(members: DataFrame, params: MixParams = MixParams()) -> list[list[
         if np.abs(residual).sum() <= params.tol * target.sum():
             break
         moment = np.array([[got[f"m{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
-        moves.append([float(m) for m in np.linalg.solve(moment + 1e-9 * np.trace(moment) * np.eye(k), residual)])
+        moves.append(over_all(np.linalg.solve(moment + 1e-9 * np.trace(moment) * np.eye(k), residual)))
     return moves
 
 
