@@ -109,11 +109,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours larger than the vertex go to its smallest neighbour (itself counted)
-        # the smallest neighbours are written first, so that the join can split a hot vertex
+        # both sides of each join are written first, so that it can split a hot vertex
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).checkpoint()
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct().checkpoint()
         # small star: the smaller neighbours and the vertex itself go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
         small = large.join(low, "a")
         new = small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").filter("a <> b").distinct().checkpoint()
         # done when every vertex has one smaller neighbour that has none itself
