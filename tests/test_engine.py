@@ -151,6 +151,41 @@ def test_streaming_bars(spark, sf):
     assert 0 < len(live) < len(batch) and all(batch[r.symbol, r.ts] == tuple(r)[2:] for r in live)
 
 
+def test_forming_bars_and_unique_ticks(spark, tmp_path):
+    from tidemark.streaming.bars import forming_bars, run_to_end, unique_ticks
+
+    def tick(minute, event, value):
+        return ("s", dt.datetime(2024, 1, 2, 9, 0) + dt.timedelta(minutes=minute), event, value)
+
+    schema = "symbol string, ts timestamp, event_id long, value double"
+    for k, part in enumerate([[tick(1, 1, 5.0), tick(2, 2, 7.0)], [tick(8, 3, 4.0), tick(8, 3, 4.0), tick(2, 2, 7.0)], [tick(20, 4, 6.0)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sent = run_to_end(forming_bars(stream, "15 minutes", "1 hour"), "update", str(tmp_path / "a")).collect()
+    first = sorted((r.volume, r.open, r.high, r.low, r.close) for r in sent if r.ts.minute == 0)
+    assert first == [(2.0, 5.0, 7.0, 5.0, 7.0), (5.0, 5.0, 7.0, 4.0, 4.0)] and len(sent) == 3  # the forming bar came twice
+    once = run_to_end(unique_ticks(stream, "1 hour"), "append", str(tmp_path / "b")).collect()
+    assert sorted(r.event_id for r in once) == [1, 2, 3, 4]
+
+
+def test_stages_messages_and_columns(spark, tmp_path):
+    from tidemark.operators.ingest import drop_features
+    from tidemark.operators.signals import plain_message
+    from tidemark.sources.csv_bars import read_stage, write_csv, write_stage
+
+    bars = spark.createDataFrame([("s", DAY, *up(), 1.0), ("t", DAY + dt.timedelta(days=400), *up(), 1.0)], BAR)
+    write_stage(bars, str(tmp_path / "one"))
+    assert {p.name for p in (tmp_path / "one" / "symbol=s").iterdir()} == {"year=2024"}
+    assert read_stage(spark, str(tmp_path / "none"), str(tmp_path / "one")).filter("symbol = 't'").first().open == 1800.0
+    with pytest.raises(FileNotFoundError):
+        read_stage(spark, str(tmp_path / "none"))
+    write_csv(bars.select("symbol", "close"), str(tmp_path / "csv"))
+    assert sorted(x for p in (tmp_path / "csv").glob("*.csv") for x in p.read_text().splitlines()) == ["s,1801.0", "symbol,close", "t,1801.0"]
+    assert "volume" not in drop_features(bars, "vol").columns
+    signal = spark.createDataFrame([("s", DAY, "SELL", 72.4, 2, 2000.0, 2010.0, 1985.0)], "symbol string, ts timestamp_ntz, direction string, conf double, tier int, entry_price double, stop_loss double, take_profit double")
+    assert signal.select(plain_message().alias("m")).first().m == "SIGNAL | SELL s\nConfidence: 72% Tier 2\nEntry: 2000.00 | SL: 2010.00 | TP: 1985.00\nTime: 2024-01-02 09:00 GMT"
+
+
 def test_live_loop_and_backtest(spark, sf, tmp_path):
     from dataclasses import replace
 
@@ -245,7 +280,7 @@ def test_live_sources(spark, tmp_path):
     assert live.notify(signal, sent.append) == 1 and "SL: 1990.00 (-100 pips)" in sent[0] and "1. a\n2. b\n2024-01-02 09:00 GMT" in sent[0]
 
 
-QUERIES = ["spike_flags", "ingest_clean", "gap_report", "ohlc_4h", "bucket_collect", "m1_m15_join", "l1_nested", "l3_order_blocks", "label_distribution", "fold_bounds", "corr_prune", "class_report", "tier_analysis", "cooldown", "daily_loss_limit", "dedupe_keep_last", "fill_gap", "perf_summary", "feature_summary", "features_all"]
+QUERIES = ["spike_flags", "ingest_clean", "gap_report", "ohlc_4h", "bucket_collect", "m1_m15_join", "l1_nested", "l3_order_blocks", "label_distribution", "fold_bounds", "corr_prune", "class_report", "tier_analysis", "cooldown", "daily_loss_limit", "dedupe_keep_last", "fill_gap", "perf_summary", "feature_summary", "features_all", "csv_m1_scan", "csv_m15_scan", "stage_round_trip", "latest_features", "signal_scan", "stream_bars", "stream_signals"]
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -22,6 +22,8 @@ from tidemark.operators.windows import ordinal, rolling_z_high, series, trailing
 from tidemark.plans import features as P
 from tidemark.plans import oracle
 from tidemark.plans import training as T
+from tidemark.session import scratch
+from tidemark.sources import csv_bars as CSV
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -284,15 +286,44 @@ def lineitem_rolling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latest_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Each symbol's last bar, recomputed from its recent bars."""
-    return tidy(P.latest_features(hourly(spark, sf), children(spark, sf), C, 2000), "symbol", "ts", *P.FEATURES)
+    """Each symbol's last bar, recomputed from its last 500 bars."""
+    return tidy(P.latest_features(hourly(spark, sf), children(spark, sf), C, 500), "symbol", "ts", *P.FEATURES)
+
+
+def csv_m1_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars written with date and time columns and read back."""
+    path = scratch(spark, "csv-m1")
+    bars = hourly(spark, sf).filter("symbol = 'even'")
+    bars.select(F.date_format("ts", "yyyy.MM.dd").alias("date"), F.date_format("ts", "HH:mm").alias("time"), "open", "high", "low", "close", "volume").write.option("header", True).csv(path)
+    return tidy(CSV.as_doubles(CSV.read_bars(spark, path, "even")), "symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+def csv_m15_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars written with one timestamp column and no volume, read back."""
+    path = scratch(spark, "csv-m15")
+    hourly(spark, sf).filter("symbol = 'odd'").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "open", "high", "low", "close").write.option("header", True).csv(path)
+    return tidy(CSV.as_doubles(CSV.read_bars(spark, path, "odd")), "symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+def stage_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Layer 1 as a stage by symbol and year, read back through the chain of fallbacks."""
+    path = scratch(spark, "stage")
+    CSV.write_stage(energy_bars(spark, sf), path)
+    return tidy(CSV.read_stage(spark, f"{path}-later", path), "symbol", "ts", "l1_volatility_energy", "l1_m1_count")
+
+
+def signal_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Signal records of the whole scored history, cool-down included."""
+    out = S.scan(_signal_base(spark, sf), replace(C, cooldown=3)).withColumn("top_reasons", F.array_join("top_reasons", " | "))
+    return tidy(out, "symbol", "ts", "direction", "conf", "tier", "entry_price", "stop_loss", "take_profit", "risk_reward", "top_reasons", "candle_dna")
 
 
 def queries() -> dict[str, Query]:
     named = [
         spike_flags, ingest_clean, ingest_statistics, gap_report, ohlc_bars, ohlc_4h, bucket_collect, m1_m15_join, completeness, last_complete_bar, l1_nested, l3_order_blocks, label_barrier,
         label_distribution, time_split, fold_bounds, class_weights, corr_prune, confusion, class_report, trading_sim, tier_analysis, signal_rules, cooldown, daily_loss_limit, session_filter,
-        dedupe_keep_last, fill_gap, perf_summary, equity_curve, feature_summary, signal_history, latest_features, display_names, labels_report, lineitem_rolling,
+        dedupe_keep_last, fill_gap, perf_summary, equity_curve, feature_summary, signal_history, latest_features, display_names, labels_report, lineitem_rolling, csv_m1_scan, csv_m15_scan,
+        stage_round_trip, signal_scan,
     ]
     made: dict[str, Query] = {f.__name__: f for f in named}
     made |= {

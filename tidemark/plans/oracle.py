@@ -158,6 +158,11 @@ CTES["cand"] = "SELECT symbol, i FROM sc WHERE pred <> 0 AND conf >= 60"
 CTES["pickd"] = "SELECT symbol, min(i) AS i FROM cand GROUP BY 1 UNION ALL SELECT p.symbol, (SELECT min(c.i) FROM cand c WHERE c.symbol = p.symbol AND c.i >= p.i + 3) FROM pickd p WHERE p.i IS NOT NULL"
 
 
+CTES["live"] = f"SELECT symbol, ts, (row_number() OVER ({P}) - 1)::BIGINT AS i, close, {_spike('(high - low)')} AS spike, lag(close) OVER ({P}) AS prev FROM b"
+CTES["live_able"] = "SELECT symbol, i FROM live WHERE spike AND close <> prev"
+CTES["live_pick"] = "SELECT symbol, min(i) AS i FROM live_able GROUP BY 1 UNION ALL SELECT p.symbol, (SELECT min(c.i) FROM live_able c WHERE c.symbol = p.symbol AND c.i >= p.i + 2) FROM live_pick p WHERE p.i IS NOT NULL"
+
+
 def with_(final: str) -> str:
     """The final select with the table expressions that it needs, directly or not."""
     needed, queue = set(), [final]
@@ -211,6 +216,9 @@ def sql() -> dict[str, str]:
     reasons = [("Whale footprint detected", "l4_whale_footprint >= 2"), ("Kill zone active", "l2_kill_zone > 0"), ("Liquidity sweep detected", "l3_liquidity_sweep <> 0"), ("Institutional climax volume", "l4_volume_climax = 1"), ("Multi-layer confluence", "abs(l4_multi_layer_confluence) >= 3"),
                ("Structure break (BOS)", "l3_bos_direction <> 0"), ("Change of character (CHoCH)", "l3_choch_flag <> 0"), ("Near demand order block", "abs(l3_demand_ob_distance) < 10"), ("Near supply order block", "abs(l3_supply_ob_distance) < 10"), ("Momentum divergence", "l4_momentum_divergence <> 0")]
     listed = "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '{text}' END" for text, cond in reasons) + "], lambda x: x IS NOT NULL)[1:3]"
+    rules = f"""SELECT f.symbol, f.ts, CASE WHEN pred = 1 THEN 'BUY' ELSE 'SELL' END AS direction, (CASE WHEN conf >= 80 THEN 3 WHEN conf >= 70 THEN 2 ELSE 1 END)::BIGINT AS tier, round(f.close, 6) AS entry_price, round(round(f.close - CASE WHEN pred = 1 THEN 100 ELSE -100 END, 5), 6) AS stop_loss, round(round(f.close + CASE WHEN pred = 1 THEN 150 ELSE -150 END, 5), 6) AS take_profit, 1.5::DOUBLE AS risk_reward,
+            CASE WHEN len({listed}) > 0 THEN array_to_string({listed}, ' | ') ELSE 'Model prediction' END AS top_reasons, CASE l4_candle_dna WHEN 0 THEN 'Clean Push' WHEN 1 THEN 'Absorption' WHEN 2 THEN 'Exhaustion' WHEN 3 THEN 'Trap' WHEN 4 THEN 'Dead Zone' WHEN 5 THEN 'Breakout' WHEN 6 THEN 'Fakeout' WHEN 7 THEN 'Accumulation' WHEN -1 THEN 'Unclassified' ELSE 'Unknown' END AS candle_dna
+            FROM (SELECT l4c.*, light.l4_volume_climax, light.l4_momentum_divergence FROM l4c JOIN light ON l4c.symbol = light.symbol AND l4c.ts = light.ts) f JOIN sc ON f.symbol = sc.symbol AND f.ts = sc.ts WHERE pred <> 0 AND conf >= 60"""
     from tidemark.plans.features import FEATURES
 
     out = {
@@ -238,9 +246,7 @@ def sql() -> dict[str, str]:
         "labels_report": _report("SELECT 1 - quality AS t, toxic AS p FROM labels", [0, 1]),
         "trading_sim": with_(_metrics("symbol", "ts, symbol") + " GROUP BY 1"),
         "tier_analysis": with_("SELECT g.t::BIGINT AS tier, " + ", ".join(f"coalesce({m}, 0) AS {m}" for m in ("total_trades", "win_rate", "total_pips_won", "total_pips_lost", "profit_factor", "max_drawdown", "sharpe_ratio")) + " FROM (SELECT unnest([1, 2, 3]) AS t) g LEFT JOIN (" + _metrics("tier", "ts, symbol").replace("FROM tr", "FROM (SELECT *, CASE WHEN conf >= 80 AND conf < 101 THEN 3 WHEN conf >= 70 AND conf < 80 THEN 2 WHEN conf >= 60 AND conf < 70 THEN 1 END AS tier FROM tr)") + " GROUP BY 1) m ON g.t = m.tier"),
-        "signal_rules": with_(f"""SELECT f.symbol, f.ts, CASE WHEN pred = 1 THEN 'BUY' ELSE 'SELL' END AS direction, (CASE WHEN conf >= 80 THEN 3 WHEN conf >= 70 THEN 2 ELSE 1 END)::BIGINT AS tier, round(f.close, 6) AS entry_price, round(round(f.close - CASE WHEN pred = 1 THEN 100 ELSE -100 END, 5), 6) AS stop_loss, round(round(f.close + CASE WHEN pred = 1 THEN 150 ELSE -150 END, 5), 6) AS take_profit, 1.5::DOUBLE AS risk_reward,
-            CASE WHEN len({listed}) > 0 THEN array_to_string({listed}, ' | ') ELSE 'Model prediction' END AS top_reasons, CASE l4_candle_dna WHEN 0 THEN 'Clean Push' WHEN 1 THEN 'Absorption' WHEN 2 THEN 'Exhaustion' WHEN 3 THEN 'Trap' WHEN 4 THEN 'Dead Zone' WHEN 5 THEN 'Breakout' WHEN 6 THEN 'Fakeout' WHEN 7 THEN 'Accumulation' WHEN -1 THEN 'Unclassified' ELSE 'Unknown' END AS candle_dna
-            FROM (SELECT l4c.*, light.l4_volume_climax, light.l4_momentum_divergence FROM l4c JOIN light ON l4c.symbol = light.symbol AND l4c.ts = light.ts) f JOIN sc ON f.symbol = sc.symbol AND f.ts = sc.ts WHERE pred <> 0 AND conf >= 60"""),
+        "signal_rules": with_(rules),
         "cooldown": with_("SELECT symbol, i::BIGINT AS i FROM pickd WHERE i IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1),
         "daily_loss_limit": with_("SELECT symbol, ts, round(pnl, 6) AS pnl FROM (SELECT *, coalesce(sum((pnl = -100)::INT) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM tr) WHERE n < 3"),
         "session_filter": with_("SELECT symbol, ts, (CASE WHEN hour(ts) >= 16 THEN 2 ELSE 1 END)::BIGINT AS l2_session, pred::BIGINT AS pred FROM sc WHERE pred <> 0 AND conf >= 60 AND hour(ts) >= 8"),
@@ -264,5 +270,15 @@ def sql() -> dict[str, str]:
         "features_all": pick("(SELECT l4c.*, light.l4_consecutive_bias, light.l4_momentum_divergence, light.l4_volume_climax, light.l4_range_compression, light.l4_time_volatility_regime, cont.l4_session_continuation FROM l4c JOIN light ON l4c.symbol = light.symbol AND l4c.ts = light.ts JOIN cont ON l4c.symbol = cont.symbol AND l4c.island = cont.island)", *FEATURES),
     }
     recent = "SELECT symbol, ts FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM b) WHERE back = 1"
-    out["latest_features"] = f"SELECT f.* FROM ({out['features_all']}) f JOIN ({with_(recent)}) r ON f.symbol = r.symbol AND f.ts = r.ts"
+    cut = f"SELECT symbol, ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM ({CTES['b']})) WHERE back <= 500"
+    out["latest_features"] = f"SELECT f.* FROM ({out['features_all'].replace(CTES['b'], cut)}) f JOIN ({with_(recent)}) r ON f.symbol = r.symbol AND f.ts = r.ts"
+    single = ", ".join(f"round({c}::FLOAT::DOUBLE, 6) AS {c}" for c in ("open", "high", "low", "close"))
+    out["csv_m1_scan"] = with_(f"SELECT symbol, ts, {single}, volume FROM b WHERE symbol = 'even'")
+    out["csv_m15_scan"] = with_(f"SELECT symbol, ts, {single}, 0.0::DOUBLE AS volume FROM b WHERE symbol = 'odd'")
+    out["stage_round_trip"] = pick("l1", "l1_volatility_energy", "l1_m1_count")
+    chosen = rules.replace("SELECT f.symbol, f.ts,", "SELECT f.symbol, f.ts, round(conf, 2) AS conf,", 1) + " AND EXISTS (SELECT 1 FROM pickd k WHERE k.symbol = sc.symbol AND k.i = sc.i)"
+    out["signal_scan"] = with_(chosen).replace("WITH ", "WITH RECURSIVE ", 1)
+    out["stream_signals"] = with_("SELECT l.symbol, ts, l.i, close, spike, CASE WHEN k.i IS NULL THEN NULL WHEN close > prev THEN 'BUY' ELSE 'SELL' END AS direction FROM live l LEFT JOIN live_pick k ON l.symbol = k.symbol AND l.i = k.i").replace("WITH ", "WITH RECURSIVE ", 1)
+    closed = "SELECT symbol, ts, open, high, low, close, volume FROM b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+    out["stream_bars"] = with_(closed)
     return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
@@ -19,6 +18,7 @@ from tidemark.operators import evaluate as E
 from tidemark.operators.ingest import fill_zero
 from tidemark.operators.labels import barrier_labels, class_of, class_weights
 from tidemark.plans import features as P
+from tidemark.session import scratch
 
 
 def prune_correlated(df: DataFrame, columns: list[str], limit: float) -> list[str]:
@@ -196,12 +196,12 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming bar query over the test ticks, run to the end of its input."""
+    """The streaming bar query over all test ticks: the bars that the watermark closes, an hour behind the last tick."""
     from tidemark.streaming.bars import closed_bars, run_to_end
 
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     ticks = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").select(F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    return run_to_end(closed_bars(ticks, "1 hour", "1 hour"), "append", _checkpoint(spark, "stream-bars"))
+    return run_to_end(closed_bars(ticks, "1 hour", "1 hour"), "append", scratch(spark, "stream-bars")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,14 +209,7 @@ def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.streaming.bars import run_to_end
     from tidemark.streaming.signals import live_signals
 
-    path = f"{_checkpoint(spark, 'stream-source')}/bars"
+    path = f"{scratch(spark, 'stream-source')}/bars"
     P.event_bars(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(path)
     bars = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return run_to_end(live_signals(bars, EVENTS), "append", _checkpoint(spark, "stream-signals"))
-
-
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return run_to_end(live_signals(bars, EVENTS), "append", scratch(spark, "stream-signals")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
