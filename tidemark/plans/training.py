@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from tidemark.operators.ingest import fill_zero
 from tidemark.operators.labels import barrier_labels, class_of, class_weights
 from tidemark.plans import features as P
 from tidemark.session import scratch
+from tidemark.sources.csv_bars import exists
 
 
 def prune_correlated(df: DataFrame, columns: list[str], limit: float) -> list[str]:
@@ -76,16 +78,32 @@ class Model:
         for c in self.columns:
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(0.0))
-        out = self.pipeline.transform(df.na.fill(0, self.columns)).withColumn("probs", vector_to_array("probability"))
+        out = self.pipeline.transform(df.na.fill(0, self.columns))
+        if self.boosted:  # one against the rest, brought to a sum of 1
+            each = F.array(*[F.get(vector_to_array(f"__p{k}"), F.lit(1)) for k in range(len(self.boosted))])
+            total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+            out = out.withColumn("probs", F.transform(each, lambda x: x / total))
+        else:
+            out = out.withColumn("probs", vector_to_array("__p"))
         pred, conf = E.prediction("probs")
-        return out.withColumn("pred", pred).withColumn("conf", conf).drop("__x", "rawPrediction", "probability", "prediction")
+        return out.withColumn("pred", pred).withColumn("conf", conf).drop("__x", *[f"__{c}{k}" for c in "prc" for k in ("", 0, 1, 2)])
+
+    @property
+    def boosted(self) -> list:
+        """The boosted models of the classes in order; none for a forest."""
+        return [m for m in self.pipeline.stages if type(m).__name__ == "GBTClassificationModel"]
+
+    def iterations(self) -> list[int]:
+        """Trees of each class's boosted model: those up to its best iteration on the validation rows."""
+        return [m.getNumTrees for m in self.boosted]
 
     def importance(self) -> DataFrame:
         """``(feature, gain)`` in falling order."""
         from pyspark.sql import SparkSession
 
-        forest = self.pipeline.stages[-1]
-        rows = [(c, float(v)) for c, v in zip(self.columns, forest.featureImportances.toArray(), strict=True)]
+        models = self.boosted or self.pipeline.stages[-1:]
+        gains = sum(m.featureImportances.toArray() for m in models) / len(models)
+        rows = [(c, float(v)) for c, v in zip(self.columns, gains, strict=True)]
         return SparkSession.getActiveSession().createDataFrame(rows, "feature string, gain double").orderBy(F.col("gain").desc(), "feature")
 
     def save(self, path: str) -> None:
@@ -103,10 +121,29 @@ def fit(labelled: DataFrame, columns: list[str], trees: int = 20, depth: int = 6
     """A forest over the classes, weighted against their frequency."""
     weights = class_weights(labelled).select("cls", "weight")
     rows = fill_zero(labelled).join(F.broadcast(weights), "cls")  # one row per class
-    forest = RandomForestClassifier(featuresCol="__x", labelCol="cls", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
+    forest = RandomForestClassifier(featuresCol="__x", labelCol="cls", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c")
     return Model(Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep"), forest]).fit(rows), columns)
 
 
+def fit_boosted(train: DataFrame, valid: DataFrame, columns: list[str], rounds: int = 60, depth: int = 6, step: float = 0.1, tolerance: float = 0.01, seed: int = 42) -> Model:
+    """A boosted model for each class against the rest, weighted against the classes' frequency.
+
+    Every model stops where its loss on the rows of ``valid`` gets no better, and keeps the trees
+    up to there.
+    """
+    weights = class_weights(train).select("cls", "weight")
+    both = fill_zero(train).withColumn("__valid", F.lit(False)).unionByName(fill_zero(valid).withColumn("__valid", F.lit(True)))
+    assembler = VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep")
+    rows = assembler.transform(both.join(F.broadcast(weights), "cls")).select("__x", "cls", "weight", "__valid").cache()  # one row per class
+    models = []
+    for k in range(3):
+        one = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="weight", validationIndicatorCol="__valid", maxIter=rounds, maxDepth=depth, stepSize=step, validationTol=tolerance, seed=seed)
+        one.setProbabilityCol(f"__p{k}").setRawPredictionCol(f"__r{k}").setPredictionCol(f"__c{k}")
+        models.append(one.fit(rows.withColumn("__y", (F.col("cls") == k).cast("double"))))
+    rows.unpersist()
+    return Model(PipelineModel([assembler, *models]), columns)
+
+
 def fold_metrics(model: Model, val: DataFrame) -> tuple[float, float, float]:
     """Accuracy, weighted F1 and log loss."""
     scored = model.predict(val).cache()
@@ -143,6 +180,43 @@ def champion(old: Model, new: Model, labelled: DataFrame, config: EngineConfig)
     return (new if b >= a else old), a, b
 
 
+def save_version(model: Model, root: str, name: str) -> None:
+    """Save a model as a version of its own; earlier versions stay as backups."""
+    model.save(f"{root}/versions/{name}")
+
+
+def appoint(spark: SparkSession, root: str, name: str, at: str) -> None:
+    """Make a saved version the current one from time ``at`` on; appointments are added, never changed."""
+    spark.createDataFrame([(at, name)], "at string, name string").coalesce(1).write.mode("append").json(f"{root}/appointed")
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The name of the version that was appointed last."""
+    if not exists(spark, f"{root}/appointed"):
+        return None
+    return spark.read.schema("at string, name string").json(f"{root}/appointed").agg(F.max_by("name", F.struct("at", "name"))).first()[0]
+
+
+def retrain(labelled: DataFrame, columns: list[str], root: str, config: EngineConfig, now: datetime, train: Callable[[DataFrame, list[str]], Model] = fit) -> tuple[str, float | None, float | None]:
+    """Train on all but the last month, save the version, appoint it if it does as well as the current one over that month.
+
+    Returns the current version's name afterwards and both profit factors (None without a current model).
+    """
+    spark = labelled.sparkSession
+    name = now.strftime("%Y%m%d-%H%M%S")
+    last = labelled.agg(F.max("ts")).first()[0]
+    new = train(labelled.filter(F.col("ts") < F.expr(f"(timestamp_ntz '{last}') - interval 1 month")), columns)
+    save_version(new, root, name)
+    old_name, a, b = current_version(spark, root), None, None
+    better = True
+    if old_name:
+        chosen, a, b = champion(Model.load(spark, f"{root}/versions/{old_name}"), new, labelled, config)
+        better = chosen is new
+    if better:
+        appoint(spark, root, name, now.isoformat())
+    return (name if better else old_name), a, b
+
+
 def backtest(model: Model, features: DataFrame, config: EngineConfig, start: str | None = None, end: str | None = None) -> dict[str, DataFrame]:
     """Labels, scores and reports of the bars from day ``start`` to day ``end`` (the test split by default): small frames by name."""
     from tidemark.operators.ingest import between_days
