@@ -206,8 +206,12 @@ def test_url_filter(spark):
 
     frame, ruled = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string")
     want = collections.Counter((i, *expected(u)) for i, u in rows)
-    for bound in (1000, 1):  # broadcast, and salted shuffle
-        got = judge_urls(frame, ruled, broadcast_rules=bound).collect()
+    long = "http://" + ".".join(f"l{k}" for k in range(3000)) + ".example.com/en/7" + "x" * 100_000
+    rows.append((99, long))
+    want[(99, *expected(long))] += 1
+    frame = spark.createDataFrame([(i, u, "extra", None) for i, u in rows], "page_id long, url string, host string, verdict string")
+    for bound in ({}, {"broadcast_rules": 1}, {"broadcast_bytes": 1}):  # broadcast, and salted shuffles
+        got = judge_urls(frame, ruled, **bound).collect()
         assert want == collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got)
     assert judge_urls(frame.limit(0), ruled).count() == 0 and judge_urls(frame, ruled.limit(0)).filter("verdict = 'allow'").count() == len(rows)
 
@@ -230,6 +234,15 @@ def test_chat_round_trip(spark):
     assert format_chats(frame.limit(0)).count() == 0
 
 
+def test_chat_of_long_texts_and_other_columns(spark):
+    from tidemark.llm.chat import format_chats
+
+    long = "word <|im_end|> " * 20_000
+    rows = [(1, 0, "user", long, "x", 3), (1, 1, "assistant", long * 2, "y", 4)]
+    out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, turns int")).collect()
+    assert len(out) == 1 and out[0].round_trip and [t.text for t in out[0].turns] == [long, long * 2] and set(out[0].asDict()) == {"conv_id", "formatted", "turns", "loss_spans", "round_trip"}
+
+
 def test_chat_turns_end_at_the_first_end(spark):
     from pyspark.sql import functions as F
 

@@ -45,18 +45,20 @@ def rule_table(rules: DataFrame) -> DataFrame:
     )
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 200_000, salts: int = 32) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = 200_000, broadcast_bytes: int = 64 << 20, salts: int = 32) -> DataFrame:
     """One row per row of ``pages``: ``id_col, host, path, rule, verdict``.
 
     A rule fits its host and all subdomains if the path starts with the rule's path; the longest
     rule string wins, and where none fits the verdict is ``default``. Null or malformed URLs have
     empty host and path and match nothing. Repeated rows give repeated results, null ids are
-    carried, other columns are not. Up to ``broadcast_rules`` rules are broadcast; more are
-    shuffled on the hash prefix, with expressions salted so that a hot host is spread.
+    carried, other columns are not. Up to ``broadcast_rules`` rules of ``broadcast_bytes`` are
+    broadcast; more are shuffled on the hash prefix, with expressions salted so that a hot host is
+    spread. URLs of any length are taken whole: their host gives as many suffixes as it has labels.
     """
     ruled = rule_table(rules)
     lengths = sorted(r["r_len"] for r in ruled.select("r_len").distinct().collect())  # at most as many as the longest path has characters
-    small = ruled.limit(broadcast_rules + 1).count() <= broadcast_rules
+    held = ruled.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("r_rule") + 128), F.lit(0)).alias("size")).first()  # 128: digests, action, pointers
+    small = held["n"] <= broadcast_rules and held["size"] <= broadcast_bytes
     host, path = url_host(F.col(f"`{url_col}`")), url_path(F.col(f"`{url_col}`"))
     parts = pages.select(F.col(f"`{id_col}`").alias("__id"), host.alias("host"), path.alias("path"))
 
