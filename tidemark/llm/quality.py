@@ -34,7 +34,7 @@ class LineRules:
     max_bars_pct: int = 20
     max_lost_pct: int = 40
     min_line_words: int = 1
-    terminal: str = ".!?…。！？:;"
+    terminal: str = ".!?…。！？।؟:;"
     boilerplate: str = (
         r"(?i)all rights reserved|licensed under the |released under the [a-z0-9 ]*license|"
         r"terms (of use|and conditions)|privacy policy|cookie policy|accept (all )?cookies|"
