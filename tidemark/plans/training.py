@@ -252,6 +252,7 @@ def train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_training(spark, sf_dir).cache()
     columns = prune_correlated(fill_zero(rows), P.L1 + P.L2, EVENTS.correlation)
     model = fit(rows.filter("day(ts) <= 20"), columns)
+    rows.unpersist()
     return model.predict(rows.filter("day(ts) > 20")).select("symbol", "ts", "cls", F.col("pred").cast("long").alias("pred"), F.round("conf", 6).alias("conf"))
 
 
@@ -266,7 +267,9 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = replace(EVENTS, fold_months=24, pip=1000.0, horizon=5)
     bars = bars.withColumns({"l1_volatility_energy": F.col("high") - F.col("low"), "l1_price_velocity": F.col("close") - F.col("open"), "l1_custom_volume": F.col("volume")})
     labelled = barrier_labels(bars, config).withColumn("cls", class_of()).cache()
-    return walk_forward_validation(labelled, ["l1_volatility_energy", "l1_price_velocity", "l1_custom_volume"], config, "1 day")
+    out = walk_forward_validation(labelled, ["l1_volatility_energy", "l1_price_velocity", "l1_custom_volume"], config, "1 day")
+    labelled.unpersist()
+    return out
 
 
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
