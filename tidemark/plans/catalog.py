@@ -94,6 +94,25 @@ def _layer3(*columns: str) -> Query:
     return lambda spark, sf: tidy(L3.layer3(hourly(spark, sf), C), "symbol", "ts", *columns)
 
 
+def _swung(bars: DataFrame) -> DataFrame:
+    return bars.withColumns(L3.swing_columns(C.swing))
+
+
+def _higher(bars: DataFrame) -> DataFrame:
+    return L3.higher_trend(L3.higher_trend(bars, "1 hour", "l3_h1_trend", C), "4 hours", "l3_h4_trend", C)
+
+
+def _layer3_light(step: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
+    """Columns that need one step of the layer only."""
+    return lambda spark, sf: tidy(step(hourly(spark, sf)), "symbol", "ts", *columns)
+
+
+def l4_confluence(spark: SparkSession, sf: str) -> DataFrame:
+    """Layer 2 and the trends and zones of layer 3, which need no lifetimes."""
+    bars = L3.structure_trend(_swung(_higher(L2.layer2(energy_bars(spark, sf), C))))
+    return tidy(L3.premium_discount(L3.breaks(bars, C), C).withColumn("l4_multi_layer_confluence", L4.confluence()), "symbol", "ts", "l4_multi_layer_confluence")
+
+
 def _layer4_light(step: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
     return lambda spark, sf: tidy(step(energy_bars(spark, sf)), "symbol", "ts", *columns)
 
@@ -331,16 +350,17 @@ def queries() -> dict[str, Query]:
         "l1_early_late": _layer1("l1_early_late_ratio"), "l1_acceleration": _layer1("l1_price_acceleration"), "l1_absorption": _layer1("l1_absorption_count", "l1_absorption_intensity"),
         "l2_session": _layer2("l2_session", "l2_day_of_week", "l2_hour"), "l2_overlap_killzone": _layer2("l2_session_overlap", "l2_kill_zone"), "l2_session_stats": _layer2("l2_distance_from_session_open", "l2_session_position"),
         "l2_vol_spike": _layer2("l2_time_since_vol_spike"), "l2_vol_rank": _layer2("l2_session_volatility_rank"), "l2_session_trend": _layer2("l2_session_trend"),
-        "l3_swings": _layer3("l3_swing_high", "l3_swing_low"), "l3_structure": _layer3("l3_structure_trend"), "l3_htf_trend": _layer3("l3_h1_trend", "l3_h4_trend"), "l3_bos_choch": _layer3("l3_bos_direction", "l3_choch_flag"),
+        "l3_swings": _layer3_light(_swung, "l3_swing_high", "l3_swing_low"), "l3_structure": _layer3_light(lambda d: L3.structure_trend(_swung(d)), "l3_structure_trend"), "l3_htf_trend": _layer3_light(_higher, "l3_h1_trend", "l3_h4_trend"),
+        "l3_bos_choch": _layer3_light(lambda d: L3.breaks(_swung(d), C), "l3_bos_direction", "l3_choch_flag"),
         "l3_block_scan": _layer3("l3_demand_ob_distance", "l3_supply_ob_distance"), "l3_fvg": _layer3("l3_fvg_active", "l3_fvg_distance"), "l3_liquidity": _layer3("l3_buy_liq_distance", "l3_sell_liq_distance"),
-        "l3_sweep": _layer3("l3_liquidity_sweep"), "l3_premium_discount": _layer3("l3_premium_discount"),
+        "l3_sweep": _layer3("l3_liquidity_sweep"), "l3_premium_discount": _layer3_light(lambda d: L3.premium_discount(L3.breaks(_swung(d), C), C), "l3_premium_discount"),
         "l4_whale": _layer4_light(lambda d: d.withColumn("l4_whale_footprint", L4.whale(C)), "l4_whale_footprint"),
         "l4_divergence": _layer4_light(lambda d: d.withColumn("l4_momentum_divergence", L4.divergence(C)), "l4_momentum_divergence"),
         "l4_streak": _layer4_light(lambda d: L4.streak(d, C), "l4_consecutive_bias"), "l4_climax": _layer4_light(lambda d: d.withColumn("l4_volume_climax", L4.climax(C)), "l4_volume_climax"),
         "l4_compression": _layer4_light(lambda d: d.withColumn("l4_range_compression", L4.compression(C)), "l4_range_compression"),
         "l4_regime": _layer4_light(lambda d: d.withColumn("l4_time_volatility_regime", L4.regime(C)), "l4_time_volatility_regime"),
         "l4_continuation": _layer4_light(lambda d: L4.continuation(L2.layer2(d, C), C), "l4_session_continuation"),
-        "l4_trap": _features("l4_trap_score"), "l4_dna": _features("l4_candle_dna"), "l4_confluence": _features("l4_multi_layer_confluence"), "features_all": _features(*P.FEATURES),
+        "l4_trap": _features("l4_trap_score"), "l4_dna": _features("l4_candle_dna"), "l4_confluence": l4_confluence, "features_all": _features(*P.FEATURES),
         "train_predict": T.train_predict, "walk_forward": T.walk_forward, "stream_bars": T.stream_bars, "stream_signals": T.stream_signals,
     }
     return made
