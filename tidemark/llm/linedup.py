@@ -66,7 +66,8 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch ``(doc_id, h)``; its documents have lower ids than all before and none of the same id."""
-        own = keys.groupBy("h").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-(2**63)))).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        # distinct rows are dealt by both columns; what is then dealt by key is one partial count for each task
+        own = keys.distinct().groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
         for name in self.runs():
             settled = self.spark.table(name).filter(F.col("n_docs") >= self.min_docs).select("h")
             own = own.join(settled.hint("merge"), "h", "left_anti")
