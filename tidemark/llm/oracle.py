@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.phrases import PhraseParams
 from tidemark.llm.quality import LineRules
 from tidemark.llm.urlfilter import RULES
 
@@ -54,5 +55,22 @@ def chat_formatting() -> str:
         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(12 + r_len + 1 + t_len + 10 + 1)::BIGINT AS formatted_chars, true AS round_trip FROM t GROUP BY 1"""
 
 
+def phrase_mining() -> str:
+    p = PhraseParams()
+    return rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS t FROM documents),
+      w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+      g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, {p.max_words} + 1)) AS m) WHERE len(ws) >= m)),
+      f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL), total AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY 1),
+      c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ps FROM f WHERE m > 1 AND f >= {p.least}),
+      cuts AS (SELECT lang, m, phrase, a, k, array_to_string(ps[1:k], ' ') AS pre, array_to_string(ps[k + 1:m], ' ') AS suf FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+      s AS (SELECT cuts.*, x.f AS l, y.f AS r, n, ({p.scale}::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = pre JOIN f y ON y.lang = cuts.lang AND y.phrase = suf JOIN total ON total.lang = cuts.lang),
+      best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+      inside AS (SELECT DISTINCT lang, a, unnest([array_to_string(ps[1:m - 1], ' '), array_to_string(ps[2:m], ' ')]) AS phrase FROM c WHERE m > 2)
+      SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score, m::INT AS words
+      FROM best ANTI JOIN inside USING (lang, phrase, a) QUALIFY rank <= {p.top}"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters(), "op4_quality_rules": quality_rules(), "op5_line_dedup": line_dedup(), "op6_chat_formatting": chat_formatting()}
+    return {
+        "op1_url_filters": url_filters(), "op4_quality_rules": quality_rules(), "op5_line_dedup": line_dedup(), "op6_chat_formatting": chat_formatting(), "op11_phrase_mining": phrase_mining(),
+    }
