@@ -42,6 +42,8 @@ class PhraseParams:
     salts: int = 64
 
 
+#: Up to so many languages' totals are broadcast.
+MANY_LANGUAGES = 10_000
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BLANKS = _BREAKS.copy()
@@ -202,6 +204,8 @@ def score_cuts(grams: DataFrame, params: PhraseParams) -> DataFrame:
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("prefix"), F.col("f").alias("l")), ["lang", "prefix"])
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("suffix"), F.col("f").alias("r")), ["lang", "suffix"])
     totals = grams.filter("words = 0").select("lang", F.col("f").alias("n"))  # one row for each language
+    if totals.limit(MANY_LANGUAGES + 1).count() <= MANY_LANGUAGES:
+        totals = F.broadcast(totals)  # a join would put a language into one task
     cuts = cuts.join(totals, "lang").withColumns({"__a": number("a"), "__n": number("n"), "__l": number("l"), "__r": number("r")})
     # at most 38 digits: the counts of 10^16 words and the scale fit
     cuts = cuts.withColumn("score", F.expr(f"(cast(__a * __n as decimal(34,0)) * {params.scale}BD) div cast(__l * __r as decimal(38,0))"))
