@@ -94,5 +94,5 @@ def test_a_library_that_differs_counts(vocabulary, monkeypatch):
 
     monkeypatch.setattr(vocabulary, "rank", vocabulary.rank.copy())
     vocabulary.rank[:-1] = vocabulary.rank[:-1].max() - vocabulary.rank[:-1]  # the wrong order of merges
-    ids, agrees = pieces._checked(vocabulary, ["international understanding", "a"])
-    assert ids == vocabulary.library.encode(["international understanding", "a"]) and agrees == [False, True]
+    column, ids, agrees = pieces._checked(vocabulary, ["international understanding", "a"])
+    assert column.to_pylist() == ids == vocabulary.library.encode(["international understanding", "a"]) and agrees == [False, True]

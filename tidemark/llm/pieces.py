@@ -201,16 +201,14 @@ class MergeVocabulary:
         return flat, before[last] - before[last - n_units]
 
 
-def _checked(vocabulary: MergeVocabulary, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-    """Ids of each text, and whether the library's are the same; where they aren't, the library's count."""
+def _checked(vocabulary: MergeVocabulary, texts: list[str]) -> tuple[pa.Array, list[list[int]], list[bool]]:
+    """Ids of each text, twice, and whether the library's are the same; where they aren't, the library's count."""
     ids, sizes = vocabulary.encode(texts)
     theirs = vocabulary.library.encode(texts, num_threads=1)
-    total = int(sizes.sum())
-    same = [len(x) for x in theirs] == sizes.tolist() and np.array_equal(np.fromiter(itertools.chain.from_iterable(theirs), np.int32, total), ids)
-    if same:
-        return theirs, [True] * len(texts)
     ends = np.cumsum(sizes)
-    return theirs, [x == ids[end - n : end].tolist() for x, n, end in zip(theirs, sizes.tolist(), ends.tolist(), strict=True)]
+    if [len(x) for x in theirs] == sizes.tolist() and np.array_equal(np.fromiter(itertools.chain.from_iterable(theirs), np.int32, len(ids)), ids):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids)), theirs, [True] * len(texts)
+    return pa.array(theirs, pa.list_(pa.int32())), theirs, [x == ids[end - n : end].tolist() for x, n, end in zip(theirs, sizes.tolist(), ends.tolist(), strict=True)]
 
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -229,8 +227,8 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
     def run(part: pa.RecordBatch) -> list[pa.Array]:
         if not held:
             held.append(MergeVocabulary(model_path))
-        ids, agrees = _checked(held[0], texts_of(part).to_pylist())
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(held[0].library.decode(ids, num_threads=1) if ids else [], pa.string()), pa.array(agrees, pa.bool_())]
+        column, ids, agrees = _checked(held[0], texts_of(part).to_pylist())
+        return [column, pa.array(held[0].library.decode(ids, num_threads=1) if ids else [], pa.string()), pa.array(agrees, pa.bool_())]
 
     return attach(docs, text_col, run, fields)
 
