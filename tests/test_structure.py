@@ -112,7 +112,7 @@ def by_symbol(rows):
 
 @pytest.mark.parametrize("chunk", [8192, 37])
 def test_layer3_matches_machine(bars, chunk):
-    from tidemark.operators.layer3 import layer3
+    from tidemark.operators.market import layer3
 
     rows, frame = bars
     found = layer3(frame, replace(C, chunk_bars=chunk)).collect()
@@ -134,7 +134,7 @@ def test_layer3_matches_machine(bars, chunk):
 
 def test_gaps_that_stay_open_over_many_chunks(spark):
     """A rise with gaps, then a fall that closes them one after the other."""
-    from tidemark.operators.layer3 import layer3
+    from tidemark.operators.market import layer3
 
     rng = np.random.default_rng(8)
     steps = np.concatenate([np.full(120, 1.5), np.full(170, -1.1)]) + rng.normal(0, 0.3, 290).round(2)
@@ -163,12 +163,13 @@ def test_trailing_quantiles():
 
 def test_block_join_equals_scan(bars):
     from tidemark.operators import layer3 as L3
+    from tidemark.operators.market import layer3
 
     _, frame = bars
     base = L3.breaks(frame.withColumns(L3.swing_columns(5)), C)
     joined = L3.block_distance(L3.block_distance(base, True, "d", C), False, "s", C)
     a = {(r.symbol, r.ts): (round(r.d, 9), round(r.s, 9)) for r in joined.collect()}
-    b = {(r.symbol, r.ts): (round(r.l3_demand_ob_distance, 9), round(r.l3_supply_ob_distance, 9)) for r in L3.scan_lifetimes(base, C).collect()}
+    b = {(r.symbol, r.ts): (round(r.l3_demand_ob_distance, 9), round(r.l3_supply_ob_distance, 9)) for r in layer3(frame, C).collect()}
     assert a == b and any(x != (0.0, 0.0) for x in a.values())
 
 

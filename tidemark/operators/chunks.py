@@ -41,21 +41,6 @@ def in_chunks(series: DataFrame, fn: Callable[[pa.Table, int], dict[str, np.ndar
     return series.withColumn("__chunk", chunks).groupBy("symbol", "__chunk").applyInArrow(run, schema)
 
 
-def summarised(series: DataFrame, fn: Callable[[pa.Table, int], dict], fields: list[T.StructField], size: int, halo: int) -> DataFrame:
-    """``(symbol, chunk)`` and what ``fn(rows, own)`` says of each chunk: one row for each."""
-    schema = T.StructType([series.schema["symbol"], T.StructField("chunk", T.LongType()), *fields])
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        rows = group.sort_by("i")
-        own = int(np.searchsorted(np.asarray(rows["i"].combine_chunks()), key[1].as_py() * size))
-        said = [{"symbol": key[0].as_py(), "chunk": key[1].as_py(), **fn(rows, own)}] if own < rows.num_rows else []
-        return pa.Table.from_pylist(said, schema=pa.schema(types))
-
-    types = [(f.name, {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}[f.dataType.simpleString()]) for f in schema]
-    chunks = F.explode(F.sequence(F.floor(F.col("i") / size), F.floor((F.col("i") + halo) / size)))
-    return series.withColumn("__chunk", chunks).groupBy("symbol", "__chunk").applyInArrow(run, schema)
-
-
 def trailing_windows(values: np.ndarray, own: int, width: int) -> np.ndarray:
     """For each row from ``own`` on its last ``width`` values, oldest first, NaN where the series has none."""
     padded = np.concatenate([np.full(width - 1, np.nan), values])

@@ -1,26 +1,20 @@
 """Layer 3: market structure.
 
-Swings, structure trend, breaks and higher-timeframe trends are windows and equi-joins. Order
-blocks, gaps and liquidity pools have lifetimes and clusters; they run as vectorised passes over
-time chunks, each with as many bars before it as blocks live and pools span. Gaps have no such
-bound: every chunk names the gaps that it leaves open and its lowest low, a pass over these
-summaries says which older gaps a chunk has to know. Order blocks also have a set-based form,
-an interval join.
+Each column in the form that fits its own query: swings, structure trend, breaks and
+higher-timeframe trends as windows and equi-joins, order blocks as an interval join. Blocks, gaps
+and pools of a stretch of rows as arrays are here too; :mod:`tidemark.operators.market` has all
+columns of the layer, for series of any length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.config import EngineConfig
 from tidemark.operators.bars import bucket, resample
-from tidemark.operators.chunks import in_chunks, numbers, summarised, trailing_quantiles, trailing_windows
+from tidemark.operators.chunks import trailing_windows
 from tidemark.operators.windows import before, binned_interval_join, fill_forward, ordinal, series
 
 
@@ -167,12 +161,6 @@ def _born(high: np.ndarray, low: np.ndarray, own: int, least: float) -> np.ndarr
     return at[at >= own]
 
 
-def _left_open(high: np.ndarray, low: np.ndarray, own: int, least: float) -> tuple[list[float], list[float], float]:
-    """Tops and middles of the chunk's gaps that it leaves open, and its lowest low."""
-    stays = [g for g in _born(high, low, own, least) if _first_at_most(low, g + 1, low[g]) == len(low)]
-    return [float(low[g]) for g in stays], [float(high[g - 2] + low[g]) / 2 for g in stays], float(low[own:].min())
-
-
 def _gap_distance(high: np.ndarray, low: np.ndarray, close: np.ndarray, own: int, least: float, tops: np.ndarray, middles: np.ndarray) -> np.ndarray:
     """Distance of each close from ``own`` on over the nearest open gap's middle, NaN where none is open.
 
@@ -211,91 +199,10 @@ def _block_distances(close: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: int
     return best[own:]
 
 
-_OPEN_GAPS = ("__bull_tops", "__bull_middles", "__bear_tops", "__bear_middles")
-
-
-def open_gaps(bars: DataFrame, config: EngineConfig) -> DataFrame:
-    """``(symbol, i)`` and the older open gaps of both sides that matter in the chunk that begins at ``i``."""
-    least, size = config.gap_pips * config.pip, config.chunk_bars
-    numbers_ = T.ArrayType(T.DoubleType())
-    fields = [T.StructField(c, numbers_) for c in _OPEN_GAPS] + [T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]
-
-    def said(rows: pa.Table, own: int) -> dict:
-        high, low = numbers(rows, "high", "low")
-        up_tops, up_middles, lowest = _left_open(high, low, own, least)
-        down_tops, down_middles, highest = _left_open(-low, -high, own, least)
-        return dict(zip((*_OPEN_GAPS, "low", "high"), (up_tops, up_middles, down_tops, down_middles, lowest, highest), strict=True))
-
-    summary = summarised(bars.select("symbol", "i", "high", "low"), said, fields, size, 2)
-    schema = T.StructType([bars.schema["symbol"], T.StructField("i", T.IntegerType()), *[T.StructField(c, numbers_) for c in _OPEN_GAPS]])
-
-    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, held = object(), {}
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():  # one for each chunk
-                if row["symbol"] != symbol:
-                    symbol, held = row["symbol"], {"bull": ([], []), "bear": ([], [])}
-                made = {"symbol": symbol, "i": row["chunk"] * size}
-                for side, bound in (("bull", row["low"]), ("bear", row["high"])):
-                    tops, middles = held[side]
-                    closed = len(tops) - int(np.searchsorted(tops, bound))
-                    used = slice(max(len(tops) - closed - 3, 0), None)  # those it closes, and the three below them
-                    made |= {f"__{side}_tops": tops[used], f"__{side}_middles": middles[used]}
-                    stays = len(tops) - closed
-                    held[side] = (tops[:stays] + row[f"__{side}_tops"], middles[:stays] + row[f"__{side}_middles"])
-                out.append(made)
-            if out:
-                kinds = [pa.string(), pa.int32(), *[pa.list_(pa.float64())] * 4]
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(zip(schema.names, kinds, strict=True))))
-
-    return summary.repartition("symbol").sortWithinPartitions("symbol", "chunk").mapInArrow(carry, schema)
-
-
-def scan_lifetimes(bars: DataFrame, config: EngineConfig, quantiles: tuple[tuple[str, str, float], ...] = ()) -> DataFrame:
-    """Add block, gap and pool columns by one pass over time chunks.
-
-    quantiles: ``(new column, column, share)``, trailing quantiles that the same pass computes.
-    """
-    names = ["l3_demand_ob_distance", "l3_supply_ob_distance", "l3_fvg_active", "l3_fvg_distance", "__buy_pool", "__sell_pool", *[q[0] for q in quantiles]]
-    fields = [T.StructField(c, T.IntegerType() if c == "l3_fvg_active" else T.DoubleType()) for c in names]
-    least, tol, pip = config.gap_pips * config.pip, config.liq_tolerance_pips * config.pip, config.pip
-    blocks = {f"__{side}_{edge}": c for side, demand in (("demand", True), ("supply", False)) for edge, c in zip(("lo", "hi"), _block_made(demand), strict=True)}
-    source = bars.withColumns(blocks).join(open_gaps(bars, config), ["symbol", "i"], "left")
-
-    def passed(rows: pa.Table, own: int) -> dict[str, np.ndarray]:
-        high, low, close, d_lo, d_hi, s_lo, s_hi = numbers(rows, "high", "low", "close", "__demand_lo", "__demand_hi", "__supply_lo", "__supply_hi")
-        carried = [np.array(rows[c][own].as_py() or [], float) for c in _OPEN_GAPS]
-        up = _gap_distance(high, low, close, own, least, *carried[:2])
-        down = _gap_distance(-low, -high, -close, own, least, *carried[2:])
-        values = [
-            _block_distances(close, d_lo, d_hi, own, config.block_age), _block_distances(-close, -s_hi, -s_lo, own, config.block_age),
-            np.where(~np.isnan(up), 1, np.where(~np.isnan(down), -1, 0)), np.where(~np.isnan(up), up, down),
-        ]
-        for k in (0, 1, 3):
-            values[k] = np.nan_to_num(values[k]) / pip
-        values += [_pools(x, own, config.liq_window, tol, config.liq_touches) for x in (high, low)]
-        for _, column, share in quantiles:
-            values += trailing_quantiles(*numbers(rows, column), own, config.dna_window, config.dna_least, [share])
-        return dict(zip(names, values, strict=True))
-
-    halo = max(config.block_age, config.liq_window - 1, config.dna_window - 1 if quantiles else 0, 2)
-    return in_chunks(source, passed, fields, config.chunk_bars, halo).drop(*blocks, *_OPEN_GAPS)
-
-
-def liquidity(bars: DataFrame, config: EngineConfig) -> DataFrame:
-    """Add distances to the pools above and below and the sweep flag (the lower sweep overrides)."""
+def liquidity_columns(config: EngineConfig) -> dict[str, Column]:
+    """Distances to the pools above and below and the sweep flag (the lower sweep overrides)."""
     buy, sell = F.col("__buy_pool"), F.col("__sell_pool")
     swept = F.when((F.col("low") < sell) & (F.col("close") > sell), -1).when((F.col("high") > buy) & (F.col("close") < buy), 1).otherwise(0)
-    return bars.withColumns({
+    return {
         "l3_buy_liq_distance": F.coalesce((buy - F.col("close")) / config.pip, F.lit(0.0)), "l3_sell_liq_distance": F.coalesce((F.col("close") - sell) / config.pip, F.lit(0.0)), "l3_liquidity_sweep": swept,
-    }).drop("__buy_pool", "__sell_pool")
-
-
-def layer3(bars: DataFrame, config: EngineConfig, quantiles: tuple[tuple[str, str, float], ...] = ()) -> DataFrame:
-    """Bars with the fifteen columns of the layer and the ordinal ``i``; for ``quantiles`` see :func:`scan_lifetimes`."""
-    out = higher_trend(higher_trend(bars, "1 hour", "l3_h1_trend", config), "4 hours", "l3_h4_trend", config)
-    out = structure_trend(out.withColumns(swing_columns(config.swing)))
-    out = premium_discount(breaks(out, config), config)
-    out = liquidity(scan_lifetimes(out, config, quantiles), config)
-    return out.drop("__sh", "__sl", "__sh_i", "__sl_i")
+    }

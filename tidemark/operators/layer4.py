@@ -22,33 +22,21 @@ def near_block(pips: float) -> Column:
     return (F.abs("l3_demand_ob_distance") < pips) | (F.abs("l3_supply_ob_distance") < pips)
 
 
-def reversal() -> Column:
-    """Whether the close turns against the step before it; closes before the series are its first."""
-    first = F.first("close").over(so_far())
-    c, c1, c2 = F.col("close"), F.coalesce(F.lag("close", 1).over(series()), first), F.coalesce(F.lag("close", 2).over(series()), first)
-    return ((c1 > c2) & (c < c1)) | ((c1 < c2) & (c > c1))
-
-
 def trap(config: EngineConfig) -> Column:
     score = 30 * _flag(F.col("l3_liquidity_sweep") != 0) + 20 * _flag(F.col("l2_kill_zone") > 0) + 20 * _flag(F.col("__reversal"))
     score = score + 15 * _flag(near_block(config.trap_ob_pips)) + 15 * _flag(F.col("l1_absorption_intensity") > config.trap_absorption)
     return F.least(F.greatest(score, F.lit(0)), F.lit(100))
 
 
-#: Trailing quantiles that candle types compare with: new column, column, share.
-DNA_QUANTILES = (("__v75", "l1_price_velocity", 0.75), ("__v95", "l1_price_velocity", 0.95), ("__r25", "__rng", 0.25))
-
-
 def candle_range() -> Column:
     return F.col("high") - F.col("low")
 
 
-def dna(bars: DataFrame, config: EngineConfig) -> DataFrame:
-    """Add the first candle type that fits, or -1; needs DNA_QUANTILES and ``__rng``. Missing quantiles never fit."""
+def dna_kind(config: EngineConfig) -> Column:
+    """The first candle type that fits, or -1; needs the trailing quantiles of velocity (``__v75``, ``__v95``) and range (``__r25``), ``__rng`` and ``__before``, the break of the bar before. Missing quantiles never fit."""
     vel, bos = F.col("l1_price_velocity"), F.col("l3_bos_direction")
-    base = bars.withColumn("__before", F.coalesce(F.lag("l3_bos_direction").over(series()), F.lit(0)))
     body = F.abs(F.col("close") - F.col("open")) / (F.col("__rng") + config.eps)
-    kind = (
+    return (
         F.when(F.col("l4_trap_score") >= config.dna_trap, 3)
         .when((vel > F.col("__v95")) & (bos != 0), 5)
         .when((F.col("__before") != 0) & (F.col("l3_choch_flag") != 0), 6)
@@ -59,7 +47,6 @@ def dna(bars: DataFrame, config: EngineConfig) -> DataFrame:
         .when((F.col("l1_custom_volume") < config.dna_dead_volume) & (F.col("l1_volatility_energy") < config.dna_dead_energy), 4)
         .otherwise(-1)
     )
-    return base.withColumn("l4_candle_dna", kind).drop("__rng", "__v75", "__v95", "__r25", "__before")
 
 
 def divergence(config: EngineConfig) -> Column:
@@ -126,11 +113,3 @@ def regime(config: EngineConfig) -> Column:
     short, long = F.avg("l1_volatility_energy").over(trailing(config.regime_short)), F.avg("l1_volatility_energy").over(trailing(config.regime_long))
     band = F.abs(long) * config.regime_band
     return F.when(short > long + band, 1).when(short < long - band, -1).otherwise(0)
-
-
-def layer4(bars: DataFrame, config: EngineConfig) -> DataFrame:
-    """Bars of layers 1 to 3 with the ten columns of the layer."""
-    out = bars.withColumn("l4_whale_footprint", whale(config)).withColumn("__reversal", reversal()).withColumn("l4_trap_score", trap(config)).drop("__reversal")
-    out = streak(dna(out, config), config)
-    out = out.withColumns({"l4_momentum_divergence": divergence(config), "l4_volume_climax": climax(config), "l4_range_compression": compression(config), "l4_time_volatility_regime": regime(config), "l4_multi_layer_confluence": confluence()})
-    return continuation(out, config)

@@ -17,6 +17,7 @@ from tidemark.operators import layer1 as L1
 from tidemark.operators import layer2 as L2
 from tidemark.operators import layer3 as L3
 from tidemark.operators import layer4 as L4
+from tidemark.operators import market as M
 from tidemark.operators import signals as S
 from tidemark.operators.windows import ordinal, rolling_z_high, series, trailing
 from tidemark.plans import features as P
@@ -90,8 +91,13 @@ def _layer2(*columns: str) -> Query:
     return lambda spark, sf: tidy(L2.layer2(energy_bars(spark, sf), C), "symbol", "ts", *columns)
 
 
+def _scanned(*columns: str) -> Query:
+    """Columns of layers 2 and 4 that need the prefix scan alone."""
+    return lambda spark, sf: tidy(M.market_columns(L2.calendar(energy_bars(spark, sf), C), C), "symbol", "ts", *columns)
+
+
 def _layer3(*columns: str) -> Query:
-    return lambda spark, sf: tidy(L3.layer3(hourly(spark, sf), C), "symbol", "ts", *columns)
+    return lambda spark, sf: tidy(M.layer3(hourly(spark, sf), C), "symbol", "ts", *columns)
 
 
 def _swung(bars: DataFrame) -> DataFrame:
@@ -108,9 +114,9 @@ def _layer3_light(step: Callable[[DataFrame], DataFrame], *columns: str) -> Quer
 
 
 def l4_confluence(spark: SparkSession, sf: str) -> DataFrame:
-    """Layer 2 and the trends and zones of layer 3, which need no lifetimes."""
-    bars = L3.structure_trend(_swung(_higher(L2.layer2(energy_bars(spark, sf), C))))
-    return tidy(L3.premium_discount(L3.breaks(bars, C), C).withColumn("l4_multi_layer_confluence", L4.confluence()), "symbol", "ts", "l4_multi_layer_confluence")
+    """Trends of the session and of three time frames against the zone."""
+    bars = M.market_columns(L2.calendar(energy_bars(spark, sf), C), C)
+    return tidy(bars.withColumn("l4_multi_layer_confluence", L4.confluence()), "symbol", "ts", "l4_multi_layer_confluence")
 
 
 def _layer4_light(step: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
@@ -349,7 +355,7 @@ def queries() -> dict[str, Query]:
         "l1_custom_volume": _layer1("l1_custom_volume", "l1_m1_count"), "l1_energy": _layer1("l1_volatility_energy"), "l1_velocity": _layer1("l1_price_velocity"), "l1_reversals": _layer1("l1_reversal_count"),
         "l1_early_late": _layer1("l1_early_late_ratio"), "l1_acceleration": _layer1("l1_price_acceleration"), "l1_absorption": _layer1("l1_absorption_count", "l1_absorption_intensity"),
         "l2_session": _layer2("l2_session", "l2_day_of_week", "l2_hour"), "l2_overlap_killzone": _layer2("l2_session_overlap", "l2_kill_zone"), "l2_session_stats": _layer2("l2_distance_from_session_open", "l2_session_position"),
-        "l2_vol_spike": _layer2("l2_time_since_vol_spike"), "l2_vol_rank": _layer2("l2_session_volatility_rank"), "l2_session_trend": _layer2("l2_session_trend"),
+        "l2_vol_spike": _layer2("l2_time_since_vol_spike"), "l2_vol_rank": _scanned("l2_session_volatility_rank"), "l2_session_trend": _layer2("l2_session_trend"),
         "l3_swings": _layer3_light(_swung, "l3_swing_high", "l3_swing_low"), "l3_structure": _layer3_light(lambda d: L3.structure_trend(_swung(d)), "l3_structure_trend"), "l3_htf_trend": _layer3_light(_higher, "l3_h1_trend", "l3_h4_trend"),
         "l3_bos_choch": _layer3_light(lambda d: L3.breaks(_swung(d), C), "l3_bos_direction", "l3_choch_flag"),
         "l3_block_scan": _layer3("l3_demand_ob_distance", "l3_supply_ob_distance"), "l3_fvg": _layer3("l3_fvg_active", "l3_fvg_distance"), "l3_liquidity": _layer3("l3_buy_liq_distance", "l3_sell_liq_distance"),
@@ -359,7 +365,7 @@ def queries() -> dict[str, Query]:
         "l4_streak": _layer4_light(lambda d: L4.streak(d, C), "l4_consecutive_bias"), "l4_climax": _layer4_light(lambda d: d.withColumn("l4_volume_climax", L4.climax(C)), "l4_volume_climax"),
         "l4_compression": _layer4_light(lambda d: d.withColumn("l4_range_compression", L4.compression(C)), "l4_range_compression"),
         "l4_regime": _layer4_light(lambda d: d.withColumn("l4_time_volatility_regime", L4.regime(C)), "l4_time_volatility_regime"),
-        "l4_continuation": _layer4_light(lambda d: L4.continuation(L2.layer2(d, C), C), "l4_session_continuation"),
+        "l4_continuation": _scanned("l4_session_continuation"),
         "l4_trap": _features("l4_trap_score"), "l4_dna": _features("l4_candle_dna"), "l4_confluence": l4_confluence, "features_all": _features(*P.FEATURES),
         "train_predict": T.train_predict, "walk_forward": T.walk_forward, "stream_bars": T.stream_bars, "stream_signals": T.stream_signals,
     }
