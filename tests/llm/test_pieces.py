@@ -74,6 +74,8 @@ def test_encode_and_decode_documents(spark, vocabulary, texts):
     again = decode_documents(made.withColumnRenamed("decoded", "before"), default_model())
     assert all(r.decoded == r.before for r in again.collect())
     assert encode_documents(docs.limit(0), default_model()).count() == 0
+    whole = encode_documents(docs, default_model(), check="texts")
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, made.collect()))
     assert [r.decoded for r in decode_documents(spark.createDataFrame([(None,), ([],)], "ids array<long>"), default_model()).collect()] == ["", ""]
 
 
@@ -94,5 +96,7 @@ def test_a_library_that_differs_counts(vocabulary, monkeypatch):
 
     monkeypatch.setattr(vocabulary, "rank", vocabulary.rank.copy())
     vocabulary.rank[:-1] = vocabulary.rank[:-1].max() - vocabulary.rank[:-1]  # the wrong order of merges
-    column, ids, agrees = pieces._checked(vocabulary, ["international understanding", "a"])
-    assert column.to_pylist() == ids == vocabulary.library.encode(["international understanding", "a"]) and agrees == [False, True]
+    texts = ["a", "international understanding", "", "b understanding"]
+    for check in ("units", "texts"):
+        column, agrees = pieces._checked(vocabulary, texts, check)
+        assert column.to_pylist() == vocabulary.library.encode(texts) and agrees == [True, False, True, False]

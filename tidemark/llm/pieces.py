@@ -4,7 +4,7 @@ A unit of text (a run of blank marks and what follows it) is cut into characters
 adjacent symbol pairs, ordered by the score of the piece they would make and then from the left,
 is worked off until no pair makes a piece. No piece reaches over the start of a unit, so the
 distinct units of a batch are encoded once, short ones in step with each other, long ones with a
-heap. Every text of a batch is also encoded by the sentencepiece library, and both are compared.
+heap. The sentencepiece library encodes the same units (or whole texts), and both are compared.
 """
 
 from __future__ import annotations
@@ -187,36 +187,70 @@ class MergeVocabulary:
         units = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes()))
         return units, np.diff(np.searchsorted(offsets[:-1], starts - begin))
 
+    def units_in(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The normalised texts as numbers of distinct units, the units, and how many units each text has."""
+        units, n_units = self.units_of(pa.array(self.library.normalize(texts), pa.large_string()))
+        return *coded(units), n_units
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and how many each text has."""
-        units, n_units = self.units_of(pa.array(self.library.normalize(texts), pa.large_string()))
-        codes, distinct = coded(units)
-        ids, sizes = self.encode_units(distinct)
-        firsts = np.cumsum(sizes) - sizes
-        own = sizes[codes]
-        ends = np.cumsum(own)
-        flat = ids[np.repeat(firsts[codes] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
-        before = np.concatenate([[0], ends])
-        last = np.cumsum(n_units)
-        return flat, before[last] - before[last - n_units]
-
-
-def _checked(vocabulary: MergeVocabulary, texts: list[str]) -> tuple[pa.Array, list[list[int]], list[bool]]:
-    """Ids of each text, twice, and whether the library's are the same; where they aren't, the library's count."""
-    ids, sizes = vocabulary.encode(texts)
-    theirs = vocabulary.library.encode(texts, num_threads=1)
-    ends = np.cumsum(sizes)
-    if [len(x) for x in theirs] == sizes.tolist() and np.array_equal(np.fromiter(itertools.chain.from_iterable(theirs), np.int32, len(ids)), ids):
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids)), theirs, [True] * len(texts)
-    return pa.array(theirs, pa.list_(pa.int32())), theirs, [x == ids[end - n : end].tolist() for x, n, end in zip(theirs, sizes.tolist(), ends.tolist(), strict=True)]
-
-
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+        codes, distinct, n_units = self.units_in(texts)
+        return spelled_out(codes, n_units, *self.encode_units(distinct))
+
+    def differing(self, units: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which distinct units the library encodes otherwise, or can't be given on their own.
+
+        The library puts a mark before every text, so it gets a unit without its first mark.
+        """
+        bare = pc.utf8_slice_codeunits(units, 1).to_pylist()
+        alike = np.asarray(pc.equal(pa.array(self.library.normalize(bare), pa.large_string()), units).cast(pa.uint8()), dtype=bool) if bare else np.zeros(0, bool)
+        theirs = self.library.encode(bare, num_threads=1) if bare else []
+        lengths = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        if np.array_equal(lengths, sizes) and np.array_equal(np.fromiter(itertools.chain.from_iterable(theirs), np.int32, len(ids)), ids):
+            return ~alike
+        ends = np.cumsum(sizes)
+        return ~alike | np.array([x != ids[end - n : end].tolist() for x, n, end in zip(theirs, sizes.tolist(), ends.tolist(), strict=True)], bool)
+
+
+def spelled_out(codes: np.ndarray, n_units: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts given as numbers of units, and how many each text has."""
+    firsts, own = np.cumsum(sizes) - sizes, sizes[codes]
+    ends = np.cumsum(own)
+    flat = ids[np.repeat(firsts[codes] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+    before, last = np.concatenate([[0], ends]), np.cumsum(n_units)
+    return flat, before[last] - before[last - n_units]
+
+
+def _checked(vocabulary: MergeVocabulary, texts: list[str], check: str) -> tuple[pa.Array, list[bool]]:
+    """Ids of each text, and whether the library's are the same; where they may not be, the library's count."""
+    codes, distinct, n_units = vocabulary.units_in(texts)
+    ids, sizes = vocabulary.encode_units(distinct)
+    flat, counts = spelled_out(codes, n_units, ids, sizes)
+    if check == "units":
+        odd = vocabulary.differing(distinct, ids, sizes)
+        doubtful = np.nonzero(np.bincount(np.repeat(np.arange(len(texts)), n_units), weights=odd[codes], minlength=len(texts)))[0].tolist()
+    else:
+        doubtful = list(range(len(texts)))
+    column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
+    agrees = [True] * len(texts)
+    if doubtful:
+        theirs = vocabulary.library.encode([texts[k] for k in doubtful], num_threads=1)
+        ours = column.take(pa.array(doubtful)).to_pylist()
+        for k, a, b in zip(doubtful, ours, theirs, strict=True):
+            agrees[k] = a == b
+        if not all(agrees):
+            given = dict(zip(doubtful, theirs, strict=True))
+            column = pa.array([given.get(k, ids) for k, ids in enumerate(column.to_pylist())], pa.list_(pa.int32()))
+    return column, agrees
+
+
+def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", check: str = "units") -> DataFrame:
     """All columns, ``ids`` (array of int), ``decoded`` (the library's text of these ids) and ``agrees``.
 
     ``ids`` are those of the agenda wherever the library gives the same (``agrees``), else the
     library's: a vocabulary with user-defined or unused pieces, or one that isn't of the merge
-    type, may need that. No begin or end ids, no sampling. Null and empty texts have no ids and
+    type, may need that. check: ``units`` has the library encode each distinct unit of a batch, and
+    whole texts where one differs; ``texts`` has it encode every text. No begin or end ids, no sampling. Null and empty texts have no ids and
     decode to the empty text; texts are encoded whole, whatever their length; repeated rows are
     encoded alike; an empty table gives an empty one. Input columns of the three names are replaced.
     ``model_path`` has to be readable on every executor.
@@ -227,8 +261,8 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
     def run(part: pa.RecordBatch) -> list[pa.Array]:
         if not held:
             held.append(MergeVocabulary(model_path))
-        column, ids, agrees = _checked(held[0], texts_of(part).to_pylist())
-        return [column, pa.array(held[0].library.decode(ids, num_threads=1) if ids else [], pa.string()), pa.array(agrees, pa.bool_())]
+        column, agrees = _checked(held[0], texts_of(part).to_pylist(), check)
+        return [column, pa.array(held[0].library.decode(column.to_pylist(), num_threads=1) if agrees else [], pa.string()), pa.array(agrees, pa.bool_())]
 
     return attach(docs, text_col, run, fields)
 
