@@ -98,5 +98,20 @@ def test_a_library_that_differs_counts(vocabulary, monkeypatch):
     vocabulary.rank[:-1] = vocabulary.rank[:-1].max() - vocabulary.rank[:-1]  # the wrong order of merges
     texts = ["a", "international understanding", "", "b understanding"]
     for check in ("units", "texts"):
-        column, agrees = pieces._checked(vocabulary, texts, check)
-        assert column.to_pylist() == vocabulary.library.encode(texts) and agrees == [True, False, True, False]
+        monkeypatch.setattr(vocabulary, "known", pieces.Known())
+        for _ in range(2):
+            ids, column, agrees = pieces._checked(vocabulary, [*texts, *texts], check)  # repeated units are remembered
+            assert column.to_pylist() == ids == vocabulary.library.encode([*texts, *texts]) and agrees == [True, False, True, False] * 2
+        assert len(vocabulary.known.units) == 4
+
+
+def test_remembered_units_change_nothing(vocabulary, texts, monkeypatch):
+    from tidemark.llm import pieces
+
+    want = vocabulary.library.encode(texts)
+    monkeypatch.setattr(pieces, "KNOWN_UNITS", 50)
+    monkeypatch.setattr(vocabulary, "known", pieces.Known())
+    for at in (0, 100, 0, 200, 0):
+        ids, column, agrees = pieces._checked(vocabulary, texts[at:], "units")
+        assert ids == column.to_pylist() == want[at:] and all(agrees)
+    assert len(vocabulary.known.units) == 50

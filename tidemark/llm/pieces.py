@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,21 @@ NONE, UNKNOWN = -1, -2
 _LAST = np.iinfo(np.int32).max
 
 
+#: Repeated units that a worker remembers with their ids.
+KNOWN_UNITS = 1 << 18
+
+
+@dataclass
+class Known:
+    """Units and their ids; the other arrays have one more place, for what isn't known."""
+
+    units: pa.Array = field(default_factory=lambda: pa.array([], pa.large_string()))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    firsts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    odd: np.ndarray = field(default_factory=lambda: np.zeros(1, bool))
+
+
 class MergeVocabulary:
     """A model file's pieces, and which pairs of symbols make which piece."""
 
@@ -57,6 +73,7 @@ class MergeVocabulary:
                 self.chars[ord(text)] = i
         self.bytes = {sp.id_to_piece(i): i for i in range(self.size) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
+        self.known = Known()
         #: Whether a piece reaches over the start of a unit; then a text is one unit.
         self.crossing = any(MARK in t.lstrip(MARK) for t in texts.values())
 
@@ -195,7 +212,30 @@ class MergeVocabulary:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and how many each text has."""
         codes, distinct, n_units = self.units_in(texts)
-        return spelled_out(codes, n_units, *self.encode_units(distinct))
+        ids, sizes = self.encode_units(distinct)
+        return spelled_out(codes, n_units, ids, np.cumsum(sizes) - sizes, sizes)
+
+    def look_up(self, units: pa.Array, counts: np.ndarray, check: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where each distinct unit's begin in them, how many it has, and whether the library may differ; repeated units are remembered."""
+        held = self.known
+        at = np.asarray(pc.fill_null(pc.index_in(units, value_set=held.units), -1))
+        new = np.nonzero(at < 0)[0]
+        fresh = units.take(pa.array(new))
+        ids, sizes = self.encode_units(fresh)
+        odd = self.differing(fresh, ids, sizes) if check else np.zeros(len(new), bool)
+        begins = np.cumsum(sizes) - sizes
+        firsts, lengths, doubts = held.firsts[at], held.sizes[at], held.odd[at]  # those of new units are set below
+        firsts[new], lengths[new], doubts[new] = len(held.ids) + begins, sizes, odd
+        stays = np.nonzero(counts[new] > 1)[0][: KNOWN_UNITS - len(held.units)]
+        own = sizes[stays]
+        kept = ids[np.repeat(begins[stays] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+        out = np.concatenate([held.ids, ids])
+        if len(stays):
+            self.known = Known(
+                pa.concat_arrays([held.units, fresh.take(pa.array(stays))]), np.concatenate([held.ids, kept]), np.concatenate([held.firsts[:-1], len(held.ids) + np.cumsum(own) - own, [0]]),
+                np.concatenate([held.sizes[:-1], own, [0]]), np.concatenate([held.odd[:-1], odd[stays], [False]]),
+            )
+        return out, firsts, lengths, doubts
 
     def differing(self, units: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Which distinct units the library encodes otherwise, or can't be given on their own.
@@ -212,36 +252,37 @@ class MergeVocabulary:
         return ~alike | np.array([x != ids[end - n : end].tolist() for x, n, end in zip(theirs, sizes.tolist(), ends.tolist(), strict=True)], bool)
 
 
-def spelled_out(codes: np.ndarray, n_units: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spelled_out(codes: np.ndarray, n_units: np.ndarray, ids: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts given as numbers of units, and how many each text has."""
-    firsts, own = np.cumsum(sizes) - sizes, sizes[codes]
+    own = sizes[codes]
     ends = np.cumsum(own)
     flat = ids[np.repeat(firsts[codes] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
     before, last = np.concatenate([[0], ends]), np.cumsum(n_units)
     return flat, before[last] - before[last - n_units]
 
 
-def _checked(vocabulary: MergeVocabulary, texts: list[str], check: str) -> tuple[pa.Array, list[bool]]:
-    """Ids of each text, and whether the library's are the same; where they may not be, the library's count."""
+def _lists(flat: np.ndarray, counts: np.ndarray) -> list[list[int]]:
+    """Numbers of rows given one after the other."""
+    numbers, ends = flat.tolist(), np.cumsum(counts).tolist()
+    return [numbers[end - n : end] for end, n in zip(ends, counts.tolist(), strict=True)]
+
+
+def _checked(vocabulary: MergeVocabulary, texts: list[str], check: str) -> tuple[list[list[int]], pa.Array, list[bool]]:
+    """Ids of each text, as lists and as a column, and whether the library's are the same; where they may not be, the library's count."""
     codes, distinct, n_units = vocabulary.units_in(texts)
-    ids, sizes = vocabulary.encode_units(distinct)
-    flat, counts = spelled_out(codes, n_units, ids, sizes)
+    ids, firsts, sizes, odd = vocabulary.look_up(distinct, np.bincount(codes, minlength=len(distinct)), check == "units")
+    flat, counts = spelled_out(codes, n_units, ids, firsts, sizes)
+    made = _lists(flat, counts)
     if check == "units":
-        odd = vocabulary.differing(distinct, ids, sizes)
         doubtful = np.nonzero(np.bincount(np.repeat(np.arange(len(texts)), n_units), weights=odd[codes], minlength=len(texts)))[0].tolist()
     else:
         doubtful = list(range(len(texts)))
-    column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
     agrees = [True] * len(texts)
-    if doubtful:
-        theirs = vocabulary.library.encode([texts[k] for k in doubtful], num_threads=1)
-        ours = column.take(pa.array(doubtful)).to_pylist()
-        for k, a, b in zip(doubtful, ours, theirs, strict=True):
-            agrees[k] = a == b
-        if not all(agrees):
-            given = dict(zip(doubtful, theirs, strict=True))
-            column = pa.array([given.get(k, ids) for k, ids in enumerate(column.to_pylist())], pa.list_(pa.int32()))
-    return column, agrees
+    for k, theirs in zip(doubtful, vocabulary.library.encode([texts[k] for k in doubtful], num_threads=1) if doubtful else [], strict=True):
+        agrees[k] = made[k] == theirs
+        made[k] = theirs
+    whole = all(agrees)
+    return made, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat)) if whole else pa.array(made, pa.list_(pa.int32())), agrees
 
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", check: str = "units") -> DataFrame:
@@ -261,8 +302,8 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", c
     def run(part: pa.RecordBatch) -> list[pa.Array]:
         if not held:
             held.append(MergeVocabulary(model_path))
-        column, agrees = _checked(held[0], texts_of(part).to_pylist(), check)
-        return [column, pa.array(held[0].library.decode(column.to_pylist(), num_threads=1) if agrees else [], pa.string()), pa.array(agrees, pa.bool_())]
+        ids, column, agrees = _checked(held[0], texts_of(part).to_pylist(), check)
+        return [column, pa.array(held[0].library.decode(ids, num_threads=1) if ids else [], pa.string()), pa.array(agrees, pa.bool_())]
 
     return attach(docs, text_col, run, fields)
 
