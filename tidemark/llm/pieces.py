@@ -9,6 +9,7 @@ heap. The sentencepiece library encodes the same units (or whole texts), and bot
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 from collections.abc import Iterator
@@ -238,18 +239,27 @@ class MergeVocabulary:
         return out, firsts, lengths, doubts
 
     def differing(self, units: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Which distinct units the library encodes otherwise, or can't be given on their own.
+        """Which distinct units the library encodes otherwise, or may be given otherwise than they stand in a text.
 
         The library puts a mark before every text, so it gets a unit without its first mark.
         """
-        bare = pc.utf8_slice_codeunits(units, 1).to_pylist()
-        alike = np.asarray(pc.equal(pa.array(self.library.normalize(bare), pa.large_string()), units).cast(pa.uint8()), dtype=bool) if bare else np.zeros(0, bool)
+        bare = [u[1:] for u in units.to_pylist()]
         theirs = self.library.encode(bare, num_threads=1) if bare else []
         lengths = np.fromiter(map(len, theirs), np.int64, len(theirs))
         if np.array_equal(lengths, sizes) and np.array_equal(np.fromiter(itertools.chain.from_iterable(theirs), np.int32, len(ids)), ids):
-            return ~alike
-        ends = np.cumsum(sizes)
-        return ~alike | np.array([x != ids[end - n : end].tolist() for x, n, end in zip(theirs, sizes.tolist(), ends.tolist(), strict=True)], bool)
+            odd = np.zeros(len(bare), bool)
+        else:
+            ends = np.cumsum(sizes)
+            odd = np.array([x != ids[end - n : end].tolist() for x, n, end in zip(theirs, sizes.tolist(), ends.tolist(), strict=True)], bool)
+        if not self.bytes and bare:  # ids tell the text only where no character is unknown
+            odd |= ~np.asarray(pc.equal(pa.array(self.library.normalize(bare), pa.large_string()), units).cast(pa.uint8()), dtype=bool)
+        return odd
+
+
+@functools.lru_cache(maxsize=2)
+def loaded(path: str) -> MergeVocabulary:
+    """The vocabulary of a model file, kept by a worker from task to task."""
+    return MergeVocabulary(path)
 
 
 def spelled_out(codes: np.ndarray, n_units: np.ndarray, ids: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,13 +307,11 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", c
     ``model_path`` has to be readable on every executor.
     """
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), T.StructField("agrees", T.BooleanType())]
-    held: list[MergeVocabulary] = []
 
     def run(part: pa.RecordBatch) -> list[pa.Array]:
-        if not held:
-            held.append(MergeVocabulary(model_path))
-        ids, column, agrees = _checked(held[0], texts_of(part).to_pylist(), check)
-        return [column, pa.array(held[0].library.decode(ids, num_threads=1) if ids else [], pa.string()), pa.array(agrees, pa.bool_())]
+        vocabulary = loaded(model_path)
+        ids, column, agrees = _checked(vocabulary, texts_of(part).to_pylist(), check)
+        return [column, pa.array(vocabulary.library.decode(ids, num_threads=1) if ids else [], pa.string()), pa.array(agrees, pa.bool_())]
 
     return attach(docs, text_col, run, fields)
 
