@@ -143,23 +143,6 @@ def test_training(spark, sf, tmp_path):
     assert kept is again and old == new
 
 
-def test_boosted_model_stops_early(spark):
-    import numpy as np
-
-    from tidemark.plans import training as T
-
-    rng = np.random.default_rng(1)
-    rows = [(*map(float, x), int(0 if abs(x[0]) < 0.4 else 1 if x[0] > 0 else 2)) for x in rng.normal(0, 1, (240, 2))]
-    noise = [(*map(float, x), int(rng.integers(0, 3))) for x in rng.normal(0, 1, (120, 2))]
-    frame = lambda r: spark.createDataFrame(r, "l1_a double, l1_b double, cls int")
-    good = T.fit_boosted(frame(rows[:160]), frame(rows[160:]), ["l1_a", "l1_b"], rounds=6, depth=2, step=0.5)
-    lost = T.fit_boosted(frame(noise[:80]), frame(noise[80:]), ["l1_a", "l1_b"], rounds=6, depth=3, step=1.0)
-    assert len(good.iterations()) == 3 and max(good.iterations()) <= 6 and sum(lost.iterations()) < 18
-    out = good.predict(frame(rows[160:])).collect()
-    assert all(abs(sum(r.probs) - 1) < 1e-9 for r in out) and sum(r.pred == r.cls for r in out) > 0.85 * len(out)
-    assert good.importance().first().feature == "l1_a"
-
-
 def test_retraining_keeps_versions(spark, tmp_path):
     from tidemark.plans import training as T
 

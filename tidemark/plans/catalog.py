@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import EVENTS as C
 from tidemark.operators import bars as B
+from tidemark.operators import correlation as R
 from tidemark.operators import evaluate as E
 from tidemark.operators import ingest as I
 from tidemark.operators import labels as L
@@ -212,10 +213,15 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
 def corr_prune(spark: SparkSession, sf: str) -> DataFrame:
     """Columns of line items that stay when correlated ones go."""
     items = spark.read.parquet(f"{sf}/lineitem.parquet").withColumns({"l1_price": F.col("l_extendedprice"), "l1_quantity": F.col("l_quantity"), "l1_double": F.col("l_quantity") * 2 + 1, "l1_tax": F.col("l_tax"), "l1_net": F.col("l_extendedprice") * (1 - F.col("l_discount"))})
-    kept = T.prune_correlated(items, ["l1_price", "l1_quantity", "l1_double", "l1_tax", "l1_net"], C.correlation)
+    kept = R.prune_correlated(items, ["l1_price", "l1_quantity", "l1_double", "l1_tax", "l1_net"], C.correlation)
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
+def feature_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlations of all pairs of the 43 features, by one pass."""
+    return tidy(R.correlation_table(P.event_features(spark, sf, C), P.FEATURES), "a", "b", "n", "r")
+
+
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(E.confusion(scored(spark, sf), "cls", "pred", [0, 1, 2]), "truth", "pred_0", "pred_1", "pred_2")
 
@@ -293,7 +299,7 @@ def signal_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def display_names(spark: SparkSession, sf: str) -> DataFrame:
-    out = L2.layer2(energy_bars(spark, sf), C).withColumns({"volatility": S.volatility_bucket(), "session": S.session_name(), "zone": S.zone_name(), "trend": S.trend_text("l2_session_trend"), **S.candle_geometry()})
+    out = M.layer2(energy_bars(spark, sf), C).withColumns({"volatility": S.volatility_bucket(), "session": S.session_name(), "zone": S.zone_name(), "trend": S.trend_text("l2_session_trend"), **S.candle_geometry()})
     return tidy(out, "symbol", "ts", "volatility", "session", "zone", "trend", "body_low", "body_height")
 
 
@@ -346,7 +352,7 @@ def signal_scan(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = [
         spike_flags, ingest_clean, ingest_statistics, gap_report, ohlc_bars, ohlc_4h, bucket_collect, m1_m15_join, completeness, last_complete_bar, l1_nested, l3_order_blocks, label_barrier,
-        label_distribution, time_split, fold_bounds, class_weights, corr_prune, confusion, class_report, trading_sim, tier_analysis, signal_rules, cooldown, daily_loss_limit, session_filter,
+        label_distribution, time_split, fold_bounds, class_weights, corr_prune, feature_correlation, confusion, class_report, trading_sim, tier_analysis, signal_rules, cooldown, daily_loss_limit, session_filter,
         dedupe_keep_last, fill_gap, perf_summary, equity_curve, feature_summary, signal_history, latest_features, display_names, labels_report, lineitem_rolling, csv_m1_scan, csv_m15_scan,
         stage_round_trip, signal_scan,
     ]

@@ -148,6 +148,7 @@ CTES["lop"] = f"SELECT symbol, island, avg(lo) OVER ({_O} ROWS BETWEEN 199 PRECE
 CTES["nyp"] = f"SELECT symbol, island, avg(ny) OVER ({_O} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS p FROM runs3 WHERE ny IS NOT NULL"
 CTES["runs4"] = """SELECT r.*, coalesce(a.p, 0.5) AS lp, coalesce(z.p, 0.5) AS np FROM runs3 r ASOF LEFT JOIN lop a ON r.symbol = a.symbol AND r.island >= a.island ASOF LEFT JOIN nyp z ON r.symbol = z.symbol AND r.island >= z.island"""
 CTES["cont"] = f"""SELECT symbol, island, coalesce(last_value(CASE WHEN pv = 0 AND s = 1 THEN CASE WHEN asian <> 0 THEN lp ELSE 0.5 END WHEN pv = 1 AND s = 2 THEN CASE WHEN london <> 0 THEN np ELSE 0.5 END WHEN pv = 2 AND s = 0 THEN 0.5 END IGNORE NULLS) OVER ({_O} {U}), 0.5) AS l4_session_continuation FROM runs4"""
+CTES["feat"] = "SELECT l4c.*, light.l4_consecutive_bias, light.l4_momentum_divergence, light.l4_volume_climax, light.l4_range_compression, light.l4_time_volatility_regime, cont.l4_session_continuation FROM l4c JOIN light ON l4c.symbol = light.symbol AND l4c.ts = light.ts JOIN cont ON l4c.symbol = cont.symbol AND l4c.island = cont.island"
 CTES["lab"] = """SELECT a.*, CASE WHEN f.high >= a.close + 150 THEN CASE WHEN f.low <= a.close - 100 THEN -1 ELSE 1 END WHEN f.low <= a.close - 100 THEN -1 ELSE 0 END AS label FROM (
     SELECT x.*, (SELECT min(f.i) FROM sw f WHERE f.symbol = x.symbol AND f.i > x.i AND f.i <= x.i + 96 AND (f.high >= x.close + 150 OR f.low <= x.close - 100)) AS fi FROM sw x) a LEFT JOIN sw f ON f.symbol = a.symbol AND f.i = a.fi"""
 CTES["sc"] = """SELECT *, CASE WHEN m = w0 THEN 0 WHEN m = w1 THEN 1 ELSE 2 END AS pred, m / (w0 + w1 + w2) * 100 AS conf, CASE label WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS cls FROM (
@@ -267,8 +268,11 @@ def sql() -> dict[str, str]:
         "l4_whale": pick("light", "l4_whale_footprint"), "l4_divergence": pick("light", "l4_momentum_divergence"), "l4_streak": pick("light", "l4_consecutive_bias"), "l4_climax": pick("light", "l4_volume_climax"), "l4_compression": pick("light", "l4_range_compression"), "l4_regime": pick("light", "l4_time_volatility_regime"),
         "l4_continuation": pick("(SELECT l2.symbol, l2.ts, l4_session_continuation FROM l2 JOIN cont ON l2.symbol = cont.symbol AND l2.island = cont.island)", "l4_session_continuation"),
         "l4_trap": pick("l4c", "l4_trap_score"), "l4_dna": pick("l4c", "l4_candle_dna"), "l4_confluence": pick("l4c", "l4_multi_layer_confluence"),
-        "features_all": pick("(SELECT l4c.*, light.l4_consecutive_bias, light.l4_momentum_divergence, light.l4_volume_climax, light.l4_range_compression, light.l4_time_volatility_regime, cont.l4_session_continuation FROM l4c JOIN light ON l4c.symbol = light.symbol AND l4c.ts = light.ts JOIN cont ON l4c.symbol = cont.symbol AND l4c.island = cont.island)", *FEATURES),
+        "features_all": pick("feat", *FEATURES),
     }
+    long = f"SELECT symbol, ts, unnest([{', '.join(map(repr, FEATURES))}]) AS name, unnest(range({len(FEATURES)})) AS k, unnest([{', '.join(f'{c}::DOUBLE' for c in FEATURES)}]) AS v FROM feat"
+    out["feature_correlation"] = with_(f"""SELECT x.name AS a, y.name AS b, count(*)::BIGINT AS n, CASE WHEN stddev_pop(x.v) > 0 AND stddev_pop(y.v) > 0 THEN round(corr(x.v, y.v), 6) END AS r
+      FROM ({long}) x JOIN ({long}) y ON x.symbol = y.symbol AND x.ts = y.ts AND x.k < y.k GROUP BY 1, 2""")
     recent = "SELECT symbol, ts FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM b) WHERE back = 1"
     cut = f"SELECT symbol, ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM ({CTES['b']})) WHERE back <= 500"
     out["latest_features"] = f"SELECT f.* FROM ({out['features_all'].replace(CTES['b'], cut)}) f JOIN ({with_(recent)}) r ON f.symbol = r.symbol AND f.ts = r.ts"

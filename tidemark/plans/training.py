@@ -8,14 +8,16 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import EVENTS, EngineConfig
 from tidemark.operators import evaluate as E
+from tidemark.operators.boosting import Booster, BoostParams, fit_softmax
+from tidemark.operators.correlation import prune_correlated
 from tidemark.operators.ingest import fill_zero
 from tidemark.operators.labels import barrier_labels, class_of, class_weights
 from tidemark.plans import features as P
@@ -23,22 +25,6 @@ from tidemark.session import scratch
 from tidemark.sources.csv_bars import exists
 
 
-def prune_correlated(df: DataFrame, columns: list[str], limit: float) -> list[str]:
-    """Columns without an absolute correlation above ``limit`` with any earlier one, dropped ones included.
-
-    One pass gives all moments; a constant column correlates with nothing and stays.
-    """
-    x = {c: F.col(c).cast("double") for c in columns}
-    pairs = [(a, b) for j, b in enumerate(columns) for a in columns[:j]]
-    one = df.agg(*[F.covar_pop(x[a], x[b]).alias(f"{a}*{b}") for a, b in pairs], *[F.stddev_pop(v).alias(c) for c, v in x.items()]).first()
-    high = lambda a, b: one[a] and one[b] and abs(one[f"{a}*{b}"] / (one[a] * one[b])) > limit
-    return [b for j, b in enumerate(columns) if not any(high(a, b) for a in columns[:j])]
-
-
-def _range(df: DataFrame) -> tuple[datetime | None, datetime | None]:
-    return tuple(df.agg(F.min("ts"), F.max("ts")).first())
-
-
 def fold_table(df: DataFrame, config: EngineConfig) -> DataFrame:
     """``(fold_start, fold_end)`` of all walk-forward folds: starts advance by whole folds from ``fold_years`` after the first row."""
     one = df.agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
@@ -53,17 +39,32 @@ def fold_bounds(df: DataFrame, config: EngineConfig, step: str = "15 minutes") -
     """``(fold, val_start, val_end, train_rows, val_rows)`` of the folds with enough rows.
 
     Training ends one ``step`` before validation starts; a boundary row belongs to both neighbours'
-    validation. Rows are counted per time first, so the join with the folds is small.
+    validation. A row is counted in the fold that its date falls into (months since the first
+    start), and once more where it ends the fold before or lies less than a step before its end;
+    training rows are the sums of all folds before. So rows are counted by one equi-join.
     """
-    folds = F.broadcast(fold_table(df, config))  # as many as the history has quarters
-    times = df.groupBy("ts").agg(F.count("*").alias("n"))
-    met = times.join(folds, F.expr("ts <= fold_end"))
-    rows = met.groupBy("fold_start", "fold_end").agg(
-        F.coalesce(F.sum(F.when(F.expr(f"ts <= fold_start - interval {step}"), F.col("n"))), F.lit(0)).alias("train_rows"), F.coalesce(F.sum(F.when(F.expr("ts >= fold_start"), F.col("n"))), F.lit(0)).alias("val_rows")
-    )
-    good = rows.filter((F.col("train_rows") >= config.fold_least_train) & (F.col("val_rows") >= config.fold_least_val))
-    ordered = good.agg(F.array_sort(F.collect_list(F.struct(F.col("fold_start").alias("val_start"), F.col("fold_end").alias("val_end"), "train_rows", "val_rows"))).alias("all"))
-    return ordered.select(F.posexplode("all").alias("fold", "f")).select("fold", "f.*")
+    folds = fold_table(df, config)
+    first = folds.agg(F.min("fold_start").alias("s")).first()["s"]
+    empty = df.sparkSession.createDataFrame([], "fold int, val_start timestamp_ntz, val_end timestamp_ntz, train_rows long, val_rows long")
+    if first is None:
+        return empty
+    start = F.lit(first).cast("timestamp_ntz")
+    months = (F.year("ts") - F.year(start)) * 12 + F.month("ts") - F.month(start)
+    guess = F.floor(months / config.fold_months)
+    times = df.groupBy("ts").agg(F.count("*").alias("n")).withColumn("k", F.explode(F.array(guess - 1, guess, guess + 1)))
+    numbered = folds.withColumn("k", F.row_number().over(Window.orderBy("fold_start")) - 1)  # as many as the history has quarters
+    # rows before the first fold train all of them
+    met = times.join(F.broadcast(numbered), "k").filter((F.col("ts") >= F.col("fold_start")) & (F.col("ts") <= F.col("fold_end")))
+    late = F.col("ts") > F.expr(f"fold_end - interval {step}")
+    rows = met.groupBy("k", "fold_start", "fold_end").agg(F.sum("n").alias("val_rows"), F.sum(F.when(F.col("ts") < F.col("fold_end"), F.col("n")).otherwise(0)).alias("own"), F.sum(F.when(late & (F.col("ts") < F.col("fold_end")), F.col("n")).otherwise(0)).alias("late"))
+    before = df.agg(F.count_if(F.col("ts") < start).alias("early"), F.count_if((F.col("ts") < start) & (F.col("ts") > start - F.expr(f"interval {step}"))).alias("near"))
+    whole = numbered.join(rows, ["k", "fold_start", "fold_end"], "left").na.fill(0, ["val_rows", "own", "late"])
+    past = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    trained = F.coalesce(F.sum("own").over(past), F.lit(0)) + F.col("early") - F.coalesce(F.lag("late").over(Window.orderBy("k")), F.col("near"))
+    counted = whole.crossJoin(F.broadcast(before)).withColumn("train_rows", trained)  # one row
+    good = counted.filter((F.col("train_rows") >= config.fold_least_train) & (F.col("val_rows") >= config.fold_least_val))
+    fold = F.row_number().over(Window.orderBy("fold_start")) - 1
+    return good.select(fold.alias("fold"), F.col("fold_start").alias("val_start"), F.col("fold_end").alias("val_end"), "train_rows", "val_rows")
 
 
 @dataclass
@@ -78,31 +79,13 @@ class Model:
         for c in self.columns:
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(0.0))
-        out = self.pipeline.transform(df.na.fill(0, self.columns))
-        if self.boosted:  # one against the rest, brought to a sum of 1
-            each = F.array(*[F.get(vector_to_array(f"__p{k}"), F.lit(1)) for k in range(len(self.boosted))])
-            total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-            out = out.withColumn("probs", F.transform(each, lambda x: x / total))
-        else:
-            out = out.withColumn("probs", vector_to_array("__p"))
+        out = self.pipeline.transform(df.na.fill(0, self.columns)).withColumn("probs", vector_to_array("__p"))
         pred, conf = E.prediction("probs")
-        return out.withColumn("pred", pred).withColumn("conf", conf).drop("__x", *[f"__{c}{k}" for c in "prc" for k in ("", 0, 1, 2)])
-
-    @property
-    def boosted(self) -> list:
-        """The boosted models of the classes in order; none for a forest."""
-        return [m for m in self.pipeline.stages if type(m).__name__ == "GBTClassificationModel"]
-
-    def iterations(self) -> list[int]:
-        """Trees of each class's boosted model: those up to its best iteration on the validation rows."""
-        return [m.getNumTrees for m in self.boosted]
+        return out.withColumn("pred", pred).withColumn("conf", conf).drop("__x", "__p", "__r", "__c")
 
     def importance(self) -> DataFrame:
         """``(feature, gain)`` in falling order."""
-        from pyspark.sql import SparkSession
-
-        models = self.boosted or self.pipeline.stages[-1:]
-        gains = sum(m.featureImportances.toArray() for m in models) / len(models)
+        gains = self.pipeline.stages[-1].featureImportances.toArray()
         rows = [(c, float(v)) for c, v in zip(self.columns, gains, strict=True)]
         return SparkSession.getActiveSession().createDataFrame(rows, "feature string, gain double").orderBy(F.col("gain").desc(), "feature")
 
@@ -125,26 +108,27 @@ def fit(labelled: DataFrame, columns: list[str], trees: int = 20, depth: int = 6
     return Model(Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep"), forest]).fit(rows), columns)
 
 
-def fit_boosted(train: DataFrame, valid: DataFrame, columns: list[str], rounds: int = 60, depth: int = 6, step: float = 0.1, tolerance: float = 0.01, seed: int = 42) -> Model:
-    """A boosted model for each class against the rest, weighted against the classes' frequency.
+#: What retraining and validation take: both kinds predict, save and rank features alike.
+AnyModel = Model | Booster
 
-    Every model stops where its loss on the rows of ``valid`` gets no better, and keeps the trees
-    up to there.
-    """
+
+def load_model(spark: SparkSession, path: str) -> AnyModel:
+    """A saved model of either kind."""
+    return Booster.load(spark, path) if exists(spark, f"{path}/booster") else Model.load(spark, path)
+
+
+def fit_boosted(train: DataFrame, valid: DataFrame, columns: list[str], params: BoostParams = BoostParams()) -> Booster:
+    """One softmax model over all classes, weighted against their frequency; it stops where its loss on ``valid`` gets no better, and keeps the trees up to there."""
     weights = class_weights(train).select("cls", "weight")
-    both = fill_zero(train).withColumn("__valid", F.lit(False)).unionByName(fill_zero(valid).withColumn("__valid", F.lit(True)))
-    assembler = VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="keep")
-    rows = assembler.transform(both.join(F.broadcast(weights), "cls")).select("__x", "cls", "weight", "__valid").cache()  # one row per class
-    models = []
-    for k in range(3):
-        one = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="weight", validationIndicatorCol="__valid", maxIter=rounds, maxDepth=depth, stepSize=step, validationTol=tolerance, seed=seed)
-        one.setProbabilityCol(f"__p{k}").setRawPredictionCol(f"__r{k}").setPredictionCol(f"__c{k}")
-        models.append(one.fit(rows.withColumn("__y", (F.col("cls") == k).cast("double"))))
+    kept = lambda df, flag: fill_zero(df).select(*columns, "cls", F.lit(flag).alias("valid"))
+    both = kept(train, False).unionByName(kept(valid, True)).join(F.broadcast(weights), "cls", "left").na.fill(1.0, ["weight"])  # one row per class
+    rows = both.cache()
+    made = fit_softmax(rows, columns, params)
     rows.unpersist()
-    return Model(PipelineModel([assembler, *models]), columns)
+    return made
 
 
-def fold_metrics(model: Model, val: DataFrame) -> tuple[float, float, float]:
+def fold_metrics(model: AnyModel, val: DataFrame) -> tuple[float, float, float]:
     """Accuracy, weighted F1 and log loss."""
     scored = model.predict(val).cache()
     report = {r["name"]: r for r in E.class_report(scored, "cls", "pred", [0, 1, 2]).collect()}
@@ -154,25 +138,26 @@ def fold_metrics(model: Model, val: DataFrame) -> tuple[float, float, float]:
     return round(report["accuracy"]["f1"], 4), round(report["weighted avg"]["f1"], 4), round(loss, 6)
 
 
-def walk_forward_validation(labelled: DataFrame, columns: list[str], config: EngineConfig, step: str = "15 minutes", threads: int = 2) -> DataFrame:
-    """Metrics of every fold; folds are independent and are fitted side by side."""
+def walk_forward_validation(labelled: DataFrame, columns: list[str], config: EngineConfig, step: str = "15 minutes", threads: int = 2, params: BoostParams = BoostParams()) -> DataFrame:
+    """Metrics of every fold and the round that its validation rows chose; folds are independent and are fitted side by side."""
     spark = labelled.sparkSession
 
     def one(f) -> tuple:
         train = labelled.filter(F.col("ts") <= F.lit(f["val_start"]).cast("timestamp_ntz") - F.expr(f"interval {step}"))
         val = labelled.filter((F.col("ts") >= F.lit(f["val_start"]).cast("timestamp_ntz")) & (F.col("ts") <= F.lit(f["val_end"]).cast("timestamp_ntz")))
-        return (f["fold"], f["val_start"], f["val_end"], f["train_rows"], f["val_rows"], *fold_metrics(fit(train, columns), val))
+        model = fit_boosted(train, val, columns, params)
+        return (f["fold"], f["val_start"], f["val_end"], f["train_rows"], f["val_rows"], *fold_metrics(model, val), model.best_iteration)
 
     with ThreadPoolExecutor(threads) as pool:
         rows = list(pool.map(one, fold_bounds(labelled, config, step).collect()))
-    return spark.createDataFrame(rows, "fold int, val_start timestamp_ntz, val_end timestamp_ntz, train_rows long, val_rows long, accuracy double, f1 double, log_loss double")
+    return spark.createDataFrame(rows, "fold int, val_start timestamp_ntz, val_end timestamp_ntz, train_rows long, val_rows long, accuracy double, f1 double, log_loss double, best_iteration int")
 
 
-def champion(old: Model, new: Model, labelled: DataFrame, config: EngineConfig) -> tuple[Model, float, float]:
+def champion(old: AnyModel, new: AnyModel, labelled: DataFrame, config: EngineConfig) -> tuple[AnyModel, float, float]:
     """The model of the higher profit factor over the last calendar month, the new one on ties, and both factors."""
     last = labelled.filter(F.col("ts") >= F.expr(f"(timestamp_ntz '{labelled.agg(F.max('ts')).first()[0]}') - interval 1 month"))
 
-    def factor(model: Model) -> float:
+    def factor(model: AnyModel) -> float:
         row = E.simulate(E.trades(model.predict(last).withColumn("all", F.lit(1)), config), config, "all").first()
         return row["profit_factor"] if row else 0.0
 
@@ -180,7 +165,7 @@ def champion(old: Model, new: Model, labelled: DataFrame, config: EngineConfig)
     return (new if b >= a else old), a, b
 
 
-def save_version(model: Model, root: str, name: str) -> None:
+def save_version(model: AnyModel, root: str, name: str) -> None:
     """Save a model as a version of its own; earlier versions stay as backups."""
     model.save(f"{root}/versions/{name}")
 
@@ -197,7 +182,7 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return spark.read.schema("at string, name string").json(f"{root}/appointed").agg(F.max_by("name", F.struct("at", "name"))).first()[0]
 
 
-def retrain(labelled: DataFrame, columns: list[str], root: str, config: EngineConfig, now: datetime, train: Callable[[DataFrame, list[str]], Model] = fit) -> tuple[str, float | None, float | None]:
+def retrain(labelled: DataFrame, columns: list[str], root: str, config: EngineConfig, now: datetime, train: Callable[[DataFrame, list[str]], AnyModel] = fit) -> tuple[str, float | None, float | None]:
     """Train on all but the last month, save the version, appoint it if it does as well as the current one over that month.
 
     Returns the current version's name afterwards and both profit factors (None without a current model).
@@ -210,14 +195,14 @@ def retrain(labelled: DataFrame, columns: list[str], root: str, config: EngineCo
     old_name, a, b = current_version(spark, root), None, None
     better = True
     if old_name:
-        chosen, a, b = champion(Model.load(spark, f"{root}/versions/{old_name}"), new, labelled, config)
+        chosen, a, b = champion(load_model(spark, f"{root}/versions/{old_name}"), new, labelled, config)
         better = chosen is new
     if better:
         appoint(spark, root, name, now.isoformat())
     return (name if better else old_name), a, b
 
 
-def backtest(model: Model, features: DataFrame, config: EngineConfig, start: str | None = None, end: str | None = None) -> dict[str, DataFrame]:
+def backtest(model: AnyModel, features: DataFrame, config: EngineConfig, start: str | None = None, end: str | None = None) -> dict[str, DataFrame]:
     """Labels, scores and reports of the bars from day ``start`` to day ``end`` (the test split by default): small frames by name."""
     from tidemark.operators.ingest import between_days
 
@@ -241,14 +226,14 @@ def report_text(metrics: DataFrame, tiers: DataFrame, title: str = "Backtest") -
 def event_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled test bars with light features, ready to train on."""
     from tidemark.operators.layer1 import layer1
-    from tidemark.operators.layer2 import layer2
+    from tidemark.operators.market import layer2
 
     bars = layer2(layer1(P.event_bars(spark, sf_dir), P.event_bars(spark, sf_dir, EVENTS.child_width), EVENTS), EVENTS)
     return barrier_labels(bars, EVENTS).withColumn("cls", class_of())
 
 
 def train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on the first twenty days, score the rest: one row per bar."""
+    """Fit a forest on the first twenty days, score the rest: one row per bar."""
     rows = event_training(spark, sf_dir).cache()
     columns = prune_correlated(fill_zero(rows), P.L1 + P.L2, EVENTS.correlation)
     model = fit(rows.filter("day(ts) <= 20"), columns)
@@ -267,7 +252,7 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = replace(EVENTS, fold_months=24, pip=1000.0, horizon=5)
     bars = bars.withColumns({"l1_volatility_energy": F.col("high") - F.col("low"), "l1_price_velocity": F.col("close") - F.col("open"), "l1_custom_volume": F.col("volume")})
     labelled = barrier_labels(bars, config).withColumn("cls", class_of()).cache()
-    out = walk_forward_validation(labelled, ["l1_volatility_energy", "l1_price_velocity", "l1_custom_volume"], config, "1 day")
+    out = walk_forward_validation(labelled, ["l1_volatility_energy", "l1_price_velocity", "l1_custom_volume"], config, "1 day", params=BoostParams(rounds=12, depth=3, step=0.2, patience=4, bins=32))
     labelled.unpersist()
     return out
 
