@@ -1,18 +1,13 @@
-"""Time chunks: vectorised passes over pieces of a series that any executor can take.
-
-A series is cut by the position ``i`` into chunks of ``size`` rows; each chunk also gets the
-``halo`` rows before it. What reaches further back than a halo has to come as columns.
-"""
+"""Stretches of a series as arrays: trailing windows, ranks and quantiles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -20,45 +15,59 @@ def numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [np.asarray(table[name].cast(pa.float64()).combine_chunks().fill_null(float("nan"))) for name in names]
 
 
-def in_chunks(series: DataFrame, fn: Callable[[pa.Table, int], dict[str, np.ndarray]], fields: list[T.StructField], size: int, halo: int) -> DataFrame:
-    """Add columns that ``fn(rows, own)`` computes for the rows from ``own`` on of a chunk in time order, its halo before them.
+def trailing_windows(values: np.ndarray, own: int, width: int) -> np.ndarray:
+    """For each row from ``own`` on its last ``width`` values, oldest first, NaN where the series has none."""
+    padded = np.concatenate([np.full(width - 1, np.nan), values])
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[own:]
 
-    A task holds size + halo rows at a time. NaN becomes null.
-    """
-    schema, columns = T.StructType([*series.schema.fields, *fields]), series.columns
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        rows = group.sort_by("i")
-        own = int(np.searchsorted(np.asarray(rows["i"].combine_chunks()), key[1].as_py() * size))
-        made = fn(rows, own) if own < rows.num_rows else {f.name: np.zeros(0) for f in fields}
-        mine = rows.slice(own).select(columns)
-        for f in fields:
-            kind = pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.int32()
-            mine = mine.append_column(f.name, pa.array(made[f.name], pa.float64(), from_pandas=True).cast(kind))
-        return mine
+class SlidingOrder:
+    """The values of a sliding window in order: one comes, one goes, whatever the window's width."""
 
-    chunks = F.explode(F.sequence(F.floor(F.col("i") / size), F.floor((F.col("i") + halo) / size)))
-    return series.withColumn("__chunk", chunks).groupBy("symbol", "__chunk").applyInArrow(run, schema)
+    def __init__(self, values: Iterable[float] = ()):
+        self.sorted = sorted(v for v in values if v == v)
 
+    def swap(self, new: float, old: float | None) -> None:
+        """Take ``old`` out (if given) and put ``new`` in; NaN stands for no value."""
+        if old is not None and old == old:
+            del self.sorted[bisect_left(self.sorted, old)]
+        if new == new:
+            insort(self.sorted, new)
 
-def trailing_windows(values: np.ndarray, own: int, width: int) -> np.ndarray:
-    """For each row from ``own`` on its last ``width`` values, oldest first, NaN where the series has none."""
-    padded = np.concatenate([np.full(width - 1, np.nan), values])
-    return np.lib.stride_tricks.sliding_window_view(padded, width)[own:]
+    def share_up_to(self, value: float) -> float:
+        """The share of values up to ``value``, 0 without any."""
+        return bisect_right(self.sorted, value) / len(self.sorted) if self.sorted else 0.0
+
+    def quantile(self, q: float) -> float:
+        """Linearly interpolated, NaN without values."""
+        if not self.sorted:
+            return math.nan
+        at = q * (len(self.sorted) - 1)
+        low = int(at)
+        a = self.sorted[low]
+        # a sum of weighted neighbours, so that equal neighbours give themselves
+        return a if low == at else (low + 1 - at) * a + (at - low) * self.sorted[low + 1]
 
 
 def trailing_quantiles(values: np.ndarray, own: int, width: int, least: int, quantiles: list[float]) -> list[np.ndarray]:
-    """Linearly interpolated quantiles of the last ``width`` rows, NaN before ``least`` rows; missing values don't count."""
-    windows = np.sort(trailing_windows(values, own, width), axis=1)  # NaN last
-    n = (~np.isnan(windows)).sum(1)
-    rows = np.minimum(np.arange(own, len(values)) + 1, width)
-    out = []
-    for q in quantiles:
-        at = q * np.maximum(n - 1, 0)
-        low = np.floor(at).astype(int)
-        high = np.minimum(low + 1, np.maximum(n - 1, 0))
-        a, b = np.take_along_axis(windows, low[:, None], 1)[:, 0], np.take_along_axis(windows, high[:, None], 1)[:, 0]
-        # as sums of weighted neighbours, so that equal neighbours give themselves
-        value = np.where(low == at, a, (high - at) * a + (at - low) * b)
-        out.append(np.where((n > 0) & (rows >= least), value, np.nan))
+    """Quantiles of the last ``width`` rows for each row from ``own`` on, NaN before ``least`` rows; missing values don't count."""
+    x = values.tolist()
+    held = SlidingOrder(x[max(0, own - width) : own])
+    out = [np.full(len(x) - own, np.nan) for _ in quantiles]
+    for at in range(own, len(x)):
+        held.swap(x[at], x[at - width] if at >= width else None)
+        if at + 1 >= least:
+            for q, column in zip(quantiles, out, strict=True):
+                column[at - own] = held.quantile(q)
+    return out
+
+
+def trailing_rank(values: np.ndarray, own: int, width: int) -> np.ndarray:
+    """For each row from ``own`` on the share of the ``width`` rows before it with values up to its own; 0 without such rows."""
+    x = values.tolist()
+    held = SlidingOrder(x[max(0, own - width) : own])
+    out = np.zeros(len(x) - own)
+    for at in range(own, len(x)):
+        out[at - own] = held.share_up_to(x[at])
+        held.swap(x[at], x[at - width] if at >= width else None)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import EngineConfig
+from tidemark.operators.scan import chunk_of
 
 
 def prediction(probabilities: str | Column = "probs") -> tuple[Column, Column]:
@@ -54,16 +55,31 @@ def trades(scored: DataFrame, config: EngineConfig) -> DataFrame:
 
 
 def simulate(acted: DataFrame, config: EngineConfig, *keys: str) -> DataFrame:
-    """Trade metrics per key; the drawdown follows the running sum in time order, whose first value is the first peak."""
-    order = Window.partitionBy(*keys).orderBy("ts", "symbol").rowsBetween(Window.unboundedPreceding, 0)
-    curve = acted.withColumn("eq", F.sum("pnl").over(order))
+    """Trade metrics per key; the drawdown follows the running sum in time order, whose first value is the first peak.
+
+    Each chunk of time gives one record: its sum, the highest and lowest running sum and the worst
+    fall. Records of later chunks are put behind earlier ones: a fall goes from the highest sum
+    before a chunk to the lowest one inside, or lies inside.
+    """
+    chunk = [*keys, "__chunk"]
+    order = Window.partitionBy(*chunk).orderBy("ts", "symbol").rowsBetween(Window.unboundedPreceding, 0)
+    curve = acted.withColumn("__chunk", chunk_of("ts", config.parent_width, config.chunk_bars)).withColumn("eq", F.sum("pnl").over(order))
     curve = curve.withColumn("dd", F.max("eq").over(order) - F.col("eq"))
-    won, lost = F.coalesce(F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.lit(0.0)), F.coalesce(F.sum(F.when((F.col("pnl") < 0) & (F.col("label") != 0), -F.col("pnl"))), F.lit(0.0))
-    std = F.stddev_pop("pnl")
-    sharpe = F.when(std > 0, F.avg("pnl") / std * math.sqrt(config.bars_per_year)).otherwise(0.0)
-    return curve.groupBy(*keys).agg(
-        F.count("*").alias("total_trades"), (F.count_if(F.col("pnl") > 0) / F.count("*")).alias("win_rate"), won.alias("total_pips_won"), lost.alias("total_pips_lost"),
-        (won / F.greatest(lost, F.lit(1e-10))).alias("profit_factor"), F.max("dd").alias("max_drawdown"), sharpe.alias("sharpe_ratio"),
+    won, lost = F.when(F.col("pnl") > 0, F.col("pnl")), F.when((F.col("pnl") < 0) & (F.col("label") != 0), -F.col("pnl"))
+    records = curve.groupBy(*chunk).agg(
+        F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), F.coalesce(F.sum(won), F.lit(0.0)).alias("won"), F.coalesce(F.sum(lost), F.lit(0.0)).alias("lost"), F.sum("pnl").alias("total"),
+        F.sum(F.col("pnl") * F.col("pnl")).alias("squares"), F.min("pnl").alias("least"), F.max("pnl").alias("most"), F.max("eq").alias("top"), F.min("eq").alias("bottom"), F.max("dd").alias("fall"),
+    )
+    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    records = records.withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)))
+    records = records.withColumn("peak", F.max(F.col("base") + F.col("top")).over(earlier))
+    records = records.withColumn("fall", F.greatest(F.col("fall"), F.col("peak") - F.col("base") - F.col("bottom")))
+    one = records.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "wins", "won", "lost", "total", "squares")], F.min("least").alias("least"), F.max("most").alias("most"), F.max("fall").alias("fall"))
+    mean = F.col("total") / F.col("n")
+    std = F.when(F.col("most") > F.col("least"), F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)))).otherwise(0.0)
+    return one.select(
+        *keys, F.col("n").alias("total_trades"), (F.col("wins") / F.col("n")).alias("win_rate"), F.col("won").alias("total_pips_won"), F.col("lost").alias("total_pips_lost"),
+        (F.col("won") / F.greatest(F.col("lost"), F.lit(1e-10))).alias("profit_factor"), F.col("fall").alias("max_drawdown"), F.when(std > 0, mean / std * math.sqrt(config.bars_per_year)).otherwise(0.0).alias("sharpe_ratio"),
     )
 
 

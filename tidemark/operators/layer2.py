@@ -38,7 +38,10 @@ def session_islands(bars: DataFrame) -> DataFrame:
 
 
 def layer2(bars: DataFrame, config: EngineConfig) -> DataFrame:
-    """Bars with ``l1_volatility_energy`` (0 if absent) and the ten columns of the layer; ``i`` and ``island`` stay."""
+    """Bars with ``l1_volatility_energy`` (0 if absent) and the columns of the layer that are windows of numbers; ``i`` and ``island`` stay.
+
+    The rank among earlier rows of the session needs an ordered window: :mod:`tidemark.operators.market` has it.
+    """
     if "l1_volatility_energy" not in bars.columns:
         bars = bars.withColumn("l1_volatility_energy", F.lit(0.0))
     base = session_islands(ordinal(calendar(bars, config)))
@@ -53,9 +56,6 @@ def layer2(bars: DataFrame, config: EngineConfig) -> DataFrame:
         "__atr": F.avg(F.col("high") - F.col("low")).over(trailing(config.atr_window)),
         "l2_time_since_vol_spike": F.coalesce(F.least(F.col("i") - fill_forward(F.when(F.col("__spike"), F.col("i"))), F.lit(config.spike_cap)), F.lit(config.spike_cap)),
     })
-    same = Window.partitionBy("symbol", "l2_session").orderBy("ts").rowsBetween(-config.rank_window, -1)
-    base = base.withColumn("__past", F.collect_list(energy).over(same))
-    rank = F.when(F.size("__past") > 0, F.size(F.filter("__past", lambda x: x <= energy)) / F.size("__past")).otherwise(0.0)
     atr = F.when(F.col("__atr") > 0, F.col("__atr")).otherwise(config.eps)
     slope = F.when(F.col("__k") > 0, F.regr_slope("close", "__k").over(so_far(run)) / atr)
-    return base.withColumns({"l2_session_volatility_rank": rank, "l2_session_trend": F.coalesce(slope, F.lit(0.0))}).drop("__spike", "__k", "__atr", "__past")
+    return base.withColumn("l2_session_trend", F.coalesce(slope, F.lit(0.0))).drop("__spike", "__k", "__atr")

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import EngineConfig
-from tidemark.operators.chunks import numbers, trailing_quantiles, trailing_windows
-from tidemark.operators.layer2 import session
+from tidemark.operators.chunks import numbers, trailing_quantiles, trailing_rank, trailing_windows
+from tidemark.operators.layer2 import calendar
 from tidemark.operators.layer3 import _block_distances, _born, _first_at_most, _gap_distance, _pools, liquidity_columns
 from tidemark.operators.scan import Scan, chunk_of, prefix_scan
 
@@ -70,15 +70,13 @@ class Rows:
 
 @dataclass
 class Session:
-    """The open session: label, rows, first open, lowest, highest, sums of close - first open and of its product with the position."""
+    """The open session: label, first open, lowest, highest, and the regression of closes on positions so far."""
 
     label: float
-    n: int
     first: float
     low: float
     high: float
-    total: float
-    moment: float
+    line: tuple[int, float, float, float, float]  # rows, means of position and close, sums of products and squares around them
 
 
 @dataclass
@@ -247,29 +245,27 @@ def session_columns(rows: Rows, lead: np.ndarray, held: Session | None, config:
     size = np.diff(np.concatenate([at, [n]]))
     run = np.repeat(np.arange(len(at)), size)
     first = rows.open[at].copy()
-    k = np.arange(n, dtype=float) - at[run]
     low, high = rows.low.copy(), rows.high.copy()
     if goes_on:
         first[0] = held.first
-        k[: size[0]] += held.n
         low[0], high[0] = min(low[0], held.low), max(high[0], held.high)
     for a, m in zip(at.tolist(), size.tolist(), strict=True):
         low[a : a + m], high[a : a + m] = np.minimum.accumulate(low[a : a + m]), np.maximum.accumulate(high[a : a + m])
     y = rows.close - first[run]
-    total, moment = np.cumsum(y), np.cumsum(k * y)
-    total, moment = total - (total[at] - y[at])[run], moment - (moment[at] - (k * y)[at])[run]
-    if goes_on:
-        total[: size[0]] += held.total
-        moment[: size[0]] += held.moment
-    m = k + 1
-    # sums of 0..k and of their squares
-    sk, skk = k * m / 2, k * m * (2 * k + 1) / 6
+    slope, fresh = np.zeros(n), set(at[1:].tolist())
+    m, ka, ca, products, squares = held.line if goes_on else (0, 0.0, 0.0, 0.0, 0.0)
+    for t, close in enumerate(rows.close.tolist()):  # updated as a regression aggregate is, to the last digit
+        if t in fresh:
+            m, ka, ca, products, squares = 0, 0.0, 0.0, 0.0, 0.0
+        dk, m = m - ka, m + 1
+        step = dk / m
+        ka, ca, squares = ka + step, ca + (close - ca) / m, squares + dk * (dk - step)
+        products += dk * (close - ca)
+        slope[t] = products / squares if squares else 0.0
     mean_range, _ = sliding_mean(np.concatenate([lead, rows.high - rows.low]), len(lead), config.atr_window)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        slope = (m * moment - sk * total) / (m * skk - sk * sk)
-    trend = np.where(k > 0, slope / np.where(mean_range > 0, mean_range, config.eps), 0.0)
+    trend = slope / np.where(mean_range > 0, mean_range, config.eps)
     position = np.clip((rows.close - low) / (high - low + config.eps), 0.0, 1.0)
-    last = Session(float(rows.session[-1]), int(m[-1]), float(first[-1]), float(low[-1]), float(high[-1]), float(total[-1]), float(moment[-1]))
+    last = Session(float(rows.session[-1]), float(first[-1]), float(low[-1]), float(high[-1]), (m, ka, ca, products, squares))
     return y / config.pip, position, np.nan_to_num(trend), starts, last
 
 
@@ -511,9 +507,7 @@ class Market:
         for label in np.unique(own.session).tolist():
             mine = np.nonzero(own.session == label)[0]
             held = s.energies.get(label, np.zeros(0))
-            past = trailing_windows(np.concatenate([held, own.energy[mine]]), len(held), c.rank_window + 1)[:, :-1]
-            there = (~np.isnan(past)).sum(1)
-            rank[mine] = (past <= own.energy[mine][:, None]).sum(1) / np.maximum(there, 1)
+            rank[mine] = trailing_rank(np.concatenate([held, own.energy[mine]]), len(held), c.rank_window)
         out["l2_session_volatility_rank"] = rank
         odds, p = s.odds, np.zeros(size)
         labels, ends = np.concatenate([[s.session.label if s.session else np.nan], own.session]), np.concatenate([[s.trend], trend])
@@ -623,6 +617,12 @@ def market_columns(bars: DataFrame, config: EngineConfig) -> DataFrame:
 
 def layer3(bars: DataFrame, config: EngineConfig) -> DataFrame:
     """Bars with the fifteen columns of the layer and the ordinal ``i``."""
-    out = market_columns(bars.withColumn("l2_session", session("ts", config)), config).withColumns(liquidity_columns(config))
+    out = market_columns(calendar(bars, config), config).withColumns(liquidity_columns(config))
     names = [c for c in (*WHOLE, *PARTS) if c.startswith("l3_")]
     return out.select(*bars.columns, "i", *names, *liquidity_columns(config))
+
+
+def layer2(bars: DataFrame, config: EngineConfig) -> DataFrame:
+    """Bars with the ten columns of the layer and the ordinal ``i``."""
+    out = market_columns(calendar(bars, config), config)
+    return out.select(*bars.columns, "i", *[c for c in out.columns if c.startswith("l2_") and c not in bars.columns])

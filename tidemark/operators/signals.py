@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import EngineConfig
+from tidemark.operators.scan import Scan, prefix_scan
 from tidemark.operators.windows import ordinal
 
 # Candle type names and reason texts.
@@ -59,37 +61,45 @@ def under_daily_limit(rows: DataFrame, config: EngineConfig) -> DataFrame:
     return rows.withColumn("__losses", F.coalesce(F.sum(F.col("loss").cast("int")).over(day), F.lit(0))).filter(F.col("__losses") < config.daily_losses).drop("__losses")
 
 
+def greedy(i: np.ndarray, start: int, step: int) -> list[int]:
+    """Indexes of the sorted positions that stay, from position ``start`` on: each at least ``step`` after the one before."""
+    out, at = [], int(np.searchsorted(i, start))
+    while at < len(i):
+        out.append(at)
+        at = int(np.searchsorted(i, i[at] + max(step, 1)))
+    return out
+
+
 def cool_down(rows: DataFrame, config: EngineConfig) -> DataFrame:
     """Greedy choice in time order: a row stays if the last one that stayed is at least ``cooldown`` bars (``i``) before.
 
-    Rows are cut where the step to the next is wide enough, which starts afresh whatever came
-    before. The runs between such cuts are passed in order, with the last position that stayed
-    as the only state; runs are dealt over all tasks, and none is collected.
+    What a chunk of positions does depends only on how many of its first positions are still
+    blocked: 0 to ``cooldown``. Its summary is the table from that number to the last position
+    that stays. Tables are followed from chunk to chunk, then all chunks are judged at once. Rows
+    of equal position stay or go together.
     """
-    order = Window.partitionBy("symbol").orderBy("i")
-    wide = F.coalesce(F.col("i") - F.lag("i").over(order) >= config.cooldown, F.lit(True))
-    runs = rows.select("symbol", F.col("i").cast("long").alias("i"), F.sum(wide.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("__run"))
-    step = config.cooldown
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # symbol, run and position that stayed last
-        for b in batches:
-            symbols, run, i = b.column("symbol").to_pylist(), np.asarray(b.column("__run")), np.asarray(b.column("i"))
-            cuts = np.nonzero((run[1:] != run[:-1]) | np.array([x != y for x, y in zip(symbols[1:], symbols, strict=False)], bool))[0] + 1
-            stays = []
-            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
-                at = start
-                if held and held[:2] == (symbols[start] if end > start else None, run[start] if end > start else None):
-                    at = start + int(np.searchsorted(i[start:end], held[2] + step))
-                while at < end:
-                    stays.append(at)
-                    held = (symbols[at], run[at], i[at])
-                    at += max(1, int(np.searchsorted(i[at:end], i[at] + step)))
-            yield b.select(["symbol", "i"]).take(pa.array(stays, pa.int64()))
-
-    dealt = runs.repartition("symbol", "__run").sortWithinPartitions("symbol", "__run", "i")
-    picked = dealt.mapInArrow(pick, "symbol string, i long")
-    return rows.join(picked, ["symbol", "i"], "left_semi")
+    step, size = config.cooldown, config.chunk_bars
+
+    def positions(table: pa.Table) -> tuple[np.ndarray, int]:
+        i = np.asarray(table["i"].combine_chunks().cast(pa.int64()))
+        return i, int(i[0]) // size * size
+
+    def summarise(table: pa.Table) -> tuple[int, list[int | None]]:
+        i, first = positions(table)
+        stays = (greedy(i, first + blocked, step) for blocked in range(step + 1))
+        return first, [int(i[s[-1]]) if s else None for s in stays]
+
+    def fold(last: int | None, said: tuple[int, list[int | None]]) -> int | None:
+        first, ends = said
+        end = ends[0 if last is None else min(max(last + step - first, 0), step)]
+        return last if end is None else end
+
+    def passed(table: pa.Table, last: int | None, after: None) -> dict[str, np.ndarray]:
+        i, first = positions(table)
+        return {"__stays": np.isin(i, i[greedy(i, first if last is None else last + step, step)]).astype(float)}
+
+    chunks = rows.withColumn("chunk", F.floor(F.col("i") / size))
+    return prefix_scan(chunks, Scan(lambda: None, summarise, fold, passed), [T.StructField("__stays", T.IntegerType())], "i").filter("__stays = 1").drop("__stays")
 
 
 def scan(scored: DataFrame, config: EngineConfig, sessions: Iterable[int] | None = None) -> DataFrame:
