@@ -200,7 +200,7 @@ def test_stages_messages_and_columns(spark, tmp_path):
     assert sorted(x for p in (tmp_path / "csv").glob("*.csv") for x in p.read_text().splitlines()) == ["s,1801.0", "symbol,close", "t,1801.0"]
     assert "volume" not in drop_features(bars, "vol").columns
     signal = spark.createDataFrame([("s", DAY, "SELL", 72.4, 2, 2000.0, 2010.0, 1985.0)], "symbol string, ts timestamp_ntz, direction string, conf double, tier int, entry_price double, stop_loss double, take_profit double")
-    assert signal.select(plain_message().alias("m")).first().m == "SIGNAL | SELL s\nConfidence: 72% Tier 2\nEntry: 2000.00 | SL: 2010.00 | TP: 1985.00\nTime: 2024-01-02 09:00 GMT"
+    assert signal.select(plain_message().alias("m")).first().m == "s sell at 2000.00, target 1985.00, stop 2010.00 (72 percent sure, tier 2) @ 2024-01-02 09:00 GMT"
 
 
 def test_live_loop_and_backtest(spark, sf, tmp_path):
@@ -245,6 +245,23 @@ def test_live_loop_and_backtest(spark, sf, tmp_path):
     (last.parent / ".1.crc").unlink(missing_ok=True)
     assert run("a", [], sent.append) == want and len(sent) == len(want)
     assert spark.read.parquet(str(tmp_path / "a" / "store")).count() == kids.count()
+    # lost state is an error, not a new start
+    import shutil
+
+    shutil.rmtree(tmp_path / "a" / "log-state" / "batch=1")
+    with pytest.raises(Exception, match="no state of the batch before"):
+        run("a", ["ts < timestamp_ntz '2024-01-03 00:00:00'"], sent.append)
+
+
+def test_last_value_wins_in_the_live_store(spark, tmp_path):
+    """A forming bar that comes again, in the same batch and in a later one, and a replayed batch."""
+    from tidemark.streaming.live import latest_rows
+
+    rows = [("s", DAY, 1.0, 0, 0), ("s", DAY, 2.0, 0, 1), ("s", DAY, 3.0, 1, 0), ("s", DAY + dt.timedelta(minutes=1), 9.0, 0, 2), ("t", DAY, 5.0, 1, 2), ("t", DAY, 4.0, 0, 7), (None, DAY, 6.0, 0, 8)]
+    seen = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, batch int, place long").repartition(4)
+    got = latest_rows(seen, ["symbol", "ts", "close"])
+    assert got.columns == ["symbol", "ts", "close"]
+    assert {(r.symbol, r.ts): r.close for r in got.collect()} == {("s", DAY): 3.0, ("s", DAY + dt.timedelta(minutes=1)): 9.0, ("t", DAY): 5.0, (None, DAY): 6.0}
 
 
 def test_daily_limit_of_the_live_loop(spark):
@@ -284,7 +301,7 @@ def test_live_sources(spark, tmp_path):
     assert [live.quote(Fake(), x) for x in ("s", "none", "broken")] == [{"bid": 1999.5, "ask": 2000.0}, None, None]
     log = tmp_path / "log.txt"
     live.http_notifier("http://127.0.0.1:9/none", live.file_notifier(str(log)), 0.2)("hello")
-    assert log.read_text() == "hello\n" and "Win Rate: 0.0%" in live.daily_report(0, 0, 0, 0.0)
+    assert log.read_text() == "hello\n" and "(0.0 percent won)" in live.daily_report(0, 0, 0, 0.0)
     signal = spark.createDataFrame([("s", DAY, "BUY", 72.4, 2, 2000.0, 1990.0, 2015.0, 1.5, ["a", "b"], "Trap")], "symbol string, ts timestamp_ntz, direction string, conf double, tier int, entry_price double, stop_loss double, take_profit double, risk_reward double, top_reasons array<string>, candle_dna string")
     live.log_signals(signal, str(tmp_path / "signals"))
     live.log_signals(signal, str(tmp_path / "signals"))
@@ -294,7 +311,7 @@ def test_live_sources(spark, tmp_path):
     sent = []
     live.alert(sent.append, "no rates")
     assert sent.pop() == "ALERT: no rates"
-    assert live.notify(signal, sent.append) == 1 and "SL: 1990.00 (-100 pips)" in sent[0] and "1. a\n2. b\n2024-01-02 09:00 GMT" in sent[0]
+    assert live.notify(signal, sent.append) == 1 and "150 pips to gain, 100 at risk (ratio 1.5)" in sent[0] and "because of: a; b; candle type Trap" in sent[0] and sent[0].startswith("2024-01-02 09:00 GMT - s buy")
 
 
 QUERIES = ["spike_flags", "ingest_clean", "gap_report", "ohlc_4h", "bucket_collect", "m1_m15_join", "l1_nested", "l3_order_blocks", "label_distribution", "fold_bounds", "corr_prune", "class_report", "tier_analysis", "cooldown", "daily_loss_limit", "dedupe_keep_last", "fill_gap", "perf_summary", "feature_summary", "features_all", "csv_m1_scan", "csv_m15_scan", "stage_round_trip", "latest_features", "signal_scan", "stream_bars", "stream_signals"]

@@ -146,18 +146,17 @@ def _time() -> Column:
 
 
 def plain_message() -> Column:
-    """A signal as four lines of plain text."""
+    """A signal as one line: what, where from, where to, how sure, when."""
     return F.concat_ws(
-        "\n", F.format_string("SIGNAL | %s %s", "direction", "symbol"), F.format_string("Confidence: %.0f%% Tier %d", "conf", "tier"),
-        F.format_string("Entry: %.2f | SL: %.2f | TP: %.2f", "entry_price", "stop_loss", "take_profit"), F.concat(F.lit("Time: "), _time()),
+        " ", "symbol", F.lower("direction"), F.format_string("at %.2f, target %.2f, stop %.2f", "entry_price", "take_profit", "stop_loss"), F.format_string("(%.0f percent sure, tier %d)", "conf", "tier"), F.concat(F.lit("@ "), _time()),
     )
 
 
 def full_message(pip: float = 0.1) -> Column:
-    """A signal with distances in pips, risk-reward, candle type and numbered reasons."""
-    reasons = F.array_join(F.transform("top_reasons", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r)), "\n")
+    """A signal as a short text: a headline, the levels with distances in pips, the candle, and the reasons in one sentence."""
+    reward = F.format_string("%.0f pips to gain, %.0f at risk (ratio %.1f)", _pips("take_profit", pip), _pips("stop_loss", pip), F.col("risk_reward"))
     return F.concat_ws(
-        "\n", F.format_string("SIGNAL %s | %s", "symbol", "direction"), F.format_string("Confidence: %.0f%% (TIER %d)", "conf", "tier"), F.concat(F.lit("Candle: "), F.col("candle_dna")), F.format_string("Entry: %.2f", "entry_price"),
-        F.format_string("SL: %.2f (-%.0f pips)", F.col("stop_loss"), _pips("stop_loss", pip)), F.format_string("TP: %.2f (+%.0f pips)", F.col("take_profit"), _pips("take_profit", pip)), F.format_string("R:R = 1:%.1f", "risk_reward"),
-        F.lit("Reasons:"), reasons, _time(),
+        "\n", F.concat_ws(" ", _time(), F.lit("-"), "symbol", F.lower("direction"), F.format_string("[tier %d, %.0f percent]", "tier", "conf")),
+        F.format_string("enter %.2f, leave at %.2f or %.2f", "entry_price", "take_profit", "stop_loss"), reward,
+        F.concat(F.lit("because of: "), F.array_join("top_reasons", "; "), F.lit("; candle type "), F.col("candle_dna")),
     )

@@ -114,5 +114,6 @@ def alert(send: Callable[[str], None], text: str) -> None:
 
 
 def daily_report(total: int, wins: int, losses: int, pips: float) -> str:
+    """The day in one line; the share of wins is 0 without signals."""
     rate = 100 * wins / total if total else 0.0
-    return f"Daily Report\nSignals: {total} | Wins: {wins} | Losses: {losses}\nWin Rate: {rate:.1f}%\nNet P&L: {pips:+.0f} pips"
+    return f"today: {total} signals, {wins} won, {losses} lost ({rate:.1f} percent won), {pips:+.0f} pips in all"

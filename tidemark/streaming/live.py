@@ -23,9 +23,23 @@ STATE = "symbol string, done timestamp_ntz, signal timestamp_ntz"
 
 
 def _state(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    """``(symbol, done, signal)`` after the batch before: the last bar judged and the last one that gave a signal."""
+    """``(symbol, done, signal)`` after the batch before: the last bar judged and the last one that gave a signal.
+
+    Without it every bar would be judged again, and its signals sent again: that is an error.
+    """
+    if not number:
+        return spark.createDataFrame([], STATE)
     path = f"{folder}/batch={number - 1}"
-    return spark.read.schema(STATE).parquet(path) if number and exists(spark, path) else spark.createDataFrame([], STATE)
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no state of the batch before: {path}")
+    return spark.read.schema(STATE).parquet(path)
+
+
+def latest_rows(seen: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each symbol and time: of several the one that came last, by batch and then by its place in it."""
+    values = [c for c in columns if c not in ("symbol", "ts")]
+    last = F.max_by(F.struct(*values), F.struct("batch", "place")).alias("__v")
+    return seen.groupBy("symbol", "ts").agg(last).select("symbol", "ts", *[F.col(f"__v.{c}").alias(c) for c in values]).select(*columns)
 
 
 def below_limit(rows: DataFrame, losses: DataFrame, config: EngineConfig) -> DataFrame:
@@ -44,7 +58,8 @@ def live_query(
 
     Each micro-batch is written to ``store`` by day under its own number, its signals to ``log``
     and what carries over (last bar judged, last signal) beside it, so a repeated batch replaces
-    itself and messages are sent once. A parent counts once a later one of its symbol has begun.
+    itself and messages are sent once. Of a child bar that came several times (still forming, or
+    corrected) the last one counts. A parent counts once a later one of its symbol has begun.
     Parents since the last batch are scored from themselves and the ``context`` parents before;
     only the days that can hold those are read (three times their span and two days), whatever
     the store has grown to. What passes confidence, ``sessions``, the daily limit on ``losses()``
@@ -57,7 +72,7 @@ def live_query(
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        dated = rows.withColumns({"day": F.to_date("ts"), "batch": F.lit(number)})
+        dated = rows.withColumns({"place": F.monotonically_increasing_id(), "day": F.to_date("ts"), "batch": F.lit(number)})
         dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(store)
         before = _state(spark, folder, number)
         since = rows.agg(F.min("ts")).unionAll(before.agg(F.min("done"))).toDF("t").agg(F.min("t")).first()[0]
@@ -67,7 +82,7 @@ def live_query(
         width = spark.range(1).select(F.expr(f"cast(interval {config.parent_width} as interval day to second)")).first()[0]
         days = 2 + math.ceil(3 * (context + 1) * width.total_seconds() / 86400)
         seen = spark.read.schema(dated.schema).parquet(store).filter((F.col("day") >= F.lit(since.date()) - days) & (F.col("batch") <= number))
-        kids = seen.select(*rows.columns).dropDuplicates(["symbol", "ts"])
+        kids = latest_rows(seen, rows.columns)
         parents = resample(kids, config.parent_width)
         last = parents.groupBy("symbol").agg(F.max("ts").alias("__open"))
         complete = ordinal(parents.join(last, "symbol").filter("ts < __open").drop("__open")).join(before, "symbol", "left").persist()
