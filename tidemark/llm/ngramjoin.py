@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import coded, mix64, slices, stored, table, texts_of, words_of
+from tidemark.llm.common import coded, discard, mix64, slices, stored, table, texts_of, words_of
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 4) -> tuple[int, int]:
@@ -101,25 +101,26 @@ def signatures(docs: DataFrame, n_words: int, bands: int, rows: int, seed: int =
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(v, c)``: the smallest vertex of every vertex's connected component, for edges ``(a, b)``.
 
-    Alternating large-star and small-star steps over a table of edges; each round is written
-    with ``checkpoint()``. Every vertex of an edge is returned; loops are allowed.
+    Alternating large-star and small-star steps over a table of edges; what a round writes is
+    deleted when the next one is done. Every vertex of an edge is returned; loops are allowed.
     """
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    e = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     vertices = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     for _ in range(rounds):
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours larger than the vertex go to its smallest neighbour (itself counted)
         # both sides of each join are written first, so that it can split a hot vertex
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).checkpoint()
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct().checkpoint()
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
+        large = stored(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large-star")
         # small star: the smaller neighbours and the vertex itself go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
-        small = large.join(low, "a")
-        new = small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").filter("a <> b").distinct().checkpoint()
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(least, "a")
+        new = stored(small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").filter("a <> b").distinct(), "edges")
         # done when every vertex has one smaller neighbour that has none itself
         heads = new.select("a").distinct()
         open_ = new.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a").limit(1).count()
         deep = 0 if open_ else new.join(heads.withColumnRenamed("a", "b"), "b", "left_semi").limit(1).count()
+        discard(e, low, large, least)
         e = new
         if not open_ and not deep:
             break
@@ -176,7 +177,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 4, block_rows: int = 384, block_grams: int = 2_000_000) -> DataFrame:
+def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 4, block_rows: int = 384, block_grams: int = 2_000_000, judged_rows: int = 384) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, set_id, n_copies, n_links, n_grams``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, compared as they are. set_id: the smallest id among
@@ -186,8 +187,13 @@ def ngram_join(docs: DataFrame, text_col: str = "text", n_words: int = 5, thresh
     of all its words. Null, empty and blank texts have no n-grams: class_id and set_id are their
     own id, n_copies is 1, n_links 0. Null ids are carried and never chosen as the smallest id
     unless the whole class has none. Repeated rows count as copies; other columns are not carried.
+
+    Which links count: all pairs inside a component of candidates, whether they share a bucket or
+    not; but in a wide and sparse component (over ``judged_rows`` sets, and cheaper to judge bucket by
+    bucket) those that share one. At the threshold a pair shares one with probability ``recall``.
+    Neither depends on ``block_rows`` and ``block_grams``, which only bound what a task holds.
     """
-    out = _classes(docs, text_col, n_words, threshold, recall, rows, block_rows, block_grams)
+    out = _classes(docs, text_col, n_words, threshold, recall, rows, block_rows, block_grams, judged_rows)
     own = F.col("node").isNull()
     return out.select(
         "doc_id",
@@ -204,27 +210,33 @@ def _text_key(text: str) -> Column:
     return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
 
 
+#: N-grams of a block by which a component is found to be sparse.
+JUDGED_GRAMS = 2_000_000
+
+
 def _width(n: Column, grams: Column, block_rows: int, block_grams: int) -> Column:
     """Blocks of a group: as few as the bounds allow, but one that needs several gets up to twenty, so that many tasks share its pairs."""
     spread = F.when(n > block_rows, F.least(F.ceil(n / F.lit(max(1, block_rows // 3))), F.lit(20))).otherwise(1)
     return F.greatest(F.ceil(n / F.lit(block_rows)), F.ceil(grams / F.lit(float(block_grams))), spread).cast("int")
 
 
-def _groups(keyed: DataFrame, buckets: DataFrame, candidates: DataFrame, sizes: DataFrame, block_rows: int, block_grams: int) -> DataFrame:
+def _groups(keyed: DataFrame, buckets: DataFrame, candidates: DataFrame, sizes: DataFrame, block_rows: int, block_grams: int, judged_rows: int) -> DataFrame:
     """``(node, g, band, nb)``: the groups inside which each candidate's pairs are verified, cut into ``nb`` blocks.
 
     A component is one group (band null) unless its buckets, each taken for itself, need fewer
-    copies of its n-gram sets. Buckets of the same nodes count once, in their first band.
+    copies of its n-gram sets, in blocks of ``judged_rows``. Buckets of the same nodes count once, in
+    their first band.
     """
+    blocks = lambda n, grams: [_width(F.col(n), F.col(grams), block_rows, block_grams).alias("nb"), _width(F.col(n), F.col(grams), judged_rows, JUDGED_GRAMS).alias("judged")]
     members = stored(candidates.join(sizes, "node"), "members")
     whole = members.groupBy("c").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
-    whole = whole.select("c", "n", _width(F.col("n"), F.col("grams"), block_rows, block_grams).alias("nb"))
+    whole = whole.select("c", "n", *blocks("n", "grams"))
     apart = buckets.groupBy("low", "high", "n", "x", "y").agg(F.min(F.struct("band", "key")).alias("at"), F.max("grams").alias("grams"))
-    apart = apart.select("at.band", "at.key", "low", "n", _width(F.col("n"), F.col("grams"), block_rows, block_grams).alias("nb"))
-    apart = stored(apart.join(candidates.select(F.col("node").alias("low"), "c"), "low").select("band", "key", "c", "n", "nb"), "distinct-buckets")
-    cost = apart.groupBy("c").agg(F.sum(F.col("n") * F.col("nb")).alias("cost"))
+    apart = apart.select("at.band", "at.key", "low", "n", *blocks("n", "grams"))
+    apart = stored(apart.join(candidates.select(F.col("node").alias("low"), "c"), "low").select("band", "key", "c", "n", "nb", "judged"), "distinct-buckets")
+    cost = apart.groupBy("c").agg(F.sum(F.col("n") * F.col("judged")).alias("cost"))
     # written first, so that the joins can split a hot component
-    width = stored(whole.join(cost, "c").select("c", "nb", (F.col("cost") < F.col("n") * F.col("nb")).alias("sparse")), "widths")
+    width = stored(whole.join(cost, "c").select("c", "nb", (F.col("cost") < F.col("n") * F.col("judged")).alias("sparse")), "widths")
     dense = members.join(width.filter("not sparse"), "c").select("node", F.col("c").alias("g"), F.lit(None).cast("int").alias("band"), "nb")
     chosen = stored(apart.join(width.filter("sparse").select("c"), "c").select("band", "key", "nb"), "chosen-buckets")
     name = F.unhex(F.md5(F.concat_ws(":", "band", "key")))
@@ -232,25 +244,26 @@ def _groups(keyed: DataFrame, buckets: DataFrame, candidates: DataFrame, sizes:
     return dense.unionByName(sparse)
 
 
-def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, recall: float, rows: int, block_rows: int, block_grams: int) -> DataFrame:
+def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, recall: float, rows: int, block_rows: int, block_grams: int, judged_rows: int) -> DataFrame:
     """All rows by id and text digest (``key``) with their node, component ``c``, and the join's figures; nulls where there are no n-grams."""
     n_bands, n_rows = choose_bands(threshold, recall, rows)
     source = docs.select("doc_id", _text_key(text_col).alias("key"), F.col(f"`{text_col}`").alias("__text"))
     sig = stored(signatures(source, n_words, n_bands, n_rows), "signatures")
     nodes = sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"))
-    reps = stored(sig.filter("node is not null").select("node", "bands", "n_grams", F.col("doc_id").alias("__id")).dropDuplicates(["node"]), "nodes")
+    reps = stored(sig.filter("node is not null").select("node", "bands", "n_grams", F.col("doc_id").alias("__id"), F.col("key").alias("__key")).dropDuplicates(["node"]), "nodes")
 
     keyed = reps.select("node", "n_grams", F.posexplode("bands").alias("band", "key"))
     # written first, so that the join's two sides are both dealt by it and a hot bucket can be split
     mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(x) for i, x in enumerate("xy")]
     buckets = keyed.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.sum("n_grams").alias("grams"), *mark)
     buckets = stored(buckets.filter("low <> high"), "buckets")
-    edges = keyed.join(buckets.select("band", "key", "low"), ["band", "key"]).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct().checkpoint()
-    candidates = components(edges).withColumnRenamed("v", "node").checkpoint()
+    edges = keyed.join(buckets.select("band", "key", "low"), ["band", "key"]).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    edges = stored(edges, "candidate-edges")
+    candidates = stored(components(edges).withColumnRenamed("v", "node"), "candidates")
 
-    # the full sets of the candidates only: texts of one document per node
-    wanted = candidates.select("node").join(reps.select("node", "__id", "bands"), "node").checkpoint()
-    picked = source.drop("key").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("doc_id", "__id")
+    # the full sets of the candidates only: the text of one document per node, by its id and digest
+    wanted = stored(candidates.select("node").join(reps.select("node", "__id", "__key", "bands"), "node"), "wanted")
+    picked = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).drop("doc_id", "key", "__id", "__key")
     set_schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType())])
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +275,9 @@ def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, rec
                     cols = [part.column("node"), part.column("bands"), pa.array([g.tobytes() for g in sets], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=set_schema.names).filter(pa.array(same))
 
-    # several rows of one id may have the node's text
+    # repeated rows have the same text
     sets = stored(picked.mapInArrow(full_sets, set_schema), "sets").dropDuplicates(["node"])
-    groups = _groups(keyed, buckets, candidates, reps.select("node", "n_grams"), block_rows, block_grams)
+    groups = _groups(keyed, buckets, candidates, reps.select("node", "n_grams"), block_rows, block_grams, judged_rows)
     blk = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     placed = stored(groups.withColumn("blk", blk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))), "placed")
     bands = F.when(F.col("band").isNotNull(), F.col("bands")).alias("bands")  # sparse groups need them
@@ -295,6 +308,7 @@ def _classes(docs: DataFrame, text_col: str, n_words: int, threshold: float, rec
         return pa.table({"a": pa.array([nodes_[x] for x in some], pa.binary()), "b": pa.array([nodes_[label[x]] for x in some], pa.binary()), "n": pa.array(degree[some], pa.int64())})
 
     links = stored(spread.groupBy("g", "i", "j").applyInArrow(verify, link_schema), "links")
+    discard(placed, buckets, edges, wanted)
     degrees = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     classes = components(links.select("a", "b")).withColumnRenamed("v", "node")
     joined = stored(nodes.join(classes, "node", "left").join(degrees, "node", "left").withColumn("c", F.coalesce("c", "node")), "node-classes")
@@ -316,7 +330,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     other columns, have the smallest digest stays, so repeated rows become one. Null, empty and
     blank texts are no duplicates of other ids' texts. Columns of any name pass through.
     """
-    found = _classes(docs.select("doc_id", "text"), "text", 5, 0.8, 0.9999, 4, 384, 2_000_000)
+    found = _classes(docs.select("doc_id", "text"), "text", 5, 0.8, 0.9999, 4, 384, 2_000_000, 384)
     # of each class the smallest id stays (null only where there is no other), of equal ids one text; rows without n-grams are their own class
     group = F.when(F.col("c").isNotNull(), F.hex("c")).otherwise(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "key"))
     keep = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("key").alias("key"))).alias("m")).select("m.id", "m.key")
