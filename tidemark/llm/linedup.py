@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,12 +93,17 @@ class LineRuns:
         self.levels = [[]]
 
 
+def text_key(text_col: str) -> Column:
+    """A digest of a row's text, null as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+
+
 def line_keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """``(doc_id, h)``: one row per document and distinct key of enough code points."""
+    """``(doc_id, key, h)``: one row per row (by its id and its text's digest) and distinct line key of enough code points."""
     lines = F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n", -1)
     key = lambda x: F.translate(F.btrim(x, F.lit(BLANKS)), _UPPER, _LOWER)
     keys = F.array_distinct(F.filter(F.transform(lines, key), lambda k: F.length(k) >= min_chars))
-    return docs.select("doc_id", F.explode(keys).alias("key")).select("doc_id", F.unhex(F.md5("key")).alias("h"))
+    return docs.select("doc_id", text_key(text_col).alias("key"), F.explode(keys).alias("line")).select("doc_id", "key", F.unhex(F.md5("line")).alias("h"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -118,7 +123,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_chars: int = 20, mi
         batch = F.when(F.col("doc_id") > cut, i).otherwise(batch)
     path = scratch(spark, "lines")
     line_keys(docs, text_col, min_chars).withColumn("batch", batch).write.partitionBy("batch").option("compression", "zstd").parquet(path)
-    lines = spark.read.schema(T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("h", T.BinaryType()), T.StructField("batch", T.IntegerType())])).parquet(path)
+    lines = spark.read.schema(T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("key", T.BinaryType()), T.StructField("h", T.BinaryType()), T.StructField("batch", T.IntegerType())])).parquet(path)
 
     store = LineRuns(spark, min_docs, fanout)
     for i in range(len(cuts) + 1):
@@ -126,10 +131,11 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_chars: int = 20, mi
     # written first, so that the join's two sides are both dealt by it and a very common line can be split
     shared = stored(store.compacted().filter(F.col("n_docs") >= min_docs).select("h", "max_doc"), "shared-lines")
     store.close()
-    drops = lines.join(shared.hint("merge"), "h").filter(~F.col("doc_id").eqNullSafe(F.col("max_doc"))).select("doc_id", "h").distinct()
-    drops = drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("h").alias("__drops"))
-    kept = without(docs, ["n_lines", "n_dropped"]).columns
-    joined = docs.select(*kept).join(drops, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    drops = lines.join(shared.hint("merge"), "h").filter(~F.col("doc_id").eqNullSafe(F.col("max_doc"))).select("doc_id", "key", "h").distinct()
+    # a list holds lines of one text, however many rows have its id
+    drops = drops.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.collect_list("h").alias("__drops"))
+    kept = without(docs, ["n_lines", "n_dropped", "__key"]).columns
+    joined = docs.select(*kept, text_key(text_col).alias("__key")).join(drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left").drop("__id", "__of", "__key")
     schema = T.StructType([*[docs.schema[c] if c != text_col else T.StructField(c, T.StringType()) for c in kept], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def cut(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
