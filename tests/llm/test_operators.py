@@ -87,6 +87,18 @@ def test_line_dedup(docs, empty):
     assert kept.columns == clash.columns and {(r.n_lines, r["__drops"]) for r in kept.collect()} == {("x", k) for k in range(len(ODD))}
 
 
+def test_line_dedup_of_many_rows_without_an_id(spark):
+    """Each text's own dropped lines come to its row, not those of all rows of its id."""
+    from tidemark.llm import linedup
+
+    shared = [f"this line number {k} stands in many documents" for k in range(300)]
+    rows = [(i, "\n".join(shared)) for i in (1, 2, 3)] + [(None, f"{shared[k % 300]}\nown text {k}") for k in range(900)] + [(3, "own\n" + shared[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = linedup.dedup_lines(frame).collect()
+    assert [(r.n_lines, r.n_dropped, r.text.startswith("own text")) for r in got if r.doc_id is None] == [(2, 1, True)] * 900
+    assert sorted((r.n_lines, r.n_dropped) for r in got if r.doc_id is not None) == [(2, 0), (300, 0), (300, 300), (300, 300)]
+
+
 def test_line_runs_leave_nothing_behind(spark, docs):
     from tidemark.llm.linedup import dedup_lines
 
@@ -171,11 +183,45 @@ def test_ngram_join_of_wide_components(spark, monkeypatch):
     groups = ngramjoin._groups
     monkeypatch.setattr(ngramjoin, "_groups", lambda *a: seen.append(groups(*a)) or seen[-1])
     # 52 bands: at 52 of 60 n-grams in common no pair is left to chance
-    _check_join(rows, ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), recall=1 - 1e-12, block_rows=6).collect())
+    _check_join(rows, ngramjoin.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), recall=1 - 1e-12, block_rows=6, judged_rows=6).collect())
     kinds = {r.sparse: (r.n, r.copies) for r in seen[0].groupBy((seen[0].band.isNotNull()).alias("sparse")).agg({"*": "count", "nb": "sum"}).toDF("sparse", "n", "copies").collect()}
     assert set(kinds) == {True, False} and kinds[True][1] < 300 * 50
 
 
+def test_ngram_join_does_not_depend_on_its_blocks(spark):
+    """A chain that is judged bucket by bucket and a dense group, at the default recall, in blocks of two sizes."""
+    from tidemark.llm.ngramjoin import ngram_join
+
+    rng = np.random.default_rng(5)
+    chain = [(i, " ".join(f"w{k}" for k in range(i * 3, i * 3 + 30))) for i in range(450)]
+    dense = [(1000 + i, " ".join(f"r{i}" if k == at else f"v{k}" for k in range(90))) for i, at in enumerate(rng.integers(0, 90, 40))]
+    frame = spark.createDataFrame(chain + dense, "doc_id long, text string").cache()
+    small, large = (sorted(map(repr, ngram_join(frame, block_rows=n, judged_rows=100).collect())) for n in (25, 384))
+    assert small == large and len(small) == 490
+
+
+def test_ngram_join_of_many_rows_without_an_id(spark):
+    """Near copies that share the null id, rows of one id with several texts, and repeated rows: linear work, all counted."""
+    import time
+
+    from tidemark.llm.ngramjoin import ngram_join, one_of_each
+
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(2500):
+        own = list(base)
+        own[0] = f"r{i}"  # 35 of 37 n-grams in common
+        rows.append((None if i % 5 else 7, " ".join(own)))
+    rows += rows[:100]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    began = time.time()
+    got = ngram_join(frame).collect()
+    assert time.time() - began < 60
+    assert len(got) == 2600 and {(r.class_id, r.n_links) for r in got} == {(7, 2499)} and sorted({r.n_copies for r in got}) == [1, 2]
+    assert one_of_each(frame).count() == 1
+
+
 def test_bands_reach_recall():
     from tidemark.llm.ngramjoin import choose_bands
 
