@@ -349,12 +349,18 @@ def signal_scan(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(out, "symbol", "ts", "direction", "conf", "tier", "entry_price", "stop_loss", "take_profit", "risk_reward", "top_reasons", "candle_dna")
 
 
+def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records from a stream of the scored bars, by state instead of a scan."""
+    out = S.with_levels(T.stream_choice(_signal_base(spark, sf), replace(C, cooldown=3)), C).withColumns({"conf": F.round("conf", 2), "top_reasons": F.array_join("top_reasons", " | ")})
+    return tidy(out, "symbol", "ts", "direction", "conf", "tier", "entry_price", "stop_loss", "take_profit", "risk_reward", "top_reasons", "candle_dna")
+
+
 def queries() -> dict[str, Query]:
     named = [
         spike_flags, ingest_clean, ingest_statistics, gap_report, ohlc_bars, ohlc_4h, bucket_collect, m1_m15_join, completeness, last_complete_bar, l1_nested, l3_order_blocks, label_barrier,
         label_distribution, time_split, fold_bounds, class_weights, corr_prune, feature_correlation, confusion, class_report, trading_sim, tier_analysis, signal_rules, cooldown, daily_loss_limit, session_filter,
         dedupe_keep_last, fill_gap, perf_summary, equity_curve, feature_summary, signal_history, latest_features, display_names, labels_report, lineitem_rolling, csv_m1_scan, csv_m15_scan,
-        stage_round_trip, signal_scan,
+        stage_round_trip, signal_scan, stream_scan,
     ]
     made: dict[str, Query] = {f.__name__: f for f in named}
     made |= {

@@ -266,12 +266,29 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(closed_bars(ticks, "1 hour", "1 hour"), "append", scratch(spark, "stream-bars")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _as_stream(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written by day and read as a stream of one file after the other, in time order."""
+    spark, path = rows.sparkSession, f"{scratch(rows.sparkSession, name)}/rows"
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful signal query over hourly test bars, run to the end of its input."""
     from tidemark.streaming.bars import run_to_end
-    from tidemark.streaming.signals import live_signals
+    from tidemark.streaming.signals import live_signals, rocksdb
+
+    with rocksdb(spark):
+        made = run_to_end(live_signals(_as_stream(P.event_bars(spark, sf_dir), "stream-source"), EVENTS), "append", scratch(spark, "stream-signals"))
+    return made.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def stream_choice(scored: DataFrame, config: EngineConfig) -> DataFrame:
+    """The bars of a scored history that become signals, chosen by the stateful query over a stream of them."""
+    from tidemark.streaming.bars import run_to_end
+    from tidemark.streaming.signals import live_scan, rocksdb
 
-    path = f"{scratch(spark, 'stream-source')}/bars"
-    P.event_bars(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(path)
-    bars = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return run_to_end(live_signals(bars, EVENTS), "append", scratch(spark, "stream-signals")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    spark = scored.sparkSession
+    with rocksdb(spark):
+        made = run_to_end(live_scan(_as_stream(scored, "scored-source"), config), "append", scratch(spark, "stream-choice"))
+    return made.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
