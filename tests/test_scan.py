@@ -239,3 +239,28 @@ def test_correlations_in_one_pass(spark):
         assert (r is None) == math.isnan(want.loc[a, b]) and (r is None or math.isclose(r, want.loc[a, b], abs_tol=1e-9))
     assert prune_correlated(frame, list("abcdef"), 0.95) == ["a", "b", "d", "f"]
     assert np.array_equal(gram(frame.limit(0), ["a", "b"]).sums, np.zeros((4, 2, 2))) and prune_correlated(frame.limit(0), ["a", "b"], 0.5) == ["a", "b"]
+
+
+@pytest.mark.parametrize("chunk", ["7 minutes", "1 day"])
+def test_asof_join(spark, chunk):
+    """Two grids with gaps, one hot symbol, equal times, nulls, and a limit of age, against a search."""
+    from tidemark.operators.asof import asof_join
+
+    rng = np.random.default_rng(4)
+    start = dt.datetime(2024, 1, 1)
+    at = lambda k: start + dt.timedelta(minutes=int(k))
+    left = [(s, at(k), j) for j, (s, k) in enumerate([("hot", k) for k in rng.integers(0, 900, 700)] + [("cold", 500), (None, 3), (None, 700), ("alone", 1)])]
+    right = [("hot", at(k), float(v), None if v % 5 == 0 else int(v)) for k, v in zip(rng.integers(100, 800, 60), rng.integers(0, 100, 60), strict=True)] + [("cold", at(2), 7.0, 7), (None, at(600), 8.0, 8), ("never", at(1), 9.0, 9)]
+    a, b = spark.createDataFrame(left, "symbol string, ts timestamp_ntz, id int").repartition(5), spark.createDataFrame(right, "symbol string, ts timestamp_ntz, x double, y int").repartition(3)
+
+    def partner(s, ts, age):
+        found = [r for r in right if r[0] == s and r[1] <= ts and ts - r[1] <= age]
+        return max(found, key=lambda r: (r[1], r[2], math.inf if r[3] is None else r[3]))[2:] if found else (None, None)
+
+    for within, age in ((None, dt.timedelta(days=99)), ("40 minutes", dt.timedelta(minutes=40))):
+        got = asof_join(a, b, ["x", "y"], chunk, within)
+        assert got.columns == ["symbol", "ts", "id", "x", "y"] and dict(got.dtypes)["y"] == "int"
+        assert {r.id: (r.x, r.y) for r in got.collect()} == {j: partner(s, ts, age) for s, ts, j in left}
+    with pytest.raises(ValueError, match="both sides"):
+        asof_join(a, b.withColumnRenamed("x", "id"), ["id"])
+    assert asof_join(a, b.limit(0), ["x"]).filter("x is not null").count() == 0 and asof_join(a.limit(0), b, ["x"]).count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import EVENTS as C
+from tidemark.operators import asof as A
 from tidemark.operators import bars as B
 from tidemark.operators import correlation as R
 from tidemark.operators import evaluate as E
@@ -222,6 +223,13 @@ def feature_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(R.correlation_table(P.event_features(spark, sf, C), P.FEATURES), "a", "b", "n", "r")
 
 
+def asof_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases with the last hourly bar that had begun, on grids with gaps: bars of few ticks are left out."""
+    rare = hourly(spark, sf).filter("volume % 3 = 0").select("symbol", "ts", F.col("close").alias("bar_close"), F.col("volume").alias("bar_volume"))
+    events = ticks(spark, sf).filter("event_type = 'purchase'").select("symbol", "ts", "event_id")
+    return tidy(A.asof_join(events, rare, ["bar_close", "bar_volume"], "2 days"), "symbol", "ts", "event_id", "bar_close", "bar_volume")
+
+
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(E.confusion(scored(spark, sf), "cls", "pred", [0, 1, 2]), "truth", "pred_0", "pred_1", "pred_2")
 
@@ -358,7 +366,7 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = [
         spike_flags, ingest_clean, ingest_statistics, gap_report, ohlc_bars, ohlc_4h, bucket_collect, m1_m15_join, completeness, last_complete_bar, l1_nested, l3_order_blocks, label_barrier,
-        label_distribution, time_split, fold_bounds, class_weights, corr_prune, feature_correlation, confusion, class_report, trading_sim, tier_analysis, signal_rules, cooldown, daily_loss_limit, session_filter,
+        label_distribution, time_split, fold_bounds, class_weights, corr_prune, feature_correlation, asof_bars, confusion, class_report, trading_sim, tier_analysis, signal_rules, cooldown, daily_loss_limit, session_filter,
         dedupe_keep_last, fill_gap, perf_summary, equity_curve, feature_summary, signal_history, latest_features, display_names, labels_report, lineitem_rolling, csv_m1_scan, csv_m15_scan,
         stage_round_trip, signal_scan, stream_scan,
     ]

@@ -282,6 +282,8 @@ def sql() -> dict[str, str]:
     out["stage_round_trip"] = pick("l1", "l1_volatility_energy", "l1_m1_count")
     chosen = rules.replace("SELECT f.symbol, f.ts,", "SELECT f.symbol, f.ts, round(conf, 2) AS conf,", 1) + " AND EXISTS (SELECT 1 FROM pickd k WHERE k.symbol = sc.symbol AND k.i = sc.i)"
     out["signal_scan"] = with_(chosen).replace("WITH ", "WITH RECURSIVE ", 1)
+    out["asof_bars"] = with_("""SELECT e.symbol, e.ts, e.event_id::BIGINT AS event_id, round(r.close, 6) AS bar_close, round(r.volume, 6) AS bar_volume
+      FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS symbol, ts, event_id FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM b WHERE volume % 3 = 0) r ON e.symbol = r.symbol AND e.ts >= r.ts""")
     out["stream_scan"] = out["signal_scan"]
     out["stream_signals"] = with_("SELECT l.symbol, ts, l.i, close, spike, CASE WHEN k.i IS NULL THEN NULL WHEN close > prev THEN 'BUY' ELSE 'SELL' END AS direction FROM live l LEFT JOIN live_pick k ON l.symbol = k.symbol AND l.i = k.i").replace("WITH ", "WITH RECURSIVE ", 1)
     closed = "SELECT symbol, ts, open, high, low, close, volume FROM b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
