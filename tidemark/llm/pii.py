@@ -18,11 +18,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table, without
+from tidemark.llm.common import discard, stored, table, without
 
 # Titles that announce a name and its gender, and name stems by gender and script.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Madame", "Mme", "Mademoiselle", "Frau", "Señora", "Señorita", "Sra", "Госпожа"]
 MALE_TITLES = ["Mr", "Sir", "Monsieur", "Herr", "Señor", "Sr", "Господин"]
+OPEN_TITLES = ["Dr", "Prof", "Doctor", "Professor", "Κύριος", "Κυρία"]
 NAMES = {
     ("female", "latin"): ["Adel", "Bert", "Clar", "Dian", "Elen", "Fann", "Gret", "Hann", "Iren", "Jul", "Klar", "Laur", "Mar", "Nad", "Olg", "Paul", "Ros", "Sar", "Tin", "Ver"],
     ("male", "latin"): ["Alb", "Brun", "Carl", "Dav", "Erik", "Fel", "Georg", "Hug", "Iv", "Jon", "Karl", "Leon", "Mart", "Nils", "Osc", "Paul", "Rob", "Sim", "Tom", "Vict"],
@@ -30,10 +31,13 @@ NAMES = {
     ("female", "cyrillic"): ["Анн", "Вер", "Гал", "Дар", "Елен", "Ир", "Мар", "Нин", "Ольг", "Соф"],
     ("male", "cyrillic"): ["Ант", "Бор", "Викт", "Глеб", "Ден", "Ив", "Кир", "Макс", "Олег", "Пав"],
     ("any", "cyrillic"): ["Бел", "Волк", "Гром", "Орл", "Петр", "Сокол", "Тит", "Увар", "Чех", "Яш"],
+    ("female", "greek"): ["Άνν", "Βέρ", "Ελέν", "Ζω", "Ηρώ", "Κάλι", "Μαρί", "Νίκ", "Ρέν", "Σοφί"],
+    ("male", "greek"): ["Αλέξ", "Βασίλ", "Γιώργ", "Δημήτρ", "Κώστ", "Μάρκ", "Νίκ", "Πέτρ", "Στέφ", "Φίλιπ"],
+    ("any", "greek"): ["Αργυρ", "Βλαχ", "Γεωργ", "Καραγ", "Λαμπρ", "Μακρ", "Παπαδ", "Ροδ", "Σταμ", "Χατζ"],
 }
 #: Consonants, vowels and endings that lengthen a stem to a name.
-SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
-ENDINGS = {("female", "latin"): "na", ("male", "latin"): "n", ("any", "latin"): "r", ("female", "cyrillic"): "на", ("male", "cyrillic"): "н", ("any", "cyrillic"): "в"}
+SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρτφχ", "αεηιο")}
+ENDINGS = {("female", "latin"): "na", ("male", "latin"): "n", ("any", "latin"): "r", ("female", "cyrillic"): "на", ("male", "cyrillic"): "н", ("any", "cyrillic"): "в", ("female", "greek"): "να", ("male", "greek"): "ς", ("any", "greek"): "ς"}
 
 # Detectors, in order of precedence. Repeats are bounded or possessive, so no text makes matching slow.
 _BOUND = r"(?<![\p{L}\p{N}._%+\-])"
@@ -48,6 +52,11 @@ def _quoted(q: str) -> str:
 #: Without closing quote a value goes up to white space, or a quote that ends a word; what is no letter or digit at its end stays.
 _OPEN = r"(?=[^\s\"']{6})(?:(?:[^\s\"'\p{L}\p{N}]|[\"'](?=[\p{L}\p{N}]))*+[\p{L}\p{N}]++)++"
 _HEX = "[0-9A-Fa-f]{1,4}"
+_TITLES = FEMALE_TITLES + MALE_TITLES + OPEN_TITLES
+#: White space after a title; one whole word of a name, with its apostrophes, hyphens and inner capitals; up to three of them.
+_GAP = r"[ \u00a0]{1,3}"
+_WORD = r"\p{Lu}[\p{L}\p{M}]{0,30}+(?:(?:-(?=\p{Lu})|['’](?!s(?!\p{L})))\p{L}[\p{L}\p{M}]{0,30}+){0,3}+(?!\p{L})"
+_NAME = rf"{_WORD}(?: {_WORD}){{0,2}}"
 PATTERNS = {
     "credential": "(?=[psatPSAT])" + _KEYWORD + "(?:" + _quoted('"') + "|" + _quoted("'") + "|" + _OPEN + ")",
     "email": _BOUND + r"[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[\p{L}\p{N}\-]{1,63}",
@@ -58,12 +67,12 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\d\-])",
     "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|(?<![.\-/])0\d{2,4} \d{3,4} \d{3,4})(?!\d)",
-    "name": r"(?=\p{Lu})(?<=(?<!\p{L})(?:" + "|".join(t + r"\.? " for t in FEMALE_TITLES + MALE_TITLES) + r"))\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
+    "name": r"(?=\p{Lu})(?<=(?<!\p{L})(?:" + "|".join(t + r"\.?" + _GAP for t in _TITLES) + "))" + _NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Kinds of given names in the registry; family names have the kind "name".
 GIVEN = ["female given", "male given"]
-_TITLED = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? "
+_TITLED = "(?:" + "|".join(_TITLES) + r")\.?" + _GAP
 #: Written around each mention; the escape keeps it out of texts that hold such characters.
 _MARK, _ESCAPED = "\x01\x02", "\x01\x03"
 
@@ -74,7 +83,7 @@ def _either(*parts: Column) -> Column:
 
 def may_hold(text: Column) -> Column:
     """A cheap test that every text with an entity passes: what a detector can't do without."""
-    stems = [t for t in FEMALE_TITLES + MALE_TITLES if not any(t != s and t.startswith(s) for s in FEMALE_TITLES + MALE_TITLES)]
+    stems = [t for t in _TITLES if not any(t != s and t.startswith(s) for s in _TITLES)]
     keyword = text.rlike(r"[=:](?<=(?i:password|passwd|pwd|secret|token|key) {0,2}[=:])")
     return F.coalesce(_either(text.rlike("[0-9@]"), keyword, *[F.contains(text, F.lit(x)) for x in ("AKIA", "ghp_", "sk-", *stems)]), F.lit(False))
 
@@ -94,9 +103,9 @@ def entity_type(raw: Column) -> Column:
 
 
 def canonical(kind: Column, raw: Column) -> Column:
-    """What all mentions of an entity have in common: numbers without separators, addresses in lower case, credentials without their keyword."""
+    """What all mentions of an entity have in common: numbers without separators, addresses in lower case, credentials without their keyword, names whatever their case."""
     bare = F.regexp_replace(raw, r"[^\p{L}\p{N}+]", "")
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), bare).when(kind.isin("email", "ipv6"), F.lower(raw)).when(kind.isin("credential", "secret"), F.regexp_replace(raw, "^" + _KEYWORD, "")).otherwise(raw)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), bare).when(kind.isin("email", "ipv6"), F.lower(raw)).when(kind.isin("credential", "secret"), F.regexp_replace(raw, "^" + _KEYWORD, "")).when(kind.isin("name", *GIVEN), F.initcap(F.lower(raw))).otherwise(raw)
 
 
 def _draw(stream: Column, i: Column, n: int) -> Column:
@@ -167,7 +176,9 @@ def surrogate(key: str, kind: Column, canon: Column, gender: Column, attempt: Co
     email: another local part of the same shape (short ones get eight letters); addresses of one domain
     stay together below example.org. ip, ipv6: a valid address. card: the issuer digit stays and the check
     digit holds. phone: the country code stays. iban: the country stays and the check digits hold. ssn, secret:
-    same shape, secrets keep their prefix. name: gender of the title, script of the name; each later attempt adds a syllable.
+    same shape, secrets keep their prefix. name: gender of the title, script of the name if that is Latin, Cyrillic
+    or Greek (scripts without capitals are not found, others get Latin names); each later attempt adds a syllable.
+    Phone and social security numbers of a format that is nearly used up get more digits.
     """
     stream, host = F.col("__stream"), F.col("__host")
     local = F.substring_index(canon, "@", 1)
@@ -177,17 +188,20 @@ def surrogate(key: str, kind: Column, canon: Column, gender: Column, attempt: Co
     ip = F.concat_ws(".", octet(1, 1, 223), octet(2, 0, 256), octet(3, 0, 256), octet(4, 1, 254))
     card = _luhn(_letters(stream, F.expr("substring(__canon, 1, length(__canon) - 1)"), 1))
     country = F.regexp_extract(canon, _COUNTRY, 0)
-    phone = F.concat(country, _letters(stream, F.expr("substring(__canon, length(__country) + 1)")))
+    # a crowded format gets a digit more for every attempt after the third
+    wider = F.substring(F.lit("0000000000000000000000000000000000000000"), F.lit(1), F.greatest(attempt - NARROW, F.lit(0)))
+    phone = F.concat(country, _letters(stream, F.concat(F.expr("substring(__canon, length(__country) + 1)"), wider)))
     land, body = F.substring(canon, 1, 2), _letters(stream, F.expr("substring(__canon, 5)"))
     iban = F.concat(land, _iban_check(land, body), body)
     hexes = lambda start: F.transform(F.filter(F.split(canon, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.lower(F.hex(_draw(stream, i + 1, 16 - start) + start))).otherwise(c))
     hexed, ipv6 = F.array_join(hexes(0), ""), F.array_join(hexes(1), "")
     secret = F.when(canon.rlike(r"^[0-9a-f]+$"), hexed).when(canon.rlike("^(AKIA|ghp_|sk-)"), _letters(stream, canon, 4)).otherwise(_letters(stream, canon))
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
-    made_name = lambda g: F.when(cyrillic, _name(stream, 1, g, "cyrillic", attempt)).otherwise(_name(stream, 1, g, "latin", attempt))
+    greek = canon.rlike(r"\p{IsGreek}")
+    made_name = lambda g: F.when(cyrillic, _name(stream, 1, g, "cyrillic", attempt)).when(greek, _name(stream, 1, g, "greek", attempt)).otherwise(_name(stream, 1, g, "latin", attempt))
     name = F.when(kind == GIVEN[0], made_name("female")).when(kind == GIVEN[1], made_name("male")).otherwise(made_name("any"))
     made = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "card", card).when(kind == "phone", phone)
-    return made.when(kind.isin("secret", "credential"), secret).when(kind == "iban", iban).when(kind.isin("name", *GIVEN), name).otherwise(_letters(stream, canon))
+    return made.when(kind.isin("secret", "credential"), secret).when(kind == "iban", iban).when(kind.isin("name", *GIVEN), name).otherwise(_letters(stream, F.concat(canon, wider)))
 
 
 def in_format(kind: Column, raw: Column, core: Column) -> Column:
@@ -197,41 +211,52 @@ def in_format(kind: Column, raw: Column, core: Column) -> Column:
     shape = chars(F.when(kind.isin("card", "phone", "ssn", "iban"), raw).otherwise(""))  # others may be long
     counts = F.transform(shape, lambda c, i: F.size(F.filter(F.slice(shape, F.lit(1), i + 1), lambda x: x.rlike(r"[\p{L}\p{N}+]"))))
     dressed = F.array_join(F.zip_with(shape, counts, lambda c, n: F.when(c.rlike(r"[\p{L}\p{N}+]"), F.coalesce(F.get(bare, n - 1), F.lit(""))).otherwise(c)), "")
+    dressed = F.concat(dressed, F.array_join(F.slice(bare, F.coalesce(F.array_max(counts), F.lit(0)) + 1, F.size(bare)), ""))  # a widened format's last digits
     named = F.concat(F.regexp_extract(raw, "^" + _KEYWORD, 0), core)
     upper = chars(F.when(kind == "email", F.substring_index(raw, "@", 1)).otherwise(""))
     cased = F.array_join(F.transform(bare, lambda c, i: F.when(F.coalesce(F.get(upper, i).rlike(r"\p{Lu}"), F.lit(False)), F.upper(c)).otherwise(c)), "")
     email = F.when(raw == F.lower(raw), core).when(raw == F.upper(raw), F.upper(core)).otherwise(cased)
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), dressed).when(kind.isin("credential", "secret"), named).when(kind == "email", email)
-        .when((kind == "ipv6") & raw.rlike("[A-F]"), F.upper(core)).otherwise(core)
+        .when((kind == "ipv6") & raw.rlike("[A-F]"), F.upper(core)).when(kind.isin("name", *GIVEN) & (F.length(raw) > 1) & (raw == F.upper(raw)), F.upper(core)).otherwise(core)
     )
 
 
-def registry(entities: DataFrame, key: str, rounds: int = 12) -> DataFrame:
+#: Attempts before a format is widened.
+NARROW = 3
+
+
+def registry(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """``(kind, canon, core)`` for distinct entities: no two of a kind share a core, and no core is an entity.
 
-    ``entities`` has (kind, canon, gender). Every round draws again for those that collide; the
-    smallest attempt, then canonical form, of a collision keeps its draw.
+    ``entities`` has (kind, canon, gender). Those that collide with an entity, with a core of an
+    earlier round or with another draw of this one draw again, the others are settled; of equal
+    draws the smallest canonical form keeps its own. Formats widen after some attempts, so the
+    rows of a round soon come to none.
     """
-    base = stored(entities.groupBy("kind", "canon").agg(F.max("gender").alias("gender")), "entities").withColumn("attempt", F.lit(0))
-    taken = base.select(F.col("kind").alias("k"), F.col("canon").alias("taken"))
-    for _ in range(rounds):
+    left = stored(entities.groupBy("kind", "canon").agg(F.max("gender").alias("gender")), "entities")
+    taken = left.select(F.col("kind").alias("k"), F.col("canon").alias("taken"))
+    settled: list[DataFrame] = []
+    for attempt in range(rounds):
         core = surrogate(key, F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"))
-        drawn = stored(streams(base, key).withColumn("core", core).drop("__canon", "__country", "__stream", "__host"), "drawn")
+        drawn = stored(streams(left.withColumn("attempt", F.lit(attempt)), key).withColumn("core", core).select("kind", "canon", "gender", "core"), "drawn")
         # written first, so that the joins can split a core that very many entities drew
-        keeps = stored(drawn.groupBy("kind", "core").agg(F.min(F.struct("attempt", "canon")).alias("first")), "keeps")
-        checked = drawn.join(keeps.select("kind", "core", F.col("first.canon").alias("keeper")).hint("merge"), ["kind", "core"]).join(taken.hint("merge"), F.expr("kind = k and core = taken"), "left")
-        checked = stored(checked.select("kind", "canon", "gender", "attempt", "core", ((F.col("keeper") != F.col("canon")) | F.col("taken").isNotNull()).alias("again")), "checked")
-        if not checked.filter("again").limit(1).count():
-            return checked.select("kind", "canon", "core")
-        base = checked.select("kind", "canon", "gender", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        keeps = stored(drawn.groupBy("kind", "core").agg(F.min("canon").alias("keeper")), "keeps")
+        used = reduce(DataFrame.unionAll, [taken, *[s.select("kind", "core") for s in settled]]).toDF("k", "taken")
+        checked = drawn.join(keeps.hint("merge"), ["kind", "core"]).join(used.hint("merge"), F.expr("kind = k and core = taken"), "left")
+        checked = stored(checked.select("kind", "canon", "gender", "core", ((F.col("keeper") != F.col("canon")) | F.col("taken").isNotNull()).alias("again")), "checked")
+        settled.append(checked.filter("not again").select("kind", "canon", "core"))
+        discard(drawn, keeps)
+        left = checked.filter("again").select("kind", "canon", "gender")
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionAll, settled)
     raise RuntimeError(f"replacements still collide after {rounds} rounds")
 
 
 def _any(words: Column) -> Column:
     """The pattern of a text's entities: what the detectors find, and other mentions of the words of its names."""
     one = F.concat(F.lit("(?:"), F.array_join(words, "|"), F.lit(")"))
-    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])"), one, F.lit("(?: "), one, F.lit(r")?(?![\p{L}\p{N}])"))
+    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])"), one, F.lit("(?: "), one, F.lit(r"){0,2}(?![\p{L}\p{N}])"))
 
 
 def _pieces(text: Column, pattern: Column) -> Column:
@@ -249,13 +274,17 @@ def marked_rows(rows: DataFrame, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`")
     others = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
     row = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
-    titled = F.regexp_extract_all(text, F.lit(_TITLED + r"\p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?"), F.lit(0))
+    titled = F.regexp_extract_all(text, F.lit(r"(?<!\p{L})" + _TITLED + _NAME), F.lit(0))
     out = rows.select(row.alias("row"), text.alias("text"), F.md5(text.cast("binary")).alias("key"), _pieces(text, F.lit(ANY)).alias("pieces"), titled.alias("titled"))
     named = F.array_intersect(_mentions(F.col("pieces")), F.transform("titled", lambda t: F.regexp_replace(t, "^" + _TITLED, "")))
     out = out.withColumn("named", named)
     # full names say which words are given and which family names
     full = F.transform(F.filter("named", lambda x: F.instr(x, " ") > 0), lambda x: F.split(x, " "))
-    out = out.withColumn("words", F.array_distinct(F.flatten(F.transform("named", lambda x: F.split(x, " "))))).withColumn("given", F.array_except(F.transform(full, lambda x: x[0]), F.transform(full, lambda x: x[1])))
+    words = F.flatten(F.transform("named", lambda x: F.split(x, " ")))
+    plain = lambda x: F.initcap(F.lower(x))
+    # a word counts as it stands, in capitals, and where it stands in capitals also with one alone
+    words = F.array_distinct(F.concat(words, F.transform(words, F.upper), F.transform(F.filter(words, lambda x: x == F.upper(x)), plain)))
+    out = out.withColumn("words", words).withColumn("given", F.array_except(F.transform(full, lambda x: plain(x[0])), F.transform(full, lambda x: plain(x[1]))))
     pieces = F.when(F.size("words") > 0, _pieces(F.col("text"), _any(F.col("words")))).otherwise(F.col("pieces"))
     return out.select("row", "key", pieces.alias("pieces"), "titled", "words", "given")
 
@@ -270,11 +299,11 @@ def mentions_of(marked: DataFrame) -> DataFrame:
     kind = entity_type(F.col("raw"))
     rows = rows.withColumn("type", kind)
     rows = rows.withColumn("type", F.when((F.col("type") == "card") & ~has_luhn(F.col("__digits")), "other").otherwise(F.col("type")))
-    female = F.exists("titled", lambda t: F.array_contains(F.split(t, " "), F.col("raw")) & t.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? "))
+    female = F.exists("titled", lambda t: F.array_contains(F.split(F.lower(t), "[ \u00a0]"), F.lower("raw")) & t.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.?" + _GAP))
     parts = F.when(F.col("type") == "name", F.split("raw", " ")).otherwise(F.array("raw"))
     rows = rows.select("key", "pos", "type", "titled", "words", "given", F.size(parts).alias("n_parts"), F.posexplode(parts).alias("part", "raw"))
     rows = rows.withColumn("gender", F.when((F.col("type") == "name") & female, "female").otherwise("male"))
-    first = F.when(F.col("n_parts") > 1, F.col("part") == 0).otherwise(F.array_contains("given", F.col("raw")))
+    first = F.when(F.col("n_parts") > 1, F.col("part") == 0).otherwise(F.array_contains("given", F.initcap(F.lower("raw"))))
     rows = rows.withColumn("kind", F.when((F.col("type") == "name") & first, F.concat("gender", F.lit(" given"))).otherwise(F.col("type"))).withColumn("canon", canonical(F.col("kind"), F.col("raw")))
     return rows.select("key", "pos", "part", "type", "raw", "kind", "canon", "gender")
 
