@@ -584,6 +584,42 @@ def _mod_97(iban):
     return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
 
 
+def test_pii_whole_names(spark):
+    """Inner capitals, apostrophes, hyphens, three parts, capitals only, other titles, blanks and scripts: nothing of a titled name stays."""
+    from tidemark.llm.pii import replace_pii
+
+    texts = [
+        "Mr. McDonald called. McDonald left.", "Mr. O'Brien met Mrs. Smith-Jones; O'Brien’s hat, Smith-Jones's bag.", "Mr. John Fitzgerald Kennedy spoke. Kennedy left, John Fitzgerald too.", "Mr. JOHN DOE wrote; John Doe answered.",
+        "Dr. Alice Brown and Prof. Bob Green", "Mr.\u00a0Jones and Mr.  Baker", "Mr. Αλέξης Τσίπρας. Τσίπρας!", "Госпожа Анна Каренина и Каренина", "Mr. Smith's car",
+    ]
+    got = [r.text for r in replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect()]
+    for text, gone in zip(got, ["McDonald Donald", "Brien Smith Jones", "John Fitzgerald Kennedy", "JOHN DOE John Doe", "Alice Brown Bob Green", "Jones Baker", "Αλέξης Τσίπρας", "Анна Каренина", "Smith"], strict=True):
+        assert not any(x in text for x in gone.split()), text
+    a, b = re.fullmatch(r"Mr\. (\w+) called\. (\w+) left\.", got[0]).groups()
+    assert a == b
+    assert re.fullmatch(r"Mr\. (\w+) met Mrs\. (\w+); \1’s hat, \2's bag\.", got[1])
+    assert re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) spoke\. \3 left, \1 \2 too\.", got[2])
+    upper = re.fullmatch(r"Mr\. ([A-Z]+) ([A-Z]+) wrote; (\w+) (\w+) answered\.", got[3]).groups()
+    assert [x.title() for x in upper[:2]] == list(upper[2:])
+    assert re.fullmatch(r"Dr\. \w+ \w+ and Prof\. \w+ \w+", got[4]) and re.fullmatch(r"Mr\.\u00a0\w+ and Mr\.  \w+", got[5])
+    one = re.fullmatch(r"Mr\. ([Α-ώ]+) ([Α-ώ]+)\. ([Α-ώ]+)!", got[6]).groups()
+    assert one[1] == one[2] and re.fullmatch(r"Госпожа ([А-я]+) ([А-я]+) и \2", got[7]) and re.fullmatch(r"Mr\. \w+'s car", got[8])
+
+
+def test_pii_of_a_format_that_is_used_up(spark):
+    """Nine tenths of all numbers of one short format occur: replacements are distinct, none is an entity, and the job ends."""
+    from tidemark.llm.pii import registry, replace_pii
+
+    taken = [f"+1{k:03d}" for k in range(900)]
+    rows = spark.createDataFrame([("phone", c, "male") for c in taken], "kind string, canon string, gender string").repartition(4)
+    cores = {r.canon: r.core for r in registry(rows, "k").collect()}
+    assert set(cores) == set(taken) and len(set(cores.values())) == 900 and not set(cores.values()) & set(taken)
+    assert all(re.fullmatch(r"\+1\d{3,}", c) for c in cores.values()) and any(len(c) > 5 for c in cores.values())
+    texts = spark.createDataFrame([(k, f"call +1 {k:04d} now") for k in range(0, 10000, 2)], "doc_id long, text string")
+    got = [r.text for r in replace_pii(texts, "k").collect()]
+    assert len(set(got)) == 5000 and all(re.fullmatch(r"call \+1 \d{4,} now", t) for t in got)
+
+
 def test_pii_formats_and_check_digits(spark):
     from tidemark.llm.pii import replace_pii
 

@@ -60,7 +60,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     held = ruled.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("r_rule") + 128), F.lit(0)).alias("size")).first()  # 128: digests, action, pointers
     small = held["n"] <= broadcast_rules and held["size"] <= broadcast_bytes
     host, path = url_host(F.col(f"`{url_col}`")), url_path(F.col(f"`{url_col}`"))
-    parts = pages.select(F.col(f"`{id_col}`").alias("__id"), host.alias("host"), path.alias("path"))
+    # repeated rows are counted task by task, so that none has to bring back very many
+    parts = pages.select(F.col(f"`{id_col}`").alias("__id"), host.alias("host"), path.alias("path"), F.spark_partition_id().alias("__task"))
 
     labels = F.split("host", r"\.", -1)
     suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
@@ -69,7 +70,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.concat(s, p))))
     # one place per row counts it, so that repeated rows come back as often as they came
     spread = parts.select("*", F.posexplode_outer(expressions).alias("pos", "expression"))
-    spread = spread.select("__id", "host", "path", F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0).alias("one"), F.sha2("expression", 256).alias("digest"))
+    spread = spread.select("__id", "host", "path", "__task", F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0).alias("one"), F.sha2("expression", 256).alias("digest"))
     spread = spread.withColumn("short", F.substring("digest", 1, PREFIX_CHARS))
     if small:
         met = spread.join(F.broadcast(ruled), F.expr("short = r_short and digest = r_digest"), "left")
@@ -78,7 +79,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         copied = ruled.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = salted.join(copied, F.expr("short = r_short and salt = r_salt and digest = r_digest"), "left")
     best = F.max(F.when(F.col("r_rule").isNotNull(), F.struct(F.length("r_rule").alias("n"), F.col("r_rule").alias("rule"), F.col("r_action").alias("action"))))
-    judged = met.groupBy("__id", "host", "path").agg(F.sum("one").alias("n"), best.alias("best"))
+    judged = met.groupBy("__id", "host", "path", "__task").agg(F.sum("one").alias("n"), best.alias("best"))
     rows = judged.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return rows.select(F.col("__id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
