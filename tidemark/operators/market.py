@@ -606,12 +606,27 @@ class Market:
         return Scan(State, self.summarise, self.fold, self.passed, self.enough)
 
 
+def market_fields() -> list[T.StructField]:
+    return [T.StructField(c, T.IntegerType()) for c in WHOLE] + [T.StructField(c, T.DoubleType()) for c in PARTS]
+
+
+def alike(told: tuple[State, tuple]) -> tuple:
+    """What a chunk's columns but ``i`` depend on: positions count from the chunk, so that rows added long before change nothing."""
+    s, after = told
+    t = s.targets
+    back = lambda i: i - s.n
+    candle = lambda c: c and (back(c[0]), *c[1:])
+    moved = replace(
+        s, n=min(s.n, 2), targets=replace(t, high_i=back(t.high_i) if t.high_i >= 0 else None, low_i=back(t.low_i) if t.low_i >= 0 else None), falling=candle(s.falling), rising=candle(s.rising),
+        demand=[candle(b) for b in s.demand], supply=[candle(b) for b in s.supply],
+    )
+    return moved, after
+
+
 def market_columns(bars: DataFrame, config: EngineConfig) -> DataFrame:
     """Bars with ``l2_session`` and the windowed columns of layers 2 to 4 (WHOLE and PARTS); absent layer-1 columns count as 0."""
     held = bars.withColumns({c: F.lit(0.0) for c in READ if c not in bars.columns})
-    market = Market(config)
-    fields = [T.StructField(c, T.IntegerType()) for c in WHOLE] + [T.StructField(c, T.DoubleType()) for c in PARTS]
-    out = prefix_scan(held.withColumn("chunk", chunk_of("ts", config.parent_width, config.chunk_bars)), market.scan(), fields)
+    out = prefix_scan(held.withColumn("chunk", chunk_of("ts", config.parent_width, config.chunk_bars)), Market(config).scan(), market_fields())
     return out.drop(*[c for c in READ if c not in bars.columns])
 
 

@@ -47,13 +47,19 @@ def _arrow(column: np.ndarray, field: T.StructField) -> pa.Array:
     return pa.array(column, pa.float64(), from_pandas=True).cast(kind)
 
 
-def states(rows: DataFrame, scan: Scan, order: str = "ts") -> DataFrame:
-    """``(symbol, chunk, told)``: each chunk's state and what it has to know of later ones, pickled."""
+def summaries(rows: DataFrame, scan: Scan, order: str = "ts") -> DataFrame:
+    """``(symbol, chunk, said)``: what each chunk's rows say, pickled."""
 
     def summarised(key: tuple, group: pa.Table) -> pa.Table:
         said = pickle.dumps(scan.summarise(group.sort_by(order)), protocol=5)
         return pa.table({"symbol": pa.array([key[0].as_py()], pa.string()), "chunk": pa.array([key[1].as_py()], group.schema.field("chunk").type), "said": pa.array([said], pa.binary())})
 
+    return rows.groupBy("symbol", "chunk").applyInArrow(summarised, T.StructType([rows.schema["symbol"], rows.schema["chunk"], T.StructField("said", T.BinaryType())]))
+
+
+def states(said: DataFrame, scan: Scan) -> DataFrame:
+    """``(symbol, chunk, told)``: each chunk's state and what it has to know of later ones, pickled."""
+
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, state, kind = object(), None, None
         waiting: deque[tuple[Any, Any, list[Any]]] = deque()
@@ -89,28 +95,34 @@ def states(rows: DataFrame, scan: Scan, order: str = "ts") -> DataFrame:
         if made := told(True):
             yield rows_of(symbol, made)
 
-    key = [rows.schema["symbol"], rows.schema["chunk"]]
-    said = rows.groupBy("symbol", "chunk").applyInArrow(summarised, T.StructType([*key, T.StructField("said", T.BinaryType())]))
-    return said.repartition("symbol").sortWithinPartitions("symbol", "chunk").mapInArrow(carried, T.StructType([*key, T.StructField("told", T.BinaryType())]))
+    schema = T.StructType([said.schema["symbol"], said.schema["chunk"], T.StructField("told", T.BinaryType())])
+    return said.repartition("symbol").sortWithinPartitions("symbol", "chunk").mapInArrow(carried, schema)
 
 
-def prefix_scan(rows: DataFrame, scan: Scan, fields: list[T.StructField], order: str = "ts") -> DataFrame:
-    """Rows ``(symbol, chunk, <order>, ...)`` without ``chunk``, with the columns that the scan gives them.
-
-    New columns are doubles or ints; NaN becomes null. Rows of a chunk come in order. The symbol
-    has to be a string; a null one is a symbol of its own.
-    """
+def passed(rows: DataFrame, told: DataFrame, scan: Scan, fields: list[T.StructField], order: str = "ts") -> DataFrame:
+    """Rows ``(symbol, chunk, <order>, ...)`` without ``chunk``, with the columns that the scan gives them from each chunk's state."""
     kept = [f for f in rows.schema.fields if f.name != "chunk"]
     names = [f.name for f in kept]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         own = left.sort_by(order)
-        before, after = pickle.loads(right["told"][0].as_py())
-        made = scan.passed(own, before, after)
+        if own.num_rows:
+            before, after = pickle.loads(right["told"][0].as_py())
+            made = scan.passed(own, before, after)
+        else:  # a state without rows
+            made = {f.name: np.zeros(0) for f in fields}
         out = own.select(names)
         for f in fields:
             out = out.append_column(f.name, _arrow(made[f.name], f))
         return out
 
-    told = states(rows, scan, order)
     return rows.groupBy("symbol", "chunk").cogroup(told.groupBy("symbol", "chunk")).applyInArrow(run, T.StructType([*kept, *fields]))
+
+
+def prefix_scan(rows: DataFrame, scan: Scan, fields: list[T.StructField], order: str = "ts") -> DataFrame:
+    """Rows ``(symbol, chunk, <order>, ...)`` without ``chunk``, with the columns that the scan gives them.
+
+    New columns are doubles or ints; NaN becomes null. Rows of a chunk come in order. The symbol
+    has to be a string; a null one is a symbol of its own.
+    """
+    return passed(rows, states(summaries(rows, scan, order), scan), scan, fields, order)
