@@ -32,9 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder in the shared one that holds all of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application: once nothing reads a result that is still a plan over them."""
+    drop_path(spark, scratch_root(spark))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
