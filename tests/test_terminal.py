@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import time
 
+import numpy as np
 import pytest
 
 FIRST = 1704186000  # 2024-01-02 09:00
@@ -89,11 +91,33 @@ def test_batch_of_last_candles(spark, fake):
 
 
 def test_live_loop_over_the_source(spark, fake, tmp_path):
-    """From the terminal to bars in the store, through the loop's own steps."""
-    from tidemark.streaming.bars import run_to_end
+    """From the terminal through the loop's store, with a trigger interval, an outage, and a stop."""
+    from tidemark.config import EngineConfig
+    from tidemark.operators.boosting import Booster, BoostParams, Tree
+    from tidemark.sources.terminal import candle_stream
+    from tidemark.streaming.live import live_query
 
     tell, options, _, _ = fake
-    tell(n=101)
-    children = spark.readStream.format("candles").options(**options | {"symbols": "s"}).load()
-    made = run_to_end(children.select("symbol", "ts", "close"), "append", str(tmp_path))
-    assert made.count() == 100
+    tell(n=61)
+    trees = [[Tree(np.array([-1] * 3, np.int32), np.zeros(3, np.int32), np.array([k == 1, 0.0, 0.0]) * 9.0) for k in range(3)]]
+    always = Booster(["l1_custom_volume"], [np.array([0.0])], trees, BoostParams(depth=1), 1)  # every bar is a sure buy
+    rest = {k: v for k, v in options.items() if k not in ("terminal", "symbols")} | {"minutes": "1"}
+    children = candle_stream(spark, options["terminal"], ["s"], **rest)
+    sent = []
+    query = live_query(children, str(tmp_path / "store"), str(tmp_path / "log"), str(tmp_path / "check"), always, EngineConfig(cooldown=2), sent.append, 100, every="1 second")
+    try:
+        query.processAllAvailable()
+        tell(n=61, fails=10**6)
+        time.sleep(2)
+        assert query.isActive and query.exception() is None  # offline: it waits
+        tell(n=121)
+        until = time.time() + 60
+        while len(sent) < 4 and time.time() < until:
+            time.sleep(1)
+    finally:
+        query.stop()
+    log = spark.read.parquet(str(tmp_path / "log")).orderBy("ts").collect()
+    start = dt.datetime(2024, 1, 2, 9, 0)
+    # eight quarters of an hour, the last one still open; a signal at every other bar
+    assert [r.ts for r in log] == [start + dt.timedelta(minutes=30 * k) for k in range(4)] and len(sent) == 4
+    assert {r.direction for r in log} == {"BUY"} and spark.read.parquet(str(tmp_path / "store")).count() == 120

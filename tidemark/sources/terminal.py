@@ -15,6 +15,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -154,3 +155,9 @@ class CandleSource(DataSource):
 
     def streamReader(self, schema: StructType) -> CandleStreamReader:
         return CandleStreamReader(dict(self.options))
+
+
+def candle_stream(spark: SparkSession, terminal: str, symbols: list[str], **options: str) -> DataFrame:
+    """Complete candles of a terminal as a stream, ready for the live loop."""
+    spark.dataSource.register(CandleSource)
+    return spark.readStream.format("candles").options(terminal=terminal, symbols=",".join(symbols), **options).load()
