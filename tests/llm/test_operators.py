@@ -608,16 +608,18 @@ def test_pii_whole_names(spark):
 
 def test_pii_of_a_format_that_is_used_up(spark):
     """Nine tenths of all numbers of one short format occur: replacements are distinct, none is an entity, and the job ends."""
-    from tidemark.llm.pii import registry, replace_pii
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.pii import in_format, registry
 
     taken = [f"+1{k:03d}" for k in range(900)]
     rows = spark.createDataFrame([("phone", c, "male") for c in taken], "kind string, canon string, gender string").repartition(4)
     cores = {r.canon: r.core for r in registry(rows, "k").collect()}
     assert set(cores) == set(taken) and len(set(cores.values())) == 900 and not set(cores.values()) & set(taken)
     assert all(re.fullmatch(r"\+1\d{3,}", c) for c in cores.values()) and any(len(c) > 5 for c in cores.values())
-    texts = spark.createDataFrame([(k, f"call +1 {k:04d} now") for k in range(0, 10000, 2)], "doc_id long, text string")
-    got = [r.text for r in replace_pii(texts, "k").collect()]
-    assert len(set(got)) == 5000 and all(re.fullmatch(r"call \+1 \d{4,} now", t) for t in got)
+    wide = spark.createDataFrame([("phone", "+1 0001", "+199887"), ("ssn", "123-45-6789", "98765432109"), ("phone", "+1 (201) 555-01", "+1987654321")], "kind string, raw string, core string")
+    written = [r.t for r in wide.select(in_format(F.col("kind"), F.col("raw"), F.col("core")).alias("t")).collect()]
+    assert written == ["+1 99887", "987-65-432109", "+1 (987) 654-321"]  # a widened number keeps its separators
 
 
 def test_pii_formats_and_check_digits(spark):

@@ -36,7 +36,7 @@ class PhraseParams:
     max_words: int = 5
     top: int = 2000
     scale: int = 1000
-    slice_bytes: int = 8 << 20
+    slice_bytes: int = 4 << 20
     flag_bits: int = 16
     most_flag_bits: int = 27
     salts: int = 64
