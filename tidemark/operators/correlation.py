@@ -41,29 +41,45 @@ def block_sums(values: np.ndarray, shift: np.ndarray) -> np.ndarray:
     return np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
 
 
+def moved(sums: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The same sums after ``by`` has been added to every value of each column."""
+    n, x, xx, xy = sums
+    i, j = by[:, None], by[None, :]
+    return np.stack([n, x + n * i, xx + 2 * i * x + n * i * i, xy + i * x.T + j * x + n * i * j])
+
+
 def gram(df: DataFrame, columns: list[str], fan_in: int = 64) -> Gram:
-    """Sums of all pairs of columns, around a shared shift (the first row), so that digits aren't lost to large means.
+    """Sums of all pairs of columns, each around a shift (a task's first value), so that digits aren't lost to large means.
 
     Null and NaN count as no value, pair by pair. An empty table gives sums of 0.
     """
     k = len(columns)
     numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{j}") for j, c in enumerate(columns)])
-    first = numbers.first()
-    shift = np.nan_to_num(np.array([np.nan if v is None else v for v in first], float)) if first else np.zeros(k)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, k, k))
+        held, shift = np.zeros((4, k, k)), None
         for batch in batches:
             if batch.num_rows:
-                held += block_sums(np.stack([np.asarray(c.fill_null(float("nan"))) for c in batch.columns], axis=1), shift)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % fan_in], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["part", "sums"])
+                values = np.stack([np.asarray(c.fill_null(float("nan"))) for c in batch.columns], axis=1)
+                if shift is None:
+                    shift = np.nan_to_num(values[(~np.isnan(values)).argmax(0), np.arange(k)])
+                held += block_sums(values, shift)
+        if shift is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % fan_in], pa.int32()), pa.array([held.tobytes() + shift.tobytes()], pa.binary())], names=["part", "sums"])
+
+    def added(parts: list[bytes]) -> bytes:
+        """All sums around the shift of the first."""
+        total, first = np.zeros((4, k, k)), np.frombuffer(parts[0], float)[4 * k * k :]
+        for part in parts:
+            numbers_ = np.frombuffer(part, float)
+            total += moved(numbers_[: 4 * k * k].reshape(4, k, k), numbers_[4 * k * k :] - first)
+        return total.tobytes() + first.tobytes()
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(s.as_py(), float) for s in group["sums"])
-        return pa.table({"part": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([0], pa.int32()), "sums": pa.array([added(group["sums"].to_pylist())], pa.binary())})
 
     rows = numbers.mapInArrow(partial, PARTIAL).groupBy("part").applyInArrow(merge, PARTIAL).collect()  # fan_in rows at most
-    return Gram(sum((np.frombuffer(r["sums"], float).reshape(4, k, k) for r in rows), np.zeros((4, k, k))))
+    return Gram(np.frombuffer(added([r["sums"] for r in rows]), float)[: 4 * k * k].reshape(4, k, k) if rows else np.zeros((4, k, k)))
 
 
 def correlation_table(df: DataFrame, columns: list[str]) -> DataFrame:
