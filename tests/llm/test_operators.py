@@ -500,6 +500,20 @@ def test_lm_scores_of_the_query_see_long_contexts(spark, docs):
     assert all(got[i][0] > shallow[i] for i in shallow if i is not None and i >= 20)
 
 
+def test_lm_counts_words_of_texts_after_the_first_slice(spark):
+    from tidemark.llm import lm
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = [(1, "Long words\n" * (lm.SLICE // 11 + 1)), (0, "w " * lm.SLICE)] + [(i, "\xe9t\xe9 " * (i % 3) + f"A b{i} C") for i in range(2, 40)]
+    count = collections.Counter(w for i, t in rows if not held(i) for w in [*words(t.translate(FOLD)), " end"])
+    n, v = sum(count.values()), len(count)
+    got = {r.doc_id: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), depth=1).collect()}
+    for i, t in rows:
+        w = [*words(t.translate(FOLD)), " end"]
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held(i), len(w), sum(count[x] > 0 for x in w), n)
+        assert math.isclose(got[i].base_score, sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
+
+
 def test_lm_contexts_stay_whole(monkeypatch):
     import pyarrow as pa
 

@@ -92,8 +92,11 @@ def attach(df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch], list[pa.
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "__text") -> pa.Array:
-    """The texts of a batch, null as empty."""
-    return pc.fill_null(batch.column(column), "").cast(pa.large_string())
+    """The texts of a batch, null as empty.
+
+    They are copied: ``ascii_lower`` of a slice that was cast reads from the wrong place.
+    """
+    return pc.fill_null(pa.concat_arrays([batch.column(column)]), "").cast(pa.large_string())
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -325,6 +325,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) ->
     seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train = source.filter("not held_out").count()
     total, vocab = seen["n"] + n_train, seen["v"] + (1 if n_train else 0)  # every training text adds an end
+    weight = total + 0.1 * (vocab + 1)
     n_grams = model.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
     top_words = words.filter(F.col("c") * HEAD_WORDS >= total).toArrow()  # at most HEAD_WORDS rows
@@ -332,7 +333,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) ->
     top_keys = np.asarray(top_grams["gram"]).astype(np.uint64)
     by_key = np.argsort(top_keys)
     head = spark.sparkContext.broadcast((
-        pa.concat_arrays([c.cast(pa.large_string()) for c in top_words["word"].chunks] or [pa.array([], pa.large_string())]), np.log10(np.asarray(top_words["c"]).astype(float) + 0.1),
+        pa.concat_arrays([c.cast(pa.large_string()) for c in top_words["word"].chunks] or [pa.array([], pa.large_string())]), np.log10((np.asarray(top_words["c"]).astype(float) + 0.1) / weight),
         top_keys[by_key], np.asarray(top_grams["lp"]).astype(float)[by_key],
     ))
     schema = T.StructType([
@@ -373,14 +374,14 @@ def score_texts(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) ->
                 gram_lists = _lists(o[first].astype(np.int64), n, pa.array(g[first].astype(np.int64), pa.int64()), np.diff(np.concatenate([first, [len(g)]])))
                 long = lambda x: pa.array(x, pa.int64())
                 cols = [long(np.arange(rid, rid + n)), part.column("doc_id"), part.column("held_out"), long(counts), long(n_bytes), long(segment_sums((~rare).astype(np.int64), counts)),
-                        pa.array(segment_sums(value[codes], counts)), pa.array(got), *word_lists, *gram_lists]
+                        pa.array(np.bincount(np.repeat(np.arange(n), counts), value[codes], minlength=n)), pa.array(got), *word_lists, *gram_lists]
                 rid += n
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     scored = stored(source.mapInArrow(run, schema), "scored")
     rare_words = scored.select("rid", F.explode(F.arrays_zip("words", "word_n")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.word_n").alias("times"))
     rare_words = rare_words.join(words.hint("shuffle_hash"), "word", "left").groupBy("rid").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more_words"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more_known")
+        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(weight))).alias("more_words"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more_known")
     )
     rare_grams = scored.select("rid", F.explode(F.arrays_zip("grams", "gram_n")).alias("x")).select("rid", F.col("x.grams").alias("gram"), F.col("x.gram_n").alias("times"))
     rare_grams = rare_grams.join(model.select("gram", "lp").hint("shuffle_hash"), "gram").groupBy("rid").agg(F.sum(F.col("times") * F.col("lp")).alias("more_grams"))
@@ -390,7 +391,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) ->
     score = F.col("gram_sum") + F.coalesce("more_grams", zero)
     return rows.select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0)) + F.lit(1 if n_train else 0)).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("word_sum") + F.coalesce("more_words", zero) + F.lit(math.log10(n_train + 0.1)) - n_tokens * F.lit(math.log10(total + 0.1 * (vocab + 1)))).alias("base_score"),
+        (F.col("word_sum") + F.coalesce("more_words", zero) + F.lit(math.log10((n_train + 0.1) / weight))).alias("base_score"),
         score.alias("score"), (-score / (F.lit(math.log10(2)) * F.col("n_bytes"))).alias("bits_per_byte"),
     )
 
