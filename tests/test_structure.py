@@ -251,3 +251,21 @@ def test_interval_join(spark):
     points = spark.createDataFrame([("s", i) for i in range(120)], "symbol string, i int")
     got = binned_interval_join(points, spark.createDataFrame(spans, "symbol string, start_i int, end_i int"), 16).collect()
     assert sorted((r.i, r.start_i, r.end_i) for r in got) == sorted((i, a, z) for i in range(120) for _, a, z in spans if a <= i < z)
+
+
+def test_pool_means_add_up_from_the_oldest_price():
+    import functools
+    import operator
+
+    import numpy as np
+
+    from tidemark.operators.layer3 import _pools
+
+    rng = np.random.default_rng(5)
+    prices = np.round(rng.uniform(0, 40, 400), 2)
+    got = _pools(prices, 0, 100, 5.0, 3)
+    for t in range(len(prices)):
+        window = prices[max(0, t - 99) : t + 1].tolist()
+        near = [[x for x in window if abs(x - a) <= 5.0] for a in window]
+        most = max(near, key=len)
+        assert (np.isnan(got[t]) and len(most) < 3) or got[t] == functools.reduce(operator.add, most, 0.0) / len(most)
