@@ -30,11 +30,11 @@ QUERY_DEPTH = 6
 #: Context bytes by which n-grams are dealt, and n-grams mixed at a time (those of one such context stay together).
 BASE, CHUNK = 4, 1 << 18
 #: Bytes of text handled at a time: every byte takes some sixty bytes of work space.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: An entry is frequent if it makes up at least one in so many of all; there are no more than this.
 HEAD_WORDS, HEAD_GRAMS = 1 << 20, 1 << 24
 #: Distinct n-grams that a worker counts before it hands them on.
-HELD_GRAMS = 1 << 21
+HELD_GRAMS = 3 << 19
 
 
 def lgamma(x: Column) -> Column:
